@@ -16,7 +16,7 @@ import numpy as np
 #: White space with the run after it, or white space at the end.
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Units held per worker before the cache starts anew; bounds its memory.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 #: Characters of texts cut into units at once.
 GROUP_CHARS = 2_000_000
 
@@ -43,12 +43,12 @@ class Encoder:
 
     def _lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for."""
-        from tokenizers import Tokenizer
-
-        size = self.tokenizer.get_vocab_size()
-        plain = Tokenizer.from_str(self.tokenizer.to_str())
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, np.int64)
         # In byte-level vocabularies each character of a token stands for one byte.
-        return np.array([len(plain.id_to_token(i) or "") for i in range(size)], np.int64)
+        for token, i in vocabulary.items():
+            out[i] = len(token)
+        return out
 
     def _learn(self, units: set[str], odd: set[str]) -> None:
         """Put the ids of ``units`` into the cache; ``odd`` ones can't stand between others."""
