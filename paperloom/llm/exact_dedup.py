@@ -176,9 +176,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     if held.any():
         members = cut(_candidates(docs, held, filter_bits, primes), "members")
         keepers = (
-            members.join(doubted, "fp")
-            .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-            .groupBy("fp")
+            members.alias("m")
+            .join(doubted.alias("g"), (F.col("m.fp") == F.col("g.fp")) & F.col("m.doc_id").eqNullSafe(F.col("g.keep_id")))
+            .groupBy(F.col("m.fp").alias("fp"))
             .agg(F.min("body").alias("kept_body"))
         )
         differing = cut(_compared(members.join(keepers, "fp")), "differing")

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bitplane, exact_dedup, packing
+from paperloom.llm import bitplane, exact_dedup, matroska, packing, simhash, substring
 from paperloom.llm.common import documents
 
 WORDS = r"string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x09-\x0D\x20]+')"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir)).drop("spans")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(documents(spark, sf_dir))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_output(documents(spark, sf_dir))
 
@@ -26,7 +38,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_matroska": op4_matroska,
         "op7_token_ids": op7_token_ids,
         "op8_packing": op8_packing,
     }
