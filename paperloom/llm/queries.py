@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bitplane, exact_dedup, matroska, packing, simhash, substring
+from paperloom.llm import bitplane, brown, exact_dedup, langid, matroska, packing, quality, simhash, substring, wfst
 from paperloom.llm.common import documents
 
 WORDS = r"string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x09-\x0D\x20]+')"
@@ -28,6 +28,14 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(documents(spark, sf_dir))
 
 
+def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.piece_digests(documents(spark, sf_dir))
+
+
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.lm_scores(documents(spark, sf_dir))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_output(documents(spark, sf_dir))
 
@@ -36,14 +44,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_matroska": op4_matroska,
+        "op5_piece_transducer": op5_piece_transducer,
+        "op6_brown_lm": op6_brown_lm,
         "op7_token_ids": op7_token_ids,
         "op8_packing": op8_packing,
+        "op9_language": op9_language,
+        "op10_quality": op10_quality,
     }
 
 
