@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, ids_and_texts
+from paperloom.llm.common import LOWER, UPPER, cut, ids_and_texts
 
 #: Primes below 2**31; bytes times residues summed over a chunk stay below 2**53.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -200,3 +200,21 @@ def _with_groups(rows: DataFrame, doubted: DataFrame) -> DataFrame:
     alone = F.col("group_size").isNull()
     joined = rows.join(doubted, "fp", "left")
     return joined.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns unchanged, that stay: one of each group of equal texts.
+
+    Dropped rows are found by id and text digest, so another row with the same id
+    is safe. Of rows repeated with the same id and text one stays.
+    """
+    found = cut(exact_dedup(df, id_col, text_col), "exact")
+    names = df.columns
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), 256)
+    keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.col(id_col).cast("long").alias("own_id"), digest.alias("own_digest"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")).distinct()
+    left = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_digest") == F.col("gone_digest")), "left_anti")
+    kept = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not kept.isEmpty():
+        left = left.dropDuplicates(["own_id", "own_digest"])
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))

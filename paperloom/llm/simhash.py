@@ -70,14 +70,14 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp long holding the 64 bits)."""
+    """(doc_id, text) -> (doc_id, row int: a hash of the text, fp long holding the 64 bits)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([simhash(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = np.array([simhash(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["doc_id", "row", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(run, "doc_id long, row int, fp long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -214,12 +214,36 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     with the same id share its component. Null ids belong to a component but
     never name one, unless it has only null ids. An empty table gives no rows.
     """
-    rows = cut(fingerprints(ids_and_texts(df, id_col, text_col)), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(cut(links(nodes.select("fp"), most, bands), "simhash-links"))
-    # (fp, root) only for fingerprints that have a link; the others are their own root.
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted, "simhash-roots")
+    rows, rooted = _rooted(ids_and_texts(df, id_col, text_col), most, bands)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, most: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of each row, and (fp, first_id, root) of each distinct fingerprint."""
+    rows = cut(fingerprints(docs), "simhash")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    found = components(cut(links(nodes.select("fp"), most, bands), "simhash-links"))
+    # Only fingerprints that have a link are found; the others are their own root.
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, cut(rooted, "simhash-roots")
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, bands: int = BANDS) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, that name their component: one of each.
+
+    That is the row with the smallest id, not null where another has one; of
+    rows with that id the one with the smallest text hash. Rows repeated with the
+    same id and text stay or go together.
+    """
+    rows, rooted = _rooted(ids_and_texts(df, id_col, text_col), most, bands)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    by_fp = rows.groupBy("fp").agg(F.min(order).alias("best")).join(rooted.select("fp", "root"), "fp")
+    best = by_fp.groupBy("root").agg(F.min("best").alias("best"))
+    goes = by_fp.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))
+    gone = rows.join(goes, "fp").where(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row")))).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    names = df.columns
+    keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.col(id_col).cast("long").alias("own_id"), F.hash(F.col(text_col).cast("string")).alias("own_row"))
+    left = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_row") == F.col("gone_row")), "left_anti")
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
