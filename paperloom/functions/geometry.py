@@ -12,8 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def corners(prefix: str = "") -> tuple[Column, Column, Column, Column]:
-    return tuple(F.col(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2"))
+class Corners:
+    """The four columns of a rectangle by index; made on use, as columns need a session."""
+
+    def __init__(self, prefix: str = ""):
+        self.prefix = prefix
+
+    def __getitem__(self, k: int) -> Column:
+        return F.col(self.prefix + ("x1", "y1", "x2", "y2")[k])
+
+
+def corners(prefix: str = "") -> Corners:
+    return Corners(prefix)
 
 
 def zero(c: Column) -> Column:
