@@ -37,10 +37,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages don't recompute it."""
+    return cut_at(df, label)[0]
+
+
+def cut_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, for a table that is removed once nothing reads it any more."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:

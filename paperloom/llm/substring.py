@@ -6,10 +6,12 @@ of ``WINDOW`` words. Each phrase is filed under its anchor, the smallest hash of
 the shorter word runs inside it, so equal phrases always meet in the same block
 and a document is looked up in every block that could hold a part of it.
 
+0. Copies. A text equal to that of a smaller id is one factor, the whole text. It
+   needs no further lookup and holds nothing that its original doesn't hold.
 1. Anchors. A document sends each of its anchors once (about one in four
    positions). Anchors of one document only can't give a duplicate and go.
 2. Phrases under the anchors that are left are indexed: the smallest document id
-   of each. Both aggregates combine before their shuffle, so a passage that
+   of each. These aggregates combine before their shuffle, so a passage that
    stands in a third of all documents is one row per task.
 3. The parse runs through a document from its start. It opens a factor at the
    first phrase that an earlier document has and extends it as long as the next
@@ -34,14 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, ids_and_texts
+from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
 
 WINDOW = 13
 ANCHOR = 6
 #: Bits of the filter of shared anchors that may be broadcast (16 MB); beyond it a join takes its place.
 FILTER_BITS = 1 << 27
 BITS_PER_ANCHOR = 8
-WORDS_HELD = 300_000
+WORDS_HELD = 500_000
+GROUP_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -66,33 +69,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(hashes: np.ndarray, length: int, prime: np.uint64) -> np.ndarray:
-    """A hash of each run of ``length`` words: a polynomial of their hashes, then mixed."""
+    """A hash of each run of ``length`` words: a polynomial of their hashes, then mixed.
+
+    Runs of twice the length are put together from two, so it takes a few steps.
+    """
+    power, width, block = int(prime), 1, hashes
     n = len(hashes) - length + 1
-    out = hashes[:n].copy()
-    for k in range(1, length):
-        out *= prime
-        out += hashes[k : k + n]
+    parts = []
+    while True:
+        if length & width:
+            parts.append((width, power, block))
+        if 2 * width > length:
+            break
+        block = block[:-width] * np.uint64(power) + block[width:]
+        power, width = power * power & 0xFFFFFFFFFFFFFFFF, 2 * width
+    at, _, block = parts.pop()
+    out = block[:n].copy()
+    while parts:
+        width, power, block = parts.pop()
+        out *= np.uint64(power)
+        out += block[at : at + n]
+        at += width
     return _mixed(out)
 
 
-def phrases(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, hash, check) of the phrase at each position that has a whole window."""
-    if len(words) < window:
-        empty = np.empty(0, np.uint64)
-        return empty, empty, empty
-    get = _words.__getitem__
-    hashes = np.fromiter(map(get, words), np.uint64, len(words))
-    short = _runs(hashes, anchor, _PRIMES[0])
-    inside = window - anchor + 1
-    # Minimum over each run of ``inside`` short hashes, by doubling.
-    least, width = short, 1
-    while 2 * width <= inside:
-        least = np.minimum(least[: len(least) - width], least[width:])
-        width *= 2
-    if width < inside:
-        n = len(short) - inside + 1
-        least = np.minimum(least[:n], least[inside - width : inside - width + n])
-    return least, _runs(hashes, window, _PRIMES[1]), _runs(hashes, window, _PRIMES[2]) >> np.uint64(33)
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum over each run of ``width`` values, by doubling."""
+    n, have, out = len(values) - width + 1, 1, values
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    return np.minimum(out[:n], out[width - have : width - have + n])
+
+
+class Group:
+    """Phrases of several documents at once: one pass of array steps for many short texts."""
+
+    def __init__(self, documents: list[list[bytes]], window: int):
+        sizes = np.array([len(d) for d in documents], np.int64)
+        get = _words.__getitem__
+        self.hashes = np.fromiter((get(w) for d in documents for w in d), np.uint64, int(sizes.sum()))
+        self.window = window
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(documents)), np.maximum(sizes - window + 1, 0))
+        first = np.cumsum(np.maximum(sizes - window + 1, 0)) - np.maximum(sizes - window + 1, 0)
+        #: Document of each phrase, its position there and in the joined words.
+        self.owner = owner
+        self.at = np.arange(len(owner)) - first[owner]
+        self.place = self.at + (ends - sizes)[owner]
+
+    def anchors(self) -> np.ndarray:
+        if not len(self.owner):
+            return np.empty(0, np.uint64)
+        return _least(_runs(self.hashes, ANCHOR, _PRIMES[0]), self.window - ANCHOR + 1)[self.place]
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.owner):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return _runs(self.hashes, self.window, _PRIMES[1])[self.place], (_runs(self.hashes, self.window, _PRIMES[2]) >> np.uint64(33))[self.place]
+
+
+def _groups(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[list[tuple], Group]]:
+    """Documents of (keys.., text) batches with a whole window and an id, some ``GROUP_WORDS`` words at a time."""
+    keys, documents, size = [], [], 0
+    for batch in batches:
+        for *key, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
+            words = split(text.as_py())
+            if key[0] is None or len(words) < window:
+                continue
+            keys.append(key)
+            documents.append(words)
+            size += len(words)
+            if size >= GROUP_WORDS:
+                yield keys, Group(documents, window)
+                keys, documents, size = [], [], 0
+    if keys:
+        yield keys, Group(documents, window)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -104,19 +156,12 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, doc_id): each anchor of a document once, without null ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc_id is None:
-                    continue
-                found = phrases(split(text.as_py()), window)[0]
-                if len(found):
-                    # Neighbouring phrases mostly share their anchor.
-                    own = np.unique(found[np.concatenate([[True], found[1:] != found[:-1]])])
-                    keys.append(own)
-                    ids.append(np.full(len(own), doc_id, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
+        for keys, group in _groups(batches, window):
+            found, owner = group.anchors(), group.owner
+            # Neighbouring phrases mostly share their anchor.
+            new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]))
+            ids = np.array([k[0] for k in keys], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(ids[owner[new]])], ["anchor", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
@@ -149,29 +194,19 @@ def _phrase_rows(docs: DataFrame, window: int, held: np.ndarray | None, bits: in
     names = ["doc_id", "row", "anchor", "phrase", "mark", "at"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            size = 0
-            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if doc_id is None:
-                    continue
-                anchor, phrase, mark = phrases(split(text.as_py()), window)
-                at = np.arange(len(anchor), dtype=np.int32)
-                if shared is not None and len(anchor):
-                    a, b = _slots(anchor, bits)
-                    words = shared.value
-                    one, low = np.uint64(1), np.uint64(63)
-                    keep = np.flatnonzero((words[a >> np.uint64(6)] >> (a & low)) & (words[b >> np.uint64(6)] >> (b & low)) & one)
-                    anchor, phrase, mark, at = anchor[keep], phrase[keep], mark[keep], at[keep]
-                n = len(at)
-                size += n
-                for column, values in zip(columns, (np.full(n, doc_id, np.int64), np.full(n, row, np.int32), anchor.view(np.int64), phrase.view(np.int64), mark.astype(np.int32), at), strict=True):
-                    column.append(values)
-                if size >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
-                    columns, size = [[] for _ in names], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+        one, low = np.uint64(1), np.uint64(63)
+        for keys, group in _groups(batches, window):
+            anchor, (phrase, mark) = group.anchors(), group.phrases()
+            if shared is None:
+                keep = np.arange(len(anchor))
+            else:
+                a, b = _slots(anchor, bits)
+                words = shared.value
+                keep = np.flatnonzero((words[a >> np.uint64(6)] >> (a & low)) & (words[b >> np.uint64(6)] >> (b & low)) & one)
+            owner = group.owner[keep]
+            ids, rows = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int32)
+            columns = ids[owner], rows[owner], anchor[keep].view(np.int64), phrase[keep].view(np.int64), mark[keep].astype(np.int32), group.at[keep].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row int, anchor long, phrase long, mark int, at int")
 
@@ -189,16 +224,23 @@ def duplicate_phrases(docs: DataFrame, window: int = WINDOW, filter_bits: int =
     """
     spark = docs.sparkSession
     grouped = _anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = cut(grouped.where("first < last").select("anchor"), "anchors")
+    shared, anchors_at = cut_at(grouped.where("first < last").select("anchor"), "anchors")
     bits = _filter_size(shared.count(), filter_bits)
     _release(spark)
     if bits:
         rows = _phrase_rows(docs, window, anchor_filter(shared, bits), bits).drop("anchor")
     else:
         rows = _phrase_rows(docs, window, None, 0).join(shared, "anchor", "left_semi").drop("anchor")
-    rows = cut(rows, "phrases")
+    rows, rows_at = cut_at(rows, "phrases")
+    _release(spark)
     index = rows.groupBy("phrase", "mark").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("phrase", "mark", "source")
-    return rows.join(index, ["phrase", "mark"]).where("doc_id > source").select("doc_id", "row", "at", "source")
+    index, index_at = cut_at(index, "phrase-index")
+    _release(spark)
+    found = cut(rows.join(index, ["phrase", "mark"]).where("doc_id > source").select("doc_id", "row", "at", "source"), "found-phrases")
+    for path in (anchors_at, rows_at, index_at):
+        remove(spark, path)
+    _release(spark)
+    return found
 
 
 def _release(spark) -> None:
@@ -229,13 +271,21 @@ def kept_mask(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
+def with_copies(docs: DataFrame) -> DataFrame:
+    """Adds copy_of: the smallest id of a row with the same text, where that is smaller than the row's own."""
+    keyed = docs.withColumn("body", F.sha2("text", 256))
+    groups = keyed.where("body IS NOT NULL").groupBy("body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("body", "first")
+    return keyed.join(groups, "body", "left").withColumn("copy_of", F.when(F.col("doc_id") > F.col("first"), F.col("first"))).drop("body", "first")
+
+
 def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns in ``carry`` and spans (array of start, length, source) of each row."""
+    """doc_id, text, copy_of, found (array of at and source) and the columns in ``carry`` of each row."""
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(carry)))
     # Rows repeated with one id are told apart by a hash of their text.
-    docs = own.withColumn("row", F.hash("text"))
-    found = duplicate_phrases(docs, window, filter_bits)
-    spans = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "source")).alias("found"))
+    docs = cut(with_copies(own.withColumn("row", F.hash("text"))), "marked")
+    _release(df.sparkSession)
+    found = duplicate_phrases(docs.where("copy_of IS NULL"), window, filter_bits)
+    spans = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "source")).alias("found"))
     return docs.join(spans, ["doc_id", "row"], "left")
 
 
@@ -248,14 +298,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smaller or larger than it. Rows repeated with the same id don't remove each
     other's words. An empty table gives no rows.
     """
-    joined = parsed(df, id_col, text_col, window, filter_bits).select("doc_id", "text", "found")
+    joined = parsed(df, id_col, text_col, window, filter_bits).select("doc_id", "text", "copy_of", "found")
     span = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_n, removed, digests, spans = [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                words, own = split(text.as_py()), _spans(found.as_py(), window)
+            for text, copy_of, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = split(text.as_py())
+                own = _spans(len(words), copy_of, found.as_py(), window)
                 if own:
                     mask = kept_mask(len(words), own)
                     kept = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
@@ -273,8 +324,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, spans array<struct<start:int,length:int,source:long>>")
 
 
-def _spans(found: list[dict] | None, window: int) -> list[tuple[int, int, int]]:
-    return factors(sorted((f["at"], f["source"]) for f in found), window) if found else []
+def _spans(n: int, copy_of: int | None, found: list[dict] | None, window: int) -> list[tuple[int, int, int]]:
+    if copy_of is not None:
+        return [(0, n, copy_of)] if n >= window else []
+    return factors(sorted({(f["at"], f["source"]) for f in found}), window) if found else []
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -285,15 +338,16 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     others = tuple(c for c in df.columns if c not in (id_col, text_col))
     joined = parsed(df, id_col, text_col, window, filter_bits, others)
-    flat = joined.select("doc_id", "text", "found", *(f"kept_{k}" for k in range(len(others))))
+    flat = joined.select("doc_id", "text", "copy_of", "found", *(f"kept_{k}" for k in range(len(others))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                own = _spans(found.as_py(), window)
-                texts.append(cut_out(text.as_py(), own) if own else text.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], names)
+            for text, copy_of, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                text = text.as_py()
+                own = _spans(len(split(text)), copy_of, found.as_py(), window) if copy_of is not None or found.is_valid else []
+                texts.append(cut_out(text, own) if own else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names)
 
     kinds = dict(df.dtypes)
     names = ["doc_id", "text", *(f"kept_{k}" for k in range(len(others)))]
