@@ -119,7 +119,7 @@ def _log_ratio(rows: list[np.ndarray], labels: np.ndarray, size: int, smoothing:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def _descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float, sweeps: int, seed: int) -> tuple[np.ndarray, float]:
+def _descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float, sweeps: int, seed: int, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss; each class weighs the same."""
     rng = np.random.default_rng(seed)
     sign = np.where(labels > 0, 1.0, -1.0)
@@ -139,7 +139,7 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, pena
                 b += step
                 moved = max(moved, abs(step) / top[i])
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w, b
 
