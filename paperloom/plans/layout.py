@@ -88,7 +88,7 @@ COLUMNS = f"""g AS (SELECT page, x1, x2, center, row_number() OVER w AS place, c
 REGIONS_SQL = f"""WITH {COLUMNS}, m AS (SELECT n.page, n.idx, min(c.column_id) AS column_id FROM {NODES} n JOIN c ON n.page = c.page AND NOT {EDGE.format(p='n.')}
         AND (n.x1 + n.x2) / 2 BETWEEN cx1 - greatest(6.0, (cx2 - cx1) * 0.08) AND cx2 + greatest(6.0, (cx2 - cx1) * 0.08) GROUP BY 1, 2)
     SELECT n.page, n.idx, CASE WHEN {EDGE.format(p='n.')} THEN 'edge' WHEN m.column_id IS NOT NULL THEN 'body_column' ELSE 'unknown' END AS region, m.column_id,
-           CASE WHEN {EDGE.format(p='n.')} THEN 0.9 WHEN m.column_id IN ('left', 'right') THEN 0.74 WHEN m.column_id = 'single' THEN 0.64 ELSE 0.0 END AS confidence
+           CAST(CASE WHEN {EDGE.format(p='n.')} THEN 0.9 WHEN m.column_id IN ('left', 'right') THEN 0.74 WHEN m.column_id = 'single' THEN 0.64 ELSE 0.0 END AS DOUBLE) AS confidence
     FROM {NODES} n LEFT JOIN m ON n.page = m.page AND n.idx = m.idx"""
 
 

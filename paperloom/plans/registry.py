@@ -21,12 +21,26 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            ORACLE[name] = re.sub(r"\{(" + "|".join(DERIVED) + r")\}", lambda m: derived_sql(m[1]), sql)
+            ORACLE[name] = _plain_counts(re.sub(r"\{(" + "|".join(DERIVED) + r")\}", lambda m: derived_sql(m[1]), sql))
         return f
 
     return wrap
 
 
+def _plain_counts(sql: str) -> str:
+    """``count_if(x)`` as ``count(*) FILTER (WHERE x)``, which is a bigint and never null in DuckDB."""
+    mark = "count_if("
+    while (start := sql.find(mark)) >= 0:
+        depth, quoted, at = 1, False, start + len(mark)
+        while depth:
+            c = sql[at]
+            quoted ^= c == "'"
+            depth += (not quoted) * ((c == "(") - (c == ")"))
+            at += 1
+        sql = f"{sql[:start]}count(*) FILTER (WHERE {sql[start + len(mark) : at - 1]}){sql[at:]}"
+    return sql
+
+
 def values_sql(rows: list[tuple], columns: str) -> str:
     """``(VALUES ...) AS v(columns)`` for DuckDB."""
 
@@ -37,6 +51,6 @@ def values_sql(rows: list[tuple], columns: str) -> str:
             return "TRUE" if x else "FALSE"
         if isinstance(x, str):
             return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in x.split("\n")) if "\n" in x else "'" + x.replace("'", "''") + "'"
-        return f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x)
+        return f"CAST({x!r} AS {'DOUBLE' if isinstance(x, float) else 'BIGINT'})"
 
     return "(VALUES " + ", ".join("(" + ", ".join(cell(c) for c in r) + ")" for r in rows) + f") AS v({columns})"
