@@ -53,15 +53,16 @@ class Encoder:
     def _learn(self, units: set[str], odd: set[str]) -> None:
         """Put the ids of ``units`` into the cache; ``odd`` ones can't stand between others."""
         cache = self.cache
-        missing = units - cache.keys()
+        # Not ``units - cache.keys()``, which walks the whole cache.
+        missing = {u for u in units if u not in cache}
         if len(cache) + len(missing) > self.cache_units:
             self.cache = cache = {u: cache[u] for u in units - missing}
         if self.lengths is None:
             self.lengths = self._lengths()
         joinable = list(missing - odd)
         # Such units follow each other as they would in a text, so one call encodes many.
-        for start in range(0, len(joinable), 256):
-            part = joinable[start : start + 256]
+        for start in range(0, len(joinable), 128):
+            part = joinable[start : start + 128]
             text = "".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             sizes = map(len, part) if text.isascii() else [len(u.encode()) for u in part]
