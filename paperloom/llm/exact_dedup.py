@@ -181,7 +181,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             .groupBy(F.col("m.fp").alias("fp"))
             .agg(F.min("body").alias("kept_body"))
         )
-        differing = cut(_compared(members.join(keepers, "fp")), "differing")
+        # Written first: a join with an aggregate inside its stage can't have its hot keys split.
+        differing = cut(_compared(members.join(cut(keepers, "keepers"), "fp")), "differing")
         if differing.isEmpty():
             differing = None
     if differing is None:
