@@ -186,22 +186,26 @@ def links(distinct: DataFrame, most: int = MAX_BITS, bands: int = BANDS) -> Data
     buckets = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def found(keys, values):
-            u, v = _links_of(keys, values, most)
+        def found() -> pa.RecordBatch:
+            u, v = _links_of(*(np.concatenate(c) for c in zip(*held, strict=True)), most)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
-            held_k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            held_v = np.concatenate([held_v, batch.column(1).to_numpy().view(np.uint64)])
-            if len(held_k) and held_k[0] != held_k[-1]:
-                # The last bucket may go on in the next batch.
-                stop = int(np.searchsorted(held_k, held_k[-1], "left"))
-                yield found(held_k[:stop], held_v[:stop])
-                held_k, held_v = held_k[stop:], held_v[stop:]
-        if len(held_k):
-            yield found(held_k, held_v)
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            if held and held[-1][0][-1] == keys[-1]:
+                held.append((keys, values))  # one bucket so far: nothing to close
+                continue
+            # The last bucket may go on in the next batch.
+            stop = int(np.searchsorted(keys, keys[-1], "left"))
+            held.append((keys[:stop], values[:stop]))
+            yield found()
+            held = [(keys[stop:], values[stop:])]
+        if held:
+            yield found()
 
     return buckets.select("bucket", "fp").mapInArrow(run, "u long, v long")
 
@@ -215,7 +219,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     never name one, unless it has only null ids. An empty table gives no rows.
     """
     rows, rooted = _rooted(ids_and_texts(df, id_col, text_col), most, bands)
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written first: a join with an aggregate inside its stage can't have its hot keys split.
+    named = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-names")
     by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -239,8 +244,8 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows, rooted = _rooted(ids_and_texts(df, id_col, text_col), most, bands)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    by_fp = rows.groupBy("fp").agg(F.min(order).alias("best")).join(rooted.select("fp", "root"), "fp")
-    best = by_fp.groupBy("root").agg(F.min("best").alias("best"))
+    by_fp = cut(rows.groupBy("fp").agg(F.min(order).alias("best")).join(rooted.select("fp", "root"), "fp"), "simhash-firsts")
+    best = cut(by_fp.groupBy("root").agg(F.min("best").alias("best")), "simhash-best")
     goes = by_fp.select("fp", "root").join(best, "root").select("fp", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))
     gone = rows.join(goes, "fp").where(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row")))).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
     names = df.columns
