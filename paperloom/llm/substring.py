@@ -275,7 +275,10 @@ def with_copies(docs: DataFrame) -> DataFrame:
     """Adds copy_of: the smallest id of a row with the same text, where that is smaller than the row's own."""
     keyed = docs.withColumn("body", F.sha2("text", 256))
     groups = keyed.where("body IS NOT NULL").groupBy("body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("body", "first")
-    return keyed.join(groups, "body", "left").withColumn("copy_of", F.when(F.col("doc_id") > F.col("first"), F.col("first"))).drop("body", "first")
+    # Written first: a join with an aggregate inside its stage can't have its hot keys split.
+    # The hint keeps the plan the same at every size: a small table of copies isn't broadcast.
+    groups = cut(groups, "copies")
+    return keyed.join(groups.hint("merge"), "body", "left").withColumn("copy_of", F.when(F.col("doc_id") > F.col("first"), F.col("first"))).drop("body", "first")
 
 
 def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
