@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +18,8 @@ import numpy as np
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Units held per worker before the cache starts anew; bounds its memory.
 CACHE_UNITS = 1_000_000
+#: Characters of a unit that may outlive a full cache.
+SHORT_UNIT = 9
 #: Characters of texts cut into units at once.
 GROUP_CHARS = 2_000_000
 
@@ -50,32 +53,27 @@ class Encoder:
             out[i] = len(token)
         return out
 
-    def _learn(self, units: set[str], odd: set[str]) -> None:
-        """Put the ids of ``units`` into the cache; ``odd`` ones can't stand between others."""
-        cache = self.cache
-        # Not ``units - cache.keys()``, which walks the whole cache.
-        missing = {u for u in units if u not in cache}
-        if len(cache) + len(missing) > self.cache_units:
-            self.cache = cache = {u: cache[u] for u in units - missing}
+    def _learn(self, missing: set[str], odd: set[str]) -> None:
+        """Put the ids of units into the cache; ``odd`` ones can't stand between others."""
         if self.lengths is None:
             self.lengths = self._lengths()
+        cache, encode = self.cache, self.tokenizer.encode_batch_fast
         joinable = list(missing - odd)
-        # Such units follow each other as they would in a text, so one call encodes many.
-        for start in range(0, len(joinable), 128):
-            part = joinable[start : start + 128]
-            text = "".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            sizes = map(len, part) if text.isascii() else [len(u.encode()) for u in part]
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(part))), "left") * 4 + 4
+        # Such units follow each other as they would in a text, so a line of them is encoded at once.
+        for start in range(0, len(joinable), 8192):
+            part = joinable[start : start + 8192]
+            lines = ["".join(part[k : k + 64]) for k in range(0, len(part), 64)]
+            got = encode(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(g.ids for g in got), "<u4")
+            sizes = np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in part), np.int64, len(part))
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") * 4 + 4
             data, at = ids.tobytes(), 0
             for unit, stop in zip(part, stops.tolist(), strict=True):
                 cache[unit] = data[at:stop]
                 at = stop
         others = list(missing & odd)
-        for start in range(0, len(others), 4096):
-            part = others[start : start + 4096]
-            for unit, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[unit] = np.array(got.ids, "<u4").tobytes()
+        for unit, got in zip(others, encode(others, add_special_tokens=False), strict=True):
+            cache[unit] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: bytes = b"\0\0\0\0") -> list[bytes]:
         """For each text its ids and ``end``; a null or empty text has only ``end``.
@@ -95,10 +93,23 @@ class Encoder:
         return out + self._encode(group, end)
 
     def _encode(self, group: list[list[str]], end: bytes) -> list[bytes]:
+        get = self.cache.get
+        rows = [list(map(get, units)) for units in group]
+        holes = [[k for k, ids in enumerate(row) if ids is None] for row in rows]
+        missing = {units[k] for units, at in zip(group, holes, strict=True) for k in at}
+        if len(self.cache) + len(missing) > self.cache_units:
+            # Start anew with what this group needs and, if they leave room, the short units: those come again most.
+            short = {u: ids for u, ids in self.cache.items() if len(u) <= SHORT_UNIT}
+            self.cache = short if len(short) <= self.cache_units // 2 else {}
+            for units, row in zip(group, rows, strict=True):
+                self.cache.update((u, ids) for u, ids in zip(units, row, strict=True) if ids is not None)
         odd = {u[0] for u in group if u and not u[0][0].isspace()} | {u[-1] for u in group if u and u[-1][-1].isspace()}
-        self._learn(set().union(*group), odd)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, units)) + end for units in group]
+        self._learn(missing, odd)
+        learned = self.cache
+        for units, row, at in zip(group, rows, holes, strict=True):
+            for k in at:
+                row[k] = learned[units[k]]
+        return [b"".join(row) + end for row in rows]
 
 
 _encoders: dict[str, Encoder] = {}
