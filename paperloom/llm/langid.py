@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import id_bucket
+from paperloom.llm.common import id_bucket, smallest_hashes
 
 TRAIN_ROWS = 3000
 BITS = 14
@@ -151,7 +151,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(id_bucket("doc_id", FOLDS) != HELD_OUT)
-    chosen = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    chosen = smallest_hashes(own.select("doc_id"), "doc_id", rows).distinct()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

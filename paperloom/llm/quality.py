@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import id_bucket, ids_and_texts
+from paperloom.llm.common import id_bucket, ids_and_texts, smallest_hashes
 
 TRAIN_ROWS = 8000
 BITS = 16
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     own = own.where(id_bucket("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = smallest_hashes(own, "doc_id", rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -103,6 +103,15 @@ def test_lm_empty(empty):
     assert brown.lm_scores(empty).collect() == []
 
 
+def test_smallest_hashes_equal_a_sort(spark):
+    from paperloom.llm.common import smallest_hashes
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    want = [r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(300).collect()]
+    assert [r.k for r in smallest_hashes(df, "k", 300).collect()] == want
+    assert smallest_hashes(df.where("k < 5"), "k", 300).count() == 5
+
+
 # ---- languages -----------------------------------------------------------------------------
 
 
