@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LOWER, UPPER, cut, ids_and_texts
+from paperloom.llm.common import LOWER, UPPER, cut, cut_at, ids_and_texts, remove
 
 #: Primes below 2**31; bytes times residues summed over a chunk stay below 2**53.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -174,7 +174,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     held = _filter_of(doubted, filter_bits)
     differing = None
     if held.any():
-        members = cut(_candidates(docs, held, filter_bits, primes), "members")
+        members, members_at = cut_at(_candidates(docs, held, filter_bits, primes), "members")
         keepers = (
             members.alias("m")
             .join(doubted.alias("g"), (F.col("m.fp") == F.col("g.fp")) & F.col("m.doc_id").eqNullSafe(F.col("g.keep_id")))
@@ -182,9 +182,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             .agg(F.min("body").alias("kept_body"))
         )
         # Written first: a join with an aggregate inside its stage can't have its hot keys split.
-        differing = cut(_compared(members.join(cut(keepers, "keepers"), "fp")), "differing")
+        keepers, keepers_at = cut_at(keepers, "keepers")
+        differing, differing_at = cut_at(_compared(members.join(keepers, "fp")), "differing")
+        remove(df.sparkSession, keepers_at)
         if differing.isEmpty():
             differing = None
+            for path in (members_at, differing_at):
+                remove(df.sparkSession, path)
     if differing is None:
         out = _with_groups(rows, doubted)
     else:
