@@ -17,7 +17,7 @@ import numpy as np
 #: White space with the run after it, or white space at the end.
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Units held per worker before the cache starts anew; bounds its memory.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
 #: Characters of a unit that may outlive a full cache.
 SHORT_UNIT = 9
 #: Characters of texts cut into units at once.

@@ -30,7 +30,7 @@ BITS = 16
 ORDER = 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
-SHAPES_HELD = 300_000
+SHAPES_HELD = 100_000
 
 _KINDS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"([aA0])\1+|([^aA0])\2\2+")

@@ -43,7 +43,7 @@ ANCHOR = 6
 #: Bits of the filter of shared anchors that may be broadcast (16 MB); beyond it a join takes its place.
 FILTER_BITS = 1 << 27
 BITS_PER_ANCHOR = 8
-WORDS_HELD = 500_000
+WORDS_HELD = 200_000
 GROUP_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
