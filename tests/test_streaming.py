@@ -1,5 +1,7 @@
 """Streams give what the batch forms give on the same events."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,15 +22,21 @@ def folder(spark, small, tmp_path):
     return str(tmp_path / "in"), events.schema, str(tmp_path / "check")
 
 
-def drain(stream, name, check):
+def drain(stream, name, check, rows):
+    """Run until all rows were taken; a query with processing-time timeouts doesn't end by itself."""
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination(300)
+    end = time.time() + 90
+    while query.isActive and time.time() < end:
+        if name == "progress" and sum(p.numInputRows for p in query.recentProgress) >= rows:
+            break
+        query.awaitTermination(1)
+    query.stop()
     return stream.sparkSession.table(name).collect()
 
 
 def test_failure_sessions(spark, folder):
     path, schema, check = folder
-    got = drain(ev.failure_session_stream(ev.event_stream(spark, path, schema, 10), "12 hours", 3, "1 day"), "sessions", check)
+    got = drain(ev.failure_session_stream(ev.event_stream(spark, path, schema, 10), "12 hours", 3, "1 day"), "sessions", check, spark.read.parquet(path).count())
     errors = spark.read.parquet(path).where("event_type = 'error' AND event_id >= 0").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     want = windows.failure_sessions(errors, "user_id", "ts", "12 hours", 3).collect()
     closed = [r for r in got if r.user_id >= 0]
@@ -38,7 +46,7 @@ def test_failure_sessions(spark, folder):
 
 def test_progress(spark, folder):
     path, schema, check = folder
-    got = drain(ev.progress_stream(ev.event_stream(spark, path, schema, 10)), "progress", check)
+    got = drain(ev.progress_stream(ev.event_stream(spark, path, schema, 10)), "progress", check, spark.read.parquet(path).count())
     rows = spark.read.parquet(path).select("event_id", "user_id", "ts", "event_type", (F.col("event_id") % 101).alias("progress"))
     want = windows.changed_progress(rows, ["user_id"], ["ts", "event_id"], "event_type", "progress")
     assert sorted((r.user_id, r.event_id, r.top) for r in got) == sorted((r.user_id, r.event_id, r.top) for r in want.collect())
