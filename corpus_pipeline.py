@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import exact_dedup, packing, quality, simhash, substring
+from paperloom.llm import exact_dedup, packing, quality, similar, substring
 from paperloom.llm.common import cut, documents
 
 
@@ -24,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies: the one with the smallest id."""
-    return simhash.without_near_copies(docs)
+    """One of each group of near copies, five-word shingles with a similarity of 0.8 or more: the one with the smallest id."""
+    return similar.without_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

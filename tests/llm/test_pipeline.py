@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -109,3 +110,50 @@ def test_stages_take_nulls_and_empty_tables(spark, small, docs):
         for name, f in corpus_pipeline.STAGES:
             current = f(spark, current, small)
             current.collect()
+
+
+def test_near_stage_links_by_similarity(stages):
+    """Five-word shingles with a Jaccard similarity of 0.8 or more, whatever their fingerprints."""
+    before, after = stages["simhash near-dedup"]
+    assert sorted(r.doc_id for r in after.collect()) == similar_brute([(r.doc_id, r.text) for r in before.collect()])
+
+
+def similar_brute(rows):
+    def shingles(t):
+        w = body(t).split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+
+    rows = sorted((i, shingles(t)) for i, t in rows)
+    parent = {i: i for i, _ in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, (i, x) in enumerate(rows):
+        for j, y in rows[:a]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                u, v = find(i), find(j)
+                parent[max(u, v)] = min(u, v)
+    return sorted({find(i) for i in parent})
+
+
+def test_near_stage_keeps_all_links_of_groups(spark, small, docs):
+    """Chains and groups at and around 0.8, short texts, and copies that share a common passage."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(3000)]
+    passage, rows = list(rng.choice(words, 30)), []
+    for _ in range(12):
+        base = list(rng.choice(words, rng.integers(1, 90))) + passage
+        for _ in range(10):
+            edited = list(base)
+            for _ in range(rng.integers(0, 4)):
+                edited[rng.integers(len(edited))] = str(rng.choice(words))
+            rows.append(" ".join(edited))
+    rows += ["", " ", "a b c d e", "a b  c d e", "a b c d", "a b c d e f"]
+    rows = [(k, t) for k, t in enumerate(rows)]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema).repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, small).collect())
+    assert got == similar_brute(rows)
+    assert 20 < len(got) < len(rows)
