@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the ASCII controls 09-0D;
@@ -18,14 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as a URI without a slash at its end.
 
     It is the session's ``spark.checkpoint.dir``. Only a local session without
-    that setting (tests) gets a folder of its own.
+    that setting uses its warehouse's folder.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cuts"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -60,6 +61,44 @@ def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Bits of the filter of rows to drop.
+GONE_BITS = 1 << 26
+
+
+def without_rows(df: DataFrame, keys: list[Column], gone: DataFrame, bits: int = GONE_BITS) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose keys are not a row of ``gone``.
+
+    Nulls equal each other. ``gone`` has one column per key, in order, and no
+    repeats. A filter of fixed size over it parts the rows: most that stay aren't
+    in it and keep their place, the others are compared with ``gone`` itself. A
+    filter that gets full only sends more rows to that join.
+    """
+    spark = df.sparkSession
+    names = [f"gone_{k}" for k in range(len(keys))]
+    gone = cut(gone.toDF(*names), "gone")
+    slot = F.xxhash64(*names).bitwiseAND(F.lit(bits - 1))
+    # At most bits / 64 rows.
+    found = gone.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("word")).toArrow()
+    held = np.zeros(bits >> 6, np.int64)
+    held[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    if not held.any():
+        return df
+    shared = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def listed(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        return pd.Series((shared.value.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    columns = df.columns
+    keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), *(k.alias(f"own_{j}") for j, k in enumerate(keys)))
+    own = [f"own_{j}" for j in range(len(keys))]
+    marked = keyed.withColumn("listed", listed(F.xxhash64(*own)))
+    same = [F.col(o).eqNullSafe(F.col(g)) for o, g in zip(own, names, strict=True)]
+    left = marked.where(~F.col("listed")).unionByName(marked.where("listed").join(gone, same, "left_anti"))
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
+
+
 def id_bucket(column: str, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``; null ids get null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LOWER, UPPER, cut, cut_at, ids_and_texts, remove
+from paperloom.llm.common import LOWER, UPPER, cut, cut_at, ids_and_texts, remove, without_rows
 
 #: Primes below 2**31; bytes times residues summed over a chunk stay below 2**53.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -110,16 +110,12 @@ def _filter_of(groups: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of fixed size over the keys of ``groups``, built as partial filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: set[int] = set()
+        own = np.zeros(bits >> 6, np.uint64)
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                marks.update(_slots(key, bits))
-        by_word: dict[int, int] = {}
-        for m in marks:
-            by_word[m >> 6] = by_word.get(m >> 6, 0) | 1 << (m & 63)
-        slots = list(by_word)
-        words = np.array([by_word[s] for s in slots], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(words, pa.int64())], ["slot", "word"])
+            slots = np.array([m for key in batch.column(0).to_pylist() for m in _slots(key, bits)], np.uint64)
+            np.bitwise_or.at(own, slots >> np.uint64(6), np.uint64(1) << (slots & np.uint64(63)))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at].view(np.int64))], ["slot", "word"])
 
     out = np.zeros(bits >> 6, np.uint64)
     parts = groups.select("fp").mapInArrow(run, "slot int, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
@@ -211,15 +207,18 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``df``, all columns unchanged, that stay: one of each group of equal texts.
 
     Dropped rows are found by id and text digest, so another row with the same id
-    is safe. Of rows repeated with the same id and text one stays.
+    is safe. Of rows repeated with the same id and text one stays. Null texts
+    count as empty; an empty table gives no rows.
     """
     found = cut(exact_dedup(df, id_col, text_col), "exact")
-    names = df.columns
     digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), 256)
-    keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.col(id_col).cast("long").alias("own_id"), digest.alias("own_digest"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")).distinct()
-    left = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_digest") == F.col("gone_digest")), "left_anti")
-    kept = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not kept.isEmpty():
-        left = left.dropDuplicates(["own_id", "own_digest"])
-    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    keys = [F.col(id_col).cast("long"), digest]
+    left = without_rows(df, keys, found.where("NOT kept").select("doc_id", "text_sha256").distinct())
+    again = cut(found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_sha256"), "repeated")
+    if again.isEmpty():
+        return left
+    # Rows repeated with the same id and text: only they are brought together.
+    names = left.columns
+    keyed = left.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), *(k.alias(f"own_{j}") for j, k in enumerate(keys)))
+    one = keyed.join(again, F.col("own_0").eqNullSafe(F.col("doc_id")) & (F.col("own_1") == F.col("text_sha256")), "left_semi").dropDuplicates(["own_0", "own_1"])
+    return without_rows(left, keys, again).unionByName(one.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names))))

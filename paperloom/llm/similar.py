@@ -1,33 +1,39 @@
-"""Near copies by the exact Jaccard similarity of word shingles, without a lost pair.
+"""SimHash near-deduplication at a Jaccard similarity: fingerprints first, then what they can't reach.
 
 A text is the set of its ``SHINGLE``-word shingles; two texts link if their sets
-have a Jaccard similarity of ``OVER``/``UNDER`` or more. All orders of shingles
-give a complete search: of two linked sets, the first ``prefix`` shingles of each
-share one. Rare shingles go first, by a table of counts of fixed size, which
-decides about the load and never about results.
-
-Prefix shingles deal texts into buckets; only shared ones go on. In a bucket, a
-pair is dropped by bounds that hold for every linked pair: sizes, and the parities
-of shingles in ``BITS`` cells, whose differences are at most the sets' own. What
-is left is compared shingle by shingle. First each bucket offers the pairs with
-one of its members, and what they link becomes one component; then it offers
-those pairs whose components still differ, so a large group of near copies
-never gives all its pairs.
+have a Jaccard similarity of ``OVER``/``UNDER`` or more. Fingerprints of two such
+sets differ in some ten of 64 bits, in single cases in twice as many, and no index
+over fingerprints prunes at that distance. So three steps offer pairs, each of
+which is compared shingle by shingle, and a step leaves out pairs whose texts
+belong together already:
+
+1. the Gray-order index over the fingerprints of the sets, within ``MAX_BITS``;
+2. of the texts that share a prefix shingle, the pairs with one of them. All orders
+   of shingles give a complete search: of two linked sets, the first ``prefix``
+   shingles of each share one. Rare shingles go first, by a table of counts of
+   fixed size, which decides about the load and never about results;
+3. of those texts, all pairs that aren't in one group yet.
+
+Pairs of 2 and 3 are dropped by bounds that hold for every linked pair: sizes, and
+the parities of shingles in ``BITS`` cells, whose differences are at most the sets'
+own. No linked pair is lost, and a large group of near copies never gives all its
+pairs. A shingle that very many texts share is a key of joins only, which adaptive
+execution splits; no task gathers its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
+from paperloom.llm.common import cut, cut_at, ids_and_texts, remove, without_rows
 from paperloom.llm.graph import components
-from paperloom.llm.simhash import shingle_hashes
+from paperloom.llm.simhash import links, majority, shingle_hashes
 
 SHINGLE = 5
 OVER, UNDER = 4, 5
@@ -62,9 +68,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * shared >= OVER * (len(a) + len(b) - shared)
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """Whether the number of shingles in each cell is odd."""
-    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each cell is odd, as the bits of longs."""
+    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
 
 
 def _cells(shingles: np.ndarray) -> np.ndarray:
@@ -89,102 +95,85 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+MARKS = [f"p{k}" for k in range(BITS // 64)]
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> (doc_id, row int: a hash of the text, node, n, bits, prefix array<long>)."""
+    """(doc_id, text) -> (doc_id, row int: a hash of the text, node, n, fp, the parities, prefix array<long>)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    names = ["doc_id", "row", "node", "n", "fp", *MARKS, "prefix"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            nodes, sizes, bits, firsts = [], [], [], []
-            for text in batch.column(2):
+            nodes, sizes, prints, firsts = [], [], [], []
+            marks = np.empty((batch.num_rows, len(MARKS)), np.int64)
+            for k, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
                 own = shingle_set(words)
                 order = np.lexsort((own, table[_cells(own)]))
                 nodes.append(node_of(words))
                 sizes.append(len(own))
-                bits.append(parities(own))
+                prints.append(majority(own))
+                marks[k] = parities(own)
                 firsts.append(own[order[: prefix(len(own))]].view(np.int64))
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "row", "node", "n", "bits", "prefix"])
+            prints = np.array(prints, np.uint64).view(np.int64)
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints), *(pa.array(np.ascontiguousarray(c)) for c in marks.T), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    return docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(run, "doc_id long, row int, node long, n long, bits binary, prefix array<long>")
+    schema = ", ".join(["doc_id long, row int, node long, n long, fp long", *(f"{m} long" for m in MARKS), "prefix array<long>"])
+    return docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(run, schema)
 
 
-def _by_bucket(df: DataFrame, out: str, rule: Callable[[pa.Table, list[int]], Iterator[list[pa.Array]]]) -> DataFrame:
-    """``rule`` on tables of whole buckets and their edges; the bucket is the first column of ``df``."""
-    names = [f.split()[0] for f in out.split(", ")]
+def _near(a: str, b: str) -> Column:
+    """What holds for the sizes and parities of every linked pair."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in MARKS), F.lit(0))
+    return (OVER * F.greatest(n, m) <= UNDER * F.least(n, m)) & ((UNDER + OVER) * differ <= (UNDER - OVER) * (n + m))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def found() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for result in rule(table, edges):
-                yield pa.RecordBatch.from_arrays(result, names)
+def _pair(a: str, b: str) -> DataFrame:
+    return [F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            # The last bucket may go on in the next batch.
-            stop = int(np.searchsorted(keys, keys[-1], "left"))
-            if stop == 0 and held and held[-1].column(0)[-1].as_py() == keys[-1]:
-                held.append(batch)
-                continue
-            if stop or held:
-                held.append(batch.slice(0, stop))
-                yield from found()
-            held = [batch.slice(stop)]
-        if held:
-            yield from found()
-
-    return df.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, out)
-
-
-def _shared(table: pa.Table, edges: list[int]) -> Iterator[list[pa.Array]]:
-    """Rows of buckets with two nodes or more; each node once."""
-    keys, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
-    again = (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])
-    own = np.concatenate([[True], ~again])
-    keys, nodes = keys[own], nodes[own]
-    same = keys[1:] == keys[:-1]
-    good = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    yield [pa.array(keys[good]), pa.array(nodes[good])]
-
-
-def _pairs(stars: bool) -> Callable:
-    """Pairs of each bucket that pass the bounds and whose roots differ: with one member, or all."""
-
-    def rule(table: pa.Table, edges: list[int]) -> Iterator[list[pa.Array]]:
-        node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
-        left, right, held = [], [], 0
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            m, s, r = node[low:high], n[low:high], root[low:high]
-            names, place, members = np.unique(r, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            bits = np.frombuffer(b"".join(b.as_py() for b in table.column("bits").slice(low, high - low).combine_chunks()), np.uint64).reshape(-1, BITS // 64)
-            # All members but those of the largest component meet all others.
-            todo = np.array([int(abs(int(table.column(0)[low].as_py())) % len(m))]) if stars else np.flatnonzero(place != members.argmax())
-            waits = np.ones(len(m), bool)
-            for k in todo.tolist():
-                waits[k] = False
-                both = s + s[k]
-                near = np.flatnonzero(waits & (r != r[k]) & (OVER * np.maximum(s, s[k]) <= UNDER * np.minimum(s, s[k])))
-                near = near[(UNDER + OVER) * np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64) <= (UNDER - OVER) * both[near]]
-                left.append(np.minimum(m[near], m[k]))
-                right.append(np.maximum(m[near], m[k]))
-                held += len(near)
-                if held > 100_000:
-                    yield [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))]
-                    left, right, held = [], [], 0
-        if held:
-            yield [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))]
-
-    return rule
+
+def by_fingerprint(features: DataFrame) -> DataFrame:
+    """(u, v): nodes with equal fingerprints, and nodes whose fingerprints the Gray index links."""
+    named = cut(features.groupBy("fp").agg(F.min("node").alias("first")), "similar-prints")
+    found = cut(links(named.select("fp")), "similar-near-prints")
+    same = features.join(named.hint("merge"), "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    ends = found.join(named.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(named.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return cut(same.unionByName(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), "similar-by-print")
+
+
+def with_one(buckets: DataFrame) -> DataFrame:
+    """(u, v): of each bucket the pairs with one member that pass the bounds and aren't in one group."""
+    columns = ["node", "n", "root", *MARKS]
+    # Any member will do; a hash keeps one text from standing for most of its buckets.
+    place = F.xxhash64("bucket", "node")
+    ones, path = cut_at(buckets.groupBy("bucket").agg(*(F.min_by(c, place).alias(c) for c in columns)), "similar-ones")
+    pairs = buckets.alias("a").join(ones.hint("merge").alias("b"), "bucket").where(F.col("a.root") != F.col("b.root")).where(_near("a", "b")).select(*_pair("a", "b")).distinct()
+    out = cut(pairs, "similar-stars")
+    remove(buckets.sparkSession, path)
+    return out
+
+
+def all_apart(buckets: DataFrame) -> DataFrame:
+    """(u, v): of each bucket all pairs that pass the bounds and aren't in one group.
+
+    One of the two is outside of the bucket's largest group, so a bucket that is
+    nearly one group gives few.
+    """
+    spark = buckets.sparkSession
+    groups = buckets.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("members"))
+    mixed, path = cut_at(groups.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", "main"), "similar-mixed")
+    rows, rows_path = cut_at(buckets.join(mixed.hint("merge"), "bucket"), "similar-mixed-rows")
+    outside = rows.where("root != main")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    pairs = rows.alias("b").join(outside.hint("merge").alias("a"), "bucket").where((F.col("a.root") != F.col("b.root")) & once).where(_near("a", "b")).select(*_pair("a", "b")).distinct()
+    out = cut(pairs, "similar-rest")
+    for at in (path, rows_path):
+        remove(spark, at)
+    return out
 
 
 def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -230,21 +219,27 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, node) of each row, and (node, root) of each node that has a link."""
     spark = docs.sparkSession
     rows, rows_path = cut_at(prefixes(docs, shingle_counts(docs)), "similar-rows")
-    entries = rows.select(F.explode("prefix").alias("bucket"), "node")
-    shared, shared_path = cut_at(_by_bucket(entries, "bucket long, node long", _shared), "similar-shared")
-    features, features_path = cut_at(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "similar-features")
-    buckets, buckets_path = cut_at(shared.join(features, "node").select("bucket", "node", "n", "bits"), "similar-buckets")
     names = cut(rows.select("doc_id", "row", "node"), "similar-names")
-    for path in (shared_path, features_path, rows_path):
+    nodes, nodes_path = cut_at(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", *MARKS, "prefix"))), "similar-nodes")
+    remove(spark, rows_path)
+    features = nodes.drop("prefix")
+    entries = nodes.select("node", F.explode("prefix").alias("bucket"))
+    often, often_path = cut_at(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "similar-often")
+    shared, shared_path = cut_at(entries.join(often.hint("merge"), "bucket", "left_semi"), "similar-shared")
+    buckets, buckets_path = cut_at(shared.join(features.drop("fp").hint("merge"), "node"), "similar-buckets")
+    for path in (often_path, shared_path):
+        remove(spark, path)
+
+    found = compared(docs, by_fingerprint(features))
+    for offered in (with_one, all_apart):
+        groups = cut(components(found), "similar-roots")
+        rooted = buckets.join(groups.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held, path = cut_at(rooted, "similar-rooted")
+        found = found.unionByName(compared(docs, offered(held)))
+        remove(spark, path)
+    for path in (nodes_path, buckets_path):
         remove(spark, path)
-    stars = cut(_by_bucket(buckets.withColumn("root", F.col("node")), "u long, v long", _pairs(True)).distinct(), "similar-stars")
-    links = compared(docs, stars)
-    found = cut(components(links), "similar-roots")
-    rooted = buckets.join(found, "node", "left").select("bucket", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
-    rest = cut(_by_bucket(rooted, "u long, v long", _pairs(False)).distinct(), "similar-rest")
-    links = links.unionByName(compared(docs, rest))
-    remove(spark, buckets_path)
-    return names, cut(components(links), "similar-roots")
+    return names, cut(components(found), "similar-roots")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +254,6 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     by_node = cut(names.groupBy("node").agg(F.min(order).alias("best")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-firsts")
     best = cut(by_node.groupBy("root").agg(F.min("best").alias("best")), "similar-best")
-    goes = by_node.select("node", "root").join(best, "root").select("node", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"))
-    gone = names.join(goes, "node").where(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row")))).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
-    columns = df.columns
-    keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.col(id_col).cast("long").alias("own_id"), F.hash(F.col(text_col).cast("string")).alias("own_row"))
-    left = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_row") == F.col("gone_row")), "left_anti")
-    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
+    goes = cut(by_node.select("node", "root").join(best, "root").select("node", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row")), "similar-goes")
+    gone = names.join(goes.hint("merge"), "node").where(~(F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row") == F.col("best_row")))).select("doc_id", "row").distinct()
+    return without_rows(df, [F.col(id_col).cast("long"), F.hash(F.col(text_col).cast("string"))], gone)
