@@ -2,26 +2,30 @@
 
 A document is factored against everything that earlier documents hold. The
 reference is kept as blocks: hash partitions of an index of the corpus' phrases
-of ``WINDOW`` words. Each phrase is filed under its anchor, the smallest hash of
-the shorter word runs inside it, so equal phrases always meet in the same block
-and a document is looked up in every block that could hold a part of it.
+of ``WINDOW`` words, each with the place where it starts first, a document and a
+word position. Each phrase is filed under its anchor, the smallest hash of the
+shorter word runs inside it; equal phrases have equal anchors.
 
 0. Copies. A text equal to that of a smaller id is one factor, the whole text. It
    needs no further lookup and holds nothing that its original doesn't hold.
 1. Anchors. A document sends each of its anchors once (about one in four
-   positions). Anchors of one document only can't give a duplicate and go.
-2. Phrases under the anchors that are left are indexed: the smallest document id
-   of each. These aggregates combine before their shuffle, so a passage that
-   stands in a third of all documents is one row per task.
-3. The parse runs through a document from its start. It opens a factor at the
-   first phrase that an earlier document has and extends it as long as the next
-   phrase has the same source; where the source changes, the phrases that reach
-   across the factor boundary were looked up as well, so nothing that starts in
-   an earlier document is missed. Factors have ``WINDOW`` words or more and are
-   the duplicate spans.
-
-A phrase is compared by two independent hashes, of 64 and 31 bits, next to the
-anchor's.
+   positions) and gets back those that another text has as well; all others
+   can't give a duplicate. This is a join at any size.
+2. Phrases under the anchors that are left are indexed. These aggregates combine
+   before their shuffle, so a passage that stands in a third of all documents is
+   one row per task.
+3. The parse runs greedily through a document from its start. It opens a factor at
+   the first phrase that an earlier document has, with the place of that phrase,
+   and extends it word by word as long as the next phrase starts one word further
+   in the same document: a factor is a run of words that stands at its place.
+   Where that ends, at the factor's boundary, the phrases that reach across it
+   were looked up as well, so nothing that starts in an earlier document is
+   missed. Factors have ``WINDOW`` words or more and are the duplicate spans.
+
+The first place of a phrase is the one that factors follow; a longer match at a
+later place of the same phrase isn't sought, which changes where factors end but
+no word that they cover. A phrase is compared by two independent hashes, of 64 and
+31 bits; the texts of copies by SHA-256.
 """
 
 from __future__ import annotations
@@ -40,9 +44,6 @@ from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
 
 WINDOW = 13
 ANCHOR = 6
-#: Bits of the filter of shared anchors that may be broadcast (16 MB); beyond it a join takes its place.
-FILTER_BITS = 1 << 27
-BITS_PER_ANCHOR = 8
 WORDS_HELD = 200_000
 GROUP_WORDS = 100_000
 
@@ -130,10 +131,11 @@ class Group:
 
 
 def _groups(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[list[tuple], Group]]:
-    """Documents of (keys.., text) batches with a whole window and an id, some ``GROUP_WORDS`` words at a time."""
+    """Documents of (id, keys.., text) batches with a whole window and an id, some ``GROUP_WORDS`` words at a time."""
     keys, documents, size = [], [], 0
     for batch in batches:
-        for *key, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
+        held = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[:-1]]
+        for *key, text in zip(*held, batch.column(batch.num_columns - 1), strict=True):
             words = split(text.as_py())
             if key[0] is None or len(words) < window:
                 continue
@@ -153,91 +155,74 @@ def split(text: str | None) -> list[bytes]:
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id): each anchor of a document once, without null ids."""
+    """(doc_id, key, text) -> (anchor, key): each anchor of a document once, without null ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, group in _groups(batches, window):
             found, owner = group.anchors(), group.owner
             # Neighbouring phrases mostly share their anchor.
             new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]))
-            ids = np.array([k[0] for k in keys], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(ids[owner[new]])], ["anchor", "doc_id"])
+            texts = np.array([k[1] for k in keys], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(texts[owner[new]])], ["anchor", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "anchor long, key long")
 
 
-def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return _mixed(keys) & mask, _mixed(keys ^ _PRIMES[0]) & mask
-
-
-def anchor_filter(shared: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of fixed size over anchors; tasks send only the words they set."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits >> 6, np.uint64)
-        for batch in batches:
-            for slot in _slots(batch.column(0).to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(own, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at].view(np.int64))], ["slot", "word"])
-
-    parts = shared.select("anchor").mapInArrow(run, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[parts.column(0).to_numpy()] = parts.column(1).to_numpy().view(np.uint64)
+def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, anchors): of each text the anchors that another text has as well, where there are any."""
+    spark = docs.sparkSession
+    many = _anchors(docs, window).groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
+    many, path = cut_at(many, "anchors")
+    _release(spark)
+    hits, hits_path = cut_at(_anchors(docs, window).join(many.hint("merge"), "anchor", "left_semi"), "anchor-hits")
+    _release(spark)
+    out = cut(hits.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "text-anchors")
+    for at in (path, hits_path):
+        remove(spark, at)
+    _release(spark)
     return out
 
 
-def _phrase_rows(docs: DataFrame, window: int, held: np.ndarray | None, bits: int) -> DataFrame:
-    """(doc_id, row, anchor, phrase, mark, at) of the phrases whose anchor may be shared."""
-    shared = None if held is None else docs.sparkSession.sparkContext.broadcast(held)
-    names = ["doc_id", "row", "anchor", "phrase", "mark", "at"]
+def _phrase_rows(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, row, phrase, mark, at) of the phrases under ``anchors``.
+
+    ``at`` is the phrase's position, or minus that and one where the document has
+    the phrase before.
+    """
+    names = ["doc_id", "row", "phrase", "mark", "at"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, low = np.uint64(1), np.uint64(63)
         for keys, group in _groups(batches, window):
-            anchor, (phrase, mark) = group.anchors(), group.phrases()
-            if shared is None:
-                keep = np.arange(len(anchor))
-            else:
-                a, b = _slots(anchor, bits)
-                words = shared.value
-                keep = np.flatnonzero((words[a >> np.uint64(6)] >> (a & low)) & (words[b >> np.uint64(6)] >> (b & low)) & one)
-            owner = group.owner[keep]
+            # A shared anchor is in the list of each document that has it.
+            wanted = np.unique(np.concatenate([k[2].values.to_numpy() for k in keys]))
+            keep = np.flatnonzero(np.isin(group.anchors().view(np.int64), wanted, kind="sort"))
+            phrase, mark = (x[keep] for x in group.phrases())
+            owner, at = group.owner[keep], group.at[keep].astype(np.int32)
+            order = np.lexsort((at, phrase, owner))
+            again = order[1:][(phrase[order[1:]] == phrase[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])]
+            at[again] = ~at[again]
             ids, rows = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int32)
-            columns = ids[owner], rows[owner], anchor[keep].view(np.int64), phrase[keep].view(np.int64), mark[keep].astype(np.int32), group.at[keep].astype(np.int32)
+            columns = ids[owner], rows[owner], phrase.view(np.int64), mark.astype(np.int32), at
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row int, anchor long, phrase long, mark int, at int")
+    return docs.select("doc_id", "row", "anchors", "text").mapInArrow(run, "doc_id long, row int, phrase long, mark int, at int")
 
 
-def _filter_size(anchors: int, most: int) -> int | None:
-    """Bits for so many anchors, as a power of two; None where the bound is too small."""
-    bits = 1 << max(10, (anchors * BITS_PER_ANCHOR - 1).bit_length())
-    return bits if bits <= most else None
+def duplicate_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, row, at, source, source_at): phrases that also start in a document with a smaller id.
 
-
-def duplicate_phrases(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, row, at, source): phrases that also start in a document with a smaller id.
-
-    source is the smallest id of a document that has the phrase.
+    source is the smallest id of a document that has the phrase, source_at the
+    phrase's first position there.
     """
     spark = docs.sparkSession
-    grouped = _anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared, anchors_at = cut_at(grouped.where("first < last").select("anchor"), "anchors")
-    bits = _filter_size(shared.count(), filter_bits)
-    _release(spark)
-    if bits:
-        rows = _phrase_rows(docs, window, anchor_filter(shared, bits), bits).drop("anchor")
-    else:
-        rows = _phrase_rows(docs, window, None, 0).join(shared, "anchor", "left_semi").drop("anchor")
-    rows, rows_at = cut_at(rows, "phrases")
+    rows, rows_at = cut_at(_phrase_rows(docs, window), "phrases")
     _release(spark)
-    index = rows.groupBy("phrase", "mark").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("phrase", "mark", "source")
-    index, index_at = cut_at(index, "phrase-index")
+    first = rows.where("at >= 0").groupBy("phrase", "mark").agg(F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"), F.max("doc_id").alias("last"))
+    index, index_at = cut_at(first.where("source < last").drop("last"), "phrase-index")
     _release(spark)
-    found = cut(rows.join(index, ["phrase", "mark"]).where("doc_id > source").select("doc_id", "row", "at", "source"), "found-phrases")
-    for path in (anchors_at, rows_at, index_at):
+    place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at")
+    found = cut(rows.join(index.hint("merge"), ["phrase", "mark"]).where("doc_id > source").select("doc_id", "row", place, "source", "source_at"), "found-phrases")
+    for path in (rows_at, index_at):
         remove(spark, path)
     _release(spark)
     return found
@@ -249,60 +234,65 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def factors(found: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy parse of sorted (position, source) phrases -> (start, length in words, source)."""
-    out: list[tuple[int, int, int]] = []
-    last = None
-    for at, source in found:
-        if last is not None and at == last + 1 and out[-1][2] == source:
-            start, length, _ = out[-1]
-            out[-1] = (start, length + 1, source)
+def factors(found: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy parse of sorted (position, source, position there) phrases -> (start, length in words, source, position there)."""
+    out: list[tuple[int, int, int, int]] = []
+    follows = None
+    for at, source, place in found:
+        if (at, source, place) == follows:
+            start, length, _, first = out[-1]
+            out[-1] = (start, length + 1, source, first)
         else:
-            out.append((at, window, source))
-        last = at
+            out.append((at, window, source, place))
+        follows = (at + 1, source, place + 1)
     return out
 
 
-def kept_mask(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+def kept_mask(n: int, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    for start, length, _ in spans:
+    for start, length, *_ in spans:
         edge[start] += 1
         edge[start + length] -= 1
     return np.cumsum(edge[:n]) == 0
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """Adds copy_of: the smallest id of a row with the same text, where that is smaller than the row's own."""
-    keyed = docs.withColumn("body", F.sha2("text", 256))
-    groups = keyed.where("body IS NOT NULL").groupBy("body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("body", "first")
+def with_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Adds copy_of, the smallest id of a row with the same text, where that is smaller than the row's own, and the text's shared anchors."""
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    same = keyed.where("text IS NOT NULL").select("doc_id", "key", F.sha2("text", 256).alias("body"))
+    groups = same.groupBy("key", "body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Different texts with one key are next to impossible; they only share a row here.
+    copies = groups.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("body", "first"))).alias("firsts"))
     # Written first: a join with an aggregate inside its stage can't have its hot keys split.
-    # The hint keeps the plan the same at every size: a small table of copies isn't broadcast.
-    groups = cut(groups, "copies")
-    return keyed.join(groups.hint("merge"), "body", "left").withColumn("copy_of", F.when(F.col("doc_id") > F.col("first"), F.col("first"))).drop("body", "first")
+    # The hint keeps the plan the same at every size: a small table isn't broadcast.
+    known = cut(shared_anchors(keyed, window).join(copies, "key", "full_outer"), "copies")
+    first = F.col("firsts")[F.sha2("text", 256)]
+    return keyed.join(known.hint("merge"), "key", "left").withColumn("copy_of", F.when(F.col("doc_id") > first, first)).drop("key", "firsts")
 
 
-def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, copy_of, found (array of at and source) and the columns in ``carry`` of each row."""
+def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, copy_of, found (array of at, source, source_at) and the columns in ``carry`` of each row."""
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(carry)))
     # Rows repeated with one id are told apart by a hash of their text.
-    docs = cut(with_copies(own.withColumn("row", F.hash("text"))), "marked")
+    docs = cut(with_copies(own.withColumn("row", F.hash("text")), window), "marked")
     _release(df.sparkSession)
-    found = duplicate_phrases(docs.where("copy_of IS NULL"), window, filter_bits)
-    spans = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "source")).alias("found"))
-    return docs.join(spans, ["doc_id", "row"], "left")
+    found = duplicate_phrases(docs.where("copy_of IS NULL AND anchors IS NOT NULL"), window)
+    spans = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "source", "source_at")).alias("found"))
+    return docs.drop("anchors").join(spans, ["doc_id", "row"], "left")
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Remove every word inside a window of words that also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256, n_factors, spans for every
-    row. spans are (start, length, source) in words. Null texts have no words.
+    row. spans are (start, length, source, source_start) in words: those words stand
+    in a text with the id source from source_start on. Null texts have no words.
     A row with a null id keeps all its words and is no source, as no id is
     smaller or larger than it. Rows repeated with the same id don't remove each
     other's words. An empty table gives no rows.
     """
-    joined = parsed(df, id_col, text_col, window, filter_bits).select("doc_id", "text", "copy_of", "found")
-    span = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())])
+    joined = parsed(df, id_col, text_col, window).select("doc_id", "text", "copy_of", "found")
+    span = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,29 +308,31 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 words_n.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                spans.append([{"start": s, "length": n, "source": d} for s, n, d in own])
+                spans.append([{"start": s, "length": n, "source": d, "source_start": p} for s, n, d, p in own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(span))],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "spans"],
             )
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, spans array<struct<start:int,length:int,source:long>>")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, spans array<struct<start:int,length:int,source:long,source_start:int>>")
 
 
-def _spans(n: int, copy_of: int | None, found: list[dict] | None, window: int) -> list[tuple[int, int, int]]:
+def _spans(n: int, copy_of: int | None, found: list[dict] | None, window: int) -> list[tuple[int, int, int, int]]:
     if copy_of is not None:
-        return [(0, n, copy_of)] if n >= window else []
-    return factors(sorted({(f["at"], f["source"]) for f in found}), window) if found else []
+        return [(0, n, copy_of, 0)] if n >= window else []
+    return factors(sorted({(f["at"], f["source"], f["source_at"]) for f in found}), window) if found else []
 
 
-def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of ``df``, with the duplicate words cut out of the text.
 
     The white space after a removed run goes with it; what is kept of the text is
-    otherwise unchanged, and rows without a duplicate pass as they are.
+    otherwise unchanged, and rows without a duplicate pass as they are. Null texts,
+    null ids and repeated rows are as in ``substring_dedup``; an empty table gives
+    no rows.
     """
     others = tuple(c for c in df.columns if c not in (id_col, text_col))
-    joined = parsed(df, id_col, text_col, window, filter_bits, others)
+    joined = parsed(df, id_col, text_col, window, others)
     flat = joined.select("doc_id", "text", "copy_of", "found", *(f"kept_{k}" for k in range(len(others))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +351,7 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return flat.mapInArrow(run, schema).select(*(F.col(new[c]).alias(c) for c in df.columns))
 
 
-def cut_out(text: str, spans: list[tuple[int, int, int]]) -> str:
+def cut_out(text: str, spans: list[tuple[int, int, int, int]]) -> str:
     """The text without the words of the spans and the white space after them."""
     data = text.encode("utf-8", "surrogatepass")
     places, at = [], 0

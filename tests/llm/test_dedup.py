@@ -128,35 +128,91 @@ def test_without_near_copies(docs, edge):
         assert components <= {r.doc_id for r in left.collect()} | {None}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32), st.integers(2, 400))
-def test_gray_index_finds_all(seed, n):
-    """Every member within the distance is found, in buckets that hold close groups."""
-    rng = np.random.default_rng(seed)
-    base = rng.integers(0, 2**63, max(1, n // 20), dtype=np.uint64)
-    flips = np.zeros(n, np.uint64)
-    for _ in range(3):
-        flips ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
-    values = np.unique(base[rng.integers(0, len(base), n)] ^ flips)
-    index = simhash.GrayIndex(values, fanout=4)
-    for k in range(0, len(values), 7):
-        want = np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 4)
-        assert sorted(index.near(values[k], 4).tolist()) == want.tolist()
-    # The forest joins exactly what the links join.
-    parent = list(range(len(values)))
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_near_across_blocks(docs, rows, block):
+    """Small blocks: most links cross them."""
+    assert as_counter(simhash.near_dedup(docs, block=block), *NEAR) == near_brute(rows)
+
+
+def test_near_puts_small_parts_together(spark, docs, rows):
+    """The session may deal out more parts than asked for."""
+    prints = simhash.fingerprints(docs).select("fp").distinct()
+    values = np.array([r.fp for r in prints.collect()], np.int64).view(np.uint64)
+    assert simhash._blocks([(k, 10, -1, -1) for k in range(7)], 20) == [([0, 1, 2], -1, -1), ([3, 4, 5], -1, -1), ([6], -1, -1)]
+    for block in (60, 400):
+        pairs = [(r.u, r.v) for r in simhash.links(prints, block=block).collect()]
+        assert all((u ^ v).bit_count() <= 64 for u, v in pairs)
+        assert joined(values, pairs) == joined(values, [(int(np.int64(a)), int(np.int64(b))) for a, b in all_links(values)])
+
+
+def all_links(values):
+    near = np.triu(np.bitwise_count(values[:, None] ^ values) <= 4, 1)
+    signed = values.view(np.int64)
+    return [(signed[a], signed[b]) for a, b in zip(*np.nonzero(near), strict=True)]
+
+
+def joined(values, pairs):
+    """The sets that pairs join, as a set of frozen sets."""
+    parent = {int(v): int(v) for v in values.view(np.int64)}
 
     def find(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    edges = simhash.bucket_links(values)
-    for a, b in edges:
-        assert find(a) != find(b)
-        parent[find(a)] = find(b)
-    for a in range(len(values)):
-        for b in np.flatnonzero(np.bitwise_count(values ^ values[a]) <= 4):
-            assert find(a) == find(int(b))
+    for a, b in pairs:
+        parent[find(int(a))] = find(int(b))
+    out = defaultdict(set)
+    for k in parent:
+        out[find(k)].add(k)
+    return {frozenset(x) for x in out.values()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 400), st.integers(2, 9))
+def test_gray_index_finds_all(seed, n, fanout):
+    """Every pair within the distance is found, inside an index and between two, and the forest joins what they join."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, max(1, n // 20), dtype=np.uint64)
+    flips = np.zeros(n, np.uint64)
+    for _ in range(3):
+        flips ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    values = np.unique(base[rng.integers(0, len(base), n)] ^ flips)
+    index = simhash.GrayIndex(values, fanout=fanout)
+    got = [(index.values[a], index.values[b]) for i, j in index.near(index, 4) for a, b in zip(i, j, strict=True)]
+    want = {frozenset((int(a), int(b))) for a, b in zip(*(values[x] for x in np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values) <= 4, 1))), strict=True)}
+    assert len(got) == len(want) and {frozenset(map(int, p)) for p in got} == want
+    cut = int(rng.integers(0, len(values) + 1))
+    left, right = simhash.GrayIndex(values[:cut], fanout=fanout), simhash.GrayIndex(values[cut:], np.arange(cut, len(values)), fanout)
+    if cut and cut < len(values):
+        across = {frozenset((int(left.values[a]), int(right.values[b]))) for i, j in left.near(right, 4) for a, b in zip(i, j, strict=True)}
+        assert across == {p for p in want if len(p & set(map(int, values[:cut]))) == 1}
+    signed = lambda u, v: list(zip(u.view(np.int64), v.view(np.int64), strict=True))
+    links = signed(*simhash.forest(index, index))
+    assert joined(values, links) == joined(values, all_links(values))
+    assert len(values) - len(joined(values, links)) == len(links)  # a forest: no link too many
+
+
+def test_gray_index_prunes_groups():
+    """Of random fingerprints the index looks at few pairs, and in a dense group it stops comparing."""
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
+    index = simhash.GrayIndex(values)
+    assert sum(len(i) for i, _ in index.near(index, 4)) == 0
+    assert index.visited < 0.5 * len(values) ** 2 / 2
+    bits = np.uint64(1) << rng.integers(0, 64, (6000, 2)).astype(np.uint64)
+    dense = simhash.GrayIndex(np.unique(values[0] ^ bits[:, 0] ^ bits[:, 1]))
+    u, _ = simhash.forest(dense, dense)
+    assert len(u) == len(dense.values) - 1 and dense.visited < len(dense.values) ** 2 / 2
+
+
+def test_rank_column_equals_numpy(spark):
+    values = np.random.default_rng(0).integers(-(2**63), 2**63, 300)
+    df = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    from pyspark.sql import functions as F
+
+    got = [r.fp for r in df.orderBy(simhash.rank_column(F.col("fp"))).collect()]
+    assert got == values[np.argsort(simhash.gray_rank(values.view(np.uint64)))].tolist()
 
 
 def test_gray_neighbours_differ_by_one_bit():
@@ -197,10 +253,37 @@ def substring_brute(rows, window=13):
 SUB = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@pytest.mark.parametrize("filter_bits", [substring.FILTER_BITS, 1])
-def test_substring_equals_brute_force(edge, filter_bits):
-    """With a filter bound of one bit the join takes the filter's place."""
-    assert as_counter(substring.substring_dedup(edge, filter_bits=filter_bits), *SUB) == substring_brute([(r.doc_id, r.text) for r in edge.collect()])
+def test_substring_equals_brute_force(edge):
+    assert as_counter(substring.substring_dedup(edge), *SUB) == substring_brute([(r.doc_id, r.text) for r in edge.collect()])
+
+
+def check_factors(rows, got):
+    """Each factor's words stand at its place in its source, and the next word doesn't follow both if a factor could go on."""
+    words = defaultdict(list)
+    for i, t in rows:
+        words[i].append((t or "").encode().split())
+    seen = 0
+    for r in got:
+        for s in r.spans:
+            own = [w[s.start : s.start + s.length] for w in words[r.doc_id]]
+            place = [w[s.source_start : s.source_start + s.length] for w in words[s.source]]
+            assert s.source < r.doc_id and s.length >= 13
+            assert any(len(a) == s.length and a in place for a in own), (r.doc_id, s)
+            seen += 1
+    return seen
+
+
+def test_factors_stand_in_their_sources(docs, rows, edge):
+    assert check_factors(rows, substring.substring_dedup(docs).collect()) > 50
+    assert check_factors([(r.doc_id, r.text) for r in edge.collect()], substring.substring_dedup(edge).collect()) > 3
+
+
+def test_factor_ends_where_its_source_does(spark):
+    """w1..w14 stands nowhere in document 1 as a whole, so it takes two factors."""
+    w = [f"w{k}" for k in range(1, 15)]
+    rows = [(1, " ".join([*w[:13], "zz", *w[1:]])), (2, " ".join(w)), (3, " ".join([*w[:13], "zz", *w[1:], "end"]))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 13, 1, 0), (1, 13, 1, 14)], 3: [(0, 27, 1, 0)]}
 
 
 def test_substring_on_documents(docs, rows):
@@ -223,12 +306,12 @@ def test_anchors_depend_on_the_phrase_alone(symbols, shift):
 
 
 def test_factors_break_where_the_source_changes():
-    assert substring.factors([(0, 1), (1, 1), (2, 7), (9, 7)]) == [(0, 14, 1), (2, 13, 7), (9, 13, 7)]
+    assert substring.factors([(0, 1, 5), (1, 1, 6), (2, 7, 7), (9, 7, 8), (10, 7, 30)]) == [(0, 14, 1, 5), (2, 13, 7, 7), (9, 13, 7, 8), (10, 13, 7, 30)]
 
 
 def test_cut_out_keeps_other_text():
-    assert substring.cut_out(" a  b\nc d ", [(1, 2, 0)]) == " a  d "
-    assert substring.cut_out("a b", [(0, 2, 0)]) == ""
+    assert substring.cut_out(" a  b\nc d ", [(1, 2, 0, 0)]) == " a  d "
+    assert substring.cut_out("a b", [(0, 2, 0, 0)]) == ""
 
 
 def test_without_duplicates_keeps_rows_and_columns(docs):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from paperloom.llm import quality, simhash
+from paperloom.llm import quality
 
 
 @pytest.fixture(scope="module")
@@ -49,24 +49,6 @@ def test_exact_stage(stages):
     assert sorted(r.doc_id for r in after.collect()) == sorted(best.values())
 
 
-def test_near_stage(stages):
-    before, after = stages["simhash near-dedup"]
-    rows = sorted((r.doc_id, simhash.simhash(r.text)) for r in before.collect())
-    parent = {i: i for i, _ in rows}
-
-    def find(k):
-        while parent[k] != k:
-            k = parent[k]
-        return k
-
-    for a, (i, x) in enumerate(rows):
-        for j, y in rows[:a]:
-            if (x ^ y).bit_count() <= 4:
-                u, v = find(i), find(j)
-                parent[max(u, v)] = min(u, v)
-    assert sorted(r.doc_id for r in after.collect()) == sorted({find(i) for i, _ in rows})
-
-
 def test_substring_stage(stages):
     before, after = stages["substring dedup"]
     rows = sorted((r.doc_id, (r.text or "").encode().split()) for r in before.collect())
