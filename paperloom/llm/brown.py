@@ -2,17 +2,19 @@
 
 ``log P(text) = sum over tokens of log P(class | class before) + log P(word | class)``.
 
-Counts come from all training texts: word counts, and bigram counts of symbols.
-A symbol is one of the ``CLUSTERED`` most frequent words, an ending class (a hash
-of a word's last bytes, for all other words), or the end of a text. Exchange
-clustering moves each frequent word to the class that raises the likelihood of
-the class bigrams most, sweep after sweep; its table has a fixed size whatever
-the corpus has. Ending classes need no lookup, so the class sequence of a text is
-known where the text is.
-
-Word counts are looked up in two ways: the ``HEAD`` most frequent words in a
-broadcast table of proven size, all others by a shuffled join of (row, word)
-pairs with the whole count table. Nothing is left out at any size.
+1. All words of the training texts are counted. The most frequent ones that make up
+   ``COVERAGE`` of the tokens are clustered: exchange clustering moves each to the
+   class that raises the likelihood of the class bigrams most, sweep after sweep.
+2. Every other word goes to the class under which its own neighbours, in all its
+   occurrences, are likeliest. Its neighbours are gathered per task and summed word
+   by word in one sorted stream, so no word's occurrences are ever held.
+3. With all words in classes, the texts become class lines; class bigrams are
+   counted on those of the training texts, and all are scored.
+
+Words and classes are looked up in two ways: the ``HEAD`` most frequent words in a
+broadcast table of proven size, all others by a shuffled join of (row, word) pairs
+with the whole table. Nothing is left out at any size. A word that was never seen
+counts for the class that has the most words seen once.
 """
 
 from __future__ import annotations
@@ -23,23 +25,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, id_bucket, ids_and_texts
+from paperloom.llm.common import cut, cut_at, id_bucket, ids_and_texts, remove
 
 FOLDS, HELD_OUT = 7, 2
-CLUSTERED = 1000
-CLASSES = 48
-ENDINGS = 64
+#: Share of the training tokens whose words are clustered by exchange; a few thousand words in any language.
+COVERAGE = 0.5
+#: Classes of words, 250 at most; the end of a text is a class of its own.
+CLASSES = 64
 HEAD = 200_000
 SWEEPS = 4
 #: Added to each class bigram.
 SMOOTHING = 0.1
-#: Distinct words that a counting task holds before it sends what it has.
-HELD_WORDS = 400_000
+#: Distinct words, and occurrences, that a counting task holds before it sends what it has.
+HELD_WORDS, HELD_TOKENS = 400_000, 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -47,13 +49,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def ending(word: bytes, endings: int = ENDINGS) -> int:
-    """A word's ending class: a hash of its last three bytes and of whether it is short."""
-    return xxhash.xxh32_intdigest(word[-3:] + (b"s" if len(word) < 6 else b"l")) % endings
-
-
-def word_counts(docs: DataFrame, endings: int = ENDINGS) -> DataFrame:
-    """(word binary, ending int, n long) over all texts; counted per task, then summed."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word binary, n long) over all texts; counted per task, then summed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -66,54 +63,153 @@ def word_counts(docs: DataFrame, endings: int = ENDINGS) -> DataFrame:
         yield out(held)
 
     def out(held: Counter) -> pa.RecordBatch:
-        words = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([ending(w, endings) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "ending", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Symbols(dict):
-    """word -> symbol: its rank if it is clustered, else the symbol of its ending; a bounded cache."""
+def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """Counts of the most frequent words, ``most`` of them or fewer.
+
+    A histogram of counts in eighths of a power of two (some hundred rows at any
+    size) gives the lowest count at which the bound still holds; words are then
+    filtered by it, without a global sort or a task that sees them all.
+    """
+    step = F.floor(F.log2("n") * 8)
+    sizes = dict(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect())
+    low, total = None, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        low = at
+    if low is None:
+        return {}
+    top = counts.where(step >= low).select("word", "n").toArrow()
+    return dict(zip((w.as_py() for w in top.column("word")), top.column("n").to_pylist(), strict=True))
 
-    def __init__(self, ranked: list[bytes], endings: int):
-        super().__init__({w: k for k, w in enumerate(ranked)})
-        self.fixed, self.endings, self.base = len(ranked), endings, len(ranked)
 
-    def __missing__(self, word: bytes) -> int:
-        value = self.base + ending(word, self.endings)
-        if len(self) < self.fixed + 200_000:
-            self[word] = value
-        return value
+def clustered_words(held: dict[bytes, int], total: int, coverage: float) -> list[bytes]:
+    """The most frequent words that make up ``coverage`` of ``total`` tokens, or all there are."""
+    ranked = sorted(held, key=lambda w: (-held[w], w))
+    upto = np.cumsum([held[w] for w in ranked])
+    return ranked[: int(np.searchsorted(upto, coverage * total)) + 1]
 
 
-def symbol_bigrams(docs: DataFrame, ranked: list[bytes], endings: int = ENDINGS) -> np.ndarray:
-    """Counts of symbol pairs over all texts, each with the end before it and after it."""
-    size = len(ranked) + endings + 1
+def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
+    """(cell, n, word, codes): counts of symbol pairs, and the neighbours of each word outside ``ranked``.
+
+    A symbol is a word's rank, len(ranked) for any other word, or one more for the
+    end, which stands before and after each text. codes are the symbols before
+    and, plus their number, after each occurrence, as little-endian integers.
+    """
+    size = len(ranked) + 2
+    kind = code_type(size)
+    shared = docs.sparkSession.sparkContext.broadcast(ranked)
+    names = ["cell", "n", "word", "codes"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, total = _Symbols(ranked, endings), np.zeros(size * size, np.int64)
-        end = size - 1
+        known = {w: k for k, w in enumerate(shared.value)}
+        total, end = np.zeros(size * size, np.int64), size - 1
+        others: dict[bytes, int] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             line = [end]
             for text in batch.column(0):
-                line.extend(map(symbols.__getitem__, tokens(text.as_py())))
+                for w in tokens(text.as_py()):
+                    k = known.get(w)
+                    line.append(size + others.setdefault(w, len(others)) if k is None else k)
                 line.append(end)
-                if len(line) > 1_000_000:
-                    total += pairs(line)
-                    line = [end]
-            total += pairs(line)
+            row = np.array(line, np.int64)
+            symbol = np.where(row >= size, size - 2, row)
+            total += np.bincount(symbol[:-1] * size + symbol[1:], minlength=size * size)
+            at = np.flatnonzero(row >= size)
+            found.append((row[at] - size, symbol[at - 1].astype(kind), (symbol[at + 1] + size).astype(kind)))
+            held += len(at)
+            if held >= HELD_TOKENS or len(others) >= HELD_WORDS:
+                yield contexts(others, found)
+                found, held = [], 0
+                others.clear()
+        yield contexts(others, found)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), none, none], names)
+
+    def contexts(others: dict[bytes, int], found: list[tuple]) -> pa.RecordBatch:
+        if not others:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 2, names)
+        own, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(own, kind="stable")
+        codes = np.stack([before[order], after[order]], axis=1).astype(kind)
+        stops = np.cumsum(np.bincount(own, minlength=len(others))) * 2 * codes.itemsize
+        offsets = np.concatenate([[0], stops]).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(others), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(codes.tobytes())])
+        none = pa.nulls(len(others), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(list(others), pa.binary()), data], names)
+
+    return docs.select("text").mapInArrow(run, "cell long, n long, word binary, codes binary")
+
+
+def code_type(size: int) -> str:
+    return "<u2" if 2 * size <= 1 << 16 else "<u4"
+
 
-    def pairs(line: list[int]) -> np.ndarray:
-        row = np.array(line, np.int64)
-        return np.bincount(row[:-1] * size + row[1:], minlength=size * size)
+def assigned_words(found: DataFrame, size: int, gains: np.ndarray) -> DataFrame:
+    """(word, codes) -> (word, n, class): each word once, in the class whose gains over all its codes add up to the most.
 
-    # At most size * size cells, whatever the corpus has.
-    found = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(size, size)
+    ``gains`` has a row per code and a column per class. Each word's pieces follow
+    each other in a partition and are summed as they pass.
+    """
+    kind = code_type(size)
+    shared = found.sparkSession.sparkContext.broadcast(gains)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        last, n, sums = None, 0, None
+        for batch in batches:
+            for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                words = piece.column(0).to_pylist()
+                data = piece.column(1).to_pylist()
+                sizes = np.array([len(d) for d in data]) // np.dtype(kind).itemsize
+                codes = np.frombuffer(b"".join(data), kind)
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                own = _sums(table, codes, starts, sizes)
+                new = np.array([w != v for w, v in zip(words, [last, *words[:-1]], strict=True)])
+                first = np.flatnonzero(new)
+                if last is not None:
+                    until = first[0] if len(first) else len(words)
+                    sums = sums + own[:until].sum(axis=0)
+                    n += int(sizes[:until].sum()) // 2
+                if not len(first):
+                    continue
+                totals, counts = np.add.reduceat(own[first[0] :], first - first[0]), np.add.reduceat(sizes[first[0] :], first - first[0]) // 2
+                names = [words[k] for k in first.tolist()]
+                if last is not None:
+                    yield out([last], np.array([n]), sums[None])
+                if len(names) > 1:
+                    yield out(names[:-1], counts[:-1], totals[:-1])
+                last, n, sums = names[-1], int(counts[-1]), totals[-1]
+        if last is not None:
+            yield out([last], np.array([n]), sums[None])
+
+    def out(words: list[bytes], counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        # Rounded, so that the order of the pieces doesn't decide between equal classes.
+        best = np.round(sums, 3).argmax(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(best, pa.int32())], ["word", "n", "class"])
+
+    return found.select("word", "codes").repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
+
+
+def _sums(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Rows of ``table`` by code, summed for each word, some codes at a time."""
+    out = np.zeros((len(starts), table.shape[1]))
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    for low in range(0, len(codes), step):
+        part, own = table[codes[low : low + step]], owner[low : low + step]
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[at]] += np.add.reduceat(part, at, axis=0)
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -166,116 +262,171 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     return assigned
 
 
+def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> np.ndarray:
+    """log-likelihood that one more neighbour, by code, adds to a word in each class.
+
+    What a word's occurrence adds is log P(class | class before) + log P(class after
+    | class) + log P(word | class); of the last only the class' size depends on the
+    class, and half of it is put on each of the occurrence's two neighbours.
+    """
+    n = int(assigned.max()) + 1
+    table = np.zeros((n, n))
+    np.add.at(table, (assigned[:, None], assigned[None, :]), cells)
+    smooth = table + SMOOTHING
+    chance = np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))
+    share = 0.5 * np.log(table.sum(axis=0)[:classes] + 1)
+    return np.concatenate([chance[assigned][:, :classes] - share, chance[:classes].T[assigned] - share]).astype(np.float32)
+
+
 @dataclass
-class Model:
-    ranked: list[bytes]
-    endings: int
-    classes: np.ndarray  # of each symbol
-    transition: np.ndarray  # log10 P(class | class before)
-    size: np.ndarray  # log10 of each class' emission denominator
-    head: dict[bytes, int]
-    train_tokens: int
-    distinct: int
+class Vocabulary:
+    """What the driver knows of the words, and the table of the words outside of ``head``."""
+
+    head: dict[bytes, tuple[int, int]]  # count, class
+    classes: int
+    unseen: int  # class of words that were never seen
+    mass: np.ndarray  # tokens of each class
+    kinds: np.ndarray  # distinct words of each class
     ends: int
 
+    @property
+    def train_tokens(self) -> int:
+        return int(self.mass.sum()) + self.ends
 
-def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """Counts of the most frequent words, ``most`` of them or fewer.
+    @property
+    def distinct(self) -> int:
+        return int(self.kinds.sum()) + (self.ends > 0)
 
-    A histogram of counts in eighths of a power of two (some hundred rows at any
-    size) gives the lowest count at which the bound still holds; words are then
-    filtered by it, without a global sort or a task that sees them all.
-    """
-    step = F.floor(F.log2("n") * 8)
-    sizes = dict(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect())
-    low, total = None, 0
-    for at in sorted(sizes, reverse=True):
-        total += sizes[at]
-        if total > most:
-            break
-        low = at
-    if low is None:
-        return {}
-    top = counts.where(step >= low).select("word", "n").toArrow()
-    return dict(zip((w.as_py() for w in top.column("word")), top.column("n").to_pylist(), strict=True))
+    def sizes(self) -> np.ndarray:
+        """log10 of each class' emission denominator, the end's last; one class keeps a place for a word never seen."""
+        out = self.mass + self.kinds
+        out[self.unseen] += 1
+        return np.log10(np.concatenate([np.maximum(out, 1), [self.ends + 1]]))
 
 
-def build(counts: DataFrame, docs: DataFrame, ends: int, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD, endings: int = ENDINGS) -> Model:
-    """A model from the count table and the training texts; ``ends`` is their number."""
+def learn(docs: DataFrame, ends: int, coverage: float = COVERAGE, classes: int = CLASSES, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of the training texts, ``ends`` in number, and (word, n, class) of all words outside the clustered ones."""
+    spark = docs.sparkSession
+    counts, counts_path = cut_at(word_counts(docs), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     held = head_words(counts, head)
-    ranked = sorted(held, key=lambda w: (-held[w], w))[:clustered]
-    by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
-    bigrams = symbol_bigrams(docs, ranked, endings)
-    assigned = exchange(bigrams, len(ranked), classes)
-    n = int(assigned.max()) + 1
-    table = np.zeros((n, n))
-    np.add.at(table, (assigned[:, None], assigned[None, :]), bigrams)
-    smooth = table + SMOOTHING
-    transition = np.log10(smooth) - np.log10(smooth.sum(axis=1, keepdims=True))
-    # Tokens and distinct words of each class; clustered words leave their ending class.
-    mass, kinds = np.zeros(n), np.zeros(n)
-    first = len(ranked)
-    for e, total, words in zip(by_ending.column("ending").to_pylist(), by_ending.column("n").to_pylist(), by_ending.column("words").to_pylist(), strict=True):
-        mass[assigned[first + e]] += total
-        kinds[assigned[first + e]] += words
-    for k, w in enumerate(ranked):
-        c, e = assigned[k], assigned[first + ending(w, endings)]
-        mass[c] += held[w]
+    ranked = clustered_words(held, total, coverage)
+    size = len(ranked) + 2
+    found, found_path = cut_at(neighbours(docs, ranked), "word-neighbours")
+    # At most size * size cells, and the clustered words are a few thousand.
+    pairs = found.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(size * size, np.int64)
+    cells[pairs.column("cell").to_numpy()] = pairs.column("n").to_numpy()
+    cells = cells.reshape(size, size)
+    classes = max(1, min(classes, len(ranked)))
+    assigned = exchange(cells, len(ranked), classes) if ranked else np.array([1, 2])
+    others = cut(assigned_words(found.where("word IS NOT NULL"), size, class_gains(cells, assigned, classes)), "word-classes")
+    for path in (found_path, counts_path):
+        remove(spark, path)
+    mass, kinds, once = np.zeros(classes), np.zeros(classes), np.zeros(classes)
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect():
+        mass[r["class"]], kinds[r["class"]], once[r["class"]] = r.n, r.kinds, r.once
+    table = {w: (held[w], int(assigned[k])) for k, w in enumerate(ranked)}
+    for n, c in table.values():
+        mass[c] += n
         kinds[c] += 1
-        mass[e] -= held[w]
-        kinds[e] -= 1
-    mass[assigned[-1]] += ends
-    total = sum(by_ending.column("n").to_pylist())
-    distinct = sum(by_ending.column("words").to_pylist())
-    # A class keeps one place for a word that was never seen; the end's class needs none.
-    size = np.log10(mass + kinds + 1)
-    size[assigned[-1]] = np.log10(ends + 1)
-    return Model(ranked, endings, assigned, transition, size, held, total + ends, distinct + (ends > 0), ends)
-
-
-class Scorer:
-    """Per text: token numbers, the parts of both scores that are known here, and the words to look up."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.symbols = _Symbols(model.ranked, model.endings)
-        self.classes = model.classes
-        self.head = {w: float(np.log10(n + 1)) for w, n in model.head.items()}
-        self.denominator = float(np.log10(model.train_tokens + model.distinct + 1))
-        self.end_count = float(np.log10(model.ends + 1))
-
-    def __call__(self, text: str | None) -> tuple[int, int, float, float, dict[bytes, int]]:
-        """(tokens, known so far, log10 counts so far, score without counts, {word: times} to look up).
-
-        Both scores are sums of log10(count + 1) over the tokens plus what needs
-        no count, so the words to look up add the same amount to either.
-        """
-        words = tokens(text)
-        n = len(words) + 1
-        line = np.empty(n + 1, np.int64)
-        line[0] = line[-1] = len(self.classes) - 1
-        line[1:-1] = np.fromiter(map(self.symbols.__getitem__, words), np.int64, n - 1)
-        own = self.classes[line]
-        model = self.model
-        fixed = float(model.transition[own[:-1], own[1:]].sum() - model.size[own[1:]].sum())
-        get = self.head.get
-        values = [get(w) for w in words]
-        rare: dict[bytes, int] = {}
-        known, counted = int(model.ends > 0), self.end_count
-        if None in values:
-            for w, v in zip(words, values, strict=True):
-                if v is None:
-                    rare[w] = rare.get(w, 0) + 1
-                else:
-                    counted += v
-                    known += 1
-        else:
-            counted += sum(values)
-            known += len(values)
-        return n, known, counted, fixed, rare
-
-
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+    if len(held) > len(ranked):
+        # The words of the head that exchange didn't cluster: fewer than ``head``.
+        least = min(held.values())
+        for part in others.where(F.col("n") >= least).toArrow().to_batches():
+            table.update(zip(part.column(0).to_pylist(), zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True))
+    return Vocabulary(table, classes, int(once.argmax()), mass, kinds, ends), others
+
+
+def class_lines(docs: DataFrame, words: Vocabulary, others: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, known, counted, line): log10 counts + 1 summed, and each token's class as a byte.
+
+    Words outside of the head are looked up by a join of (row, word) pairs; a text
+    gets back one entry for each of its distinct words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        number = TaskContext.get().partitionId() << 33
+        counted_of = {w: float(np.log10(n + 1)) for w, (n, _) in own.head.items()}
+        class_of = {w: c for w, (_, c) in own.head.items()}
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                found = tokens(text.as_py())
+                rare: dict[bytes, int] = {}
+                line = [class_of[w] if w in class_of else 256 + rare.setdefault(w, len(rare)) for w in found]
+                line = np.array(line, np.int32)
+                counted = sum(map(counted_of.__getitem__, (w for w in found if w not in rare) if rare else found), float(np.log10(own.ends + 1)))
+                known = int((line < 256).sum()) + (own.ends > 0)
+                # Bytes alone where all words are known.
+                rows.append((len(line) + 1, known, counted, (line if rare else line.astype(np.uint8)).tobytes(), list(rare)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            numbers = pa.array(range(number, number + len(rows)), pa.int64())
+            number += len(rows)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "counted", "line", "rare"])
+
+    # Written once: the row numbers must be the same on both sides of the join.
+    parts, path = cut_at(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, counted double, line binary, rare array<binary>"), "lm-parts")
+    pairs = parts.where(F.size("rare") > 0).select("row", F.posexplode("rare").alias("k", "word"))
+    looked = pairs.join(others, "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("seen"))
+    rare = parts.where(F.size("rare") > 0).join(looked, "row", "left").select("doc_id", "n_tokens", "known", "counted", "line", F.size("rare").alias("kinds"), "seen")
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            known, counted, lines = [], [], []
+            for k, (n, so_far, line, kinds, seen) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("known", "counted", "line", "kinds")), batch.column("seen"), strict=True)):
+                codes = np.frombuffer(line, np.int32)
+                classes, logs, have = np.full(256 + kinds, own.unseen, np.int64), np.zeros(256 + kinds), np.zeros(256 + kinds, bool)
+                classes[:256] = np.arange(256)
+                if seen.is_valid and len(seen.values):
+                    at = seen.values.field("k").to_numpy() + 256
+                    classes[at], logs[at], have[at] = seen.values.field("class").to_numpy(), np.log10(seen.values.field("n").to_numpy() + 1.0), True
+                times = np.bincount(codes, minlength=len(have))
+                known.append(n + int(times[have].sum()))
+                counted.append(so_far + float((times * logs).sum()))
+                lines.append(classes[codes].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.int64()), pa.array(counted, pa.float64()), pa.array(lines, pa.binary())], ["doc_id", "n_tokens", "known", "counted", "line"])
+
+    schema = "doc_id long, n_tokens long, known long, counted double, line binary"
+    plain = parts.where(F.size("rare") == 0).select("doc_id", "n_tokens", "known", "counted", "line")
+    out = cut(plain.unionByName(rare.mapInArrow(fill, schema)), "lm-lines")
+    remove(docs.sparkSession, path)
+    return out
+
+
+def transitions(lines: DataFrame, classes: int) -> np.ndarray:
+    """log10 P(class | class before) from class lines; the end, the last class, stands around each text."""
+    size = classes + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for line in batch.column(0):
+                row = _ended(line.as_py(), classes)
+                total += np.bincount(row[:-1] * size + row[1:], minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    # At most size * size rows.
+    found = lines.select("line").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * size)
+    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    smooth = table.reshape(size, size) + SMOOTHING
+    return np.log10(smooth) - np.log10(smooth.sum(axis=1, keepdims=True))
+
+
+def _ended(line: bytes, classes: int) -> np.ndarray:
+    """A line's classes with the end before and after it."""
+    out = np.full(len(line) + 2, classes, np.int64)
+    out[1:-1] = np.frombuffer(line, np.uint8)
+    return out
+
+
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
     """Score every whole text, learning from the texts outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
@@ -287,43 +438,28 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", clu
     docs = ids_and_texts(df, id_col, text_col)
     bucket = id_bucket("doc_id", FOLDS)
     learned = docs.where(bucket != HELD_OUT)
-    counts = cut(word_counts(learned), "word-counts")
-    model = build(counts, learned, learned.select("doc_id").count(), clustered, classes, head)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    pair = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+    words, others = learn(learned, learned.select("doc_id").count(), coverage, classes, head)
+    lines = class_lines(docs, words, others)
+    chance, sizes = transitions(lines.where(bucket != HELD_OUT), words.classes), words.sizes()
+    shared = docs.sparkSession.sparkContext.broadcast((chance, sizes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, number = Scorer(shared.value), TaskContext.get().partitionId() << 33
+        chance, sizes = shared.value
         for batch in batches:
-            rows = [score(t.as_py()) for t in batch.column(1)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            rare = [[{"word": w, "times": n} for w, n in found.items()] for found in columns[4]]
-            numbers = pa.array(range(number, number + len(rows)), pa.int64())
-            number += len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [numbers, batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(rare, pa.list_(pair))],
-                ["row", "doc_id", "n_tokens", "known", "counted", "fixed", "rare"],
-            )
-
-    # Written once: the row numbers must be the same on both sides of the join.
-    parts = cut(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, counted double, fixed double, rare array<struct<word:binary,times:long>>"), "lm-parts")
-    pairs = parts.where(F.size("rare") > 0).select("row", F.explode("rare").alias("p")).select("row", "p.word", "p.times")
-    looked = (
-        pairs.join(counts.select("word", "n"), "word")
-        .groupBy("row")
-        .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_counted"))
-    )
-    joined = parts.drop("rare").join(looked, "row", "left")
-    counted = F.col("counted") + F.coalesce("more_counted", F.lit(0.0))
-    base = counted - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.distinct + 1)))
-    score = counted + F.col("fixed")
-    return joined.select(
+            scores = []
+            for counted, line in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                row = _ended(line.as_py(), len(sizes) - 1)
+                scores.append(counted + float(chance[row[:-1], row[1:]].sum() - sizes[row[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "known", "counted", "score"])
+
+    scored = lines.select("doc_id", "n_tokens", "known", "counted", "line").mapInArrow(run, "doc_id long, n_tokens long, known long, counted double, score double")
+    return scored.select(
         "doc_id",
         F.coalesce(bucket == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.col("known").alias("n_known"),
+        F.lit(words.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(words.train_tokens + words.distinct + 1)))).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

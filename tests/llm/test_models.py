@@ -37,7 +37,7 @@ def lm_base(rows):
 @pytest.mark.parametrize("head", [brown.HEAD, 40, 0])
 def test_lm_counts_and_base(edge, head):
     """With a small or empty head table, counts come from the join."""
-    got = brown.lm_scores(edge, clustered=20, classes=4, head=head).collect()
+    got = brown.lm_scores(edge, coverage=0.2, classes=4, head=head).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == lm_base([(r.doc_id, r.text) for r in edge.collect()])
     assert all(r.score < 0 and r.perplexity > 1 for r in got)
 
@@ -50,33 +50,61 @@ def test_lm_on_documents_beats_the_base(docs, rows):
 
 
 def test_lm_head_does_not_change_scores(docs):
-    whole = {r.doc_id: r.score for r in brown.lm_scores(docs, clustered=200).collect()}
-    part = {r.doc_id: r.score for r in brown.lm_scores(docs, clustered=200, head=1500).collect()}
+    whole = {r.doc_id: r.score for r in brown.lm_scores(docs, coverage=0.4).collect()}
+    part = {r.doc_id: r.score for r in brown.lm_scores(docs, coverage=0.4, head=1500).collect()}
     assert whole == pytest.approx(part)
 
 
+def test_lm_score_equals_plain_python(spark, docs, rows):
+    """From the classes of all words, the score of each text is counted again plainly."""
+    table = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 7 != 2")
+    words, others = brown.learn(table, table.count(), 0.4, 16, 300)
+    known = {bytes(r.word): (r.n, r["class"]) for r in others.collect()} | words.head
+    train = [[known[w][1] for w in brown.tokens(t)] for i, t in rows if bucket(i, 7) != 2]
+    n, end = words.classes, words.classes
+    pairs = Counter(p for line in train for p in zip([end, *line], [*line, end], strict=True))
+    before = Counter(p for line in train for p in [end, *line])
+    mass = Counter({c: sum(n for n, k in known.values() if k == c) for c in range(n)})
+    kinds = Counter(c for _, c in known.values())
+    once = Counter(c for w, (k, c) in known.items() if k == 1 and w not in set(words.head) or k == 1)
+    assert words.unseen == max(range(n), key=lambda c: (once[c], -c))
+    got = {r.doc_id: r.score for r in brown.lm_scores(docs, coverage=0.4, classes=16, head=300).collect()}
+    for i, t in rows:
+        line, emitted = [], 0.0
+        for w in brown.tokens(t):
+            k, c = known.get(w, (0, words.unseen))
+            line.append(c)
+            emitted += math.log10((k + 1) / (mass[c] + kinds[c] + (c == words.unseen)))
+        steps = sum(math.log10((pairs[p] + brown.SMOOTHING) / (before[p[0]] + brown.SMOOTHING * (n + 1))) for p in zip([end, *line], [*line, end], strict=True))
+        assert got[i] == pytest.approx(emitted + steps, abs=1e-6)
+
+
 def test_lm_is_a_distribution(spark):
-    """Over all next tokens, seen or one unseen per ending class, probabilities add up to one."""
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b a c", "b a", "c c a b", "a"] * 4)], "doc_id long, text string")
-    counts = brown.word_counts(docs, endings=4)
-    model = brown.build(counts, docs, 16, clustered=2, classes=2, endings=4)
-    held = {bytes(r.word): r.n for r in counts.collect()}
-    before = len(model.classes) - 1
-    mass = 0.0
-    symbols = brown._Symbols(model.ranked, model.endings)
-    for w, n in held.items():
-        c = model.classes[symbols[w]]
-        mass += 10 ** (model.transition[model.classes[before], c] + math.log10(n + 1) - model.size[c])
-    for e in range(4):
-        c = model.classes[len(model.ranked) + e]
-        mass += 10 ** (model.transition[model.classes[before], c] - model.size[c])
-    end = model.classes[-1]
-    mass += 10 ** (model.transition[model.classes[before], end] + math.log10(model.ends + 1) - model.size[end])
-    clustered = {int(model.classes[k]) for k in range(len(model.ranked))}
-    mass += sum(10 ** (model.transition[model.classes[before], c] - model.size[c]) for c in clustered)
+    """Over all next tokens, seen or one unseen, probabilities add up to one."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b a c", "b a", "c c a b", "a", "rare ones here"] * 4)], "doc_id long, text string")
+    words, others = brown.learn(docs, 20, 0.6, 2)
+    chance, sizes = brown.transitions(brown.class_lines(docs, words, others), words.classes), words.sizes()
+    known = {bytes(r.word): (r.n, r["class"]) for r in others.collect()} | words.head
+    assert len(known) == 6
+    mass = sum(10 ** (chance[-1, c] + math.log10(n + 1) - sizes[c]) for n, c in known.values())
+    mass += 10 ** (chance[-1, words.unseen] - sizes[words.unseen])
+    mass += 10 ** (chance[-1, -1] + math.log10(words.ends + 1) - sizes[-1])
     assert mass == pytest.approx(1.0)
 
 
+def test_lm_other_words_join_the_likeliest_class(spark):
+    """Rare words that stand where a clustered kind stands get its class, whatever they look like."""
+    rng = np.random.default_rng(1)
+    nouns, verbs = [f"n{k}" for k in range(9)], [f"v{k}" for k in range(4)]
+    texts = [" ".join(str(rng.choice(c)) for _ in range(20) for c in (nouns, verbs)) for _ in range(60)]
+    texts += [f"n1 {w} n2 v3 n4" for w in ("zzn", "qqn") for _ in range(3)] + [f"v1 {w} v2" for w in ("zzv", "qqv") for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words, others = brown.learn(docs, len(texts), 0.97, 2)
+    found = {bytes(r.word): r["class"] for r in others.collect()} | {w: c for w, (_, c) in words.head.items()}
+    assert len({found[n.encode()] for n in nouns}) == len({found[v.encode()] for v in verbs}) == 1
+    assert found[b"zzn"] == found[b"qqn"] == found[b"v0"] and found[b"zzv"] == found[b"qqv"] == found[b"n0"]
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     bigrams = np.zeros((13, 13), np.int64)
