@@ -32,6 +32,8 @@ MAGIC = b"PLNE"
 TAIL = struct.Struct("<QQQQ4s")
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+#: Documents of a file, on average and at most; small tables have smaller files.
+FILE_DOCUMENTS = 100_000
 
 
 def split_planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -170,10 +172,11 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, id_col: str =
     short row per partition. A file's name carries its task attempt, so a retried
     or speculative task never writes into another's file and only files of
     successful attempts are listed. Null ids come first; rows with the same id
-    are ordered by text. Null and empty texts have only the end id.
+    are ordered by text, repeated rows stand one after the other. Null and empty
+    texts have only the end id. An empty table gives no files.
     """
     docs = ids_and_texts(df, id_col, text_col)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_DOCUMENTS))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
 

@@ -3,7 +3,8 @@
 The vocabulary file is a parameter. Texts are cut where white space follows
 another character; the pre-tokenizer of byte-level BPE always has a boundary
 there, so each unit's ids don't depend on its neighbours and a bounded cache of
-units gives the library's ids for the whole text.
+units gives the library's ids for the whole text. The string of a special token is
+a unit of its own with that token's id, as the library has it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: The library finds these before anything else, the leftmost and then the longest first.
+        self.added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
         self.cache_units = cache_units
         self.lengths: np.ndarray | None = None
@@ -83,16 +86,35 @@ class Encoder:
         """
         out: list[bytes] = []
         group: list[list[str]] = []
+        edges: set[str] = set(self.added)
         size = 0
         for text in texts:
-            group.append(UNIT.findall(text) if text else [])
+            group.append(self._units(text, edges) if text else [])
             size += len(text or "")
             if size >= GROUP_CHARS:
-                out += self._encode(group, end)
+                out += self._encode(group, edges, end)
                 group, size = [], 0
-        return out + self._encode(group, end)
+                edges = set(self.added)
+        return out + self._encode(group, edges, end)
+
+    def _units(self, text: str, edges: set[str]) -> list[str]:
+        """Units of a text; those that may not stand between others, at the ends of a part, go into ``edges``."""
+        parts = self.special.split(text) if any(a in text for a in self.added) else (text,)
+        out: list[str] = []
+        for k, part in enumerate(parts):
+            if k % 2:
+                out.append(part)
+                continue
+            units = UNIT.findall(part)
+            if units:
+                if not units[0][0].isspace():
+                    edges.add(units[0])
+                if units[-1][-1].isspace():
+                    edges.add(units[-1])
+                out += units
+        return out
 
-    def _encode(self, group: list[list[str]], end: bytes) -> list[bytes]:
+    def _encode(self, group: list[list[str]], edges: set[str], end: bytes) -> list[bytes]:
         get = self.cache.get
         rows = [list(map(get, units)) for units in group]
         holes = [[k for k, ids in enumerate(row) if ids is None] for row in rows]
@@ -103,8 +125,7 @@ class Encoder:
             self.cache = short if len(short) <= self.cache_units // 2 else {}
             for units, row in zip(group, rows, strict=True):
                 self.cache.update((u, ids) for u, ids in zip(units, row, strict=True) if ids is not None)
-        odd = {u[0] for u in group if u and not u[0][0].isspace()} | {u[-1] for u in group if u and u[-1][-1].isspace()}
-        self._learn(missing, odd)
+        self._learn(missing, edges)
         learned = self.cache
         for units, row, at in zip(group, rows, holes, strict=True):
             for k in at:
