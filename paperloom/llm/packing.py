@@ -4,7 +4,8 @@ Each sequence has three limits: tokens, segments and loss-bearing tokens. A bin
 is filled by the dot-product heuristic: of the waiting items that fit, take the
 one whose demand vector has the largest dot product with what the bin has left,
 each dimension scaled by its limit. Where cutting is allowed, a bin that no
-whole item fills is topped up with the head of the longest one.
+whole item fills is topped up with the head of the longest one, unless that head
+were shorter than ``HEAD`` tokens.
 
 Partitions pack by themselves, so nothing is shuffled and the only padding is
 in the last sequences of a partition, or where segments or loss run out.
@@ -28,11 +29,16 @@ from paperloom.llm.common import ids_and_texts
 
 @dataclass(frozen=True)
 class Limits:
+    """Of one sequence; the queries take these. Each binds: loss in sequences of one to
+    three pieces, tokens in those of four or more, segments in those of short texts."""
+
     tokens: int = 1024
-    segments: int = 64
-    loss: int = 1024
+    segments: int = 6
+    loss: int = 1020
 
 
+#: Tokens of the shortest head that is cut off to top a sequence up.
+HEAD = 8
 #: Waiting items from which bins are filled; bounds a worker's memory and each choice's cost.
 POOL = 1024
 
@@ -49,12 +55,21 @@ class Packer:
         self.items: list[tuple] = []
         self.sequence = 0
 
-    def add(self, key, start: int, length: int) -> None:
+    def fill(self, key, start: int, stop: int) -> int:
+        """Give sequences of their own to pieces that fill one; returns where the rest starts."""
         top = self.limits.tokens
-        while self.cut and length >= top and self.loss_of(key, start, top) <= self.limits.loss:
-            self.place(key, start, top, self.sequence, 0)
+        while stop - start >= top:
+            take = self._head(key, start, top, self.limits.loss)
+            if not take:
+                raise ValueError("the limit of loss tokens lets no piece through")
+            self.place(key, start, take, self.sequence, 0)
             self.sequence += 1
-            start, length = start + top, length - top
+            start += take
+        return start
+
+    def add(self, key, start: int, length: int) -> None:
+        """Let an item wait for its place; shorter than a sequence if it may be cut."""
+        top = self.limits.tokens
         if not length:
             return
         if not self.cut and (length > top or self.loss_of(key, start, length) > self.limits.loss):
@@ -88,7 +103,7 @@ class Packer:
                 elif self.cut:
                     k = int(np.where(waiting, length, -1).argmax())
                     take = self._head(key_of[k], int(start[k]), int(min(length[k], tokens)), spare)
-                    if not take:
+                    if take < min(HEAD, limits.tokens) and tokens < limits.tokens:
                         break
                     used = self.loss_of(key_of[k], int(start[k]), take)
                 else:
@@ -119,10 +134,11 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, id_col: str = "
     """Encode every text, append the end id and pack all ids; documents may be cut.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. A document's first token bears no loss, as nothing
-    predicts it. Null and empty texts have only the end id. Rows with the same
-    id, and null ids, are documents of their own. An empty table gives no pieces.
-    Sequence ids are unique; their high bits are the partition.
+    sequence_id, offset. A piece's first token bears no loss, as nothing in its
+    sequence predicts it. Null and empty texts have only the end id. Rows with the
+    same id, and null ids, are documents of their own; of pieces that fit alike the
+    one that came first is taken. An empty table gives no pieces. Sequence ids are
+    unique; their high bits are the partition.
     """
     path = vocabulary or bpe.default_vocabulary()
     end = int(end_id).to_bytes(4, "little")
@@ -136,16 +152,14 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, id_col: str = "
             crc = zlib.crc32(memoryview(held)[4 * (start - base) : 4 * (start - base + length)])
             rows.append((doc_id, start, length, crc, tokens, first + sequence, offset))
 
-        packer = Packer(limits, place, lambda doc, start, length: length - (start == 0), cut=True, pool=pool)
+        packer = Packer(limits, place, lambda doc, start, length: length - 1, cut=True, pool=pool)
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end), strict=True):
                 n = len(ids) // 4
-                whole = n // limits.tokens * limits.tokens
-                # Whole sequences leave at once; only the remainder's bytes wait in the pool.
-                if whole:
-                    packer.add((doc_id, n, ids, 0), 0, whole)
-                if n > whole:
-                    packer.add((doc_id, n, ids[4 * whole :], whole), whole, n - whole)
+                # Pieces that fill a sequence leave at once; only the remainder's bytes wait in the pool.
+                at = packer.fill((doc_id, n, ids, 0), 0, n)
+                if n > at:
+                    packer.add((doc_id, n, ids[4 * at :], at), at, n - at)
             if len(rows) >= 10_000:
                 yield _pieces(rows)
                 rows.clear()
@@ -169,7 +183,9 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, li
     Returns example_id, tokens, loss, sequence_id, offset. Null counts are 0 and
     an example without tokens takes no place: its sequence_id and offset are
     null. An example over a limit of an empty sequence also gets nulls, so no row
-    is lost and the caller decides what to do with it.
+    is lost and the caller decides what to do with it. Of examples that fit alike
+    the one that came first is taken; repeated rows are examples of their own. An
+    empty table gives no rows.
     """
     items = df.select(
         F.col(id_col).cast("long").alias("example_id"),
