@@ -1,12 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams of word shapes. A shape keeps what a word
-looks like (case, digits, punctuation runs) and whether it repeats the word
-before it, so the model learns tables, shouting, symbol junk and repetition
-without a vocabulary. Indicators are scaled by the log ratio of their smoothed
-class counts; a linear model with hinge loss is then fitted by dual coordinate
-descent, and a logistic curve on held-back training rows turns its margins into
-scores.
+Features are indicators of three kinds of n-grams: of words (one and two, A-Z
+lower-cased), of bytes (four), and of word shapes (one to four). A shape keeps
+what a word looks like (case, digits, punctuation runs) and whether it repeats the
+word before it, so tables, shouting, symbol junk and repetition are seen whatever
+the vocabulary. Each kind has a range of hashed numbers of its own. Indicators are
+scaled by the log ratio of their smoothed class counts; a linear model with hinge
+loss is then fitted by dual coordinate descent, and a logistic curve on held-back
+training rows turns its margins into scores.
 
 Only the fit uses a bounded sample: ``TRAIN_ROWS`` labelled rows with the
 smallest id hashes. Scoring reads every whole text.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import id_bucket, ids_and_texts, smallest_hashes
 
 TRAIN_ROWS = 8000
-BITS = 16
-ORDER = 4
+#: Feature numbers: half of them for words, a quarter each for bytes and shapes.
+BITS = 18
+#: Length of the n-grams of words, bytes and shapes.
+WORDS, BYTES, ORDER = 2, 4, 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 SHAPES_HELD = 100_000
@@ -42,8 +45,8 @@ class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= SHAPES_HELD:
             self.clear()
-        shape = _RUN.sub(lambda m: m[1] or m[2] * 2, word.translate(_KINDS))[:16]
-        value = self[word] = (_number(word) << 32 | _number(shape)) & 0xFFFFFFFFFFFFFFFF
+        shape = _RUN.sub(lambda m: m[1] or m[2] * 2, word.translate(_KINDS))
+        value = self[word] = _number(word.lower()) << 32 | _number(shape)
         return value
 
 
@@ -57,23 +60,35 @@ _shapes = _Shapes()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(text: str | None, bits: int = BITS, order: int = ORDER) -> np.ndarray:
+def _grams(symbols: np.ndarray, order: int, bits: int) -> Iterator[np.ndarray]:
+    """Hashed numbers of the runs of one to ``order`` symbols, one array per length."""
+    run = np.zeros(len(symbols), np.uint64)
+    for n in range(min(order, len(symbols))):
+        run = run[: len(symbols) - n] * _ODD + symbols[n:] + np.uint64(n + 1)
+        run ^= run >> np.uint64(31)
+        yield ((run * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct feature numbers of a whole text, ascending; a text without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
     if not words:
         return np.empty(0, np.int32)
     both = np.fromiter(map(_shapes.__getitem__, words), np.uint64, len(words))
-    symbol = (both & np.uint64(0xFFFFFFFF)) * np.uint64(2)
-    symbol[1:] += both[1:] == both[:-1]
-    found, run = [], np.zeros(len(words), np.uint64)
-    for n in range(order):
-        if n >= len(words):
-            break
-        run = run[: len(words) - n] * _ODD + symbol[n:] + np.uint64(n + 1)
-        run ^= run >> np.uint64(31)
-        found.append((run * _ODD) >> np.uint64(64 - bits))
+    shape = (both & np.uint64(0xFFFFFFFF)) * np.uint64(2)
+    shape[1:] += both[1:] == both[:-1]
     mark = np.zeros(1 << bits, bool)
-    mark[np.concatenate(found).astype(np.int64)] = True
+    for found in _grams(both >> np.uint64(32), WORDS, bits - 1):
+        mark[found] = True
+    half, quarter = 1 << bits - 1, 1 << bits - 2
+    cells = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)
+    run = cells[: max(len(cells) - BYTES + 1, 0)].copy()
+    for n in range(1, BYTES):
+        run |= cells[n : len(cells) - BYTES + 1 + n] << np.uint32(8 * n)
+    mark[half + ((run * np.uint32(2654435761)) >> np.uint32(34 - bits))] = True
+    for found in _grams(shape, ORDER, bits - 2):
+        mark[half + quarter + found] = True
     return np.flatnonzero(mark).astype(np.int32)
 
 
@@ -92,7 +107,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, penalty: float = 0.1, smoothing: float = 1.0, sweeps: int = 20, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, penalty: float = 1.0, smoothing: float = 1.0, sweeps: int = 20, seed: int = 7) -> Model:
     """Fit on feature lists and 0/1 labels; with one class only, the score is that class' share."""
     labels = np.asarray(labels)
     size = 1 << bits
@@ -180,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
 
     # ``chosen`` has at most ``rows`` short rows, a proven bound.
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, found array<int>").toArrow().sort_by("doc_id")
-    found = [np.array(x.as_py(), np.int64) for x in sample.column("found")]
+    found = [x.values.to_numpy() for x in sample.column("found")]
     return fit(found, sample.column("quality").to_numpy(), bits)
 
 
@@ -212,7 +227,11 @@ def score_column(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_rejects(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, whose predicted quality is 1."""
+    """The rows of ``df``, all columns unchanged, whose predicted quality is 1.
+
+    Null and empty texts have the bias alone; repeated rows stay or go together;
+    without labels all rows stay. An empty table gives no rows.
+    """
     model = train(ids_and_texts(df, id_col, text_col), labels, rows)
     shared = df.sparkSession.sparkContext.broadcast(model)
     names, at = df.columns, df.columns.index(text_col)

@@ -203,6 +203,69 @@ def test_quality_held_out(spark):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
 
 
+def features_brute(text, bits=quality.BITS):
+    """The three kinds of n-grams, one by one."""
+    import xxhash
+
+    words = text.encode().split()
+    odd, whole = 0x9E3779B97F4A7C15, 1 << 64
+
+    def hashed(symbols, order, bits):
+        for start in range(len(symbols)):
+            run = 0
+            for n in range(min(order, len(symbols) - start)):
+                run = (run * odd + symbols[start + n] + n + 1) % whole
+                run ^= run >> 31
+                yield run * odd % whole >> 64 - bits
+
+    half, quarter = 1 << bits - 1, 1 << bits - 2
+    out = set(hashed([xxhash.xxh32_intdigest(w.lower()) for w in words], 2, bits - 1))
+    data = text.encode().lower()
+    for k in range(len(data) - 3) if words else ():
+        out.add(half + (int.from_bytes(data[k : k + 4], "little") * 2654435761 % (1 << 32) >> 34 - bits))
+    shapes = [xxhash.xxh32_intdigest(quality._RUN.sub(lambda m: m[1] or m[2] * 2, w.translate(quality._KINDS))) for w in words]
+    again = [k > 0 and w.lower() == words[k - 1].lower() and shapes[k] == shapes[k - 1] for k, w in enumerate(words)]
+    out |= {half + quarter + x for x in hashed([2 * s + r for s, r in zip(shapes, again, strict=True)], 4, bits - 2)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "The the THE cat. 12 12", "x" * 3, "Éé straße 电压 !!! !!!!", "$$$ " * 40 + "very-long-word-with-a-shape-behind-its-sixteenth-character,9A9"])
+def test_quality_features_equal_brute_force(text):
+    assert quality.features(text).tolist() == features_brute(text)
+
+
+def test_quality_shapes_are_whole():
+    """What differs only behind a shape's sixteenth character is another feature."""
+    a, b = "-a" * 12 + "9", "-a" * 12 + "A"
+    quarter = 3 << quality.BITS - 2
+    assert {x for x in quality.features(a).tolist() if x >= quarter} != {x for x in quality.features(b).tolist() if x >= quarter}
+
+
+def test_quality_scores_equal_the_model(spark, docs, labels):
+    """The query's scores, by a model fitted here on plainly chosen rows."""
+    truth = {}
+    for r in labels.collect():
+        if r.quality in (0, 1):
+            truth[r.doc_id] = min(truth.get(r.doc_id, 1), r.quality)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    used = sorted(i for i in truth if bucket(i, 5) != 0 and i in rows)
+    model = quality.fit([np.array(features_brute(rows[i] or "")) for i in used], np.array([truth[i] for i in used]))
+    for r in quality.quality_scores(docs, labels).collect():
+        assert r.score == pytest.approx(model.score(quality.features(rows[r.doc_id])), abs=1e-9)
+
+
+def test_quality_reads_words(spark):
+    """Random letters in place of clean words lower the scores; clean texts of any words are kept."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    clean = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").limit(150).collect()]
+    rng = np.random.default_rng(5)
+    random = ["".join(chr(97 + rng.integers(26)) if "a" <= c <= "z" else c for c in t) for t in clean]
+    before, after = (np.array([model.score(quality.features(t)) for t in x]) for x in (clean, random))
+    assert np.mean(after < before) > 0.9 and (after >= quality.THRESHOLD).all()
+
+
 def test_quality_never_reads_held_out_labels(docs, labels):
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
