@@ -2,18 +2,25 @@
 
 The model file is compiled into three transducers over characters:
 
-* the normaliser: the dummy prefix, the model's character map (longest match
-  first) and white space written as U+2581;
-* the pieces: a trie with a final weight, minus the piece's score, and the
-  piece's id as output;
-* byte fallback: an arc for a character that no single-character piece covers,
+* the normaliser, itself two in a row: the model's character map, longest match
+  first, as a trie whose states fall back where no arc fits, then the spaces: the
+  dummy prefix, runs of them squeezed, each written as U+2581;
+* the pieces: a trie whose last states have an arc without input back to the start,
+  with minus the piece's score as weight and the piece's id as output;
+* byte fallback: an arc for any character that no single-character piece covers,
   whose output is the ids of its UTF-8 bytes, or the unknown id without them.
 
-An input is composed with them and the path of least weight in the tropical
-semiring (weights add along a path, the smaller of two paths wins) gives the ids.
-Of equal weights the path with fewer arcs wins, then the one whose last arc is
-longer. No piece has U+2581 behind another character, so the composition falls
-apart at such places and the paths of its parts are taken from a bounded cache.
+The last two are united at their start, which closes them over texts. An input is
+composed with the normaliser, whose arcs leave no choice, so the result is one line
+of characters; that is composed with the machine, and the path of least weight in
+the tropical semiring (weights add along a path, the smaller of two paths wins)
+gives the ids. Of equal weights the path with fewer arcs wins, then the one whose
+last arc is longer. No piece has U+2581 behind another character, so the
+composition falls apart at such places and the paths of its parts are taken from a
+bounded cache.
+
+``compose`` and ``shortest`` say this in general terms; ``Transducer.path`` does
+both in one pass over arcs laid out for it, and the tests hold it against them.
 
 The scores of a model trained by merges are merge ranks; the path then is the
 cheapest segmentation under those ranks, which need not be the one that merging
@@ -107,25 +114,6 @@ def read_model(path: str) -> Spec:
     return out
 
 
-class Normaliser:
-    """Transducer from a text to the characters that pieces are written in."""
-
-    def __init__(self, spec: Spec, rules: dict[str, str] | None = None):
-        self.spec = spec
-        self.rules = rules if rules is not None else charsmap_rules(spec.charsmap)
-        self.rewrite = re.compile("|".join(re.escape(k) for k in sorted(self.rules, key=len, reverse=True))) if self.rules else None
-
-    def __call__(self, text: str) -> str:
-        spec = self.spec
-        if self.rewrite:
-            text = self.rewrite.sub(lambda m: self.rules[m[0]], text)
-        if spec.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if spec.dummy_prefix and text:
-            text = " " + text
-        return text.replace(" ", SPACE) if spec.escape else text
-
-
 def charsmap_rules(blob: bytes) -> dict[str, str]:
     """The rewrite rules of a compiled character map: a double-array trie, then texts ended by zero."""
     if not blob:
@@ -148,15 +136,207 @@ def charsmap_rules(blob: bytes) -> dict[str, str]:
     return out
 
 
+#: Label of the arc for every symbol that has no arc of its own in a state.
+OTHER = None
+Arc = tuple[int, float, tuple]  # next state, weight, output
+
+
+@dataclass
+class Fst:
+    """States with arcs by input symbol, arcs without input, and final states; state 0 is the start.
+
+    Where ``falls`` has a state, a symbol without an arc there takes that arc first,
+    without being read.
+    """
+
+    arcs: list[dict[str | None, Arc]] = field(default_factory=lambda: [{}])
+    free: dict[int, Arc] = field(default_factory=dict)
+    final: dict[int, tuple] = field(default_factory=dict)  # output at the end
+    falls: dict[int, Arc] = field(default_factory=dict)
+
+    def state(self) -> int:
+        self.arcs.append({})
+        return len(self.arcs) - 1
+
+    def step(self, state: int, symbol: str) -> Arc | None:
+        """Where a symbol leads, with what falling back puts out before it."""
+        out: tuple = ()
+        while True:
+            arc = self.arcs[state].get(symbol)
+            if arc is None and state in self.falls:
+                state, _, more = self.falls[state]
+                out += more
+                continue
+            if arc is None:
+                arc = self.arcs[state].get(OTHER)
+                if arc is None:
+                    return None
+                return arc[0], arc[1], out + tuple(symbol if o is OTHER else o for o in arc[2])
+            return arc[0], arc[1], out + arc[2]
+
+
+def rewriter(rules: dict[str, str]) -> Fst:
+    """Replaces the longest rule that starts at a place; everything else stays."""
+    out = Fst()
+    pending = {"": 0}
+    for rule in rules:
+        state = 0
+        for k, c in enumerate(rule):
+            if c not in out.arcs[state]:
+                pending[rule[: k + 1]] = out.state()
+                out.arcs[state][c] = pending[rule[: k + 1]], 0.0, ()
+            state = out.arcs[state][c][0]
+    out.arcs[0][OTHER] = 0, 0.0, (OTHER,)
+    # Shorter strings first: falling back leads to states that have their own already.
+    for held, state in sorted(pending.items(), key=lambda x: len(x[0])):
+        if not held:
+            continue
+        size = next((k for k in range(len(held), 0, -1) if held[:k] in rules), 0)
+        done = tuple(rules[held[:size]]) if size else (held[0],)
+        at = 0
+        for c in held[size or 1 :]:
+            at, _, more = out.step(at, c)
+            done += more
+        out.falls[state] = at, 0.0, done
+    for state in pending.values():
+        done: tuple = ()
+        at = state
+        while at in out.falls:
+            at, _, more = out.falls[at]
+            done += more
+        out.final[state] = done
+    return out
+
+
+def spacer(spec: Spec) -> Fst:
+    """Dummy prefix, squeezed spaces, spaces written as U+2581."""
+    space = SPACE if spec.escape else " "
+    before = (space,) if spec.dummy_prefix else ()
+    out = Fst(final={0: (), 1: (), 2: ()})
+    body, gap = out.state(), out.state()
+    out.arcs[0][OTHER] = body, 0.0, (*before, OTHER)
+    out.arcs[body][OTHER] = body, 0.0, (OTHER,)
+    out.arcs[gap][OTHER] = body, 0.0, (space, OTHER)
+    if spec.squeeze:
+        for state, to in ((0, 0), (body, gap), (gap, gap)):
+            out.arcs[state][" "] = to, 0.0, ()
+    else:
+        out.arcs[0][" "] = body, 0.0, (*before, space)
+        out.arcs[body][" "] = body, 0.0, (space,)
+    return out
+
+
+class Normaliser:
+    """Transducer from a text to the characters that pieces are written in."""
+
+    def __init__(self, spec: Spec, rules: dict[str, str] | None = None):
+        rules = rules if rules is not None else charsmap_rules(spec.charsmap)
+        self.machines = [rewriter(rules), spacer(spec)] if rules else [spacer(spec)]
+        last = self.machines[-1]
+        #: In a text's body most models stay in one state: its arcs, to be taken one symbol after the other.
+        self.body = {c: "".join(o) for c, (_, _, o) in last.arcs[1].items() if c is not OTHER} if not rules and all(a[0] == 1 for a in last.arcs[1].values()) else None
+
+    def __call__(self, text: str) -> str:
+        if self.body is not None and text:
+            head, text = "".join(self.machines[0].step(0, text[0])[2]), text[1:]
+            for c, put in self.body.items():
+                text = text.replace(c, put)
+            return head + text
+        for machine in self.machines:
+            text = "".join(line(machine, text))
+        return text
+
+
+def line(machine: Fst, symbols: Iterable[str]) -> list[str]:
+    """Composition of a line of symbols with a machine that leaves no choice: again a line."""
+    state, out = 0, []
+    for c in symbols:
+        state, _, more = machine.step(state, c)
+        out += more
+    return out + list(machine.final[state])
+
+
+def piece_machine(pieces: list[tuple[str, float, int]]) -> Fst:
+    """The trie of (piece, weight, id), closed by arcs back to its start."""
+    out = Fst(final={0: ()})
+    for piece, weight, i in pieces:
+        state = 0
+        for c in piece:
+            if c not in out.arcs[state]:
+                out.arcs[state][c] = out.state(), 0.0, ()
+            state = out.arcs[state][c][0]
+        out.free[state] = 0, weight, (i,)
+    return out
+
+
+def fallback_machine(weight: float) -> Fst:
+    """Any symbol, as it is: ids are put in its place on the way out."""
+    return Fst(arcs=[{OTHER: (0, weight, (OTHER,))}], final={0: ()})
+
+
+def united(pieces: Fst, fallback: Fst) -> tuple[Fst, frozenset]:
+    """Both machines with one start; the fallback is for symbols that no piece of one symbol covers."""
+    covered = frozenset(c for c, (to, _, _) in pieces.arcs[0].items() if to in pieces.free)
+    return Fst([{**pieces.arcs[0], **fallback.arcs[0]}, *pieces.arcs[1:]], pieces.free, pieces.final), covered
+
+
+def compose(symbols: str, machine: Fst, covered: frozenset) -> dict[tuple[int, int], list[tuple[tuple[int, int], float, tuple]]]:
+    """All arcs of the composition of a line with a united machine, by (place, state)."""
+    out: dict = {}
+    todo = [(0, 0)]
+    while todo:
+        here = todo.pop()
+        if here in out:
+            continue
+        place, state = here
+        arcs = out[here] = []
+        if state in machine.free:
+            to, weight, put = machine.free[state]
+            arcs.append(((place, to), weight, put))
+        if place < len(symbols):
+            c = symbols[place]
+            if c in machine.arcs[state]:
+                to, weight, put = machine.arcs[state][c]
+                arcs.append(((place + 1, to), weight, put))
+            if state == 0 and c not in covered:
+                to, weight, _ = machine.arcs[state][OTHER]
+                arcs.append(((place + 1, to), weight, (c,)))
+        todo += [a[0] for a in arcs]
+    return out
+
+
+def shortest(lattice: dict, end: tuple[int, int]) -> tuple[list, float]:
+    """Output and weight of the least path to ``end``; the start is (0, 0).
+
+    Places ascend along arcs, and at one place the arcs without input lead to the start.
+    """
+    best: dict = {(0, 0): (0.0, 0, 0, None, ())}
+    for here in sorted(lattice, key=lambda x: (x[0], x[1] == 0)):
+        if here not in best:
+            continue
+        weight, arcs, opened, _, _ = best[here]
+        opened = opened if here[1] else here[0]  # where the last arc with an output starts
+        for to, more, put in lattice[here]:
+            new = (weight + more, arcs + bool(put), opened, here, put)
+            if to not in best or new[:3] < best[to][:3]:
+                best[to] = new
+    out, at = [], end
+    while at != (0, 0):
+        *_, before, put = best[at]
+        out.append(put)
+        at = before
+    return [o for put in reversed(out) for o in put], best[end][0]
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of one model, and composition with inputs."""
 
     def __init__(self, spec: Spec, held: int = PARTS_HELD):
         self.spec, self.normalise, self.held = spec, Normaliser(spec), held
-        self.start: dict = {}
         self.bytes_of: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
+        own = []
         low = 0.0
         for i, (piece, score, kind) in enumerate(spec.pieces):
             self.bytes_of.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())
@@ -167,15 +347,25 @@ class Transducer:
                 self.unknown = i
                 self.bytes_of[i] = " ⁇ ".encode()
             elif kind in (NORMAL, USER):
-                node = self.start
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (-score if kind == NORMAL else 0.0, i)
+                own.append((piece, -score if kind == NORMAL else 0.0, i))
                 low = min(low, score)
         self.fallback_weight = PENALTY - low
-        self.whole = any(SPACE in p.lstrip(SPACE) for p, _, k in spec.pieces if k in (NORMAL, USER))
+        self.machine, self.covered = united(piece_machine(own), fallback_machine(self.fallback_weight))
+        self.start = self._laid_out()
+        self.whole = any(SPACE in p.lstrip(SPACE) for p, _, _ in own)
         self.parts: dict[str, tuple[bytes, float]] = {}
 
+    def _laid_out(self) -> dict:
+        """The machine's arcs as symbol -> (arcs of the next state, its weight and id back to the start, or none)."""
+        machine = self.machine
+        tables: list[dict] = [{} for _ in machine.arcs]
+        for table, arcs in zip(tables, machine.arcs, strict=True):
+            for c, (to, _, _) in arcs.items():
+                if c is not OTHER:
+                    _, weight, put = machine.free.get(to, (0, None, (None,)))
+                    table[c] = tables[to], weight, put[0]
+        return tables[0]
+
     def fallback(self, char: str) -> list[int]:
         data = char.encode("utf-8", "surrogatepass")
         return [self.byte_ids[b] for b in data] if len(self.byte_ids) == 256 else [self.unknown]
@@ -184,20 +374,19 @@ class Transducer:
         """Ids and weight of the least path through the composition with ``chars``."""
         n = len(chars)
         weight, arcs, back = [0.0] + [float("inf")] * n, [0] * (n + 1), [(0, -1)] * (n + 1)
+        start, covered = self.start, self.covered
         for i in range(n):
-            here, step = weight[i], arcs[i] + 1
-            node, single = self.start, False
+            here, step, table = weight[i], arcs[i] + 1, start
             for j in range(i, n):
-                node = node.get(chars[j])
-                if node is None:
+                arc = table.get(chars[j])
+                if arc is None:
                     break
-                final = node.get("")
-                if final is not None:
-                    total = here + final[0]
+                table, more, piece = arc
+                if more is not None:
+                    total = here + more
                     if total < weight[j + 1] or total == weight[j + 1] and step < arcs[j + 1]:
-                        weight[j + 1], arcs[j + 1], back[j + 1] = total, step, (i, final[1])
-                    single = single or j == i
-            if not single:
+                        weight[j + 1], arcs[j + 1], back[j + 1] = total, step, (i, piece)
+            if chars[i] not in covered:
                 total = here + self.fallback_weight
                 if total < weight[i + 1] or total == weight[i + 1] and step < arcs[i + 1]:
                     weight[i + 1], arcs[i + 1], back[i + 1] = total, step, (i, -1)
@@ -240,7 +429,11 @@ def transducer(path: str) -> Transducer:
 
 
 def encode_texts(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, weight): ids of every whole text; a null text gives null."""
+    """(doc_id, ids array<int>, weight): ids of every whole text; a null text gives null.
+
+    Equal texts give equal ids, so repeated rows and null or repeated ids need no
+    care; an empty text has no ids and an empty table gives no rows.
+    """
     path = model or default_model()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +447,10 @@ def encode_texts(df: DataFrame, model: str | None = None, id_col: str = "doc_id"
 
 
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, model: str | None = None) -> DataFrame:
-    """(doc_id, text): texts of id arrays; null arrays give null."""
+    """(doc_id, text): texts of id arrays; null arrays give null, empty ones an empty text.
+
+    Each row is decoded by itself, repeated ones alike; an empty table gives no rows.
+    """
     from pyspark.sql import functions as F
 
     path = model or default_model()
