@@ -33,7 +33,7 @@ class Limits:
     three pieces, tokens in those of four or more, segments in those of short texts."""
 
     tokens: int = 1024
-    segments: int = 6
+    segments: int = 16
     loss: int = 1020
 
 
