@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies, five-word shingles with a similarity of 0.8 or more: the one with the smallest id."""
+    """One of each group of near copies, the one with the smallest id: five-word shingles with a similarity of 0.8 or more, by SimHash and what it can't reach."""
     return similar.without_near_copies(docs)
 
 
