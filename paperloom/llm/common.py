@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +85,10 @@ def without_rows(df: DataFrame, keys: list[Column], gone: DataFrame, bits: int =
         return df
     shared = spark.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def listed(hashes: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def listed(hashes: pa.Array) -> pa.Array:
         at = hashes.to_numpy().view(np.uint64) & np.uint64(bits - 1)
-        return pd.Series((shared.value.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+        return pa.array((shared.value.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
 
     columns = df.columns
     keyed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), *(k.alias(f"own_{j}") for j, k in enumerate(keys)))

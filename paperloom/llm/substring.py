@@ -33,6 +33,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,29 +45,63 @@ from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
 
 WINDOW = 13
 ANCHOR = 6
-WORDS_HELD = 200_000
-GROUP_WORDS = 100_000
+#: Bytes of texts whose phrases are made at once, and of words that are hashed at once.
+GROUP_BYTES, SPAN = 1 << 20, 1 << 18
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+#: A word is a run of other bytes.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, from a bounded cache."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+class _Powers:
+    """Powers of an odd number modulo 2**64, of its inverse, and a number for each byte."""
 
-_words = WordHashes()
+    def __init__(self, base: int = 0x9FB21C651E98DF25):
+        inverse = np.array([base, pow(base, -1, 1 << 64)], np.uint64)
+        table = np.ones((2, SPAN + 1), np.uint64)
+        table[:, 1:] = inverse[:, None]
+        self.up, self.down = np.cumprod(table, axis=1)
+        self.byte = _mixed(np.arange(1, 257, dtype=np.uint64) * _PRIMES[1])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
+@lru_cache(maxsize=1)
+def _powers() -> _Powers:
+    return _Powers()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of ``data``, which depends on the word's bytes alone.
+
+    A word's hash is the difference of two prefix sums of a polynomial over the
+    bytes, shifted back by the inverse power of where the word starts.
+    """
+    cells = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_BLANK[cells], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    powers, low = _powers(), 0
+    while low < len(starts):
+        high = max(int(np.searchsorted(ends, starts[low] + SPAN, "right")), low + 1)
+        first = int(starts[low])
+        span = cells[first : int(ends[high - 1])]
+        if len(span) <= SPAN:
+            sums = np.zeros(len(span) + 1, np.uint64)
+            np.cumsum(powers.byte[span] * powers.up[: len(span)], out=sums[1:])
+            a, b = starts[low:high] - first, ends[low:high] - first
+            out[low:high] = (sums[b] - sums[a]) * powers.down[a] + (b - a).astype(np.uint64)
+        low = high
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[int(starts[k]) : int(ends[k])])
+    return starts, _mixed(out)
 
 
 def _runs(hashes: np.ndarray, length: int, prime: np.uint64) -> np.ndarray:
@@ -106,14 +141,15 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 class Group:
     """Phrases of several documents at once: one pass of array steps for many short texts."""
 
-    def __init__(self, documents: list[list[bytes]], window: int):
-        sizes = np.array([len(d) for d in documents], np.int64)
-        get = _words.__getitem__
-        self.hashes = np.fromiter((get(w) for d in documents for w in d), np.uint64, int(sizes.sum()))
+    def __init__(self, documents: list[bytes], window: int):
+        starts, self.hashes = word_hashes(b" ".join(documents))
+        stops = np.cumsum([len(d) + 1 for d in documents])
+        sizes = np.diff(np.searchsorted(starts, stops), prepend=0)
         self.window = window
         ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(documents)), np.maximum(sizes - window + 1, 0))
-        first = np.cumsum(np.maximum(sizes - window + 1, 0)) - np.maximum(sizes - window + 1, 0)
+        phrases = np.maximum(sizes - window + 1, 0)
+        owner = np.repeat(np.arange(len(documents)), phrases)
+        first = np.cumsum(phrases) - phrases
         #: Document of each phrase, its position there and in the joined words.
         self.owner = owner
         self.at = np.arange(len(owner)) - first[owner]
@@ -131,18 +167,20 @@ class Group:
 
 
 def _groups(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[list[tuple], Group]]:
-    """Documents of (id, keys.., text) batches with a whole window and an id, some ``GROUP_WORDS`` words at a time."""
+    """Documents of (id, keys.., text) batches with an id and room for a window, some ``GROUP_BYTES`` at a time."""
     keys, documents, size = [], [], 0
     for batch in batches:
         held = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns[:-1]]
         for *key, text in zip(*held, batch.column(batch.num_columns - 1), strict=True):
-            words = split(text.as_py())
-            if key[0] is None or len(words) < window:
+            if key[0] is None or not text.is_valid:
+                continue
+            data = text.as_buffer().to_pybytes()
+            if len(data) < 2 * window - 1:
                 continue
             keys.append(key)
-            documents.append(words)
-            size += len(words)
-            if size >= GROUP_WORDS:
+            documents.append(data)
+            size += len(data)
+            if size >= GROUP_BYTES:
                 yield keys, Group(documents, window)
                 keys, documents, size = [], [], 0
     if keys:
@@ -161,7 +199,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
         for keys, group in _groups(batches, window):
             found, owner = group.anchors(), group.owner
             # Neighbouring phrases mostly share their anchor.
-            new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]))
+            new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])[: len(found)])
             texts = np.array([k[1] for k in keys], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(texts[owner[new]])], ["anchor", "key"])
 

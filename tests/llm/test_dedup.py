@@ -298,13 +298,26 @@ def test_substring_empty(empty):
 @given(st.lists(st.integers(0, 3), min_size=13, max_size=80), st.integers(0, 1))
 def test_anchors_depend_on_the_phrase_alone(symbols, shift):
     words = [b"w%d" % s for s in symbols]
-    one = substring.Group([words], 13)
-    two = substring.Group([[b"x"] * shift + words, words[:13]], 13)
+    one = substring.Group([b" ".join(words)], 13)
+    two = substring.Group([b"\n ".join([b"x"] * shift + words), b" ".join(words[:13]) + b"\t"], 13)
     assert one.anchors().tolist() == two.anchors()[two.owner == 0][shift:].tolist()
     assert one.phrases()[0].tolist() == two.phrases()[0][two.owner == 0][shift:].tolist()
     assert two.anchors()[two.owner == 1].tolist() == one.anchors()[:1].tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=30), max_size=30), st.integers(0, 2**32))
+def test_word_hashes_depend_on_the_word_alone(parts, seed):
+    rng = np.random.default_rng(seed)
+    parts += [b"long" * 100, b"x" * (substring.SPAN + 5), b"a" * 255, b"a" * 256, b"a" * 257, b"\0", b"\0\0"] * int(rng.integers(1, 3))
+    data = b"".join(parts[k] + bytes(rng.choice([9, 10, 11, 12, 13, 32], rng.integers(1, 3)).astype(np.uint8)) for k in rng.permutation(len(parts)))
+    starts, hashes = substring.word_hashes(data)
+    words = data.split()
+    assert len(starts) == len(words) and all(data[s : s + len(w)] == w for s, w in zip(starts.tolist(), words, strict=True))
+    by = {w: substring.word_hashes(b"  " + w)[1][0] for w in words}
+    assert hashes.tolist() == [by[w] for w in words] and len(set(by.values())) == len(by)
+
+
 def test_factors_break_where_the_source_changes():
     assert substring.factors([(0, 1, 5), (1, 1, 6), (2, 7, 7), (9, 7, 8), (10, 7, 30)]) == [(0, 14, 1, 5), (2, 13, 7, 7), (9, 13, 7, 8), (10, 13, 7, 30)]
 
