@@ -2,9 +2,10 @@
 
 ``log P(text) = sum over tokens of log P(class | class before) + log P(word | class)``.
 
-1. All words of the training texts are counted. The most frequent ones that make up
-   ``COVERAGE`` of the tokens are clustered: exchange clustering moves each to the
-   class that raises the likelihood of the class bigrams most, sweep after sweep.
+1. The frequent words of the training texts are found in one pass. The first ones
+   that make up ``COVERAGE`` of the tokens are clustered: exchange clustering moves
+   each to the class that raises the likelihood of the class bigrams most, sweep
+   after sweep.
 2. Every other word goes to the class under which its own neighbours, in all its
    occurrences, are likeliest. Its neighbours are gathered per task and summed word
    by word in one sorted stream, so no word's occurrences are ever held.
@@ -36,12 +37,16 @@ FOLDS, HELD_OUT = 7, 2
 COVERAGE = 0.5
 #: Classes of words, 250 at most; the end of a text is a class of its own.
 CLASSES = 64
+#: Words that make up this share of some task's tokens are candidates; a word with this share of all tokens always is one.
+SHARE = 1e-5
 HEAD = 200_000
 SWEEPS = 4
 #: Added to each class bigram.
 SMOOTHING = 0.1
 #: Distinct words, and occurrences, that a counting task holds before it sends what it has.
-HELD_WORDS, HELD_TOKENS = 400_000, 4_000_000
+HELD_WORDS, HELD_TOKENS = 600_000, 8_000_000
+#: Tokens of texts that become symbols at once.
+LINE_TOKENS = 250_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,21 +54,26 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n long) over all texts; counted per task, then summed."""
+def frequent_words(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """(word binary, n long) of words that are frequent in some task, and all tokens under a null word.
+
+    The counts serve to choose the clustered words; those of the model are exact
+    and come from ``neighbours``.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        total = 0
         for batch in batches:
             for text in batch.column(0):
-                held.update(tokens(text.as_py()))
-                if len(held) >= HELD_WORDS:
-                    yield out(held)
-                    held.clear()
-        yield out(held)
-
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+                words = tokens(text.as_py())
+                held.update(words)
+                total += len(words)
+                if len(held) >= 2 * HELD_WORDS:
+                    # What came once in so many words has less than the share so far.
+                    held = Counter({w: n for w, n in held.items() if n > max(1, share * total)})
+        words = [w for w, n in held.items() if n >= share * total]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), pa.array([total, *(held[w] for w in words)], pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -114,23 +124,34 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
         others: dict[bytes, int] = {}
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-        for batch in batches:
-            line = [end]
-            for text in batch.column(0):
-                for w in tokens(text.as_py()):
-                    k = known.get(w)
-                    line.append(size + others.setdefault(w, len(others)) if k is None else k)
-                line.append(end)
+        line = [end]
+
+        def close() -> None:
+            nonlocal held, total, line
             row = np.array(line, np.int64)
             symbol = np.where(row >= size, size - 2, row)
-            total += np.bincount(symbol[:-1] * size + symbol[1:], minlength=size * size)
+            cell, n = np.unique(symbol[:-1] * size + symbol[1:], return_counts=True)
+            total[cell] += n
             at = np.flatnonzero(row >= size)
-            found.append((row[at] - size, symbol[at - 1].astype(kind), (symbol[at + 1] + size).astype(kind)))
+            found.append(((row[at] - size).astype(np.int32), symbol[at - 1].astype(kind), (symbol[at + 1] + size).astype(kind)))
             held += len(at)
-            if held >= HELD_TOKENS or len(others) >= HELD_WORDS:
-                yield contexts(others, found)
-                found, held = [], 0
-                others.clear()
+            line = [end]
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                own = list(map(known.get, words))
+                if None in own:
+                    own = [size + others.setdefault(w, len(others)) if k is None else k for w, k in zip(words, own, strict=True)]
+                line += own
+                line.append(end)
+                if len(line) >= LINE_TOKENS:
+                    close()
+                    if held >= HELD_TOKENS or len(others) >= HELD_WORDS:
+                        yield contexts(others, found)
+                        found, held = [], 0
+                        others.clear()
+        close()
         yield contexts(others, found)
         at = np.flatnonzero(total)
         none = pa.nulls(len(at), pa.binary())
@@ -155,63 +176,46 @@ def code_type(size: int) -> str:
     return "<u2" if 2 * size <= 1 << 16 else "<u4"
 
 
-def assigned_words(found: DataFrame, size: int, gains: np.ndarray) -> DataFrame:
+def assigned_words(found: DataFrame, kinds_of: np.ndarray, gains: np.ndarray) -> DataFrame:
     """(word, codes) -> (word, n, class): each word once, in the class whose gains over all its codes add up to the most.
 
-    ``gains`` has a row per code and a column per class. Each word's pieces follow
-    each other in a partition and are summed as they pass.
+    ``kinds_of`` is the kind of neighbour of each code, ``gains`` has a row for each
+    kind and a column per class. Each word's pieces follow each other in a
+    partition; their kinds are counted as they pass.
     """
-    kind = code_type(size)
-    shared = found.sparkSession.sparkContext.broadcast(gains)
+    kind = code_type(len(kinds_of) // 2)
+    shared = found.sparkSession.sparkContext.broadcast((kinds_of, gains))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        last, n, sums = None, 0, None
+        kinds_of, gains = shared.value
+        width = len(gains)
+        last, held = None, np.zeros(width, np.int64)
         for batch in batches:
             for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                words = piece.column(0).to_pylist()
-                data = piece.column(1).to_pylist()
+                words, data = piece.column(0).to_pylist(), piece.column(1).to_pylist()
                 sizes = np.array([len(d) for d in data]) // np.dtype(kind).itemsize
-                codes = np.frombuffer(b"".join(data), kind)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                own = _sums(table, codes, starts, sizes)
-                new = np.array([w != v for w, v in zip(words, [last, *words[:-1]], strict=True)])
-                first = np.flatnonzero(new)
-                if last is not None:
-                    until = first[0] if len(first) else len(words)
-                    sums = sums + own[:until].sum(axis=0)
-                    n += int(sizes[:until].sum()) // 2
-                if not len(first):
-                    continue
-                totals, counts = np.add.reduceat(own[first[0] :], first - first[0]), np.add.reduceat(sizes[first[0] :], first - first[0]) // 2
-                names = [words[k] for k in first.tolist()]
-                if last is not None:
-                    yield out([last], np.array([n]), sums[None])
+                place = np.cumsum(np.array([w != v for w, v in zip(words, [last, *words[:-1]], strict=True)]))
+                # Row 0 is the word that the piece before ended with.
+                cells = np.repeat(place * width, sizes) + kinds_of[np.frombuffer(b"".join(data), kind)]
+                table = np.bincount(cells, minlength=(int(place[-1]) + 1) * width).reshape(-1, width)
+                table[0] += held
+                first = np.flatnonzero(np.diff(place, prepend=0))
+                names = [last, *(words[k] for k in first.tolist())]
                 if len(names) > 1:
-                    yield out(names[:-1], counts[:-1], totals[:-1])
-                last, n, sums = names[-1], int(counts[-1]), totals[-1]
+                    skip = int(last is None)
+                    yield out(names[skip:-1], table[skip:-1])
+                last, held = names[-1], table[-1].copy()
         if last is not None:
-            yield out([last], np.array([n]), sums[None])
+            yield out([last], held[None])
 
-    def out(words: list[bytes], counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        # Rounded, so that the order of the pieces doesn't decide between equal classes.
-        best = np.round(sums, 3).argmax(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(best, pa.int32())], ["word", "n", "class"])
+    def out(words: list[bytes], table: np.ndarray) -> pa.RecordBatch:
+        sums = table @ shared.value[1]
+        # Each occurrence has two neighbours. Rounded, so that equal classes stay equal.
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table.sum(axis=1) // 2), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
 
     return found.select("word", "codes").repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
 
 
-def _sums(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 17) -> np.ndarray:
-    """Rows of ``table`` by code, summed for each word, some codes at a time."""
-    out = np.zeros((len(starts), table.shape[1]))
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    for low in range(0, len(codes), step):
-        part, own = table[codes[low : low + step]], owner[low : low + step]
-        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        out[own[at]] += np.add.reduceat(part, at, axis=0)
-    return out
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -262,8 +266,8 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     return assigned
 
 
-def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> np.ndarray:
-    """log-likelihood that one more neighbour, by code, adds to a word in each class.
+def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each code, and log-likelihood that a neighbour of each kind adds to a word in each class.
 
     What a word's occurrence adds is log P(class | class before) + log P(class after
     | class) + log P(word | class); of the last only the class' size depends on the
@@ -275,7 +279,7 @@ def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> np.nda
     smooth = table + SMOOTHING
     chance = np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))
     share = 0.5 * np.log(table.sum(axis=0)[:classes] + 1)
-    return np.concatenate([chance[assigned][:, :classes] - share, chance[:classes].T[assigned] - share]).astype(np.float32)
+    return np.concatenate([assigned, assigned + n]), np.concatenate([chance[:, :classes] - share, chance[:classes].T - share])
 
 
 @dataclass
@@ -307,10 +311,9 @@ class Vocabulary:
 def learn(docs: DataFrame, ends: int, coverage: float = COVERAGE, classes: int = CLASSES, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of the training texts, ``ends`` in number, and (word, n, class) of all words outside the clustered ones."""
     spark = docs.sparkSession
-    counts, counts_path = cut_at(word_counts(docs), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    held = head_words(counts, head)
-    ranked = clustered_words(held, total, coverage)
+    counts = cut(frequent_words(docs), "frequent-words")
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    ranked = clustered_words(head_words(counts.where("word IS NOT NULL"), HEAD), total, coverage)
     size = len(ranked) + 2
     found, found_path = cut_at(neighbours(docs, ranked), "word-neighbours")
     # At most size * size cells, and the clustered words are a few thousand.
@@ -320,19 +323,18 @@ def learn(docs: DataFrame, ends: int, coverage: float = COVERAGE, classes: int =
     cells = cells.reshape(size, size)
     classes = max(1, min(classes, len(ranked)))
     assigned = exchange(cells, len(ranked), classes) if ranked else np.array([1, 2])
-    others = cut(assigned_words(found.where("word IS NOT NULL"), size, class_gains(cells, assigned, classes)), "word-classes")
-    for path in (found_path, counts_path):
-        remove(spark, path)
+    others = cut(assigned_words(found.where("word IS NOT NULL"), *class_gains(cells, assigned, classes)), "word-classes")
+    remove(spark, found_path)
     mass, kinds, once = np.zeros(classes), np.zeros(classes), np.zeros(classes)
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect():
         mass[r["class"]], kinds[r["class"]], once[r["class"]] = r.n, r.kinds, r.once
-    table = {w: (held[w], int(assigned[k])) for k, w in enumerate(ranked)}
+    table = {w: (int(n), int(c)) for w, n, c in zip(ranked, cells.sum(axis=1), assigned, strict=False)}
     for n, c in table.values():
         mass[c] += n
         kinds[c] += 1
-    if len(held) > len(ranked):
-        # The words of the head that exchange didn't cluster: fewer than ``head``.
-        least = min(held.values())
+        once[c] += n == 1
+    least = min(head_words(others, head - len(ranked)).values(), default=None) if head > len(ranked) else None
+    if least is not None:
         for part in others.where(F.col("n") >= least).toArrow().to_batches():
             table.update(zip(part.column(0).to_pylist(), zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True))
     return Vocabulary(table, classes, int(once.argmax()), mass, kinds, ends), others
@@ -349,19 +351,25 @@ def class_lines(docs: DataFrame, words: Vocabulary, others: DataFrame) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         number = TaskContext.get().partitionId() << 33
-        counted_of = {w: float(np.log10(n + 1)) for w, (n, _) in own.head.items()}
-        class_of = {w: c for w, (_, c) in own.head.items()}
+        place = {w: k for k, w in enumerate(own.head)}.get
+        counts, classes = (np.array(c) for c in zip(*own.head.values(), (0, 0), strict=True))
+        logs = np.log10(counts + 1.0)
+        end_count = float(np.log10(own.ends + 1))
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 found = tokens(text.as_py())
+                at = list(map(place, found))
                 rare: dict[bytes, int] = {}
-                line = [class_of[w] if w in class_of else 256 + rare.setdefault(w, len(rare)) for w in found]
-                line = np.array(line, np.int32)
-                counted = sum(map(counted_of.__getitem__, (w for w in found if w not in rare) if rare else found), float(np.log10(own.ends + 1)))
-                known = int((line < 256).sum()) + (own.ends > 0)
+                if None in at:
+                    at = [-1 - rare.setdefault(w, len(rare)) if k is None else k for w, k in zip(found, at, strict=True)]
+                at = np.array(at, np.int64)
+                seen = at[at >= 0]
+                counted = float(logs[seen].sum()) + end_count
+                known = len(seen) + (own.ends > 0)
                 # Bytes alone where all words are known.
-                rows.append((len(line) + 1, known, counted, (line if rare else line.astype(np.uint8)).tobytes(), list(rare)))
+                line = np.where(at >= 0, classes[np.maximum(at, 0)], 255 - at).astype(np.int32) if rare else classes[at].astype(np.uint8)
+                rows.append((len(at) + 1, known, counted, line.tobytes(), list(rare)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             numbers = pa.array(range(number, number + len(rows)), pa.int64())
             number += len(rows)
