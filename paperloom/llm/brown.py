@@ -20,7 +20,6 @@ counts for the class that has the most words seen once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut, cut_at, id_bucket, ids_and_texts, remove
+from paperloom.llm.words import Lookup, word_hashes, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Share of the training tokens whose words are clustered by exchange; a few thousand words in any language.
@@ -45,8 +45,8 @@ SWEEPS = 4
 SMOOTHING = 0.1
 #: Distinct words, and occurrences, that a counting task holds before it sends what it has.
 HELD_WORDS, HELD_TOKENS = 600_000, 8_000_000
-#: Tokens of texts that become symbols at once.
-LINE_TOKENS = 250_000
+#: Bytes of texts whose words are looked up at once.
+GROUP_BYTES = 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,6 +54,40 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[range, list[bytes], pa.RecordBatch]]:
+    """(positions in a batch, their texts with A-Z lower-cased, the batch), some ``GROUP_BYTES`` at a time; the text is the last column."""
+    for batch in batches:
+        texts, size, low = [], 0, 0
+        for k, text in enumerate(batch.column(batch.num_columns - 1)):
+            texts.append(text.as_buffer().to_pybytes().lower() if text.is_valid else b"")
+            size += len(texts[-1])
+            if size >= GROUP_BYTES:
+                yield range(low, k + 1), texts, batch
+                texts, size, low = [], 0, k + 1
+        if texts:
+            yield range(low, batch.num_rows), texts, batch
+
+
+class _Gathered(dict):
+    """Numbers of words by hash, and the words in that order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[bytes] = []
+
+    def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each of the given words, new ones at the end; a word's bytes are taken once."""
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        own, words = [], self.words
+        for h, a, b in zip(unique.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+            k = self.get(h)
+            if k is None:
+                k = self[h] = len(words)
+                words.append(data[a:b])
+            own.append(k)
+        return np.array(own, np.int64)[back]
+
+
 def frequent_words(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(word binary, n long) of words that are frequent in some task, and all tokens under a null word.
 
@@ -62,18 +96,21 @@ def frequent_words(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        total = 0
-        for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                held.update(words)
-                total += len(words)
-                if len(held) >= 2 * HELD_WORDS:
-                    # What came once in so many words has less than the share so far.
-                    held = Counter({w: n for w, n in held.items() if n > max(1, share * total)})
-        words = [w for w, n in held.items() if n >= share * total]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.binary()), pa.array([total, *(held[w] for w in words)], pa.int64())], ["word", "n"])
+        held, counts, total = _Gathered(), np.zeros(0, np.int64), 0
+        for _, texts, _ in _groups(batches):
+            starts, ends, hashes, _ = words_of(texts)
+            total += len(hashes)
+            own = held.numbers(b" ".join(texts), starts, ends, hashes)
+            counts = np.concatenate([counts, np.zeros(len(held) - len(counts), np.int64)]) + np.bincount(own, minlength=len(held))
+            if len(held) >= HELD_WORDS:
+                # What came so rarely in so many words has less than the share so far.
+                stay = np.flatnonzero(counts > max(1, share * total))
+                hashes, words = list(held), held.words
+                held, counts = _Gathered(), counts[stay]
+                held.update((hashes[k], j) for j, k in enumerate(stay.tolist()))
+                held.words = [words[k] for k in stay.tolist()]
+        often = np.flatnonzero(counts >= share * total)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *(held.words[k] for k in often.tolist())], pa.binary()), pa.array([total, *counts[often].tolist()], pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -119,45 +156,34 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
     names = ["cell", "n", "word", "codes"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(shared.value)}
+        known = Lookup(hashes_of(shared.value))
         total, end = np.zeros(size * size, np.int64), size - 1
-        others: dict[bytes, int] = {}
+        others = _Gathered()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-        line = [end]
-
-        def close() -> None:
-            nonlocal held, total, line
-            row = np.array(line, np.int64)
-            symbol = np.where(row >= size, size - 2, row)
-            cell, n = np.unique(symbol[:-1] * size + symbol[1:], return_counts=True)
+        for _, texts, _ in _groups(batches):
+            starts, ends, hashes, sizes = words_of(texts)
+            symbol = known(hashes).astype(np.int64)
+            rest = np.flatnonzero(symbol < 0)
+            symbol[rest] = size - 2
+            # Each text's words with the end before, between and after the texts.
+            place = np.arange(len(symbol)) + np.repeat(np.arange(len(texts)), sizes) + 1
+            row = np.full(len(symbol) + len(texts) + 1, end)
+            row[place] = symbol
+            cell, n = np.unique(row[:-1] * size + row[1:], return_counts=True)
             total[cell] += n
-            at = np.flatnonzero(row >= size)
-            found.append(((row[at] - size).astype(np.int32), symbol[at - 1].astype(kind), (symbol[at + 1] + size).astype(kind)))
-            held += len(at)
-            line = [end]
-
-        for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                own = list(map(known.get, words))
-                if None in own:
-                    own = [size + others.setdefault(w, len(others)) if k is None else k for w, k in zip(words, own, strict=True)]
-                line += own
-                line.append(end)
-                if len(line) >= LINE_TOKENS:
-                    close()
-                    if held >= HELD_TOKENS or len(others) >= HELD_WORDS:
-                        yield contexts(others, found)
-                        found, held = [], 0
-                        others.clear()
-        close()
-        yield contexts(others, found)
+            own = others.numbers(b" ".join(texts), starts[rest], ends[rest], hashes[rest])
+            found.append((own.astype(np.int32), row[place[rest] - 1].astype(kind), (row[place[rest] + 1] + size).astype(kind)))
+            held += len(rest)
+            if held >= HELD_TOKENS or len(others) >= HELD_WORDS:
+                yield contexts(others.words, found)
+                others, found, held = _Gathered(), [], 0
+        yield contexts(others.words, found)
         at = np.flatnonzero(total)
         none = pa.nulls(len(at), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), none, none], names)
 
-    def contexts(others: dict[bytes, int], found: list[tuple]) -> pa.RecordBatch:
+    def contexts(others: list[bytes], found: list[tuple]) -> pa.RecordBatch:
         if not others:
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 2, names)
         own, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -167,11 +193,16 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
         offsets = np.concatenate([[0], stops]).astype(np.int32)
         data = pa.Array.from_buffers(pa.binary(), len(others), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(codes.tobytes())])
         none = pa.nulls(len(others), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(list(others), pa.binary()), data], names)
+        return pa.RecordBatch.from_arrays([none, none, pa.array(others, pa.binary()), data], names)
 
     return docs.select("text").mapInArrow(run, "cell long, n long, word binary, codes binary")
 
 
+def hashes_of(words: Iterable[bytes]) -> np.ndarray:
+    """The hash of each word, in order."""
+    return word_hashes(b" ".join(words))[2]
+
+
 def code_type(size: int) -> str:
     return "<u2" if 2 * size <= 1 << 16 else "<u4"
 
@@ -351,30 +382,37 @@ def class_lines(docs: DataFrame, words: Vocabulary, others: DataFrame) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         number = TaskContext.get().partitionId() << 33
-        place = {w: k for k, w in enumerate(own.head)}.get
+        place = Lookup(hashes_of(own.head))
         counts, classes = (np.array(c) for c in zip(*own.head.values(), (0, 0), strict=True))
         logs = np.log10(counts + 1.0)
         end_count = float(np.log10(own.ends + 1))
-        for batch in batches:
+        for positions, texts, batch in _groups(batches):
+            data = b" ".join(texts)
+            starts, ends, hashes, sizes = words_of(texts)
+            at = place(hashes).astype(np.int64)
+            stops = np.cumsum(sizes)
+            # Words to look up, each once in a text and numbered there.
+            rest = np.flatnonzero(at < 0)
+            names, back = np.unique(hashes[rest], return_inverse=True)
+            owner = np.repeat(np.arange(len(texts)), sizes)[rest]
+            pairs, first, back = np.unique(owner * (len(names) + 1) + back, return_index=True, return_inverse=True)
+            low = np.searchsorted(pairs, np.arange(len(texts) + 1) * (len(names) + 1))
+            line = classes[at].astype(np.int32)
+            line[rest] = 256 + back - low[owner]
+            values = np.where(at < 0, 0.0, logs[at])
+            missing = np.concatenate([[0], np.cumsum(at < 0)])
+            words = [data[a:b] for a, b in zip(starts[rest[first]].tolist(), ends[rest[first]].tolist(), strict=True)]
             rows = []
-            for text in batch.column(1):
-                found = tokens(text.as_py())
-                at = list(map(place, found))
-                rare: dict[bytes, int] = {}
-                if None in at:
-                    at = [-1 - rare.setdefault(w, len(rare)) if k is None else k for w, k in zip(found, at, strict=True)]
-                at = np.array(at, np.int64)
-                seen = at[at >= 0]
-                counted = float(logs[seen].sum()) + end_count
-                known = len(seen) + (own.ends > 0)
+            for k, (a, b) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
+                rare = words[low[k] : low[k + 1]]
                 # Bytes alone where all words are known.
-                line = np.where(at >= 0, classes[np.maximum(at, 0)], 255 - at).astype(np.int32) if rare else classes[at].astype(np.uint8)
-                rows.append((len(at) + 1, known, counted, line.tobytes(), list(rare)))
+                rows.append((b - a + 1, b - a - int(missing[b] - missing[a]) + (own.ends > 0), float(values[a:b].sum()) + end_count, (line[a:b] if rare else line[a:b].astype(np.uint8)).tobytes(), rare))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             numbers = pa.array(range(number, number + len(rows)), pa.int64())
             number += len(rows)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "counted", "line", "rare"])
+            doc_ids = batch.column(0).slice(positions[0], len(positions))
+            yield pa.RecordBatch.from_arrays([numbers, doc_ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "n_tokens", "known", "counted", "line", "rare"])
 
     # Written once: the row numbers must be the same on both sides of the join.
     parts, path = cut_at(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, counted double, line binary, rare array<binary>"), "lm-parts")

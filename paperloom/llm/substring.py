@@ -33,75 +33,21 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
+from paperloom.llm.words import mixed, words_of
 
 WINDOW = 13
 ANCHOR = 6
-#: Bytes of texts whose phrases are made at once, and of words that are hashed at once.
-GROUP_BYTES, SPAN = 1 << 20, 1 << 18
-#: Longer words are hashed one by one.
-LONG_WORD = 256
+#: Bytes of texts whose phrases are made at once.
+GROUP_BYTES = 1 << 20
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-#: A word is a run of other bytes.
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64, of its inverse, and a number for each byte."""
-
-    def __init__(self, base: int = 0x9FB21C651E98DF25):
-        inverse = np.array([base, pow(base, -1, 1 << 64)], np.uint64)
-        table = np.ones((2, SPAN + 1), np.uint64)
-        table[:, 1:] = inverse[:, None]
-        self.up, self.down = np.cumprod(table, axis=1)
-        self.byte = _mixed(np.arange(1, 257, dtype=np.uint64) * _PRIMES[1])
-
-
-@lru_cache(maxsize=1)
-def _powers() -> _Powers:
-    return _Powers()
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word of ``data``, which depends on the word's bytes alone.
-
-    A word's hash is the difference of two prefix sums of a polynomial over the
-    bytes, shifted back by the inverse power of where the word starts.
-    """
-    cells = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], ~_BLANK[cells], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    out = np.zeros(len(starts), np.uint64)
-    powers, low = _powers(), 0
-    while low < len(starts):
-        high = max(int(np.searchsorted(ends, starts[low] + SPAN, "right")), low + 1)
-        first = int(starts[low])
-        span = cells[first : int(ends[high - 1])]
-        if len(span) <= SPAN:
-            sums = np.zeros(len(span) + 1, np.uint64)
-            np.cumsum(powers.byte[span] * powers.up[: len(span)], out=sums[1:])
-            a, b = starts[low:high] - first, ends[low:high] - first
-            out[low:high] = (sums[b] - sums[a]) * powers.down[a] + (b - a).astype(np.uint64)
-        low = high
-    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        out[k] = xxhash.xxh3_64_intdigest(data[int(starts[k]) : int(ends[k])])
-    return starts, _mixed(out)
 
 
 def _runs(hashes: np.ndarray, length: int, prime: np.uint64) -> np.ndarray:
@@ -126,7 +72,7 @@ def _runs(hashes: np.ndarray, length: int, prime: np.uint64) -> np.ndarray:
         out *= np.uint64(power)
         out += block[at : at + n]
         at += width
-    return _mixed(out)
+    return mixed(out)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -142,9 +88,7 @@ class Group:
     """Phrases of several documents at once: one pass of array steps for many short texts."""
 
     def __init__(self, documents: list[bytes], window: int):
-        starts, self.hashes = word_hashes(b" ".join(documents))
-        stops = np.cumsum([len(d) + 1 for d in documents])
-        sizes = np.diff(np.searchsorted(starts, stops), prepend=0)
+        _, _, self.hashes, sizes = words_of(documents)
         self.window = window
         ends = np.cumsum(sizes)
         phrases = np.maximum(sizes - window + 1, 0)

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperloom.llm import exact_dedup, simhash, substring
+from paperloom.llm import exact_dedup, simhash, substring, words
 
 
 def norm(t):
@@ -259,14 +259,14 @@ def test_substring_equals_brute_force(edge):
 
 def check_factors(rows, got):
     """Each factor's words stand at its place in its source, and the next word doesn't follow both if a factor could go on."""
-    words = defaultdict(list)
+    own_words = defaultdict(list)
     for i, t in rows:
-        words[i].append((t or "").encode().split())
+        own_words[i].append((t or "").encode().split())
     seen = 0
     for r in got:
         for s in r.spans:
-            own = [w[s.start : s.start + s.length] for w in words[r.doc_id]]
-            place = [w[s.source_start : s.source_start + s.length] for w in words[s.source]]
+            own = [w[s.start : s.start + s.length] for w in own_words[r.doc_id]]
+            place = [w[s.source_start : s.source_start + s.length] for w in own_words[s.source]]
             assert s.source < r.doc_id and s.length >= 13
             assert any(len(a) == s.length and a in place for a in own), (r.doc_id, s)
             seen += 1
@@ -309,13 +309,26 @@ def test_anchors_depend_on_the_phrase_alone(symbols, shift):
 @given(st.lists(st.binary(max_size=30), max_size=30), st.integers(0, 2**32))
 def test_word_hashes_depend_on_the_word_alone(parts, seed):
     rng = np.random.default_rng(seed)
-    parts += [b"long" * 100, b"x" * (substring.SPAN + 5), b"a" * 255, b"a" * 256, b"a" * 257, b"\0", b"\0\0"] * int(rng.integers(1, 3))
+    parts += [b"long" * 100, b"x" * (words.SPAN + 5), b"a" * 255, b"a" * 256, b"a" * 257, b"\0", b"\0\0"] * int(rng.integers(1, 3))
     data = b"".join(parts[k] + bytes(rng.choice([9, 10, 11, 12, 13, 32], rng.integers(1, 3)).astype(np.uint8)) for k in rng.permutation(len(parts)))
-    starts, hashes = substring.word_hashes(data)
-    words = data.split()
-    assert len(starts) == len(words) and all(data[s : s + len(w)] == w for s, w in zip(starts.tolist(), words, strict=True))
-    by = {w: substring.word_hashes(b"  " + w)[1][0] for w in words}
-    assert hashes.tolist() == [by[w] for w in words] and len(set(by.values())) == len(by)
+    starts, ends, hashes = words.word_hashes(data)
+    plain = data.split()
+    assert [data[a:b] for a, b in zip(starts, ends, strict=True)] == plain
+    by = {w: words.word_hashes(b"  " + w)[2][0] for w in plain}
+    assert hashes.tolist() == [by[w] for w in plain] and len(set(by.values())) == len(by)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 3000), st.booleans())
+def test_lookup_equals_a_dictionary(seed, n, close):
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(0, 2**64 if not close else 2 * n + 1, n, dtype=np.uint64))
+    if close:
+        keys = np.concatenate([keys, ~np.uint64(0) - keys])  # all in the first and the last slots
+    rng.shuffle(keys)
+    at = {int(k): i for i, k in enumerate(keys)}
+    asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    assert words.Lookup(keys)(asked).tolist() == [at.get(int(k), -1) for k in asked]
 
 
 def test_factors_break_where_the_source_changes():
