@@ -97,19 +97,24 @@ def frequent_words(docs: DataFrame, share: float = SHARE) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, total = _Gathered(), np.zeros(0, np.int64), 0
+        # A word is counted from when its cell has half of the share; so much at most is missing.
+        cells = np.zeros(1 << 20, np.int64)
         for _, texts, _ in _groups(batches):
             starts, ends, hashes, _ = words_of(texts)
             total += len(hashes)
-            own = held.numbers(b" ".join(texts), starts, ends, hashes)
+            cell = (hashes >> np.uint64(44)).astype(np.int64)
+            cells += np.bincount(cell, minlength=len(cells))
+            some = np.flatnonzero(cells[cell] >= share * total / 2)
+            own = held.numbers(b" ".join(texts), starts[some], ends[some], hashes[some])
             counts = np.concatenate([counts, np.zeros(len(held) - len(counts), np.int64)]) + np.bincount(own, minlength=len(held))
             if len(held) >= HELD_WORDS:
                 # What came so rarely in so many words has less than the share so far.
-                stay = np.flatnonzero(counts > max(1, share * total))
+                stay = np.flatnonzero(counts > max(1, share * total / 2))
                 hashes, words = list(held), held.words
                 held, counts = _Gathered(), counts[stay]
                 held.update((hashes[k], j) for j, k in enumerate(stay.tolist()))
                 held.words = [words[k] for k in stay.tolist()]
-        often = np.flatnonzero(counts >= share * total)
+        often = np.flatnonzero(counts >= share * total / 2)
         yield pa.RecordBatch.from_arrays([pa.array([None, *(held.words[k] for k in often.tolist())], pa.binary()), pa.array([total, *counts[often].tolist()], pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
