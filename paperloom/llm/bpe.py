@@ -1,10 +1,12 @@
 """Byte-level BPE ids of whole texts through the tokenizers library.
 
-The vocabulary file is a parameter. Texts are cut where white space follows
-another character; the pre-tokenizer of byte-level BPE always has a boundary
-there, so each unit's ids don't depend on its neighbours and a bounded cache of
-units gives the library's ids for the whole text. The string of a special token is
-a unit of its own with that token's id, as the library has it.
+The vocabulary file is a parameter. Texts are cut where ASCII white space follows
+another character; the pre-tokenizer of byte-level BPE always has a boundary there,
+so each unit's ids don't depend on its neighbours, and a bounded store of units
+gives the library's ids for the whole text. Units are found, hashed and looked up
+in array steps for many texts at once. Texts with other white space, next to which
+that rule needn't hold, or with the string of a special token go to the library as
+they are.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ from itertools import chain
 
 import numpy as np
 
-#: White space with the run after it, or white space at the end.
-UNIT = re.compile(r"\s*\S+|\s+")
-#: Units held per worker before the cache starts anew; bounds its memory.
-CACHE_UNITS = 1_000_000
-#: Characters of a unit that may outlive a full cache.
-SHORT_UNIT = 9
-#: Characters of texts cut into units at once.
-GROUP_CHARS = 2_000_000
+from paperloom.llm.words import Lookup, span_hashes
+
+#: White space of Unicode beyond ASCII.
+WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Units and ids held per worker before the store starts anew; bounds its memory.
+CACHE_UNITS, CACHE_IDS = 2_000_000, 16_000_000
+#: Bytes of texts whose units are looked up at once.
+GROUP_BYTES = 2_000_000
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def default_vocabulary() -> str:
@@ -33,104 +37,108 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, unit by unit, from a bounded cache."""
+    """Ids as little-endian unsigned 32-bit bytes, unit by unit, from a bounded store."""
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS, cache_ids: int = CACHE_IDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The library finds these before anything else, the leftmost and then the longest first.
-        self.added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
-        self.cache_units = cache_units
-        self.lengths: np.ndarray | None = None
-
-    def _lengths(self) -> np.ndarray:
-        """Bytes of text that each id stands for."""
         vocabulary = self.tokenizer.get_vocab()
-        out = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        # In byte-level vocabularies each character of a token stands for one byte.
+        #: Bytes of text that each id stands for: in byte-level vocabularies each character of a token is one.
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
-            out[i] = len(token)
-        return out
-
-    def _learn(self, missing: set[str], odd: set[str]) -> None:
-        """Put the ids of units into the cache; ``odd`` ones can't stand between others."""
-        if self.lengths is None:
-            self.lengths = self._lengths()
-        cache, encode = self.cache, self.tokenizer.encode_batch_fast
-        joinable = list(missing - odd)
-        # Such units follow each other as they would in a text, so a line of them is encoded at once.
-        for start in range(0, len(joinable), 8192):
-            part = joinable[start : start + 8192]
-            lines = ["".join(part[k : k + 64]) for k in range(0, len(part), 64)]
-            got = encode(lines, add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(g.ids for g in got), "<u4")
-            sizes = np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in part), np.int64, len(part))
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") * 4 + 4
-            data, at = ids.tobytes(), 0
-            for unit, stop in zip(part, stops.tolist(), strict=True):
-                cache[unit] = data[at:stop]
-                at = stop
-        others = list(missing & odd)
-        for unit, got in zip(others, encode(others, add_special_tokens=False), strict=True):
-            cache[unit] = np.array(got.ids, "<u4").tobytes()
+            self.lengths[i] = len(token)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([f"[{WIDE_SPACE}]", *added]))
+        self.cache_units, self.cache_ids = cache_units, cache_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index = Lookup(np.empty(0, np.uint64))
+        #: All ids of the units, one after the other, and where each unit's start.
+        self.ids, self.starts = np.empty(1024, "<u4"), np.zeros(1024, np.int64)
 
     def encode(self, texts: list[str | None], end: bytes = b"\0\0\0\0") -> list[bytes]:
         """For each text its ids and ``end``; a null or empty text has only ``end``.
 
-        A few texts are cut at a time, so that the units of many are learned in
-        one call and memory stays bounded by ``GROUP_CHARS`` and the longest text.
+        Some texts are taken at a time, so memory stays bounded by ``GROUP_BYTES``
+        and the longest text.
         """
         out: list[bytes] = []
-        group: list[list[str]] = []
-        edges: set[str] = set(self.added)
+        group: list[bytes] = []
         size = 0
         for text in texts:
-            group.append(self._units(text, edges) if text else [])
-            size += len(text or "")
-            if size >= GROUP_CHARS:
-                out += self._encode(group, edges, end)
+            if text and self.odd.search(text):
+                out += self._encode(group, end)
+                out.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes() + end)
                 group, size = [], 0
-                edges = set(self.added)
-        return out + self._encode(group, edges, end)
-
-    def _units(self, text: str, edges: set[str]) -> list[str]:
-        """Units of a text; those that may not stand between others, at the ends of a part, go into ``edges``."""
-        parts = self.special.split(text) if any(a in text for a in self.added) else (text,)
-        out: list[str] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(part)
                 continue
-            units = UNIT.findall(part)
-            if units:
-                if not units[0][0].isspace():
-                    edges.add(units[0])
-                if units[-1][-1].isspace():
-                    edges.add(units[-1])
-                out += units
-        return out
-
-    def _encode(self, group: list[list[str]], edges: set[str], end: bytes) -> list[bytes]:
-        get = self.cache.get
-        rows = [list(map(get, units)) for units in group]
-        holes = [[k for k, ids in enumerate(row) if ids is None] for row in rows]
-        missing = {units[k] for units, at in zip(group, holes, strict=True) for k in at}
-        if len(self.cache) + len(missing) > self.cache_units:
-            # Start anew with what this group needs and, if they leave room, the short units: those come again most.
-            short = {u: ids for u, ids in self.cache.items() if len(u) <= SHORT_UNIT}
-            self.cache = short if len(short) <= self.cache_units // 2 else {}
-            for units, row in zip(group, rows, strict=True):
-                self.cache.update((u, ids) for u, ids in zip(units, row, strict=True) if ids is not None)
-        self._learn(missing, edges)
-        learned = self.cache
-        for units, row, at in zip(group, rows, holes, strict=True):
-            for k in at:
-                row[k] = learned[units[k]]
-        return [b"".join(row) + end for row in rows]
+            group.append(text.encode() if text else b"")
+            size += len(group[-1])
+            if size >= GROUP_BYTES:
+                out += self._encode(group, end)
+                group, size = [], 0
+        return out + self._encode(group, end)
+
+    def _encode(self, group: list[bytes], end: bytes) -> list[bytes]:
+        data = b"".join(group)
+        stops = np.cumsum([len(t) for t in group], dtype=np.int64)
+        if not data:
+            return [end] * len(group)
+        blank = _BLANK[np.frombuffer(data, np.uint8)]
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        opens[np.append(0, stops[:-1][stops[:-1] < len(data)])] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))
+        hashes = span_hashes(data, starts, ends)
+        at = self.index(hashes)
+        if self._learn(data, starts, ends, hashes, at, blank):
+            at = self.index(hashes)
+        at = at.astype(np.int64)
+        first = self.starts[at]
+        sizes = self.starts[at + 1] - first
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])]
+        edges = (upto[np.searchsorted(starts, np.append(0, stops))] * 4).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] + end for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray, blank: np.ndarray) -> bool:
+        """Store the units that have no number yet; all of these if the store has to start anew."""
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return False
+        new, first = np.unique(hashes[missing], return_index=True)
+        if self.index.size and (self.index.size + len(new) > self.cache_units or self.starts[self.index.size] > self.cache_ids):
+            self._clear()
+            missing = np.arange(len(hashes))
+            new, first = np.unique(hashes, return_index=True)
+        own = missing[first]
+        # Units that begin with white space and don't end with it may follow each other as in a text.
+        alone = ~blank[starts[own]] | blank[ends[own] - 1]
+        for part, size in ((own[~alone], 64), (own[alone], 1)):
+            for low in range(0, len(part), 8192):
+                self._store(data, starts, ends, hashes, part[low : low + 8192], size)
+        return True
+
+    def _store(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, own: np.ndarray, together: int) -> None:
+        """Encode units, so many in a line, and cut the lines' ids by the bytes they stand for."""
+        units = [data[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+        lines = [b"".join(units[k : k + together]).decode() for k in range(0, len(units), together)]
+        got = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(g.ids for g in got), "<u4")
+        stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(ends[own] - starts[own]), "left") + 1
+        n = self.index.size
+        low = int(self.starts[n])
+        while len(self.starts) < n + len(own) + 1:
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.ids) < low + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[low : low + len(ids)] = ids
+        self.starts[n + 1 : n + len(own) + 1] = low + stops
+        self.index.add(hashes[own])
 
 
 _encoders: dict[str, Encoder] = {}

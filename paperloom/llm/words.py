@@ -39,15 +39,21 @@ def _powers() -> _Powers:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, 64-bit hash) of each word of ``data``; the hash depends on the word's bytes alone.
-
-    A word's hash is the difference of two prefix sums of a polynomial over the
-    bytes, shifted back by the inverse power of where the word starts.
-    """
+    """(start, end, 64-bit hash) of each word of ``data``; the hash depends on the word's bytes alone."""
     cells = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], ~_BLANK[cells], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
+    return starts, ends, span_hashes(data, starts, ends)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the ascending spans, which depends on its bytes alone.
+
+    It is the difference of two prefix sums of a polynomial over the bytes, shifted
+    back by the inverse power of where the span starts.
+    """
+    cells = np.frombuffer(data, np.uint8)
     out = np.zeros(len(starts), np.uint64)
     powers, low = _powers(), 0
     while low < len(starts):
@@ -62,7 +68,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = high
     for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         out[k] = xxhash.xxh3_64_intdigest(data[int(starts[k]) : int(ends[k])])
-    return starts, ends, mixed(out)
+    return mixed(out)
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,13 +79,30 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 class Lookup:
-    """Positions of 64-bit hashes in a list without repeats; an open table of four to eight times its size."""
+    """Numbers of 64-bit hashes without repeats, in the order they came; an open table of four to eight times their number."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.append(hashes, np.uint64(0))
-        self.shift = np.uint64(64 - max(4, len(hashes).bit_length() + 2))
-        self.table = np.full((1 << 64 - int(self.shift)) + len(hashes) + 1, -1, np.int32)
-        todo, slot = np.arange(len(hashes), dtype=np.int32), (hashes >> self.shift).astype(np.int64)
+        self.size = 0
+        self._make(len(hashes))
+        self.add(hashes)
+
+    def _make(self, room: int) -> None:
+        bits = max(4, room.bit_length() + 2)
+        self.room, self.shift = 1 << bits - 2, np.uint64(64 - bits)
+        self.hashes = np.zeros(self.room + 1, np.uint64)
+        self.table = np.full((1 << bits) + self.room + 1, -1, np.int32)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Give numbers to hashes that have none yet."""
+        if self.size + len(hashes) > self.room:
+            before = self.hashes[: self.size]
+            self._make(2 * (self.size + len(hashes)))
+            self.size = 0
+            self.add(before)
+        todo = np.arange(self.size, self.size + len(hashes), dtype=np.int32)
+        self.hashes[todo] = hashes
+        self.size += len(hashes)
+        slot = (hashes >> self.shift).astype(np.int64)
         while len(todo):
             free = np.flatnonzero(self.table[slot] < 0)
             _, one = np.unique(slot[free], return_index=True)
@@ -88,7 +111,7 @@ class Lookup:
             todo, slot = todo[left], slot[left] + 1
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Position of each hash, -1 where it isn't in the list."""
+        """The number of each hash, -1 where it has none."""
         slot = (hashes >> self.shift).astype(np.int64)
         out = self.table[slot]
         wrong = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
@@ -97,5 +120,3 @@ class Lookup:
             out[wrong] = self.table[slot[wrong]]
             wrong = wrong[(out[wrong] >= 0) & (self.hashes[out[wrong]] != hashes[wrong])]
         return out
-
-

@@ -112,7 +112,7 @@ def small_cache():
     return bpe.Encoder(bpe.default_vocabulary(), cache_units=50)
 
 
-PARTS = [*" \n\t　\xa0ab1.'s,é电", "<|endoftext|>", "<|endoftext", "|>"]
+PARTS = ["\x1c", "\x85", "\u2003", *" \n\t　\xa0ab1.'s,é电", "<|endoftext|>", "<|endoftext", "|>"]
 
 
 @settings(max_examples=300, deadline=None)
