@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import id_bucket, ids_and_texts, smallest_hashes
+from paperloom.llm.common import id_bucket, ids_and_texts, pieces, smallest_hashes
 
 TRAIN_ROWS = 8000
 #: Feature numbers: half of them for words, a quarter each for bytes and shapes.
@@ -239,7 +239,7 @@ def without_rejects(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         bits = int(np.log2(len(own.weights)))
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([own.score(features(t.as_py(), bits)) >= threshold for t in batch.column(at)], pa.bool_()))
 
     return df.select(*(F.col(c) for c in names)).mapInArrow(run, df.schema)

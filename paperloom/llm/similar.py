@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, cut_at, ids_and_texts, remove, without_rows
+from paperloom.llm.common import cut, cut_at, ids_and_texts, pieces, remove, without_rows
 from paperloom.llm.graph import components
 from paperloom.llm.simhash import links, majority, shingle_hashes
 
@@ -40,8 +40,6 @@ OVER, UNDER = 4, 5
 #: Cells of the table of shingle counts, and of the filter of texts to compare.
 CELLS, FILTER = 1 << 18, 1 << 23
 BITS = 512
-#: Pairs that a comparing task holds at once.
-HELD_PAIRS = 500
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,11 +61,6 @@ def prefix(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * shared >= OVER * (len(a) + len(b) - shared)
-
-
 def parities(shingles: np.ndarray) -> np.ndarray:
     """Whether the number of shingles in each cell is odd, as the bits of longs."""
     return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
@@ -105,7 +98,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, sizes, prints, firsts = [], [], [], []
             marks = np.empty((batch.num_rows, len(MARKS)), np.int64)
             for k, text in enumerate(batch.column(2)):
@@ -185,11 +178,11 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     found = ends.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
     wanted = np.zeros(FILTER // 64, np.int64)
     wanted[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(wanted)
+    marks = spark.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.view(np.uint64)
-        for batch in batches:
+        table = marks.value.view(np.uint64)
+        for batch in pieces(batches):
             nodes, own = [], []
             for text in batch.column(0):
                 words = words_of(text.as_py())
@@ -200,17 +193,11 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     own.append(shingle_set(words).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, HELD_PAIRS):
-                part = batch.slice(low, HELD_PAIRS)
-                good = [linked(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)) for a, b in zip(part.column(2), part.column(3), strict=True)]
-                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
     # Repeated texts would repeat their pairs.
     texts, path = cut_at(docs.select("text").mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    out = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
+    shared = F.size(F.array_intersect("a", "b"))
+    out = cut(both.withColumn("shared", shared).where(UNDER * F.col("shared") >= OVER * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v"), "similar-links")
     remove(spark, path)
     return out
 
