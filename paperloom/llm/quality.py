@@ -140,17 +140,18 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, pena
     sign = np.where(labels > 0, 1.0, -1.0)
     share = np.array([np.mean(sign < 0), np.mean(sign > 0)])
     top = penalty / (2 * share[(sign > 0).astype(int)])
-    scaled = [ratio[r] for r in rows]
-    square = np.array([float(x @ x) + 1.0 for x in scaled])
+    # The scaled rows are made again at each visit: held, they would be the largest thing on the driver.
+    square = np.array([float(ratio[r] @ ratio[r]) + 1.0 for r in rows])
     alpha, w, b = np.zeros(len(rows)), np.zeros(len(ratio)), 0.0
     for _ in range(sweeps):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = sign[i] * (float(w[rows[i]] @ scaled[i]) + b) - 1
+            scaled = ratio[rows[i]]
+            gradient = sign[i] * (float(w[rows[i]] @ scaled) + b) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), top[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * scaled
                 b += step
                 moved = max(moved, abs(step) / top[i])
                 alpha[i] = new
