@@ -84,3 +84,24 @@ def numbered_marker_count(c: Column) -> Column:
 def json_number(c: Column, *paths: str) -> Column:
     """First of several JSON paths that holds a number, as bigint."""
     return F.coalesce(*(F.get_json_object(c, p).cast("bigint") for p in paths))
+
+
+# Parts of font names, by what they say (fixed values).
+BOLD_NAMES = "bold black heavy semibold demibold demi".split()
+ITALIC_NAMES = "italic oblique".split()
+MONO_NAMES = "mono courier consolas menlo monaco code".split()
+SANS_NAMES = "arial helvetica univers gotham avenir frutiger calibri verdana tahoma trebuchet sourcehansans notosans sans".split()
+SERIF_NAMES = "times georgia garamond baskerville cambria constantia palatino bodoni minion sourcehanserif notoserif serif".split()
+
+
+def font_traits(name: Column) -> Column:
+    """Struct of bold, italic, monospace and serif (0 or 1) that a font's name tells; null where it tells none.
+
+    A name that says sans as well as serif is sans; serif is null where neither is said.
+    """
+    bare = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+    says = lambda words: bare.rlike("|".join(words)).cast("int")
+    serif = F.when(says(SANS_NAMES) == 1, 0).when(says(SERIF_NAMES) == 1, 1)
+    bold, italic, mono = says(BOLD_NAMES), says(ITALIC_NAMES), says(MONO_NAMES)
+    told = serif.isNotNull() | (bold + italic + mono > 0)
+    return F.when(told, F.struct(bold.alias("bold"), italic.alias("italic"), mono.alias("monospace"), serif.alias("serif")))

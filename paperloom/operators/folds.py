@@ -1,22 +1,66 @@
 """Order-dependent operators that no expression can state.
 
-Each runs in Arrow batches or per page (``applyInPandas``): state never leaves a
-page or a text. A page's rows are bounded by what fits on a page, so no group
-grows with the data; pages are what is distributed.
+Each runs in Arrow batches: texts one by one, boxes page by page as the pages of a
+sorted partition pass (``by_page``). State never leaves a page or a text. A page's
+rows are bounded by what fits on a page, so no group grows with the data; pages are
+what is distributed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PAGE_BATCH = 10_000
+
+
+def by_page(df: DataFrame, columns: list[str], rule: Callable[[list[tuple]], list[tuple]], out: str) -> DataFrame:
+    """``rule`` on the rows of each page; its tuples stand behind the page in the result.
+
+    Pages follow each other in sorted partitions, so small pages cost no call of
+    their own and a worker holds one page at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T._parse_datatype_string(f"page long, {out}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        rows: list[tuple] = []
+        page: tuple = ()
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page != (key,):
+                    done.extend((*page, *x) for x in (rule(rows) if rows else ()))
+                    page, rows = (key,), []
+                    if len(done) >= PAGE_BATCH:
+                        yield packed()
+                        done.clear()
+                rows.append(tuple(row))
+        done.extend((*page, *x) for x in (rule(rows) if rows else ()))
+        if done:
+            yield packed()
+
+    return df.select("page", *columns).repartition("page").sortWithinPartitions("page").mapInArrow(run, schema)
+
+
+BOX = ["idx", "x1", "y1", "x2", "y2"]
+
 
 def _adjacent(a, b) -> bool:
     """The adjacency test of :func:`paperloom.functions.geometry.adjacent`, on tuples."""
@@ -32,10 +76,9 @@ def _adjacent(a, b) -> bool:
 def page_components(nodes: DataFrame) -> DataFrame:
     """(page, idx, component): boxes of a page that hang together; the smallest idx names them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y1", kind="stable").reset_index(drop=True)
-        boxes = list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-        parent = list(range(len(boxes)))
+    def rule(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: r[2])
+        parent = list(range(len(rows)))
 
         def find(k: int) -> int:
             while parent[k] != k:
@@ -45,17 +88,19 @@ def page_components(nodes: DataFrame) -> DataFrame:
 
         # Sorted by y1, only boxes whose gap may still be 5 or less are met.
         open_boxes: list[int] = []
-        for k, box in enumerate(boxes):
-            open_boxes = [o for o in open_boxes if boxes[o][3] + 5 >= box[1]]
+        for k, (_, *box) in enumerate(rows):
+            open_boxes = [o for o in open_boxes if rows[o][4] + 5 >= box[1]]
             for o in open_boxes:
-                if _adjacent(boxes[o], box):
+                if _adjacent(rows[o][1:], box):
                     parent[find(o)] = find(k)
             open_boxes.append(k)
-        pdf["root"] = [find(k) for k in range(len(boxes))]
-        pdf["component"] = pdf.groupby("root")["idx"].transform("min")
-        return pdf[["page", "idx", "component"]]
+        least: dict[int, int] = {}
+        for k, row in enumerate(rows):
+            root = find(k)
+            least[root] = min(least.get(root, row[0]), row[0])
+        return [(row[0], least[find(k)]) for k, row in enumerate(rows)]
 
-    return nodes.groupBy("page").applyInPandas(run, "page long, idx long, component long")
+    return by_page(nodes, BOX, rule, "idx long, component long")
 
 
 def running_mean_segments(df: DataFrame, value: str, limit: float | None = None) -> DataFrame:
@@ -64,19 +109,18 @@ def running_mean_segments(df: DataFrame, value: str, limit: float | None = None)
     Without a limit it is 0.28 of the page's median height, between 2.5 and 4.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([value, "x1", "idx"]).reset_index(drop=True)
-        heights = (pdf.y2 - pdf.y1)[pdf.y2 > pdf.y1]
-        reach = limit if limit is not None else min(max(heights.median() * 0.28 if len(heights) else 0.0, 2.5), 4.0)
+    def rule(rows: list[tuple]) -> list[tuple]:
+        heights = [r[4] - r[2] for r in rows if r[4] > r[2]]
+        reach = limit if limit is not None else min(max(median(heights) * 0.28 if heights else 0.0, 2.5), 4.0)
         segment, out, total, n = 0, [], 0.0, 0
-        for v in pdf[value]:
+        for v, _, idx in sorted((r[5], r[1], r[0]) for r in rows):
             if n and abs(v - total / n) > reach:
                 segment, total, n = segment + 1, 0.0, 0
             total, n = total + v, n + 1
-            out.append(segment)
-        return pdf.assign(segment=out)[["page", "idx", "segment"]]
+            out.append((idx, segment))
+        return out
 
-    return df.groupBy("page").applyInPandas(run, "page long, idx long, segment long")
+    return by_page(df, [*BOX, value], rule, "idx long, segment long")
 
 
 def growing_lines(df: DataFrame) -> DataFrame:
@@ -86,23 +130,18 @@ def growing_lines(df: DataFrame) -> DataFrame:
     their centers are within 0.55 of the larger one.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(k1=-pdf.y2, k2=-pdf.y1).sort_values(["k1", "x1", "k2", "idx"]).reset_index(drop=True)
+    def rule(rows: list[tuple]) -> list[tuple]:
         line, low, high, out = -1, 0.0, 0.0, []
-        for y1, y2 in zip(pdf.y1, pdf.y2, strict=True):
-            if line >= 0:
-                ha, hb = max(high - low, 1.0), max(y2 - y1, 1.0)
-                same = (min(high, y2) - max(low, y1)) / min(ha, hb) >= 0.45 or abs((low + high) / 2 - (y1 + y2) / 2) <= 0.55 * max(ha, hb)
-            else:
-                same = False
-            if same:
+        for idx, _, y1, _, y2 in sorted(rows, key=lambda r: (-r[4], r[1], -r[2], r[0])):
+            ha, hb = max(high - low, 1.0), max(y2 - y1, 1.0)
+            if line >= 0 and ((min(high, y2) - max(low, y1)) / min(ha, hb) >= 0.45 or abs((low + high) / 2 - (y1 + y2) / 2) <= 0.55 * max(ha, hb)):
                 low, high = min(low, y1), max(high, y2)
             else:
                 line, low, high = line + 1, y1, y2
-            out.append(line)
-        return pdf.assign(line=out)[["page", "idx", "line"]]
+            out.append((idx, line))
+        return out
 
-    return df.groupBy("page").applyInPandas(run, "page long, idx long, line long")
+    return by_page(df, BOX, rule, "idx long, line long")
 
 
 def greedy_line_merge(df: DataFrame, horizontal: bool) -> DataFrame:
@@ -113,23 +152,34 @@ def greedy_line_merge(df: DataFrame, horizontal: bool) -> DataFrame:
     boxes with the first member's idx, the number of members and their idxs.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["idx", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None), key=lambda r: (-r[4], r[1], -r[2], r[0]))
-        left, out = rows[:], []
-        while left:
-            idx, *box = left.pop(0)
-            members = [idx]
+    def rule(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (-r[4], r[1], -r[2], r[0]))
+        tallest = max(max(r[4] - r[2], 1.0) for r in rows)
+        waits = [True] * len(rows)
+        out = []
+        for first, (idx, *box) in enumerate(rows):
+            if not waits[first]:
+                continue
+            waits[first], members = False, [idx]
             while True:
-                best = min((s for s in ((_follows(box, r[1:], horizontal), k) for k, r in enumerate(left)) if s[0] is not None), default=None)
+                # Rows come by their upper edge: those behind the reach can't follow.
+                reach = box[1] if horizontal else box[1] - 0.9 * max(tallest, box[3] - box[1])
+                best = None
+                for k in range(first + 1, len(rows)):
+                    if rows[k][4] < reach:
+                        break
+                    if waits[k] and (rank := _follows(box, rows[k][1:], horizontal)) is not None and (best is None or (rank, k) < best):
+                        best = rank, k
                 if best is None:
                     break
-                other = left.pop(best[1])
+                other = rows[best[1]]
+                waits[best[1]] = False
                 members.append(other[0])
                 box = [min(box[0], other[1]), min(box[1], other[2]), max(box[2], other[3]), max(box[3], other[4])]
-            out.append((pdf.page.iloc[0], idx, *box, len(members), members))
-        return pd.DataFrame(out, columns=["page", "idx", "x1", "y1", "x2", "y2", "members", "merged"])
+            out.append((idx, *box, len(members), members))
+        return out
 
-    return df.groupBy("page").applyInPandas(run, "page long, idx long, x1 double, y1 double, x2 double, y2 double, members long, merged array<long>")
+    return by_page(df, BOX, rule, "idx long, x1 double, y1 double, x2 double, y2 double, members long, merged array<long>")
 
 
 def _follows(a, b, horizontal: bool) -> tuple | None:
@@ -147,46 +197,45 @@ def _follows(a, b, horizontal: bool) -> tuple | None:
 def overlap_clusters(df: DataFrame, least: int = 3) -> DataFrame:
     """(page, anchor, members): fragments that overlap on one baseline, with a growing anchor; y grows upward."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["idx", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None), key=lambda r: (-r[4], r[1], r[0]))
+    def rule(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (-r[4], r[1], r[0]))
         used, out = set(), []
         for k, (idx, *box) in enumerate(rows):
             if k in used:
                 continue
-            members, box = [idx], list(box)
+            members = 1
             for j in range(k + 1, len(rows)):
-                other = rows[j]
-                if j in used:
-                    continue
-                ha, hb = max(box[3] - box[1], 1.0), max(other[4] - other[2], 1.0)
-                level = (min(box[3], other[4]) - max(box[1], other[2])) / min(ha, hb) >= 0.62
-                if level and min(box[2], other[3]) - max(box[0], other[1]) > 0:
-                    members.append(other[0])
+                _, *other = rows[j]
+                if other[3] < box[1]:
+                    break  # rows come by their upper edge
+                ha, hb = max(box[3] - box[1], 1.0), max(other[3] - other[1], 1.0)
+                level = (min(box[3], other[3]) - max(box[1], other[1])) / min(ha, hb) >= 0.62
+                if j not in used and level and min(box[2], other[2]) - max(box[0], other[0]) > 0:
+                    members += 1
                     used.add(j)
-                    box = [min(box[0], other[1]), min(box[1], other[2]), max(box[2], other[3]), max(box[3], other[4])]
-            if len(members) >= least:
-                out.append((pdf.page.iloc[0], idx, len(members)))
-        return pd.DataFrame(out, columns=["page", "anchor", "members"])
+                    box = [min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3])]
+            if members >= least:
+                out.append((idx, members))
+        return out
 
-    return df.groupBy("page").applyInPandas(run, "page long, anchor long, members long")
+    return by_page(df, BOX, rule, "anchor long, members long")
 
 
 def scale_lanes(df: DataFrame) -> DataFrame:
     """(page, idx, lane): greedy lanes of similar left edge and width; the first that fits takes a box."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y1", "x1", "idx"]).reset_index(drop=True)
+    def rule(rows: list[tuple]) -> list[tuple]:
         lanes: list[tuple[float, float]] = []
         out = []
-        for x1, x2 in zip(pdf.x1, pdf.x2, strict=True):
+        for _, x1, idx, x2 in sorted((r[2], r[1], r[0], r[3]) for r in rows):
             lane = next((k for k, (a, w) in enumerate(lanes) if abs(a - x1) <= 18 and abs(w - (x2 - x1)) <= 24), None)
             if lane is None:
                 lane = len(lanes)
                 lanes.append((x1, x2 - x1))
-            out.append(lane)
-        return pdf.assign(lane=out)[["page", "idx", "lane"]]
+            out.append((idx, lane))
+        return out
 
-    return df.groupBy("page").applyInPandas(run, "page long, idx long, lane long")
+    return by_page(df, BOX, rule, "idx long, lane long")
 
 
 # ---- texts ---------------------------------------------------------------------------------
@@ -246,28 +295,47 @@ def distinct_lines(text: str) -> str:
     is two of the last three kept ones joined in order, or was kept before. A long
     line that is alike to a kept long one takes its place if it is longer, else goes.
     """
-    kept: dict[int, tuple[str, str]] = {}  # place -> (bare, line); places never move
+    lines: list[str] = []
+    bares: list[str] = []
+    held: Counter = Counter()
+    twins: list[_Twin | None] = []
     for line in sanitize(text).split("\n"):
         bare = re.sub(r"\s+", "", line)
-        bares = [b for b, _ in kept.values()]
         long = len(bare) >= LONG_LINE
         recent = bares[-3:]
         repeated = bool(bares) and bare == bares[-1]
         joined = long and any(bare == x + y for k, x in enumerate(recent) for y in recent[k + 1 :])
-        if repeated or joined or long and bare in bares:
+        if repeated or joined or long and held[bare]:
             continue
-        twin = next((k for k, (b, _) in kept.items() if len(b) >= LONG_LINE and _alike(bare, b)), None) if long else None
+        counts = Counter(bare) if long else None
+        twin = next((k for k, t in enumerate(twins) if t is not None and t.alike(bare, counts)), None) if long else None
         if twin is None:
-            kept[len(kept)] = (bare, line)
-        elif len(bare) > len(kept[twin][0]):
-            kept[twin] = (bare, line)
-    return "\n".join(line for _, line in kept.values()).strip()
-
-
-def _alike(a: str, b: str) -> bool:
-    m = SequenceMatcher(None, a, b)
-    # The cheap upper bounds first; the exact ratio decides.
-    return m.real_quick_ratio() >= LINE_ALIKE and m.quick_ratio() >= LINE_ALIKE and m.ratio() >= LINE_ALIKE
+            lines.append(line)
+            bares.append(bare)
+            held[bare] += 1
+            twins.append(_Twin(bare) if long else None)
+        elif len(bare) > len(bares[twin]):
+            held[bares[twin]] -= 1
+            held[bare] += 1
+            lines[twin], bares[twin], twins[twin] = line, bare, _Twin(bare)
+    return "\n".join(lines).strip()
+
+
+class _Twin:
+    """A kept long line, ready to be compared with many others."""
+
+    def __init__(self, bare: str):
+        self.bare, self.counts, self.matcher = bare, Counter(bare), None
+
+    def alike(self, bare: str, counts: Counter) -> bool:
+        """Whether the ratio of matching characters is ``LINE_ALIKE`` or more; two upper bounds of it come first."""
+        least = LINE_ALIKE * (len(bare) + len(self.bare))
+        if 2 * min(len(bare), len(self.bare)) < least or 2 * (counts & self.counts).total() < least:
+            return False
+        if self.matcher is None:
+            self.matcher = SequenceMatcher(None, "", self.bare)
+        self.matcher.set_seq1(bare)
+        return self.matcher.ratio() >= LINE_ALIKE
 
 
 @F.pandas_udf(T.StringType())
@@ -275,6 +343,27 @@ def without_repeated_lines(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else distinct_lines(s))
 
 
+def is_block_noise(text: str) -> bool:
+    """Whether the letters of a text are one short block over and over, as a table's rules read as text.
+
+    NFKC, white space aside, 10 characters and 10 letters or more. Up to four
+    letters at the end may be left over; what is before them is in capitals, has 8
+    letters or more and is a block of two to four letters three times or more.
+    """
+    bare = "".join(unicodedata.normalize("NFKC", text).split())
+    letters = "".join(filter(str.isalpha, bare))
+    if len(bare) < 10 or len(letters) < 10:
+        return False
+    bodies = (letters[: len(letters) - tail] for tail in range(5))
+    return any(len(b) % size == 0 and len(b) >= max(8, 3 * size) and b[size:] == b[:-size] for b in bodies if b.isupper() for size in (2, 3, 4))
+
+
+@F.pandas_udf(T.BooleanType())
+def block_noise(texts: pd.Series) -> pd.Series:
+    """As :func:`is_block_noise`; null stays null."""
+    return texts.map(lambda s: None if s is None else is_block_noise(s))
+
+
 @F.pandas_udf(T.IntegerType())
 def display_width(texts: pd.Series) -> pd.Series:
     """Columns a text takes: full-width characters count twice; null stays null."""

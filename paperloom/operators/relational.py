@@ -65,3 +65,19 @@ def nearest_in_window(left: DataFrame, right: DataFrame, by: list[str], pos: str
     hit = left.withColumn("at", F.col(pos)).join(around, [*by, "at"]).where(F.col("other_pos") != F.col(pos))
     rank = F.row_number().over(W.partitionBy(*by, pos).orderBy(F.abs(F.col("other_pos") - F.col(pos)), "other_pos"))
     return hit.withColumn("rank", rank).where("rank = 1").drop("rank", "at")
+
+
+def strict_zip(segments: DataFrame, translations: DataFrame, key: str) -> DataFrame:
+    """Both tables' rows by (key, pos); ``paired`` is false where one has no counterpart."""
+    a = segments.withColumn("has_segment", F.lit(True))
+    b = translations.withColumn("has_translation", F.lit(True))
+    both = a.join(b, [key, "pos"], "full_outer")
+    return both.withColumn("paired", F.col("has_segment").isNotNull() & F.col("has_translation").isNotNull()).drop("has_segment", "has_translation")
+
+
+def inside(path: Column) -> Column:
+    """Whether a relative path stays in its folder at every step; an absolute one doesn't, null stays null."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    # Depth below the folder; once outside it stays outside.
+    step = lambda depth, p: F.when(depth < 0, depth).when(p == "..", depth - 1).otherwise(depth + 1)
+    return ~path.startswith("/") & (F.aggregate(parts, F.lit(0), step) > 0)

@@ -345,9 +345,12 @@ def _(t: Tables):
     return t.boxes.groupBy("page", F.col("y1").alias("line_y")).agg(F.array_join(F.transform(words, lambda s: s["w"]), " ").alias("line"))
 
 
-@query("agg7_ocr_lines", "SELECT order_key, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS words FROM {boxes} GROUP BY 1, 2")
+@query("agg7_ocr_lines", "SELECT order_key, line_no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS words, string_agg(CAST(part_key AS VARCHAR), ' ' ORDER BY x1, part_key, supp_key) AS line FROM {boxes} GROUP BY 1, 2")
 def _(t: Tables):
-    return t.boxes.groupBy("order_key", "line_no").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).alias("words"))
+    """A line's outline and its words from left to right."""
+    words = F.array_sort(F.collect_list(F.struct("x1", "part_key", "supp_key")))
+    outline = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).alias("words")]
+    return t.boxes.groupBy("order_key", "line_no").agg(*outline, F.array_join(F.transform(words, lambda w: w["part_key"].cast("string")), " ").alias("line"))
 
 
 @query("agg12_text_coverage", "SELECT page, round(sum((x2 - x1) * (y2 - y1)) / 484704.0, 4) AS coverage FROM {boxes} GROUP BY page")

@@ -252,10 +252,11 @@ def _(t: Tables):
     return t.boxes.groupBy("order_key").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.array_join(F.transform(words, lambda w: w["part_key"].cast("string")), " ").alias("text"))
 
 
-@query("fmt5_ocr_decision", "SELECT page, CASE WHEN bool_and(size > 5) THEN 'no_ocr' WHEN bool_or(font = 'AF') THEN 'no_ocr' WHEN bool_or(size > 5) THEN 'no_ocr' ELSE 'rebuild' END AS decision FROM {boxes} GROUP BY page")
+@query("fmt5_ocr_decision", "SELECT page, CASE WHEN bool_and(size > 6) THEN 'no_ocr' WHEN bool_or(font = 'AF') THEN 'no_ocr' WHEN bool_or(size > 7) THEN 'no_ocr' WHEN page % 4 = 0 THEN 'error' ELSE 'rebuild' END AS decision FROM {boxes} GROUP BY page")
 def _(t: Tables):
-    every, some = F.bool_and(F.col("size") > 5), F.bool_or(F.col("size") > 5)
-    return t.boxes.groupBy("page").agg(F.when(every | F.bool_or(F.col("font") == "AF") | some, "no_ocr").otherwise("rebuild").alias("decision"))
+    """All text, a font or any text: no OCR; else an error where OCR is off (here each fourth page), and a rebuild where it is on."""
+    text, font, some, off = F.bool_and(F.col("size") > 6), F.bool_or(F.col("font") == "AF"), F.bool_or(F.col("size") > 7), F.col("page") % 4 == 0
+    return t.boxes.groupBy("page").agg(F.when(text | font | some, "no_ocr").when(off, "error").otherwise("rebuild").alias("decision"))
 
 
 @query("fmt9_segment_map", "SELECT doc_id, count(*) AS segments, string_agg('[T]' || line, chr(10) ORDER BY pos) AS translated FROM (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) GROUP BY doc_id")

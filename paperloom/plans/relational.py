@@ -341,14 +341,32 @@ def _(t: Tables):
 
 @query(
     "jon9_strict_zip",
-    """SELECT l_orderkey AS order_key, count(*) AS segments, count(*) = max(n) AS complete FROM lineitem JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = k GROUP BY 1""",
+    """WITH s AS (SELECT conv_id, text AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'user'), u AS (SELECT conv_id, text AS translated, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'assistant'),
+    j AS (SELECT coalesce(s.conv_id, u.conv_id) AS conv_id, coalesce(s.pos, u.pos) AS pos, source, translated, s.pos IS NOT NULL AND u.pos IS NOT NULL AS paired FROM s FULL JOIN u ON s.conv_id = u.conv_id AND s.pos = u.pos)
+    SELECT conv_id, count(*) AS longest, count_if(paired) AS pairs, bool_and(paired) AS complete FROM j GROUP BY conv_id""",
 )
 def _(t: Tables):
-    n = t.lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("n"))
-    m = t.lineitem.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("segments"))
-    joined = m.join(n, "order_key")
-    checked = F.assert_true(F.col("segments") == F.col("n"), F.lit("segments and translations differ in number")).isNull()
-    return joined.select("order_key", "segments", checked.alias("complete"))
+    """What users said stands in for segments, the answers for their translations: two tables of their own."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    side = lambda role, name: t.conversations.where(F.col("role") == role).select("conv_id", place.alias("pos"), F.col("text").alias(name))
+    return rel.strict_zip(side("user", "source"), side("assistant", "translated"), "conv_id").groupBy("conv_id").agg(F.count(F.lit(1)).alias("longest"), F.count_if("paired").alias("pairs"), F.bool_and("paired").alias("complete"))
+
+
+@query("ord7_best_by_tuple", "SELECT page, arg_max(order_key, (size, -y1, -x1, order_key)) AS best, arg_min(order_key, (y1, x1, order_key)) AS lowest FROM {boxes} GROUP BY page")
+def _(t: Tables):
+    best = F.max_by("order_key", F.struct("size", -F.col("y1"), -F.col("x1"), "order_key"))
+    return t.boxes.groupBy("page").agg(best.alias("best"), F.min_by("order_key", F.struct("y1", "x1", "order_key")).alias("lowest"))
+
+
+PATHS = ("a/b.pdf", "a/../b.pdf", "../b.pdf", "a/../../b.pdf", "./a//b.pdf")
+
+
+@query("snk6_expired_files")
+def _(t: Tables):
+    """Files to delete: expired, not deleted yet, and inside of the storage folder; the unlinking itself is no query."""
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("file_id") % len(PATHS) + 1).cast("int"))
+    expired = t.files.where(~F.col("deleted") & (F.col("size_bytes") > 0)).select("file_id", F.concat(path, F.lit("."), F.col("file_id").cast("string")).alias("path"))
+    return expired.select("file_id", "path", rel.inside(F.col("path")).alias("inside"))
 
 
 @query(

@@ -77,10 +77,12 @@ def _(t: Tables):
     "SELECT a.page, a.line_y, count(*) AS tails FROM (SELECT page, y1 AS line_y, min(x1) AS x1, max(x2) AS x2 FROM {boxes} GROUP BY 1, 2) a JOIN (SELECT page, y1 AS line_y, x1 FROM {boxes}) b ON a.page = b.page AND b.line_y < a.line_y AND a.line_y - b.line_y <= 18 AND b.x1 <= a.x1 + 6 GROUP BY 1, 2",
 )
 def _(t: Tables):
-    # Lines lie 18 apart, so the next lower line is an equi join on its position.
-    lines = t.boxes.groupBy("page", F.col("y1").alias("line_y")).agg(F.min("x1").alias("first_x"))
-    below = t.boxes.select("page", (F.col("y1") + 18).alias("line_y"), "x1")
-    return lines.join(below, ["page", "line_y"]).where(F.col("x1") <= F.col("first_x") + 6).groupBy("page", "line_y").agg(F.count(F.lit(1)).alias("tails"))
+    # Boxes at most 18 lower lie in the same band of 18 or the one below: an equi join on page and band.
+    band = F.floor(F.col("y1") / 18)
+    lines = t.boxes.groupBy("page", F.col("y1").alias("line_y")).agg(F.min("x1").alias("first_x")).withColumn("band", F.explode(F.array(F.floor(F.col("line_y") / 18), F.floor(F.col("line_y") / 18) - 1)))
+    below = t.boxes.select("page", "y1", "x1", band.alias("band"))
+    down = F.col("line_y") - F.col("y1")
+    return lines.join(below, ["page", "band"]).where((down > 0) & (down <= 18) & (F.col("x1") <= F.col("first_x") + 6)).groupBy("page", "line_y").agg(F.count(F.lit(1)).alias("tails"))
 
 
 DEFINITIONS = [("Power: the rate of work", 3), ("no colon here", 2), ("a: b: c", 2), (":", 2), ("Name:   spaced", 1)]

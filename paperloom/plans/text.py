@@ -81,12 +81,11 @@ def _(t: Tables):
     return t.values(OVERLAPS, "a string, b string").select("a", "b", F.when(n >= 2, F.concat(a, b.substr(n + 1, F.length(b)))).otherwise(F.concat(a, b)).alias("merged"))
 
 
-NOISE = [("ABABAB",), ("VCCVCCVCC12",), ("AAAAAA",), ("HELLO",), ("ABCABCABCABCD",)]
-
-
 @query("dup8_block_noise")
 def _(t: Tables):
-    return t.values(NOISE, "s string").select("s", F.col("s").rlike(r"^([A-Z]{2,4}?)\1{2,}[A-Z0-9]{0,4}$").alias("noise"))
+    """Lines of all documents, and per document how many are noise."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(folds.block_noise("line")).alias("noise"))
 
 
 # ---- string rules on fixtures --------------------------------------------------------------
@@ -136,15 +135,22 @@ def _(t: Tables):
     )
 
 
-TOKENS = [("Set I2C_CTRL to 0x1F at 5 mV",), ("plain words",), ("VDD=3.3V and GPIO[3:0]",), (None,)]
-
-
 @query("str6_str7_protect_tokens")
 def _(t: Tables):
+    """All documents: tokens, a digest of the protected text, and whether restoring gives the text back."""
     from paperloom.operators.tokens import protect, restored
 
-    v = t.values(TOKENS, "s string").select("s", protect("s").alias("p"))
-    return v.select("s", "p.text", F.size("p.tokens").cast("long").alias("tokens"), restored("p").alias("restored"))
+    v = t.documents.select("doc_id", "text", protect("text").alias("p"))
+    return v.select("doc_id", F.size("p.tokens").cast("long").alias("tokens"), F.sha2("p.text", 256).alias("protected_sha256"), restored("p").eqNullSafe(F.col("text")).alias("restored"))
+
+
+@query("rw16_protected_tokens")
+def _(t: Tables):
+    """The tokens that were protected, by how often they occur in all documents."""
+    from paperloom.operators.tokens import protect
+
+    tokens = t.documents.select(F.explode(protect("text")["tokens"]).alias("p")).select(F.col("p.token").alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 TOC = [("Overview ..... 12",), ("Overview 12",), ("3.1 Electrical Data . . . . . . 7",), ("Notes.........xi",), ("",)]
@@ -200,6 +206,22 @@ def _(t: Tables):
     return got.select("name", F.array_join("tokens", " ").alias("tokens"), has("bold", "black", "heavy").alias("bold"), has("italic", "oblique").alias("italic"), has("courier", "mono", "consolas").alias("mono"), has("times", "serif", "georgia").alias("serif"))
 
 
+#: Each part gets a font name; its number stands in for the traits that are stored so far.
+FONT_NAMES = "CASE p_partkey % 9 WHEN 0 THEN 'ABCDEF+Arial-BoldMT' WHEN 1 THEN 'CourierNew' WHEN 2 THEN 'Times-Roman' WHEN 3 THEN 'Noto Sans Mono' WHEN 4 THEN 'Georgia,BoldItalic' WHEN 5 THEN 'F1' WHEN 6 THEN '' WHEN 7 THEN 'SourceHanSerif-Heavy' END"
+_SAYS = lambda words: f"CAST(regexp_matches(bare, '{'|'.join(words)}') AS INTEGER)"
+
+
+@query(
+    "rw13_font_traits",
+    f"""WITH n AS (SELECT p_partkey, regexp_replace(lower({FONT_NAMES}), '[^a-z0-9]+', '', 'g') AS bare, p_size % 2 AS was_bold FROM part),
+    f AS (SELECT p_partkey, was_bold, {_SAYS(labels.BOLD_NAMES)} AS bold, {_SAYS(labels.ITALIC_NAMES)} AS italic, {_SAYS(labels.MONO_NAMES)} AS monospace, CASE WHEN {_SAYS(labels.SANS_NAMES)} = 1 THEN 0 WHEN {_SAYS(labels.SERIF_NAMES)} = 1 THEN 1 END AS serif FROM n)
+    SELECT p_partkey, bold, italic, monospace, serif, bold <> was_bold AS changed FROM f WHERE serif IS NOT NULL OR bold + italic + monospace > 0""",
+)
+def _(t: Tables):
+    fonts = t.part.select("p_partkey", F.expr(FONT_NAMES).alias("name"), (F.col("p_size") % 2).alias("was_bold")).withColumn("told", labels.font_traits(F.col("name")))
+    return fonts.where("told IS NOT NULL").select("p_partkey", "told.*", (F.col("told.bold") != F.col("was_bold")).alias("changed"))
+
+
 @query("jon19_font_match", "SELECT wanted, max_by(have, (score, have)) AS match FROM (SELECT w.n AS wanted, h.n AS have, len(list_intersect(string_split(w.n, ' '), string_split(h.n, ' '))) * 10 AS score FROM (VALUES ('noto sans bold'), ('courier new'), ('times italic')) w(n), (VALUES ('noto sans'), ('noto serif bold'), ('courier'), ('times roman italic')) h(n)) WHERE score >= 20 GROUP BY wanted")
 def _(t: Tables):
     wanted = t.values([("noto sans bold",), ("courier new",), ("times italic",)], "wanted string")

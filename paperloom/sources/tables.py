@@ -102,3 +102,15 @@ class Tables:
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         """A small literal relation, for fixtures that the tables have no rows for."""
         return self.spark.createDataFrame(rows, schema)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, driver: str | None = None, fetch: int = 10_000) -> DataFrame:
+    """A database table, read in ranges of a numeric key; filters and columns are pushed down to the database.
+
+    Rows below ``low`` or from ``high`` on are in the first and the last range. The
+    driver's class has to be on Spark's path.
+    """
+    options = {"url": url, "dbtable": table, "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": partitions, "fetchsize": fetch}
+    if driver:
+        options["driver"] = driver
+    return spark.read.format("jdbc").options(**options).load()

@@ -111,9 +111,83 @@ def test_tokens_round_trip(spark):
     rows = [("Set I2C_CTRL to 0x1F at 5 mV",), ("costs $1 and C:\\x_Y 0x2",), ("none",), ("",)]
     df = spark.createDataFrame(rows, "s string").select("s", tokens.protect("s").alias("p"))
     for r in df.select("s", "p.text", "p.tokens", tokens.restored("p").alias("back")).collect():
-        assert r.back == r.s and all(t.token not in r.text for t in r.tokens)
-    text, pairs = tokens.protect_text("Set I2C_CTRL to 0x1F at 5 mV")
-    assert [t for _, t in pairs] == ["I2C_CTRL", "0x1F", "5 mV"] and tokens.protect_text(text) == (text, [])
+        assert r.back == r.s and all(t.name in r.text for t in r.tokens)
+    text, pairs = tokens.protect_text("Set VDD_IO to 5 mV")
+    assert [t for _, t in pairs] == ["VDD_IO", "5 mV"] and tokens.protect_text(text) == (text, [])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("10 \u00b5F at 85 \u00b0C", ["10 \u00b5F", "85 \u00b0C"]),
+        ("vdd or GND", ["vdd", "GND"]),
+        ("4 k\u03a9, 4 k\u2126 and 3 MHz", ["4 k\u03a9", "4 k\u2126", "3 MHz"]),
+        ("2 ppm/\u00b0C of 860 SPS", ["ppm/\u00b0C", "860 SPS"]),
+        ("VIN = 3.3 V now", ["VIN = 3.3 V"]),
+        ("2 mm x 3 mm \u00d7 4,5 mm", ["2 mm x 3 mm \u00d7 4,5 mm"]),
+        ("2mm{v1}3mm", ["2mm{v1}3mm"]),
+        ("V{v2}DD1 {VDD} <b12>R</b12>", ["V{v2}DD1", "R"]),
+        ("ADC_DATA_12 adc_data", ["ADC_DATA_12"]),
+        ("RA and C, Car", ["RA", "C"]),
+        ("per cent % of LSB", ["%", "LSB"]),
+        ("-5 mA/ms, .5 in, -7 mA", ["mA/ms", ".5 in", "-7 mA"]),
+        ("12 months, 7 a", []),
+    ],
+)
+def test_token_shapes(text, want):
+    protected, pairs = tokens.protect_text(text)
+    assert [t for _, t in pairs] == want
+    for name, token in pairs:
+        protected = protected.replace(name, token)
+    assert protected == text
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("ABABABABAB", True), ("ABAB AB AB\nAB", True), ("VCCVCCVCCVCC12", True), ("ABCDABCDABCDxyz", True), ("AAAAAAAAAA", True), ("\uff21\uff22" * 5, True), ("VCC VCC VCC VCC", True), ("ABABAB", False), ("VCCVCCVCC12", False), ("AAAAAA", False), ("abababababab", False), ("ABABABABCDEFGHI", False), ("", False)],
+)
+def test_block_noise(text, want):
+    assert folds.is_block_noise(text) is want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ABb1 ", max_size=26))
+def test_block_noise_equals_its_definition(text):
+    letters = [c for c in text if c.isalpha()]
+    want = False
+    if len(text.replace(" ", "")) >= 10 and len(letters) >= 10:
+        for tail in range(5):
+            body = "".join(letters[: len(letters) - tail])
+            for size in (2, 3, 4):
+                times = len(body) // size
+                want = want or len(body) >= 8 and body == body.upper() and times >= 3 and body == body[:size] * times
+    assert folds.is_block_noise(text) is want
+
+
+def test_paths_inside(spark):
+    import posixpath
+
+    paths = ["a/b", "a/../b", "../b", "a/../../b", "./a//b", "/etc/x", "a/..", "", ".", "..", "a/./../../a/b"]
+    from paperloom.operators import relational
+
+    got = {r.p: r.ok for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", relational.inside(F.col("p")).alias("ok")).collect()}
+    for p in paths:
+        depth, out = 0, False
+        for part in p.split("/"):
+            depth += {"": 0, ".": 0, "..": -1}.get(part, 1)
+            out = out or depth < 0
+        assert got[p] == (not p.startswith("/") and not out and posixpath.normpath(p) not in (".", "..")), p
+
+
+def test_jdbc_reader_asks_for_ranges():
+    from unittest.mock import MagicMock
+
+    from paperloom.sources.tables import read_jdbc
+
+    spark = MagicMock()
+    read_jdbc(spark, "jdbc:x", "jobs", "id", 0, 100, 8, driver="org.x.Driver")
+    given = spark.read.format.return_value.options.call_args.kwargs
+    assert spark.read.format.call_args.args == ("jdbc",) and given["partitionColumn"] == "id" and given["numPartitions"] == 8 and given["driver"] == "org.x.Driver"
 
 
 def boxes(spark, n=60, seed=0):
@@ -138,6 +212,107 @@ def test_folds_ignore_row_order_and_partitions(spark, operator):
     assert sorted(map(repr, a)) == sorted(map(repr, b)) and a
 
 
+def by_pages(rows):
+    return {page: [r[1:] for r in rows if r[0] == page] for page in sorted({r[0] for r in rows})}
+
+
+def naive_means(rows, limit):
+    out = []
+    for page, own in by_pages(rows).items():
+        heights = sorted(r[4] - r[2] for r in own)
+        middle = (heights[(len(heights) - 1) // 2] + heights[len(heights) // 2]) / 2
+        reach = limit or min(max(0.28 * middle, 2.5), 4.0)
+        segments = [[]]
+        for cy, _, idx in sorted(((r[2] + r[4]) / 2 if limit is None else (r[1] + r[3]) / 2, r[1], r[0]) for r in own):
+            held = [v for v, _ in segments[-1]]
+            if held and abs(cy - sum(held) / len(held)) > reach:
+                segments.append([])
+            segments[-1].append((cy, idx))
+        out += [(page, idx, k) for k, s in enumerate(segments) for _, idx in s]
+    return sorted(out)
+
+
+def test_running_means_equal_naive(spark):
+    rows = boxes(spark, 200, 8)
+    df = spark.createDataFrame(rows, SCHEMA)
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    assert sorted(map(tuple, folds.running_mean_segments(df.withColumn("cy", middle("y1", "y2")), "cy").collect())) == naive_means(rows, None)
+    assert sorted(map(tuple, folds.running_mean_segments(df.withColumn("cx", middle("x1", "x2")), "cx", 7.0).collect())) == naive_means(rows, 7.0)
+
+
+def test_growing_lines_equal_naive(spark):
+    rows, want = boxes(spark, 200, 9), []
+    for page, own in by_pages(rows).items():
+        lines = []
+        for idx, _, y1, _, y2 in sorted(own, key=lambda r: (-r[4], r[1], -r[2], r[0])):
+            fits = False
+            if lines:
+                low, high = min(b[0] for b in lines[-1][0]), max(b[1] for b in lines[-1][0])
+                small, large = sorted((max(high - low, 1), max(y2 - y1, 1)))
+                fits = (min(high, y2) - max(low, y1)) / small >= 0.45 or abs(low + high - y1 - y2) / 2 <= 0.55 * large
+            if not fits:
+                lines.append(([], []))
+            lines[-1][0].append((y1, y2))
+            lines[-1][1].append(idx)
+        want += [(page, idx, k) for k, (_, ids) in enumerate(lines) for idx in ids]
+    assert sorted(map(tuple, folds.growing_lines(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("horizontal", [True, False])
+def test_greedy_merge_equals_naive(spark, horizontal):
+    rows, want = boxes(spark, 240, 10), []
+    for page, own in by_pages(rows).items():
+        left = sorted(own, key=lambda r: (-r[4], r[1], -r[2], r[0]))
+        while left:
+            idx, *box = left.pop(0)
+            members = [idx]
+            while ranks := [(folds._follows(box, r[1:], horizontal), k) for k, r in enumerate(left) if folds._follows(box, r[1:], horizontal) is not None]:
+                other = left.pop(min(ranks)[1])
+                members.append(other[0])
+                box = [min(box[0], other[1]), min(box[1], other[2]), max(box[2], other[3]), max(box[3], other[4])]
+            want.append((page, idx, *box, len(members), members))
+    got = [tuple(r) for r in folds.greedy_line_merge(spark.createDataFrame(rows, SCHEMA), horizontal).collect()]
+    assert sorted(got) == sorted(want) and any(r[6] > 1 for r in want)
+
+
+def test_overlap_clusters_equal_naive(spark):
+    rows, want = boxes(spark, 300, 11), []
+    for page, own in by_pages(rows).items():
+        left = sorted(own, key=lambda r: (-r[4], r[1], r[0]))
+        while left:
+            idx, *box = left.pop(0)
+            members, rest = 1, []
+            for r in left:
+                low = min(max(box[3] - box[1], 1), max(r[4] - r[2], 1))
+                if (min(box[3], r[4]) - max(box[1], r[2])) / low >= 0.62 and min(box[2], r[3]) > max(box[0], r[1]):
+                    members += 1
+                    box = [min(box[0], r[1]), min(box[1], r[2]), max(box[2], r[3]), max(box[3], r[4])]
+                else:
+                    rest.append(r)
+            left = rest
+            if members >= 2:
+                want.append((page, idx, members))
+    assert sorted(map(tuple, folds.overlap_clusters(spark.createDataFrame(rows, SCHEMA), 2).collect())) == sorted(want) and want
+
+
+def test_scale_lanes_equal_naive(spark):
+    rows, want = boxes(spark, 200, 12), []
+    for page, own in by_pages(rows).items():
+        lanes = []
+        for idx, x1, _, x2, _ in sorted(own, key=lambda r: (r[2], r[1], r[0])):
+            fits = [k for k, (a, w) in enumerate(lanes) if abs(a - x1) <= 18 and abs(w - x2 + x1) <= 24]
+            if not fits:
+                lanes.append((x1, x2 - x1))
+            want.append((page, idx, fits[0] if fits else len(lanes) - 1))
+    assert sorted(map(tuple, folds.scale_lanes(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(want)
+
+
+def test_by_page_takes_empty_tables_and_null_pages(spark):
+    assert folds.scale_lanes(spark.createDataFrame([], SCHEMA)).collect() == []
+    rows = [(None, 1, 0.0, 0.0, 5.0, 5.0), (None, 2, 100.0, 0.0, 105.0, 5.0), (0, 3, 0.0, 0.0, 5.0, 5.0)]
+    assert sorted(map(repr, map(tuple, folds.scale_lanes(spark.createDataFrame(rows, SCHEMA)).collect()))) == ["(0, 3, 0)", "(None, 1, 0)", "(None, 2, 1)"]
+
+
 def test_components_equal_closure(spark):
     rows = boxes(spark, 90, 2)
     got = {(r.page, r.idx): r.component for r in folds.page_components(spark.createDataFrame(rows, SCHEMA)).collect()}
