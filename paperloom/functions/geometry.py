@@ -147,3 +147,23 @@ def split_guard(region: Column, reason: Column, known: Column, technical: Column
         .otherwise("ordinary_body_split")
     )
     return F.struct(F.when(why.isin("fallback_line_technical_label", "numbered_marker_same_region"), "allowed").otherwise("rejected").alias("decision"), why.alias("reason"))
+
+
+def center_apart(a, b) -> Column:
+    """Distance of the two vertical centers."""
+    return F.abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
+
+
+def height(a) -> Column:
+    return F.greatest(a[3] - a[1], F.lit(1.0))
+
+
+def may_share_line(a, b) -> Column:
+    """Whether b may be a fragment of a's line: centers within 0.8 of the larger height, not far to the right."""
+    return (center_apart(a, b) <= F.greatest(height(a), height(b)) * 0.8) & (b[0] - a[2] <= F.greatest(F.lit(18.0), F.least(height(a), height(b)) * 2.0))
+
+
+def below_and_left(a, b) -> Column:
+    """Whether b reaches lower than a, starts no further right and ends at about the same height; y grows upward."""
+    lower = b[1] < a[1] - F.greatest(F.lit(2.0), height(a) * 0.2)
+    return lower & (b[0] <= a[0] + F.greatest(F.lit(8.0), height(a) * 0.6)) & (F.abs(b[3] - a[3]) <= F.greatest(height(a), height(b)) * 0.35)

@@ -105,3 +105,26 @@ def font_traits(name: Column) -> Column:
     bold, italic, mono = says(BOLD_NAMES), says(ITALIC_NAMES), says(MONO_NAMES)
     told = serif.isNotNull() | (bold + italic + mono > 0)
     return F.when(told, F.struct(bold.alias("bold"), italic.alias("italic"), mono.alias("monospace"), serif.alias("serif")))
+
+
+#: A text of nothing but punctuation; a number cut behind its point, and what goes on after it (fixed patterns).
+PUNCTUATION_ONLY = r"^[.,:;/%+\-\x{2013}\x{b1}()]+$"
+CUT_NUMBER, NUMBER_GOES_ON = r"[0-9]\.$", r"^[0-9]+[A-Za-z%\x{b0}\x{3a9}\x{2126}\x{b5}\x{3bc}]"
+
+
+def pair_reason(left: Column, right: Column, same_line: Column, wrapped: Column) -> Column:
+    """Why a right text goes to a left one: punctuation on its line, a decimal that wraps, or a possible fragment; else null.
+
+    Texts without characters have no reason.
+    """
+    return (
+        F.when((F.trim(left) == "") | (F.trim(right) == ""), None)
+        .when(same_line & F.trim(right).rlike(PUNCTUATION_ONLY), "inline_punctuation")
+        .when(wrapped & F.trim(left).rlike(CUT_NUMBER) & F.trim(right).rlike(NUMBER_GOES_ON), "wrapped_decimal")
+        .when(same_line, "potential_pair")
+    )
+
+
+def joined_text(left: Column, right: Column, reason: Column, gap: Column) -> Column:
+    """Both texts with a blank between them where the gap is over 1.5; punctuation and decimals join without one."""
+    return F.when((reason == "potential_pair") & (gap > 1.5), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))

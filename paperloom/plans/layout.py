@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as geo
+from paperloom.functions import labels
 from paperloom.operators import folds
 from paperloom.plans.registry import query, values_sql
 from paperloom.sources.tables import Tables
@@ -404,3 +405,25 @@ def _(t: Tables):
     g = t.supplier.groupBy(F.col("s_nationkey").alias("sheet")).agg(F.countDistinct(r).alias("row_count"), F.countDistinct(c).alias("column_count"), F.countDistinct(r * 10 + c).alias("cells"))
     ok = (F.col("row_count") >= 2) & (F.col("column_count") >= 2) & (F.col("cells") >= 3) & (F.col("cells").cast("double") / (F.col("row_count") * F.col("column_count")) >= 0.5)
     return g.withColumn("accepted", ok)
+
+
+#: A box's text by its place on the page: words, a cut number, what goes on after one, punctuation.
+BOX_TEXT = "CASE {i} % 5 WHEN 0 THEN 'Output' WHEN 1 THEN 'at 12.' WHEN 2 THEN '5V' WHEN 3 THEN ',' ELSE '' END"
+_H = "greatest({p}.y2 - {p}.y1, 1.0)".format
+_TALL, _LOW = f"greatest({_H(p='a')}, {_H(p='b')})", f"least({_H(p='a')}, {_H(p='b')})"
+
+
+@query(
+    "grd5_pair_reasons",
+    f"""WITH n AS (SELECT *, {BOX_TEXT.format(i="idx")} AS s FROM {NODES}), p AS (SELECT a.page, a.idx AS a_idx, b.idx AS b_idx, a.s AS l, b.s AS r, b.x1 - a.x2 AS gap,
+        abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= {_TALL} * 0.8 AND b.x1 - a.x2 <= greatest(18.0, {_LOW} * 2.0) AS line,
+        b.y1 < a.y1 - greatest(2.0, {_H(p="a")} * 0.2) AND b.x1 <= a.x1 + greatest(8.0, {_H(p="a")} * 0.6) AND abs(b.y2 - a.y2) <= {_TALL} * 0.35 AS wrapped
+        FROM n a JOIN n b ON a.page = b.page AND a.idx <> b.idx),
+    w AS (SELECT *, CASE WHEN l = '' OR r = '' THEN NULL WHEN line AND r = ',' THEN 'inline_punctuation' WHEN wrapped AND l = 'at 12.' AND r = '5V' THEN 'wrapped_decimal' WHEN line THEN 'potential_pair' END AS reason FROM p)
+    SELECT page, a_idx, b_idx, reason, CASE WHEN reason = 'potential_pair' AND gap > 1.5 THEN l || ' ' || r ELSE l || r END AS joined FROM w WHERE reason IS NOT NULL""",
+)
+def _(t: Tables):
+    """Pairs of a page's boxes that may belong together, why, and the text they would give."""
+    texts = [F.expr(BOX_TEXT.format(i=f"{p}idx")) for p in ("a_", "b_")]
+    found = pairs(t, F.col("a_idx") != F.col("b_idx")).withColumn("reason", labels.pair_reason(*texts, geo.may_share_line(A, B), geo.below_and_left(A, B)))
+    return found.where("reason IS NOT NULL").select("page", "a_idx", "b_idx", "reason", labels.joined_text(*texts, F.col("reason"), B[0] - A[2]).alias("joined"))
