@@ -220,10 +220,18 @@ def _(t: Tables):
     return at.where(f"created_at < TIMESTAMP_NTZ '{NOW}' - INTERVAL 30 DAY AND created_at >= TIMESTAMP_NTZ '{NOW}' - INTERVAL 60 DAY").select("job_id", stamp("created_at").alias("created"))
 
 
-@query("flt7_not_self", "SELECT a.file_id, b.file_id AS other_id FROM {files} a JOIN {files} b ON a.created_by = b.created_by AND a.size_bytes = b.size_bytes AND a.file_id <> b.file_id AND a.language = b.language")
+@query(
+    "flt7_not_self",
+    """SELECT file_id, n - 1 AS others, CASE WHEN file_id = lowest THEN highest ELSE lowest END AS other_id
+       FROM (SELECT file_id, count(*) OVER w AS n, min(file_id) OVER w AS lowest, max(file_id) OVER w AS highest FROM {files} WINDOW w AS (PARTITION BY created_by, size_bytes, language)) WHERE n > 1""",
+)
 def _(t: Tables):
-    a, b = t.files.select("file_id", "created_by", "size_bytes", "language"), t.files.select(F.col("file_id").alias("other_id"), "created_by", "size_bytes", "language")
-    return a.join(b, ["created_by", "size_bytes", "language"]).where("file_id <> other_id").select("file_id", "other_id")
+    """Files that have another one like them, how many, and one of those: a group never gives its pairs."""
+    key = ["created_by", "size_bytes", "language"]
+    groups = t.files.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("lowest"), F.max("file_id").alias("highest")).where("n > 1")
+    same = [t_.eqNullSafe(g) for t_, g in ((F.col(f"f.{k}"), F.col(f"g.{k}")) for k in key)]
+    other = F.when(F.col("file_id") == F.col("lowest"), F.col("highest")).otherwise(F.col("lowest"))
+    return t.files.alias("f").join(groups.alias("g"), same).select("file_id", (F.col("n") - 1).alias("others"), other.alias("other_id"))
 
 
 @query("flt8_boolean", "SELECT user_id FROM {users} WHERE is_active AND role = 'admin'")
@@ -287,13 +295,13 @@ def _(t: Tables):
 
 @query(
     "jon3_events_nested",
-    "SELECT c_custkey AS user_id, count(e.event_id) AS n_events, coalesce(string_agg(e.event_type, '>' ORDER BY e.ts, e.event_id), '') AS trail FROM customer LEFT JOIN events e ON c_custkey = e.user_id GROUP BY c_custkey",
+    "SELECT c_custkey AS user_id, e.event_id, e.event_type, CASE WHEN e.event_id IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY c_custkey ORDER BY e.ts, e.event_id) END AS place FROM customer LEFT JOIN events e ON c_custkey = e.user_id",
 )
 def _(t: Tables):
-    # The array is bounded by one user's events and is sorted by value, as collect_list has no order.
-    trail = t.events.groupBy("user_id").agg(F.count("event_id").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("list"))
-    joined = t.customer.select(F.col("c_custkey").alias("user_id")).join(trail, "user_id", "left")
-    return joined.select("user_id", F.coalesce("n", F.lit(0)).alias("n_events"), F.coalesce(F.array_join(F.transform("list", lambda e: e["event_type"]), ">"), F.lit("")).alias("trail"))
+    """Each user's events in order, as rows with their place: a user with very many events isn't one cell."""
+    joined = t.customer.select(F.col("c_custkey").alias("user_id")).join(t.events.select("user_id", "event_id", "event_type", "ts"), "user_id", "left")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return joined.select("user_id", "event_id", "event_type", F.when(F.col("event_id").isNull(), 0).otherwise(place).cast("long").alias("place"))
 
 
 @query("jon4_two_table_filter", "SELECT u.user_id, j.job_id FROM {users} u, {jobs} j WHERE u.user_id = j.created_by AND u.role = 'admin' AND j.status = 'failed'")
