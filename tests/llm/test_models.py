@@ -171,6 +171,23 @@ def test_language_never_reads_held_out_labels(docs):
     assert a == {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(changed).collect()}
 
 
+def test_language_scores_equal_plain_python(docs, rows):
+    """The query's names and scores, byte run by byte run from the model's own table."""
+    model = langid.train(docs, "doc_id", "text", "lang", langid.TRAIN_ROWS)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    bits = int(np.log2(len(model.logits)))
+    for i, t in rows[:60]:
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[i].lang_pred == "und"
+            continue
+        kept = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in t)
+        data = (" " + " ".join(x for x in kept.split(" ") if x) + " ").encode()
+        found = [(int.from_bytes(data[k : k + n], "little") + n) * 2654435761 % 2**32 >> 32 - bits for n in (2, 3, 4) for k in range(len(data) - n + 1)]
+        z = (sum(model.logits[f] for f in found) / len(found) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == model.names[int(p.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-6)
+
+
 def test_subword_counts():
     found = langid.counts("Ab, c")
     assert found.sum() == sum(len(" ab c ") - n + 1 for n in (2, 3, 4))
