@@ -44,7 +44,7 @@ SWEEPS = 4
 #: Added to each class bigram.
 SMOOTHING = 0.1
 #: Distinct words, and occurrences, that a counting task holds before it sends what it has.
-HELD_WORDS, HELD_TOKENS = 600_000, 8_000_000
+HELD_WORDS, HELD_TOKENS = 250_000, 3_000_000
 #: Bytes of texts whose words are looked up at once.
 GROUP_BYTES = 1 << 20
 
