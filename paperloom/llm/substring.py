@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, cut_at, ids_and_texts, remove
+from paperloom.llm.common import cut, cut_at, remove
 from paperloom.llm.words import mixed, words_of
 
 WINDOW = 13
