@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bitplane, brown, exact_dedup, langid, matroska, packing, quality, simhash, substring, wfst
+from paperloom.llm import bitplane, brown, exact_dedup, langid, matroska, oneperm, packing, quality, simhash, substring, wfst
 from paperloom.llm.common import documents
 
 WORDS = r"string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x09-\x0D\x20]+')"
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oneperm.edited_pairs(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op13_one_permutation": op13_one_permutation,
     }
 
 
