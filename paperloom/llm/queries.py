@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import bitplane, brown, exact_dedup, langid, matroska, oneperm, packing, quality, simhash, substring, wfst
+from paperloom.llm import bitplane, brown, collocations, drake, exact_dedup, langid, matroska, oneperm, packing, quality, simhash, substring, wfst
 from paperloom.llm.common import documents
 
 WORDS = r"string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x09-\x0D\x20]+')"
@@ -52,6 +52,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oneperm.edited_pairs(documents(spark, sf_dir))
 
@@ -68,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op11_drake_clusters": op11_drake_clusters,
+        "op12_collocations": op12_collocations,
         "op13_one_permutation": op13_one_permutation,
     }
 
@@ -80,4 +90,6 @@ def oracle_sql() -> dict[str, str]:
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
             FROM d
         """,
+        "op11_drake_clusters": drake.oracle_sql(),
+        "op12_collocations": collocations.ORACLE_SQL,
     }
