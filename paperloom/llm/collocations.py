@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import LOWER, UPPER, cut, cut_at, remove
+from paperloom.llm.common import LOWER, UPPER, cut
 from paperloom.llm.words import mixed
 
 #: Words of a shard.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bytes of text whose phrases make one bucket.
 BUCKET_BYTES = 4 << 20
 #: Parts of a language that are ranked by themselves first.
@@ -56,7 +56,7 @@ _BREAK = b"\n"
 class Automaton:
     """Generalised suffix automaton of word numbers, bounded to ``depth`` words.
 
-    ``words`` holds numbers from 1 and 0 between pieces. Of each level, that is each
+    ``words`` holds numbers from 1 and 0 between pieces, less than 2**31 of them. Of each level, that is each
     length of a phrase, there are the count of each distinct phrase, one place where it
     ends, the phrase that is left without its first word (``suffix``), and its state. Of
     each state: ``count`` of end positions, ``longest``, ``shortest`` and ``link``, -1
@@ -66,18 +66,18 @@ class Automaton:
     def __init__(self, words: np.ndarray, depth: int):
         size = int(words.max(initial=0)) + 1
         self.counts, self.ends, self.suffix, self.states = [], [], [], []
-        at, before = np.flatnonzero(words), np.full(len(words), -1, np.int64)
+        at, before = np.flatnonzero(words), np.full(len(words), -1, np.int32)
         for level in range(depth):
             if level:  # places where a phrase one word shorter ends just before
                 at = at[at > 0]
                 at = at[before[at - 1] >= 0]
-            keys = before[at - 1] * size + words[at] if level else words[at].astype(np.int64)
+            keys = before[at - 1].astype(np.int64) * size + words[at] if level else words[at]
             _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
             end = at[first]
-            self.counts.append(count)
-            self.ends.append(end)
+            self.counts.append(count.astype(np.int32))
+            self.ends.append(end.astype(np.int32))
             self.suffix.append(before[end])
-            before = np.full(len(words), -1, np.int64)
+            before = np.full(len(words), -1, np.int32)
             before[at] = number
         self._join()
 
@@ -86,7 +86,7 @@ class Automaton:
         total, self.states = 0, [None] * len(self.counts)
         count, longest = [], []
         for level in range(len(self.counts) - 1, -1, -1):
-            state = np.full(len(self.counts[level]), -1, np.int64)
+            state = np.full(len(self.counts[level]), -1, np.int32)
             if level + 1 < len(self.counts):
                 shorter = self.suffix[level + 1]
                 same = np.flatnonzero(self.counts[level + 1] == self.counts[level][shorter])
@@ -95,11 +95,11 @@ class Automaton:
             state[new] = total + np.arange(len(new))
             total += len(new)
             count.append(self.counts[level][new])
-            longest.append(np.full(len(new), level + 1))
+            longest.append(np.full(len(new), level + 1, np.int32))
             self.states[level] = state
-        self.count = np.concatenate([*count, np.zeros(0, np.int64)])
-        self.longest = np.concatenate([*longest, np.zeros(0, np.int64)])
-        self.shortest, self.link = np.zeros(total, np.int64), np.full(total, -1, np.int64)
+        self.count = np.concatenate([*count, np.zeros(0, np.int32)])
+        self.longest = np.concatenate([*longest, np.zeros(0, np.int32)])
+        self.shortest, self.link = np.zeros(total, np.int32), np.full(total, -1, np.int32)
         for level in range(len(self.counts) - 1, -1, -1):
             self.shortest[self.states[level]] = level + 1
         for level in range(1, len(self.counts)):
@@ -112,8 +112,8 @@ class Automaton:
 
 
 def _packed(lengths: np.ndarray, counts: np.ndarray, data: bytes) -> bytes:
-    head = np.array([len(lengths)], "<u4").tobytes() + lengths.astype("<u4").tobytes() + counts.astype("<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + data)
+    head = np.array([len(lengths)], "<u4").tobytes() + lengths.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + data)
 
 
 def _unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -121,8 +121,8 @@ def _unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     offsets = np.zeros(n + 1, np.int64)
     np.cumsum(np.frombuffer(raw, "<u4", n, 4), out=offsets[1:])
-    counts = np.frombuffer(raw, "<u8", n, 4 + 4 * n).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 12 * n :])]), counts
+    counts = np.frombuffer(raw, "<u4", n, 4 + 4 * n).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 8 * n :])]), counts
 
 
 class _Shard:
@@ -147,32 +147,31 @@ class _Shard:
         return len(out)
 
     def rows(self, lang: str, depth: int, buckets: int) -> Iterator[tuple]:
+        """(lang, bucket, blob, words): the phrases of each length and bucket; the first row has the number of words."""
         words = np.concatenate(self.texts)
+        self.texts.clear()
         automaton = Automaton(words, depth)
         names = list(self.number)[2:]
         spelled = pa.array([b"", *names], pa.large_binary())
         hashes = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in names)], np.uint64)
-        parts = []
+        total = int(np.count_nonzero(words))
         for length in range(1, depth + 1):
             end, count = automaton.phrases(length)
-            place, text = np.zeros(len(end), np.uint64), []
+            if not len(end):
+                break
+            place = np.zeros(len(end), np.uint64)
             for k in range(length):
-                w = words[end - (length - 1 - k)]
-                place = mixed(place ^ hashes[w])
-                text.append(spelled.take(pa.array(w)))
+                place = mixed(place ^ hashes[words[end - (length - 1 - k)]])
+            bucket = place % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, end, count = bucket[order], end[order], count[order]
+            text = [spelled.take(pa.array(words[end - (length - 1 - k)])) for k in range(length)]
             phrases = text[0] if length == 1 else pc.binary_join_element_wise(*text, pa.scalar(b" ", pa.large_binary()))
-            parts.append((phrases, count, (place % np.uint64(buckets)).astype(np.int64)))
-        bucket = np.concatenate([p[2] for p in parts])
-        order = np.argsort(bucket, kind="stable")
-        phrases = pa.concat_arrays([p[0] for p in parts]).take(pa.array(order))
-        counts, bucket = np.concatenate([p[1] for p in parts])[order], bucket[order]
-        offsets = np.frombuffer(phrases.buffers()[1], np.int64)[phrases.offset : phrases.offset + len(phrases) + 1]
-        data, edges = phrases.buffers()[2], np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        total = int(np.count_nonzero(words))
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            blob = _packed(np.diff(offsets[low : high + 1]), counts[low:high], data[int(offsets[low]) : int(offsets[high])].to_pybytes() if data else b"")
-            yield lang, int(bucket[low]), blob, total
-            total = 0
+            offsets = np.frombuffer(phrases.buffers()[1], np.int64)[phrases.offset : phrases.offset + len(phrases) + 1]
+            data, edges = phrases.buffers()[2], np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield lang, int(bucket[low]), _packed(np.diff(offsets[low : high + 1]), count[low:high], data[int(offsets[low]) : int(offsets[high])].to_pybytes()), total
+                total = 0
 
 
 def shard_counts(depth: int, buckets: int, shard_words: int = SHARD_WORDS) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -237,11 +236,10 @@ def phrase_counts(df: DataFrame, max_words: int, min_count: int, lang_col: str =
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    shards, path = cut_at(texts.mapInArrow(shard_counts(max_words, buckets, shard_words), "lang string, bucket long, blob binary, words long"), "phrases")
+    shards = texts.mapInArrow(shard_counts(max_words, buckets, shard_words), "lang string, bucket long, blob binary, words long")
     # The number is given, so that the session doesn't put buckets together.
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 1 << 14))
     counts = cut(shards.repartition(width, "lang", "bucket").groupBy("lang", "bucket").applyInArrow(_summed(min_count), "lang string, phrase string, f long"), "frequent")
-    remove(spark, path)
     return counts.where("phrase IS NOT NULL"), counts.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
