@@ -80,23 +80,31 @@ def _(t: Tables):
     return pairs(t, F.col("a_idx") != F.col("b_idx")).groupBy(geo.baseline_reason(A, B).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-BODY = f"(SELECT *, (x1 + x2) / 2 AS center FROM {NODES} WHERE NOT {EDGE.format(p='')})"
-COLUMNS = f"""g AS (SELECT page, x1, x2, center, row_number() OVER w AS place, count(*) OVER (PARTITION BY page) AS n, lead(center) OVER w - center AS gap FROM {BODY} WINDOW w AS (PARTITION BY page ORDER BY center, idx)),
+def regions_sql(nodes: str) -> str:
+    body = f"(SELECT *, (x1 + x2) / 2 AS center FROM {nodes} WHERE NOT {EDGE.format(p='')})"
+    columns = f"""g AS (SELECT page, x1, x2, center, row_number() OVER w AS place, count(*) OVER (PARTITION BY page) AS n, lead(center) OVER w - center AS gap FROM {body} WINDOW w AS (PARTITION BY page ORDER BY center, idx)),
     b AS (SELECT page, n, place AS cut, gap FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY coalesce(gap, -1) DESC, place) AS r FROM g) WHERE r = 1),
     k AS (SELECT g.page, CASE WHEN b.n >= 6 AND coalesce(b.gap, 0) >= 97.92 AND b.cut >= 3 AND b.n - b.cut >= 3 THEN CASE WHEN g.place <= b.cut THEN 'left' ELSE 'right' END ELSE 'single' END AS column_id, g.x1, g.x2
           FROM g JOIN b ON g.page = b.page WHERE b.n >= 3),
     c AS (SELECT page, column_id, min(x1) AS cx1, max(x2) AS cx2 FROM k GROUP BY 1, 2)"""
-REGIONS_SQL = f"""WITH {COLUMNS}, m AS (SELECT n.page, n.idx, min(c.column_id) AS column_id FROM {NODES} n JOIN c ON n.page = c.page AND NOT {EDGE.format(p='n.')}
+    return f"""WITH {columns}, m AS (SELECT n.page, n.idx, min(c.column_id) AS column_id FROM {nodes} n JOIN c ON n.page = c.page AND NOT {EDGE.format(p='n.')}
         AND (n.x1 + n.x2) / 2 BETWEEN cx1 - greatest(6.0, (cx2 - cx1) * 0.08) AND cx2 + greatest(6.0, (cx2 - cx1) * 0.08) GROUP BY 1, 2)
     SELECT n.page, n.idx, CASE WHEN {EDGE.format(p='n.')} THEN 'edge' WHEN m.column_id IS NOT NULL THEN 'body_column' ELSE 'unknown' END AS region, m.column_id,
            CAST(CASE WHEN {EDGE.format(p='n.')} THEN 0.9 WHEN m.column_id IN ('left', 'right') THEN 0.74 WHEN m.column_id = 'single' THEN 0.64 ELSE 0.0 END AS DOUBLE) AS confidence
-    FROM {NODES} n LEFT JOIN m ON n.page = m.page AND n.idx = m.idx"""
+    FROM {nodes} n LEFT JOIN m ON n.page = m.page AND n.idx = m.idx"""
+
+
+REGIONS_SQL = regions_sql(NODES)
 
 
 def regions(t: Tables):
+    return regions_of(nodes(t))
+
+
+def regions_of(n):
     """Edge, body column or unknown for each box; columns come from the widest gap between centers."""
     box = geo.corners()
-    n = nodes(t).withColumn("center", (F.col("x1") + F.col("x2")) / 2).withColumn("edge", geo.edge_band(box))
+    n = n.withColumn("center", (F.col("x1") + F.col("x2")) / 2).withColumn("edge", geo.edge_band(box))
     w = W.partitionBy("page").orderBy("center", "idx")
     body = n.where("NOT edge").withColumn("place", F.row_number().over(w)).withColumn("gap", F.lead("center").over(w) - F.col("center"))
     best = body.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("place", "gap"), F.struct(F.coalesce("gap", F.lit(-1.0)), -F.col("place"))).alias("best")).where("n >= 3")

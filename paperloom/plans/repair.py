@@ -4,42 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import folds, glyphs, model
+from paperloom.operators import axis, folds, glyphs, label_lines, model
 from paperloom.plans.layout import NODES, nodes
 from paperloom.plans.registry import query, values_sql
+from paperloom.sources.fragments import LABEL_TEXT, axis_glyphs, axis_scales, label_items
 from paperloom.sources.tables import Tables
 
 
-def glyph_rows(words: list[tuple[int, int, str, str, float]]) -> list[tuple]:
-    """Glyphs of (page, line, text, font, start): 5 wide, a blank moves on by 4, ``~`` by nothing."""
-    out = []
-    for page, line, text, font, x in words:
-        for k, ch in enumerate(text):
-            if ch == " ":
-                x += 4.0
-            elif ch != "~":
-                out.append((page, line, k, ch, x, 0.0, x + 5.0, 8.0, 8.0, font))
-                x += 5.0
-    return out
+def label_glyphs(t: Tables):
+    """The glyphs of all labels, a row each: an item is a line of its own."""
+    each = label_items(t.lineitem).select(F.col("paragraph").alias("page"), F.col("item").alias("line"), F.posexplode("glyphs").alias("idx", "g"))
+    return each.select("page", "line", F.col("idx").cast("long").alias("idx"), "g.*")
 
 
-GLYPHS = glyph_rows([(1, 1, "10 mF", "Symbol", 0.0), (1, 2, "4k W max", "Symbol", 0.0), (1, 3, "3 .5 V , ok", "Arial", 0.0), (2, 1, "plain text", "Arial", 3.0)])
-GLYPH_SCHEMA = "page long, line long, idx long, ch string, x1 double, y1 double, x2 double, y2 double, size double, font string"
+GLYPHS = f"""(SELECT page, line, k AS idx, substr(t, k + 1, 1) AS ch, x0 + 4 * k AS x1, x0 + 4 * k + 4 AS x2, 7.0 AS size, substr(t, k + 1, 1) IN ('W', 'm') AS symbol
+    FROM (SELECT l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS line, {LABEL_TEXT} AS t, CAST(40 + (l_linenumber - 1) % 3 * 62 + l_partkey % 5 AS DOUBLE) AS x0, unnest(range(length({LABEL_TEXT}))) AS k FROM lineitem) WHERE substr(t, k + 1, 1) <> ' ')"""
 GAP_SQL = """WITH g AS (SELECT *, lag(x2) OVER w AS px, lag(ch) OVER w AS pc, lag(ch, 2) OVER w AS ppc, lead(ch) OVER w AS nc FROM {v} WINDOW w AS (PARTITION BY page, line ORDER BY x1, idx)),
      s AS (SELECT *, x1 - px > 0 AND x1 - px >= greatest(1.8, 0.22 * size) AND ch NOT IN ('.', ',', ';', ':', '!', '?', '%', ')', ']', '}}')
         AND NOT coalesce((regexp_matches(pc, '^[0-9]$') AND ch IN ('.', ',') AND regexp_matches(nc, '^[0-9]$')) OR (pc IN ('.', ',') AND regexp_matches(ch, '^[0-9]$') AND regexp_matches(ppc, '^[0-9]$')), FALSE) AS gap FROM g)
      SELECT page, line, string_agg(CASE WHEN gap THEN ' ' ELSE '' END || ch, '' ORDER BY x1, idx) AS text FROM s GROUP BY 1, 2"""
+UNITS_SQL = """(SELECT page, line, idx, x1, x2, size, CASE WHEN symbol AND ch = 'm' AND lead(ch) OVER w IN ('F', 'A', 'V', 's', 'S') AND (lead(x1) OVER w - x2 < -0.7 OR lead(x1) OVER w - x2 <= greatest(1.8, 0.32 * size)) THEN 'µ'
+     WHEN symbol AND ch = 'W' AND regexp_matches(lag(ch) OVER w, '[0-9kKM]') AND (x1 - lag(x2) OVER w < -0.7 OR x1 - lag(x2) OVER w <= greatest(1.8, 0.32 * size)) THEN 'Ω' ELSE ch END AS ch FROM {v} WINDOW w AS (PARTITION BY page, line ORDER BY x1, idx))"""
 
 
-@query("spl1_implied_spaces", GAP_SQL.format(v=values_sql(GLYPHS, "page, line, idx, ch, x1, y1, x2, y2, size, font")))
+@query("spl1_implied_spaces", GAP_SQL.format(v=GLYPHS))
 def _(t: Tables):
-    return glyphs.line_texts(t.values(GLYPHS, GLYPH_SCHEMA))
+    return glyphs.line_texts(label_glyphs(t))
 
 
-@query("str19_symbol_units")
+@query("str19_symbol_units", GAP_SQL.format(v=UNITS_SQL.format(v=GLYPHS)))
 def _(t: Tables):
-    v = glyphs.with_units(t.values(GLYPHS, GLYPH_SCHEMA), F.contains(F.lower("font"), F.lit("symbol")))
-    return glyphs.line_texts(v)
+    return glyphs.line_texts(glyphs.with_units(label_glyphs(t), F.col("symbol")))
+
+
+@query("spl1_split_labels")
+def _(t: Tables):
+    """Labels of drawings as the lines that they fall into, with ids that name the paragraph."""
+    return label_lines.split_lines(label_items(t.lineitem))
+
+
+@query("spl1_split_counts")
+def _(t: Tables):
+    """Paragraphs by the number of parts, and how many of the parts' texts were written anew."""
+    parts = label_lines.split_lines(label_items(t.lineitem)).groupBy("paragraph").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("text").rlike("[µΩ]")).alias("repaired"))
+    return parts.groupBy("parts").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("repaired").alias("repaired"))
+
+
+@query("str19_token_merge")
+def _(t: Tables):
+    """Each document's lines with their tokens joined as those of labels are: how many joins, and a digest."""
+    d = t.documents.select("doc_id", "text", label_lines.joined_lines("text").alias("joined"))
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
+    return d.select("doc_id", (words("text") - words("joined")).alias("joins"), F.sha2("joined", 256).alias("joined_sha256"))
 
 
 @query(
@@ -64,6 +80,24 @@ def _(t: Tables):
     return nodes(t).withColumn("r", reasons).where(F.size("r") > 0).select("page", "idx", F.array_join("r", "").alias("reasons"))
 
 
+@query("geo15_axis_labels")
+def _(t: Tables):
+    """Runs of glyphs that stand upright, and why they are or aren't axis labels."""
+    return axis.axis_labels(axis_glyphs(t.documents))
+
+
+@query("geo15_label_counts")
+def _(t: Tables):
+    found = axis.axis_labels(axis_glyphs(t.documents))
+    return found.groupBy(F.coalesce("rejected", F.lit("label")).alias("decision")).agg(F.count(F.lit(1)).alias("n"), F.sum("glyphs").alias("glyphs"))
+
+
+@query("geo15_axis_ticks")
+def _(t: Tables):
+    """Numbers of the scales above horizontal axis labels."""
+    return axis.axis_ticks(*axis_scales(t.documents))
+
+
 @query("rw3_split_visual_lines")
 def _(t: Tables):
     """Each page's boxes as visual lines, with part ids; lines of one box keep the paragraph's id."""

@@ -147,9 +147,10 @@ def _(t: Tables):
 @query("rw16_protected_tokens")
 def _(t: Tables):
     """The tokens that were protected, by how often they occur in all documents."""
-    from paperloom.operators.tokens import protect
+    from paperloom.operators.tokens import tokens_of
 
-    tokens = t.documents.select(F.explode(protect("text")["tokens"]).alias("p")).select(F.col("p.token").alias("token"))
+    # explode would ask for the array twice, once to leave out empty ones.
+    tokens = t.documents.select(F.explode_outer(tokens_of("text")).alias("token")).where("token IS NOT NULL")
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
