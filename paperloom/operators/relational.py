@@ -44,15 +44,15 @@ def latest_duplicate(files: DataFrame, key: Column, order: list[Column]) -> Data
     return rest.join(second, "dup_key").withColumn("other", F.when(F.struct(*order) == F.col("first"), F.col("second")).otherwise(F.col("first")))
 
 
-def upsert_changed(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+def upsert_changed(stored: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """Keys of ``wanted`` that exist, are not null and differ; stored and new value."""
-    both = stored.join(wanted.withColumnRenamed("value", "new_value"), "key")
+    both = stored.join(wanted.withColumnRenamed("value", "new_value"), key)
     return both.where(F.col("new_value").isNotNull() & ~F.col("new_value").eqNullSafe(F.col("value")))
 
 
-def merge_settings(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+def merge_settings(stored: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """Upsert by key: a full outer join in which a new value that is not null wins."""
-    return stored.alias("s").join(wanted.alias("w"), "key", "full_outer").select("key", F.coalesce("w.value", "s.value").alias("value"))
+    return stored.alias("s").join(wanted.alias("w"), key, "full_outer").select(*key, F.coalesce("w.value", "s.value").alias("value"))
 
 
 def nearest_in_window(left: DataFrame, right: DataFrame, by: list[str], pos: str, reach: int, keep: list[str]) -> DataFrame:

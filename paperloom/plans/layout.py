@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import geometry as geo
 from paperloom.functions import labels
 from paperloom.operators import folds
-from paperloom.plans.registry import query, values_sql
+from paperloom.plans.registry import query
 from paperloom.sources.tables import Tables
 
 NODES = "(SELECT page, x1, y1, x2, y2, row_number() OVER (PARTITION BY page ORDER BY y1, x1, x2, y2) AS idx FROM (SELECT DISTINCT page, x1, y1, x2, y2 FROM {boxes}))"
@@ -39,6 +39,20 @@ def pairs(t: Tables, condition):
 
 
 A, B = geo.corners("a_"), geo.corners("b_")
+#: Points of a page's height that make a band.
+BAND = 36.0
+
+
+def banded_pairs(n, reach: float = 0.0, more: tuple[str, ...] = ()):
+    """Ordered pairs of different boxes of a page that share a height, or are at most ``reach`` apart there.
+
+    An index of bands: each box stands in every band it touches, so boxes far apart
+    never meet. A pair is made in the lowest band that both touch.
+    """
+    low, high = F.floor((F.col("y1") - reach) / BAND), F.floor((F.col("y2") + reach) / BAND)
+    side = lambda p: n.select("page", *(F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2", "idx", *more)), low.alias(f"{p}_low"), F.explode(F.sequence(low, high)).alias("band"))
+    met = side("a").join(side("b"), ["page", "band"]).where((F.col("a_idx") != F.col("b_idx")) & (F.col("band") == F.greatest("a_low", "b_low")))
+    return met.where((F.col("a_y1") <= F.col("b_y2") + reach) & (F.col("b_y1") <= F.col("a_y2") + reach)).drop("band", "a_low", "b_low")
 
 
 @query("flt13_edge_band", f"SELECT page, count(*) AS n, count_if({EDGE.format(p='')}) AS in_band, count_if(x2 > 612 * 1.015 OR y2 > 792 * 1.015) AS overflowing FROM {{boxes}} GROUP BY page")
@@ -148,14 +162,6 @@ def _(t: Tables):
     return nodes(t).select("page", "idx", geo.column_domain(box).alias("domain"), geo.toc_column(box).alias("toc_column"), geo.alignment(box, 612.0).alias("alignment"))
 
 
-DIRECTIONS = [(1.0, 0.0), (0.0, -1.0), (0.1, -0.95), (0.0, 1.0), (0.5, 0.5), (-0.15, 0.9)]
-
-
-@query("geo10_rotation", "SELECT dx, dy, CASE WHEN abs(dx) <= 0.2 AND dy < -0.8 THEN 90 WHEN abs(dx) <= 0.2 AND dy > 0.8 THEN 270 END AS rotation FROM " + values_sql(DIRECTIONS, "dx, dy"))
-def _(t: Tables):
-    return t.values(DIRECTIONS, "dx double, dy double").select("dx", "dy", geo.rotation(F.col("dx"), F.col("dy")).alias("rotation"))
-
-
 @query(
     "geo12_label_cluster",
     """WITH a AS (SELECT page, min(x1) - 12 AS cx1, min(y1) - 12 AS cy1, max(x2) + 12 AS cx2, max(y2) + 12 AS cy2 FROM {boxes} WHERE size <= 6.5 GROUP BY page HAVING count(*) >= 6)
@@ -167,31 +173,26 @@ def _(t: Tables):
     return t.boxes.where("size > 6.5").join(cluster, "page").where(inside).groupBy("page").agg(F.count(F.lit(1)).alias("inside"))
 
 
-@query(
-    "geo13_band_neighbours",
-    f"SELECT DISTINCT a.page, a.idx FROM {NODES} a JOIN {NODES} b ON a.page = b.page AND b.idx % 7 = 0 AND a.idx <> b.idx WHERE abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 1.2 * greatest(a.y2 - a.y1, b.y2 - b.y1) AND greatest(b.x1 - a.x2, a.x1 - b.x2, 0.0) <= 8 * greatest(a.y2 - a.y1, b.y2 - b.y1)",
-)
-def _(t: Tables):
-    n = nodes(t)
-    a = n.select("page", "idx", *(F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")))
-    b = n.where("idx % 7 = 0").select("page", F.col("idx").alias("seed"), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
-    h = F.greatest(A[3] - A[1], B[3] - B[1])
-    near = (F.abs((A[1] + A[3]) / 2 - (B[1] + B[3]) / 2) <= 1.2 * h) & (geo.horizontal_gap(A, B) <= 8 * h) & (F.col("idx") != F.col("seed"))
-    joined = a.alias("l").join(b.alias("r"), (F.col("l.page") == F.col("r.page")) & near, "left_semi")
-    return joined.select("page", "idx")
-
-
-SPANS = [(1, 2, 3, 2, 4), (1, 10, 10, 1, 3), (2, 0, 1, 0, 0)]
+#: A box's text: the type of its part in capitals, or its name; names of parts are what the rule is about.
+PART_TEXT = "(SELECT b.page, b.x1, b.y1, b.x2, b.y2, min(CASE WHEN p_size <= 12 THEN p_type ELSE p_name END) AS text FROM {boxes} b JOIN part ON p_partkey = b.part_key GROUP BY ALL)"
+SEED = "^([A-Z0-9]{2,}|[A-Z0-9]+ [A-Z0-9]+|_)$"
 
 
 @query(
-    "geo18_merged_cells",
-    "SELECT sheet, r AS row_no, unnest(range(c0, c1 + 1)) AS column_no, r0 AS anchor_row, c0 AS anchor_column FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM " + values_sql(SPANS, "sheet, r0, r1, c0, c1") + ")",
+    "geo13_band_neighbours",
+    f"""WITH n AS (SELECT n.*, t.text FROM {NODES} n JOIN {PART_TEXT} t ON n.page = t.page AND n.x1 = t.x1 AND n.y1 = t.y1 AND n.x2 = t.x2 AND n.y2 = t.y2)
+        SELECT DISTINCT a.page, a.idx FROM n a JOIN n b ON a.page = b.page WHERE regexp_matches(b.text, '{SEED}')
+        AND (a.idx = b.idx OR abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 1.2 * greatest(a.y2 - a.y1, b.y2 - b.y1) AND greatest(b.x1 - a.x2, a.x1 - b.x2, 0.0) <= 8 * greatest(a.y2 - a.y1, b.y2 - b.y1))""",
 )
 def _(t: Tables):
-    v = t.values(SPANS, "sheet long, r0 long, r1 long, c0 long, c1 long")
-    rows = v.select("*", F.explode(F.sequence("r0", "r1")).alias("row_no"))
-    return rows.select("sheet", "row_no", F.explode(F.sequence("c0", "c1")).alias("column_no"), F.col("r0").alias("anchor_row"), F.col("c0").alias("anchor_column"))
+    """Boxes whose text is a name in capitals, and those next to one on its band."""
+    texts = t.boxes.join(t.part, F.col("p_partkey") == F.col("part_key")).groupBy("page", "x1", "y1", "x2", "y2").agg(F.min(F.when(F.col("p_size") <= 12, F.col("p_type")).otherwise(F.col("p_name"))).alias("text"))
+    n = nodes(t).join(texts, ["page", "x1", "y1", "x2", "y2"])
+    h = F.greatest(A[3] - A[1], B[3] - B[1])
+    # Boxes are at most 11 high: middles 1.2 heights apart leave at most that between the edges.
+    near = (F.abs((A[1] + A[3]) / 2 - (B[1] + B[3]) / 2) <= 1.2 * h) & (geo.horizontal_gap(A, B) <= 8 * h) & F.col("b_text").rlike(SEED)
+    beside = banded_pairs(n, 16.0, ("text",)).where(near).select("page", F.col("a_idx").alias("idx"))
+    return beside.unionByName(n.where(F.col("text").rlike(SEED)).select("page", "idx")).distinct()
 
 
 # ---- spatial joins -------------------------------------------------------------------------
@@ -280,13 +281,18 @@ def _(t: Tables):
 
 @query(
     "jon18_best_overlap",
-    f"""SELECT b.page, b.idx AS glyph, max_by(a.idx, (round({INTER} / {AREA.format(p='b')}, 9), -a.idx)) AS record FROM {NODES} a JOIN {NODES} b ON a.page = b.page AND a.idx % 3 = 0 AND b.idx % 3 <> 0
-        WHERE {INTER} / {AREA.format(p='b')} >= 0.55 GROUP BY 1, 2""",
+    f"""WITH p AS (SELECT b.page, b.idx AS glyph, a.idx AS record, round({INTER} / {AREA.format(p='b')}, 9) AS share, abs((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) AS dx, abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) AS dy,
+            (b.x1 + b.x2) / 2 BETWEEN a.x1 - 0.8 AND a.x2 + 0.8 AND (b.y1 + b.y2) / 2 BETWEEN a.y1 - 0.8 AND a.y2 + 0.8 AS holds FROM {NODES} a JOIN {NODES} b ON a.page = b.page AND a.idx <> b.idx AND a.y1 <= b.y2 + 0.8 AND b.y1 <= a.y2 + 0.8)
+        SELECT page, glyph, coalesce(max_by(record, (share, -record)) FILTER (WHERE share >= 0.55), min_by(record, (dx, dy, record)) FILTER (WHERE holds)) AS record FROM p WHERE share >= 0.55 OR holds GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    share = geo.overlap_ratio(B, A)
-    hit = pairs(t, (F.col("a_idx") % 3 == 0) & (F.col("b_idx") % 3 != 0) & (share >= 0.55))
-    return hit.groupBy("page", F.col("b_idx").alias("glyph")).agg(F.max_by("a_idx", F.struct(F.round(share, 9), -F.col("a_idx"))).alias("record"))
+    """Each box and the other box of its page that covers most of it, 55 % at least, else the one whose middle is nearest of those that hold its own."""
+    share, near = F.round(geo.overlap_ratio(B, A), 9), [F.abs((A[k] + A[k + 2]) / 2 - (B[k] + B[k + 2]) / 2) for k in (0, 1)]
+    holds = geo.contains_point((A[0] - 0.8, A[1] - 0.8, A[2] + 0.8, A[3] + 0.8), (B[0] + B[2]) / 2, (B[1] + B[3]) / 2)
+    hit = banded_pairs(nodes(t), 0.8).where((share >= 0.55) | holds)
+    best = F.max_by(F.when(share >= 0.55, F.col("a_idx")), F.when(share >= 0.55, F.struct(share, -F.col("a_idx"))))
+    nearest = F.min_by(F.when(holds, F.col("a_idx")), F.when(holds, F.struct(*near, F.col("a_idx"))))
+    return hit.groupBy("page", F.col("b_idx").alias("glyph")).agg(F.coalesce(best, nearest).alias("record"))
 
 
 # ---- guards --------------------------------------------------------------------------------
@@ -308,20 +314,6 @@ def _(t: Tables):
     return guarded(t).groupBy("guard.reason", "guard.decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-GUARD_ROWS = [("unknown", "inline_numbered_markers", True, False), ("body_column", "inline_numbered_markers", True, False), ("body_column", "multiline_body_block", True, True), ("table", "fallback_line_visual_split", True, True), ("body_column", "other", True, False), (None, "other", True, False), ("body_column", "other", False, False)]
-
-
-@query(
-    "grd2_split_guard",
-    """SELECT region, reason, known, technical, CASE WHEN NOT known THEN 'missing_record' WHEN reason = 'multiline_body_block' THEN 'multiline_body_block' WHEN reason = 'fallback_line_visual_split' AND technical THEN 'fallback_line_technical_label'
-         WHEN region IS NULL OR region = 'unknown' THEN 'unknown_region' WHEN reason = 'inline_numbered_markers' AND region = 'body_column' THEN 'numbered_marker_same_region' ELSE 'ordinary_body_split' END AS why FROM """
-    + values_sql(GUARD_ROWS, "region, reason, known, technical"),
-)
-def _(t: Tables):
-    v = t.values(GUARD_ROWS, "region string, reason string, known boolean, technical boolean")
-    return v.select("*", geo.split_guard(F.col("region"), F.col("reason"), F.col("known"), F.col("technical"))["reason"].alias("why"))
-
-
 @query("grd3_remove_guard", f"WITH r AS ({REGIONS_SQL}) SELECT reason, count(*) AS n FROM (SELECT {GUARD_CASE.format(ok='same_body_column_duplicate')} AS reason FROM r a JOIN r b ON a.page = b.page AND b.idx = a.idx + 2) GROUP BY 1")
 def _(t: Tables):
     reason = F.col("guard.reason")
@@ -330,19 +322,22 @@ def _(t: Tables):
 
 @query(
     "grd4_collapse_guard",
-    f"""WITH r AS ({REGIONS_SQL}), g AS (SELECT a.page, a.idx, b.idx AS other, {GUARD_CASE.format(ok='ok')} AS reason FROM r a JOIN r b ON a.page = b.page AND b.idx BETWEEN a.idx + 1 AND a.idx + 2 WHERE a.idx % 4 = 1)
-        SELECT page, idx, coalesce(min_by(CASE WHEN reason <> 'ok' THEN reason END, CASE WHEN reason <> 'ok' THEN other END), 'same_body_column_overlap') AS reason FROM g GROUP BY 1, 2""",
+    f"""WITH r AS ({REGIONS_SQL}), n AS (SELECT n.*, r.region, r.column_id FROM {NODES} n JOIN r ON r.page = n.page AND r.idx = n.idx),
+        g AS (SELECT a.page, a.idx, b.idx AS other, {GUARD_CASE.format(ok='ok')} AS reason FROM n a JOIN n b ON a.page = b.page AND a.idx < b.idx AND a.y1 <= b.y2 AND b.y1 <= a.y2
+              WHERE (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least({HEIGHTS}) >= 0.62 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) > 0)
+        SELECT page, idx, count(*) AS absorbed, coalesce(min_by(CASE WHEN reason <> 'ok' THEN reason END, CASE WHEN reason <> 'ok' THEN other END), 'same_body_column_overlap') AS reason FROM g GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    """The first rejected member of a cluster names the reason."""
-    r = regions(t)
-    base = r.where("idx % 4 = 1").select("page", "idx", F.col("region").alias("lr"), F.col("column_id").alias("lc"), F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2)).alias("other"))
-    member = r.select("page", F.col("idx").alias("other"), F.col("region").alias("rr"), F.col("column_id").alias("rc"))
+    """Each box with the later ones that overlap it on its line; the first rejected one names the reason."""
+    n = regions(t).select("page", "idx", "x1", "y1", "x2", "y2", "region", "column_id")
+    height = lambda c: F.greatest(c[3] - c[1], F.lit(1.0))
+    level = (F.least(A[3], B[3]) - F.greatest(A[1], B[1])) / F.least(height(A), height(B)) >= 0.62
     yes = F.lit(True)
-    guard = geo.merge_guard(F.col("page"), F.col("page"), F.col("lr"), F.col("rr"), F.col("lc"), F.col("rc"), yes, yes)
-    joined = base.join(member, ["page", "other"]).withColumn("g", guard)
+    guard = geo.merge_guard(F.col("page"), F.col("page"), F.col("a_region"), F.col("b_region"), F.col("a_column_id"), F.col("b_column_id"), yes, yes)
+    hit = banded_pairs(n, 0.0, ("region", "column_id")).where((F.col("a_idx") < F.col("b_idx")) & level & (F.least(A[2], B[2]) - F.greatest(A[0], B[0]) > 0)).withColumn("g", guard)
     bad = F.col("g.decision") == "rejected"
-    return joined.groupBy("page", "idx").agg(F.coalesce(F.min_by(F.when(bad, F.col("g.reason")), F.when(bad, F.col("other"))), F.lit("same_body_column_overlap")).alias("reason"))
+    first = F.coalesce(F.min_by(F.when(bad, F.col("g.reason")), F.when(bad, F.col("b_idx"))), F.lit("same_body_column_overlap"))
+    return hit.groupBy("page", F.col("a_idx").alias("idx")).agg(F.count(F.lit(1)).alias("absorbed"), first.alias("reason"))
 
 
 @query(
@@ -413,25 +408,3 @@ def _(t: Tables):
     g = t.supplier.groupBy(F.col("s_nationkey").alias("sheet")).agg(F.countDistinct(r).alias("row_count"), F.countDistinct(c).alias("column_count"), F.countDistinct(r * 10 + c).alias("cells"))
     ok = (F.col("row_count") >= 2) & (F.col("column_count") >= 2) & (F.col("cells") >= 3) & (F.col("cells").cast("double") / (F.col("row_count") * F.col("column_count")) >= 0.5)
     return g.withColumn("accepted", ok)
-
-
-#: A box's text by its place on the page: words, a cut number, what goes on after one, punctuation.
-BOX_TEXT = "CASE {i} % 5 WHEN 0 THEN 'Output' WHEN 1 THEN 'at 12.' WHEN 2 THEN '5V' WHEN 3 THEN ',' ELSE '' END"
-_H = "greatest({p}.y2 - {p}.y1, 1.0)".format
-_TALL, _LOW = f"greatest({_H(p='a')}, {_H(p='b')})", f"least({_H(p='a')}, {_H(p='b')})"
-
-
-@query(
-    "grd5_pair_reasons",
-    f"""WITH n AS (SELECT *, {BOX_TEXT.format(i="idx")} AS s FROM {NODES}), p AS (SELECT a.page, a.idx AS a_idx, b.idx AS b_idx, a.s AS l, b.s AS r, b.x1 - a.x2 AS gap,
-        abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= {_TALL} * 0.8 AND b.x1 - a.x2 <= greatest(18.0, {_LOW} * 2.0) AS line,
-        b.y1 < a.y1 - greatest(2.0, {_H(p="a")} * 0.2) AND b.x1 <= a.x1 + greatest(8.0, {_H(p="a")} * 0.6) AND abs(b.y2 - a.y2) <= {_TALL} * 0.35 AS wrapped
-        FROM n a JOIN n b ON a.page = b.page AND a.idx <> b.idx),
-    w AS (SELECT *, CASE WHEN l = '' OR r = '' THEN NULL WHEN line AND r = ',' THEN 'inline_punctuation' WHEN wrapped AND l = 'at 12.' AND r = '5V' THEN 'wrapped_decimal' WHEN line THEN 'potential_pair' END AS reason FROM p)
-    SELECT page, a_idx, b_idx, reason, CASE WHEN reason = 'potential_pair' AND gap > 1.5 THEN l || ' ' || r ELSE l || r END AS joined FROM w WHERE reason IS NOT NULL""",
-)
-def _(t: Tables):
-    """Pairs of a page's boxes that may belong together, why, and the text they would give."""
-    texts = [F.expr(BOX_TEXT.format(i=f"{p}idx")) for p in ("a_", "b_")]
-    found = pairs(t, F.col("a_idx") != F.col("b_idx")).withColumn("reason", labels.pair_reason(*texts, geo.may_share_line(A, B), geo.below_and_left(A, B)))
-    return found.where("reason IS NOT NULL").select("page", "a_idx", "b_idx", "reason", labels.joined_text(*texts, F.col("reason"), B[0] - A[2]).alias("joined"))

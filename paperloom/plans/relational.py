@@ -26,14 +26,6 @@ def _(t: Tables):
     return t.users.select("user_id", "email", "role", "is_active")
 
 
-SECRETS = [("",), ("abcd",), ("sk-12345",), ("x",), (None,)]
-
-
-@query("prj2_mask_secret", "SELECT secret, CASE WHEN coalesce(secret, '') = '' THEN '' WHEN length(secret) <= 4 THEN '****' ELSE '****' || right(secret, 4) END AS masked FROM " + values_sql(SECRETS, "secret"))
-def _(t: Tables):
-    return t.values(SECRETS, "secret string").select("secret", labels.mask_secret(F.col("secret")).alias("masked"))
-
-
 @query(
     "prj3_page_has_more",
     "SELECT total, least(greatest(total - 14900, 0), 100) AS items, 14900 + least(greatest(total - 14900, 0), 100) < total AS has_more FROM (SELECT count(*) AS total FROM {jobs})",
@@ -141,28 +133,6 @@ def _(t: Tables):
     return t.events.select("event_id", F.array_join(pairs, ";").alias("scalars"))
 
 
-USAGE = [(1, '{"prompt_tokens": 5, "completion_tokens": 7}'), (2, '{"input_tokens": 3, "output_tokens": 4, "total_tokens": 9}'), (3, "{}"), (4, None)]
-
-
-@query(
-    "prj12_token_usage",
-    """SELECT id, coalesce(CAST(json_extract_string(j, '$.input_tokens') AS BIGINT), CAST(json_extract_string(j, '$.prompt_tokens') AS BIGINT), 0) AS input_tokens,
-              coalesce(CAST(json_extract_string(j, '$.output_tokens') AS BIGINT), CAST(json_extract_string(j, '$.completion_tokens') AS BIGINT), 0) AS output_tokens,
-              coalesce(CAST(json_extract_string(j, '$.total_tokens') AS BIGINT), coalesce(CAST(json_extract_string(j, '$.input_tokens') AS BIGINT), CAST(json_extract_string(j, '$.prompt_tokens') AS BIGINT), 0)
-              + coalesce(CAST(json_extract_string(j, '$.output_tokens') AS BIGINT), CAST(json_extract_string(j, '$.completion_tokens') AS BIGINT), 0)) AS total_tokens FROM """
-    + values_sql(USAGE, "id, j"),
-)
-def _(t: Tables):
-    j = F.col("j")
-    out = t.values(USAGE, "id long, j string").select(
-        "id",
-        F.coalesce(labels.json_number(j, "$.input_tokens", "$.prompt_tokens"), F.lit(0)).alias("input_tokens"),
-        F.coalesce(labels.json_number(j, "$.output_tokens", "$.completion_tokens"), F.lit(0)).alias("output_tokens"),
-        labels.json_number(j, "$.total_tokens").alias("stated"),
-    )
-    return out.select("id", "input_tokens", "output_tokens", F.coalesce("stated", F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
-
-
 #: Target language codes and the form used in file names (fixed values).
 ALIASES = {"zh": "zh-CN", "zh-cn": "zh-CN", "zh-hans": "zh-CN", "english": "en", "en-us": "en", "deutsch": "de", "fr-fr": "fr"}
 ALIAS_ROWS = sorted(ALIASES.items())
@@ -244,33 +214,6 @@ def _(t: Tables):
     return t.files.where(F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1)).isin(*EXTENSIONS) & (F.length("file_name") <= 255)).select("file_id")
 
 
-PAIRS = [("en", "EN "), ("zh-Hans", "zh-cn"), ("auto", "auto"), ("", ""), ("de", "fr"), (None, "en")]
-
-
-@query(
-    "flt10_same_language",
-    "SELECT source, target, (coalesce(s.code, lower(trim(coalesce(source, '')))) = coalesce(d.code, lower(trim(coalesce(target, '')))) AND coalesce(s.code, lower(trim(coalesce(source, '')))) NOT IN ('', 'auto')) AS same FROM "
-    + values_sql(PAIRS, "source, target")
-    + " LEFT JOIN " + values_sql(ALIAS_ROWS, "alias, code").replace(" AS v(", " AS s(") + " ON lower(trim(source)) = s.alias"
-    + " LEFT JOIN " + values_sql(ALIAS_ROWS, "alias, code").replace(" AS v(", " AS d(") + " ON lower(trim(target)) = d.alias",
-)
-def _(t: Tables):
-    s, d = (labels.language_code(F.col(c), ALIASES) for c in ("source", "target"))
-    return t.values(PAIRS, "source string, target string").select("source", "target", ((s == d) & ~s.isin("", "auto")).alias("same"))
-
-
-URLS = [("https://api.example.com/v1",), ("http://api.example.com/v1",), ("https://127.0.0.1/x",), ("https://10.1.2.3/x",), ("ftp://example.com",), ("https://localhost/a",), (None,)]
-
-
-@query("flt11_endpoint_allowed")
-def _(t: Tables):
-    """Public https endpoints only: private, loopback and local hosts are refused; null is refused."""
-    url = F.col("url")
-    host = F.lower(F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("")))
-    private = host.rlike(r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | (host == "localhost") | host.rlike(r"\.(local|localhost|internal)$")
-    return t.values(URLS, "url string").select("url", (F.coalesce(F.parse_url(url, F.lit("PROTOCOL")), F.lit("")).isin("https") & (host != "") & ~private).alias("allowed"))
-
-
 @query("flt12_range_check", "SELECT p_partkey, p_size BETWEEN 1 AND 16 AS concurrency_ok, p_retailprice BETWEEN 1 AND 3600 AS timeout_ok FROM part")
 def _(t: Tables):
     return t.part.select("p_partkey", F.col("p_size").between(1, 16).alias("concurrency_ok"), F.col("p_retailprice").between(1, 3600).alias("timeout_ok"))
@@ -326,12 +269,12 @@ def _(t: Tables):
 
 @query(
     "jon7_section_pairs",
-    """WITH s AS (SELECT c_custkey AS part, c_name AS source FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT p_partkey AS part, p_name AS translated FROM part WHERE p_partkey % 2 = 0)
+    """WITH s AS (SELECT c_custkey AS part, c_name AS source FROM customer), d AS (SELECT p_partkey AS part, p_name AS translated FROM part)
        SELECT coalesce(d.part, s.part) AS part, source, translated, CASE WHEN d.part IS NULL THEN 1 ELSE 0 END AS section_rank FROM s FULL OUTER JOIN d ON s.part = d.part""",
 )
 def _(t: Tables):
-    s = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("part"), F.col("c_name").alias("source"))
-    d = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("translated"), F.lit(0).alias("has"))
+    s = t.customer.select(F.col("c_custkey").alias("part"), F.col("c_name").alias("source"))
+    d = t.part.select(F.col("p_partkey").alias("part"), F.col("p_name").alias("translated"), F.lit(0).alias("has"))
     return s.join(d, "part", "full_outer").select("part", "source", "translated", F.when(F.col("has").isNull(), 1).otherwise(0).alias("section_rank"))
 
 
@@ -366,15 +309,24 @@ def _(t: Tables):
     return t.boxes.groupBy("page").agg(best.alias("best"), F.min_by("order_key", F.struct("y1", "x1", "order_key")).alias("lowest"))
 
 
-PATHS = ("a/b.pdf", "a/../b.pdf", "../b.pdf", "a/../../b.pdf", "./a//b.pdf")
+NOW_OF_LOG, KEPT_DAYS = "2001-01-01 00:00:00", 30
+#: Where a file is stored, and what was derived from it beside; some names lead out of the folder.
+STORED_AT = "CONCAT(CASE f.file_id % 5 WHEN 0 THEN 'in/' WHEN 1 THEN 'in/../out/' WHEN 2 THEN '../' WHEN 3 THEN 'in/../../' ELSE './in//' END, f.file_name)"
 
 
-@query("snk6_expired_files")
+@query(
+    "snk6_expired_files",
+    f"""WITH d AS (SELECT output_file_id AS file_id, max(completed_at) AS done FROM {{jobs}} WHERE output_file_id IS NOT NULL GROUP BY 1),
+        e AS (SELECT f.file_id, strftime(d.done, '%Y-%m-%d %H:%M:%S') AS done, {STORED_AT} AS path FROM {{files}} f JOIN d ON d.file_id = f.file_id WHERE NOT f.deleted AND d.done < TIMESTAMP '{NOW_OF_LOG}' - INTERVAL {KEPT_DAYS} DAY)
+        SELECT file_id, done, path, NOT (path LIKE '../%' OR path LIKE 'in/../../%') AS inside FROM (SELECT file_id, done, unnest([path, path || '.preview.json', path || '.events.jsonl']) AS path FROM e)""",
+)
 def _(t: Tables):
-    """Files to delete: expired, not deleted yet, and inside of the storage folder; the unlinking itself is no query."""
-    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("file_id") % len(PATHS) + 1).cast("int"))
-    expired = t.files.where(~F.col("deleted") & (F.col("size_bytes") > 0)).select("file_id", F.concat(path, F.lit("."), F.col("file_id").cast("string")).alias("path"))
-    return expired.select("file_id", "path", rel.inside(F.col("path")).alias("inside"))
+    """Files to delete and what was derived from them: their last job ended over 30 days before the log's end, not deleted yet; only paths inside the folder may be unlinked, which itself is no query."""
+    done = t.jobs.where("output_file_id IS NOT NULL").groupBy(F.col("output_file_id").alias("file_id")).agg(F.max("completed_at").alias("done"))
+    expired = t.files.alias("f").join(done, "file_id").where(f"NOT deleted AND done < TIMESTAMP_NTZ '{NOW_OF_LOG}' - INTERVAL {KEPT_DAYS} DAY")
+    paths = expired.select("file_id", F.date_format("done", "yyyy-MM-dd HH:mm:ss").alias("done"), F.expr(STORED_AT).alias("path"))
+    each = paths.select("file_id", "done", F.explode(F.array("path", F.concat("path", F.lit(".preview.json")), F.concat("path", F.lit(".events.jsonl")))).alias("path"))
+    return each.select("*", rel.inside(F.col("path")).alias("inside"))
 
 
 @query(
@@ -471,18 +423,6 @@ def _(t: Tables):
     return t.users.where("role = 'admin' AND is_active").orderBy("user_id").limit(1).select("user_id", "email")
 
 
-PARTS = [("ppt/slides/slide10.xml",), ("ppt/slides/slide2.xml",), ("ppt/notesSlides/notesSlide1.xml",), ("ppt/slides/slide1.xml",), ("ppt/notesSlides/notesSlide12.xml",)]
-
-
-@query(
-    "ord6_natural_part_order",
-    "SELECT part, row_number() OVER (ORDER BY contains(part, 'notesSlides'), CAST(regexp_extract(part, '([0-9]+)\\.xml$', 1) AS INT)) AS place FROM " + values_sql(PARTS, "part"),
-)
-def _(t: Tables):
-    order = W.partitionBy(F.lit(0)).orderBy(F.contains(F.col("part"), F.lit("notesSlides")), F.regexp_extract("part", r"([0-9]+)\.xml$", 1).cast("int"))
-    return t.values(PARTS, "part string").select("part", F.row_number().over(order).cast("long").alias("place"))
-
-
 # ---- counting ------------------------------------------------------------------------------
 
 
@@ -519,28 +459,4 @@ def _(t: Tables):
 
 # ---- settings ------------------------------------------------------------------------------
 
-STORED = [("timeout", "120"), ("concurrency", "10"), ("ocr", "true"), ("model", "base")]
-WANTED = [("timeout", "90"), ("ocr", "true"), ("unknown", "1"), ("model", None)]
-DEFAULTS = [("timeout", "120"), ("concurrency", "10"), ("ocr", "false"), ("model", "base"), ("retention", "7")]
 
-
-@query("eav1_typed_settings", "SELECT CAST(max(CASE WHEN key = 'timeout' THEN value END) AS INT) AS timeout, CAST(max(CASE WHEN key = 'concurrency' THEN value END) AS INT) AS concurrency, lower(max(CASE WHEN key = 'ocr' THEN value END)) IN ('1', 'true', 'yes', 'on') AS ocr, coalesce(CAST(max(CASE WHEN key = 'retention' THEN value END) AS INT), 7) AS retention FROM " + values_sql(STORED, "key, value"))
-def _(t: Tables):
-    wide = t.values(STORED, "key string, value string").groupBy().pivot("key", ["timeout", "concurrency", "ocr", "retention"]).agg(F.first("value"))
-    return wide.select(F.col("timeout").cast("int"), F.col("concurrency").cast("int"), F.lower("ocr").isin("1", "true", "yes", "on").alias("ocr"), F.coalesce(F.col("retention").cast("int"), F.lit(7)).alias("retention"))
-
-
-@query("eav2_seed_missing", "SELECT key, value FROM " + values_sql(DEFAULTS, "key, value") + " WHERE key NOT IN (SELECT key FROM " + values_sql(STORED, "key, value").replace(" AS v(", " AS s(") + ")")
-def _(t: Tables):
-    return t.values(DEFAULTS, "key string, value string").join(t.values(STORED, "key string, value string"), "key", "left_anti")
-
-
-@query("eav3_changed_settings", "SELECT s.key, s.value, w.value AS new_value FROM " + values_sql(STORED, "key, value").replace(" AS v(", " AS s(") + " JOIN " + values_sql(WANTED, "key, value").replace(" AS v(", " AS w(") + " ON s.key = w.key WHERE w.value IS NOT NULL AND w.value <> s.value")
-def _(t: Tables):
-    return rel.upsert_changed(t.values(STORED, "key string, value string"), t.values(WANTED, "key string, value string"))
-
-
-@query("eav4_override", "SELECT least(CAST(coalesce(max(CASE WHEN w.key = 'timeout' THEN w.value END), max(CASE WHEN s.key = 'timeout' THEN s.value END)) AS INT), 60) AS timeout FROM " + values_sql(STORED, "key, value").replace(" AS v(", " AS s(") + " FULL OUTER JOIN " + values_sql(WANTED, "key, value").replace(" AS v(", " AS w(") + " ON s.key = w.key")
-def _(t: Tables):
-    merged = rel.merge_settings(t.values(STORED, "key string, value string"), t.values(WANTED, "key string, value string"))
-    return merged.where("key = 'timeout'").select(F.least(F.col("value").cast("int"), F.lit(60)).alias("timeout"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import axis, folds, glyphs, label_lines, model
+from paperloom.operators import axis, folds, glyphs, input_text, label_lines, model
 from paperloom.plans.layout import NODES, nodes
-from paperloom.plans.registry import query, values_sql
-from paperloom.sources.fragments import LABEL_TEXT, axis_glyphs, axis_scales, label_items
+from paperloom.plans.registry import query
+from paperloom.sources.fragments import LABEL_TEXT, axis_glyphs, axis_scales, label_items, translator_inputs
 from paperloom.sources.tables import Tables
 
 
@@ -119,34 +119,17 @@ def _(t: Tables):
     return lines.join(below, ["page", "band"]).where((down > 0) & (down <= 18) & (F.col("x1") <= F.col("first_x") + 6)).groupBy("page", "line_y").agg(F.count(F.lit(1)).alias("tails"))
 
 
-DEFINITIONS = [("Power: the rate of work", 3), ("no colon here", 2), ("a: b: c", 2), (":", 2), ("Name:   spaced", 1)]
-
-
-@query("rw14_definition_lines", "SELECT s, CASE WHEN styles >= 2 AND contains(s, ':') THEN split_part(s, ':', 1) || ':' END AS prefix, CASE WHEN styles >= 2 AND contains(s, ':') THEN ltrim(substr(s, strpos(s, ':') + 1)) ELSE s END AS body FROM " + values_sql(DEFINITIONS, "s, styles"))
+@query("str23_txt5_choose_input")
 def _(t: Tables):
-    """A translated definition line is split at its first colon, so that both parts get the source's styles."""
-    splits = (F.col("styles") >= 2) & F.contains(F.col("s"), F.lit(":"))
-    at = F.locate(":", F.col("s"))
-    return t.values(DEFINITIONS, "s string, styles long").select("s", F.when(splits, F.col("s").substr(F.lit(1), at)).alias("prefix"), F.when(splits, F.ltrim(F.col("s").substr(at + 1, F.length("s")))).otherwise(F.col("s")).alias("body"))
-
-
-INPUTS = [("v1 of 3", "1", "of", True), ("{v1} mixed", "5", None, True), ("plain", "plain", None, False), ("", "src", None, False)]
-
-
-@query("str23_txt5_choose_input", "SELECT shown, CASE WHEN has_placeholder AND source <> '' THEN source WHEN shown = '' THEN source ELSE shown END AS chosen FROM " + values_sql(INPUTS, "shown, source, note, has_placeholder"))
-def _(t: Tables):
-    """The source text wins where the shown one has placeholders or is empty."""
-    use = (F.col("has_placeholder") & (F.col("source") != "")) | (F.col("shown") == "")
-    return t.values(INPUTS, "shown string, source string, note string, has_placeholder boolean").select("shown", F.when(use, F.col("source")).otherwise(F.col("shown")).alias("chosen"))
-
-
-AXES = [("Time (ms)",), ("(V) egatloV",), ("PLAIN",), ("Current [mA]",)]
+    """What the translator gets for each document's sentence, and by which branch."""
+    rows = translator_inputs(t.documents)
+    return rows.withColumn("chosen", input_text.chosen("source", "current", "placeholders", "items")).select("doc_id", "current", "chosen.text", "chosen.branch")
 
 
-@query("txt6_axis_labels", r"SELECT s, reverse(s) AS reversed, trim(regexp_replace(s, '[ ]*[(\[][^)\]]*[)\]][ ]*', ' ')) AS body, nullif(regexp_extract(s, '[(\[]([^)\]]*)[)\]]', 1), '') AS unit FROM " + values_sql(AXES, "s"))
+@query("str23_branches")
 def _(t: Tables):
-    unit = F.nullif(F.regexp_extract("s", r"[(\[]([^)\]]*)[)\]]", 1), F.lit(""))
-    return t.values(AXES, "s string").select("s", F.reverse("s").alias("reversed"), F.trim(F.regexp_replace("s", r"[ ]*[(\[][^)\]]*[)\]][ ]*", " ")).alias("body"), unit.alias("unit"))
+    rows = translator_inputs(t.documents).select(input_text.chosen("source", "current", "placeholders", "items").alias("c"), F.col("current"))
+    return rows.groupBy("c.branch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.text") != F.col("current")).alias("changed"))
 
 
 @query("sty1_target_sizes", "SELECT page, order_key, line_no, part_key, supp_key, size, CASE WHEN abs(size - 6) <= 0.12 OR abs(size - 6) <= 0.02 * greatest(size, 6.0) THEN size ELSE 6.0 END AS target FROM {boxes}")
@@ -187,9 +170,9 @@ def _(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_and(F.col("role").isin("user", "assistant", "system")).alias("roles_known"), F.bool_or(F.length("text") == 0).alias("some_empty"), (F.countDistinct("turn") == F.count(F.lit(1))).alias("turns_unique"))
 
 
-@query("fmt7_upsert_reject", "SELECT coalesce(b.item_id, e.id) AS id, CASE WHEN b.item_id IS NULL THEN 'rejected' WHEN e.id IS NULL THEN 'unchanged' ELSE 'updated' END AS outcome FROM benchmark b FULL OUTER JOIN (SELECT page_id * 3 AS id FROM pages WHERE page_id < 20) e ON b.item_id = e.id")
+@query("fmt7_upsert_reject", "SELECT coalesce(b.item_id, e.id) AS id, CASE WHEN b.item_id IS NULL THEN 'rejected' WHEN e.id IS NULL THEN 'unchanged' ELSE 'updated' END AS outcome FROM benchmark b FULL OUTER JOIN (SELECT page_id * 3 AS id FROM pages) e ON b.item_id = e.id")
 def _(t: Tables):
-    edits = t.pages.where("page_id < 20").select((F.col("page_id") * 3).alias("id"), F.lit(True).alias("edit"))
+    edits = t.pages.select((F.col("page_id") * 3).alias("id"), F.lit(True).alias("edit"))
     known = t.benchmark.select(F.col("item_id").alias("id"), F.lit(True).alias("known"))
     return known.join(edits, "id", "full_outer").select("id", F.when(F.col("known").isNull(), "rejected").when(F.col("edit").isNull(), "unchanged").otherwise("updated").alias("outcome"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import labels
 from paperloom.operators import dedup, folds
-from paperloom.plans.registry import query, values_sql
+from paperloom.plans.registry import query
 from paperloom.sources.tables import Tables
 
 LINES = "(SELECT doc_id, n, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS line FROM (SELECT doc_id, p, len(p) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS p FROM documents)))"
@@ -56,12 +56,12 @@ def _(t: Tables):
 
 @query(
     "dup4_leader_sync",
-    f"""WITH l AS (SELECT doc_id, pos, {CANON} AS canon, line FROM {LINES}), g AS (SELECT canon, min_by(line, (doc_id, pos)) AS leader FROM l WHERE doc_id % 3 = 0 GROUP BY canon)
+    f"""WITH l AS (SELECT doc_id, pos, {CANON} AS canon, {BAND} AS edge, line FROM {LINES}), g AS (SELECT canon, min_by(line, (doc_id, pos)) AS leader FROM l WHERE edge GROUP BY canon)
         SELECT l.doc_id, l.pos, coalesce(leader, line) AS value_now FROM l LEFT JOIN g ON l.canon = g.canon""",
 )
 def _(t: Tables):
     rows = edge_lines(t).withColumn("at", F.struct("doc_id", "pos"))
-    return dedup.leader_values(rows, "canon", "at", "line", F.col("doc_id") % 3 == 0).select("doc_id", F.col("pos").cast("long").alias("pos"), "value_now")
+    return dedup.leader_values(rows, "canon", "at", "line", F.col("edge")).select("doc_id", F.col("pos").cast("long").alias("pos"), "value_now")
 
 
 @query("rw10_reconcile_edges", f"WITH g AS ({REPEATED_SQL}) SELECT l.doc_id, l.pos, g.group_id FROM (SELECT doc_id, pos, {CANON} AS canon FROM {LINES} WHERE {BAND}) l JOIN g ON l.canon = g.canon")
@@ -70,17 +70,6 @@ def _(t: Tables):
     return edge_lines(t).where("edge").join(groups, "canon").select("doc_id", F.col("pos").cast("long").alias("pos"), "group_id")
 
 
-OVERLAPS = [("abcdef", "defgh"), ("abc", "xyz"), ("aXa", "Xab"), ("same", "same"), ("", "x")]
-
-
-@query("dup7_overlap_merge", "SELECT a, b, CASE WHEN n >= 2 THEN a || substr(b, n + 1) ELSE a || b END AS merged FROM (SELECT a, b, (SELECT max(k) FROM range(0, 10) r(k) WHERE k <= length(a) AND k <= length(b) AND right(a, k) = left(b, k)) AS n FROM " + values_sql(OVERLAPS, "a, b") + ")")
-def _(t: Tables):
-    a, b = F.col("a"), F.col("b")
-    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda k: F.right(a, k) == F.left(b, k))
-    n = F.coalesce(F.array_max(fits), F.lit(0))
-    return t.values(OVERLAPS, "a string, b string").select("a", "b", F.when(n >= 2, F.concat(a, b.substr(n + 1, F.length(b)))).otherwise(F.concat(a, b)).alias("merged"))
-
-
 @query("dup8_block_noise")
 def _(t: Tables):
     """Lines of all documents, and per document how many are noise."""
@@ -90,30 +79,6 @@ def _(t: Tables):
 
 # ---- string rules on fixtures --------------------------------------------------------------
 
-CANONICALS = [("Straße\u00a0\uff21\uff22\u200b 1",), ("  A b\tC ",), ("",), (None,)]
-
-
-@query("str1_canonical")
-def _(t: Tables):
-    return t.values(CANONICALS, "s string").select("s", folds.canonical("s").alias("canonical"))
-
-
-DIRTY = [("a\x00b\u200bc\u00a0d",), ("3x4 and 5 X 6",), ("left\u25a0right \u25a0 end",), ("  two   blanks \r\n next\t\tline ",), (None,)]
-
-
-@query("str2_sanitize")
-def _(t: Tables):
-    return t.values(DIRTY, "s string").select("s", folds.sanitized("s").alias("clean"))
-
-
-PADDED = [("  a b ",), ("x",), ("\n\ty",), ("   ",), ("",)]
-
-
-@query("str3_keep_blanks", r"SELECT s, CASE WHEN trim(s, ' ' || chr(9) || chr(10)) = '' THEN s ELSE regexp_extract(s, '^[ \t\n]*') || 'NEW' || regexp_extract(s, '[ \t\n]*$') END AS replaced FROM " + values_sql(PADDED, "s"))
-def _(t: Tables):
-    s = F.col("s")
-    return t.values(PADDED, "s string").select("s", F.when(F.regexp_replace(s, "\\s+", "") == "", s).otherwise(F.concat(F.regexp_extract(s, "^(\\s*)", 1), F.lit("NEW"), F.regexp_extract(s, "(\\s*)$", 1))).alias("replaced"))
-
 
 @query("str4_win10_chunks")
 def _(t: Tables):
@@ -154,59 +119,6 @@ def _(t: Tables):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-TOC = [("Overview ..... 12",), ("Overview 12",), ("3.1 Electrical Data . . . . . . 7",), ("Notes.........xi",), ("",)]
-TOC_RE = r"^(.*?[^ .\t])([ \t]*(?:\.[ \t]*){3,})([0-9]+|[ivxlc]+)$"
-
-
-@query("str8_toc_split", f"SELECT s, nullif(regexp_extract(s, '{TOC_RE}', 1), '') AS title, nullif(regexp_extract(s, '{TOC_RE}', 2), '') AS leader, nullif(regexp_extract(s, '{TOC_RE}', 3), '') AS page FROM " + values_sql(TOC, "s"))
-def _(t: Tables):
-    part = lambda k: F.nullif(F.regexp_extract("s", TOC_RE, k), F.lit(""))
-    return t.values(TOC, "s string").select("s", part(1).alias("title"), part(2).alias("leader"), part(3).alias("page"))
-
-
-CAMEL = [("I2CBusTiming",), ("ADCInput",), ("lowerCase",), ("Plain",)]
-
-
-@query("str9_camel_split")
-def _(t: Tables):
-    return t.values(CAMEL, "s string").select("s", F.regexp_replace(F.regexp_replace("s", "(?<=[a-z0-9])(?=[A-Z])", " "), "(?<=[A-Z0-9])(?=[A-Z][a-z])", " ").alias("spaced"))
-
-
-ENTRIES = [("Power", 12, 20), ("A longer title than fits", 7, 10), ("", 1, 6)]
-
-
-@query("str10_compose_toc", "SELECT title, title || repeat('.', greatest(anchor - length(title), 4)) || ' ' || page AS entry FROM " + values_sql(ENTRIES, "title, page, anchor"))
-def _(t: Tables):
-    dots = F.greatest(F.col("anchor") - F.length("title"), F.lit(4)).cast("int")
-    return t.values(ENTRIES, "title string, page long, anchor long").select("title", F.concat("title", F.repeat(F.lit("."), dots), F.lit(" "), F.col("page").cast("string")).alias("entry"))
-
-
-WIDE = [("\u7535\u538b (V)",), ("ascii",), ("\uff21b",), ("",), (None,)]
-
-
-@query("str11_display_width")
-def _(t: Tables):
-    return t.values(WIDE, "s string").select("s", folds.display_width("s").alias("width"))
-
-
-MARKERS = [("1. a 2. b (3) c",), ("no markers",), ("(1) only one",), ("10) x 11) y",)]
-
-
-@query("str12_marker_breaks")
-def _(t: Tables):
-    return t.values(MARKERS, "s string").select("s", labels.numbered_marker_count(F.col("s")).alias("markers"), F.regexp_replace("s", r"(?<=\S)[ \t]+(?=(?:\d{1,2}[.)]|\(\d{1,2}\))\s)", "\n").alias("broken"))
-
-
-FONTS = [("ABCDEF+NotoSans-BoldItalic",), ("CourierNew",), ("TimesNewRomanPS-BoldMT",), ("Arial.ttf",)]
-
-
-@query("str13_font_tokens")
-def _(t: Tables):
-    got = t.values(FONTS, "name string").withColumn("tokens", labels.font_tokens(F.col("name")))
-    has = lambda *w: F.arrays_overlap("tokens", F.array(*map(F.lit, w)))
-    return got.select("name", F.array_join("tokens", " ").alias("tokens"), has("bold", "black", "heavy").alias("bold"), has("italic", "oblique").alias("italic"), has("courier", "mono", "consolas").alias("mono"), has("times", "serif", "georgia").alias("serif"))
-
-
 #: Each part gets a font name; its number stands in for the traits that are stored so far.
 FONT_NAMES = "CASE p_partkey % 9 WHEN 0 THEN 'ABCDEF+Arial-BoldMT' WHEN 1 THEN 'CourierNew' WHEN 2 THEN 'Times-Roman' WHEN 3 THEN 'Noto Sans Mono' WHEN 4 THEN 'Georgia,BoldItalic' WHEN 5 THEN 'F1' WHEN 6 THEN '' WHEN 7 THEN 'SourceHanSerif-Heavy' END"
 _SAYS = lambda words: f"CAST(regexp_matches(bare, '{'|'.join(words)}') AS INTEGER)"
@@ -223,35 +135,6 @@ def _(t: Tables):
     return fonts.where("told IS NOT NULL").select("p_partkey", "told.*", (F.col("told.bold") != F.col("was_bold")).alias("changed"))
 
 
-@query("jon19_font_match", "SELECT wanted, max_by(have, (score, have)) AS match FROM (SELECT w.n AS wanted, h.n AS have, len(list_intersect(string_split(w.n, ' '), string_split(h.n, ' '))) * 10 AS score FROM (VALUES ('noto sans bold'), ('courier new'), ('times italic')) w(n), (VALUES ('noto sans'), ('noto serif bold'), ('courier'), ('times roman italic')) h(n)) WHERE score >= 20 GROUP BY wanted")
-def _(t: Tables):
-    wanted = t.values([("noto sans bold",), ("courier new",), ("times italic",)], "wanted string")
-    have = F.array(*(F.lit(x) for x in ("noto sans", "noto serif bold", "courier", "times roman italic")))
-    scored = F.transform(have, lambda h: F.struct((F.size(F.array_intersect(F.split("wanted", " "), F.split(h, " "))) * 10).alias("score"), h.alias("have")))
-    best = F.array_max(scored)
-    return wanted.select("wanted", best.alias("b")).where("b.score >= 20").select("wanted", F.col("b.have").alias("match"))
-
-
-SCRIPTS = [("\ud55c\uae00",), ("\u304b\u306a \u6f22\u5b57",), ("\u6f22\u5b57",), ("\u0420\u0443\u0441",), ("latin",), ("",)]
-
-
-@query("str14_script_font", "SELECT s, CASE WHEN regexp_matches(s, '[\\x{ac00}-\\x{d7af}]') THEN 'korea' WHEN regexp_matches(s, '[\\x{3040}-\\x{30ff}]') THEN 'japan' WHEN regexp_matches(s, '[\\x{4e00}-\\x{9fff}]') THEN 'china' WHEN regexp_matches(s, '[\\x{0400}-\\x{04ff}]') THEN 'cyrillic' ELSE 'latin' END AS family FROM " + values_sql(SCRIPTS, "s"))
-def _(t: Tables):
-    return t.values(SCRIPTS, "s string").select("s", labels.script_of(F.col("s")).alias("family"))
-
-
-PROGRESS = [("\x1b[32mTranslate   Paragraphs 3/10\x1b[0m",), ("Save PDF 1/2 2/2",), ("Typesetting",), ("stage 5/0",), ("",)]
-
-
-@query("str16_progress_line")
-def _(t: Tables):
-    s = F.trim(F.regexp_replace(F.regexp_replace("line", "\\x1b\\[[0-9;]*[A-Za-z]", ""), "\\s+", " "))
-    v = t.values(PROGRESS, "line string").select("line", s.alias("bare"))
-    last = F.try_element_at(F.regexp_extract_all("bare", F.lit("(\\d+/\\d+)"), 1), F.lit(-1))
-    total = F.split_part(last, F.lit("/"), F.lit(2)).cast("long")
-    return v.select("line", "bare", F.when(total > 0, F.split_part(last, F.lit("/"), F.lit(1)).cast("long")).alias("current"), F.when(total > 0, total).alias("total"))
-
-
 @query("str17_language_codes", "SELECT lang, count(*) AS n FROM (SELECT lower(trim(lang)) AS lang FROM documents) GROUP BY lang")
 def _(t: Tables):
     return t.documents.groupBy(labels.language_code(F.col("lang"), {}).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -293,32 +176,8 @@ def _(t: Tables):
     return t.lineitem.select(F.format_string("p%d_t%d_r%d_c%d", F.floor(F.col("l_orderkey") / 8), F.col("l_linenumber"), F.col("l_partkey") % 9, F.col("l_suppkey") % 5).alias("cell_id")).distinct()
 
 
-WRAPS = [("a_b/c d+e, f",), ("x",), ("",), ("\u7535 v1.2",)]
-
-
-@query("str24_wrap_tokens", "SELECT s, array_to_string(regexp_extract_all(s, '\\s+|[A-Za-z0-9_./:%#@&+=-]+|.'), '|') AS tokens FROM " + values_sql(WRAPS, "s"))
-def _(t: Tables):
-    return t.values(WRAPS, "s string").select("s", F.array_join(F.regexp_extract_all("s", F.lit("(\\s+|[A-Za-z0-9_./:%#@&+=-]+|.)"), 1), "|").alias("tokens"))
-
-
-@query("str15_thai_wrap")
-def _(t: Tables):
-    """Texts without Thai pass; Thai runs get zero-width breaks at spaces when no segmenter is installed."""
-    v = t.values([("\u0e01\u0e02 \u0e04\u0e07",), ("plain text",)], "s string")
-    return v.select("s", F.when(F.col("s").rlike("[\\u0e00-\\u0e7f]"), F.regexp_replace("s", "(?<=[\\u0e00-\\u0e7f]) (?=[\\u0e00-\\u0e7f])", " \u200b")).otherwise(F.col("s")).alias("wrapped"))
-
-
 # ---- rewrites that expressions can state ---------------------------------------------------
 
-LISTS = [(1, "Steps: 1. mix 2. heat 3. cool"), (2, "Nothing to split"), (3, "(1) a (2) b")]
-
-
-@query("rw9_split_numbered")
-def _(t: Tables):
-    parts = F.split("s", r"(?<=\S)\s+(?=(?:\d{1,2}[.)]|\(\d{1,2}\))\s)")
-    v = t.values(LISTS, "id long, s string").withColumn("markers", labels.numbered_marker_count(F.col("s")))
-    return v.select("id", F.posexplode(F.when(F.col("markers") >= 2, parts).otherwise(F.array("s"))).alias("part", "line"))
-
 
 @query(
     "rw11_body_sizes",

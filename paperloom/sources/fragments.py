@@ -90,3 +90,27 @@ def axis_scales(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     glyphs = columns.selectExpr("doc_id AS page", "CAST(k * 100 + j AS LONG) AS idx", "ch", "60D + 30 * k AS x1", "58D + 5 * j AS y1", "63D + 30 * k AS x2", "62.5D + 5 * j AS y2", "'F0' AS font", "5.0D AS size", "0L AS xobj")
     labels = documents.where("text IS NOT NULL").selectExpr("doc_id AS page", "10000L AS idx", f"{AXIS_TEXT} AS text", "100D AS x1", "50D AS y1", "180D AS x2", "58D AS y2", "0L AS xobj")
     return glyphs, labels
+
+
+def translator_inputs(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, current, placeholders, items): a sentence made from each document's words and numbers, as a parser gives it.
+
+    By the id, the parser took a number's beginning, a low line, a number with a sign or
+    a whole product for a formula, ran words together, or did nothing.
+    """
+    words = documents.where("text IS NOT NULL AND n_chars IS NOT NULL").selectExpr("doc_id", "n_chars % 100 AS a", "doc_id % 10 AS b", "filter(split(text, '[ \\\\n]+'), w -> w rlike '^[A-Za-z]+$') AS w").where("size(w) >= 4")
+    parts = words.selectExpr(
+        "doc_id",
+        "concat(w[0], ' ', w[1]) AS p0", "concat('= ', a) AS p1", "concat('.', b, 'V and') AS p2", "upper(substr(w[2], 1, 4)) AS p3", "upper(substr(w[3], 1, 4)) AS p4", "concat('x*', a, '*y') AS p5",
+    )
+    parts = parts.selectExpr("*", "concat(p0, ' ', p1, p2, ' ', p3, '_', p4, ' ', p5) AS source")
+    fragment = "CASE doc_id % 6 WHEN 0 THEN p1 WHEN 1 THEN '_' WHEN 2 THEN concat('+', b) WHEN 3 THEN p5 END"
+    glyphs = lambda k: f"transform(split(p{k}, ''), (c, j) -> named_struct('ch', c, 'x1', x{k} + 5D * j, 'y1', 0D, 'x2', x{k} + 5D * j + 5, 'y2', 8D, 'size', 8D))"
+    placed = parts.selectExpr("*", "0D AS x0", "5D * (length(p0) + 1) AS x1").selectExpr("*", "x1 + 5D * length(p1) AS x2").selectExpr("*", "x2 + 5D * (length(p2) + 1) AS x3").selectExpr("*", "x3 + 5D * (length(p3) + 1) AS x4").selectExpr("*", "x4 + 5D * (length(p4) + 1) AS x5")
+    return placed.selectExpr(
+        "doc_id",
+        "source",
+        f"CASE WHEN doc_id % 6 < 4 THEN replace(source, {fragment}, '{{v1}}') WHEN doc_id % 6 = 4 THEN concat('theConfigregister ', source) ELSE source END AS current",
+        f"CASE WHEN doc_id % 6 < 4 THEN array(named_struct('token', '{{v1}}', 'kind', 'formula', 'formula', {fragment}, 'composition', '')) ELSE array() END AS placeholders",
+        f"array({', '.join(glyphs(k) for k in range(6))}) AS items",
+    )
