@@ -1,8 +1,9 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-A document is factored against everything that earlier documents hold. The
-reference is kept as blocks: hash partitions of an index of the corpus' phrases
-of ``WINDOW`` words, each with the place where it starts first, a document and a
+A document is factored against a reference made of what earlier documents hold: every
+phrase of ``WINDOW`` words that two documents share stands in it once, where it starts
+first, and phrases that follow each other there are segments of the reference. It is
+indexed in blocks, hash partitions of its phrases with their places, a document and a
 word position. Each phrase is filed under its anchor, the smallest hash of the
 shorter word runs inside it; equal phrases have equal anchors.
 
@@ -15,17 +16,18 @@ shorter word runs inside it; equal phrases have equal anchors.
    before their shuffle, so a passage that stands in a third of all documents is
    one row per task.
 3. The parse runs greedily through a document from its start. It opens a factor at
-   the first phrase that an earlier document has, with the place of that phrase,
-   and extends it word by word as long as the next phrase starts one word further
-   in the same document: a factor is a run of words that stands at its place.
-   Where that ends, at the factor's boundary, the phrases that reach across it
-   were looked up as well, so nothing that starts in an earlier document is
-   missed. Factors have ``WINDOW`` words or more and are the duplicate spans.
-
-The first place of a phrase is the one that factors follow; a longer match at a
-later place of the same phrase isn't sought, which changes where factors end but
-no word that they cover. A phrase is compared by two independent hashes, of 64 and
-31 bits; the texts of copies by SHA-256.
+   the first phrase that the reference has from an earlier document, and extends it
+   word by word as long as the reference's segment goes on alike. As a phrase stands
+   there once, that is the longest match in the reference. The next factor opens at
+   or after the last one's end, so factors never overlap. At each factor's boundary
+   the phrases that reach across it were looked up as well: windows, not only
+   factors, say which words are duplicates, so nothing that starts in an earlier
+   document is missed.
+
+The reference holds no phrase twice, so a match that is longer because two earlier
+documents' words stand next to each other only at a phrase's later place is parsed as
+two factors. A phrase is compared by two independent hashes, of 64 and 31 bits; the
+texts of copies by SHA-256.
 """
 
 from __future__ import annotations
@@ -216,23 +218,33 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def factors(found: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """Greedy parse of sorted (position, source, position there) phrases -> (start, length in words, source, position there)."""
-    out: list[tuple[int, int, int, int]] = []
-    follows = None
+Factor = tuple[int, int, int, int]
+
+
+def factors(found: list[tuple[int, int, int]], window: int = WINDOW) -> list[Factor]:
+    """Greedy parse of sorted (position, source, position there) phrases -> (start, length in words, source, position there).
+
+    A factor runs as far as its place in the reference does; phrases that begin inside
+    it at another place are passed over.
+    """
+    out: list[Factor] = []
+    follows, end = None, 0
     for at, source, place in found:
         if (at, source, place) == follows:
             start, length, _, first = out[-1]
             out[-1] = (start, length + 1, source, first)
-        else:
+        elif at >= end:
             out.append((at, window, source, place))
-        follows = (at + 1, source, place + 1)
+        else:
+            continue
+        follows, end = (at + 1, source, place + 1), at + window
     return out
 
 
-def kept_mask(n: int, spans: list[tuple[int, int, int, int]]) -> np.ndarray:
+def kept_mask(n: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    """Which of n words no (start, length) span covers."""
     edge = np.zeros(n + 1, np.int64)
-    for start, length, *_ in spans:
+    for start, length in spans:
         edge[start] += 1
         edge[start + length] -= 1
     return np.cumsum(edge[:n]) == 0
@@ -267,8 +279,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Remove every word inside a window of words that also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256, n_factors, spans for every
-    row. spans are (start, length, source, source_start) in words: those words stand
-    in a text with the id source from source_start on. Null texts have no words.
+    row. spans are the factors, (start, length, source, source_start) in words: those
+    words stand in a text with the id source from source_start on; of several rows
+    with that id it may be any. Words of windows that reach across a factor's end are
+    removed as well. Null texts have no words.
     A row with a null id keeps all its words and is no source, as no id is
     smaller or larger than it. Rows repeated with the same id don't remove each
     other's words. An empty table gives no rows.
@@ -281,9 +295,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             words_n, removed, digests, spans = [], [], [], []
             for text, copy_of, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = split(text.as_py())
-                own = _spans(len(words), copy_of, found.as_py(), window)
+                own, windows = _spans(len(words), copy_of, found.as_py(), window)
                 if own:
-                    mask = kept_mask(len(words), own)
+                    mask = kept_mask(len(words), windows)
                     kept = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
                 else:
                     kept = words
@@ -299,10 +313,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, spans array<struct<start:int,length:int,source:long,source_start:int>>")
 
 
-def _spans(n: int, copy_of: int | None, found: list[dict] | None, window: int) -> list[tuple[int, int, int, int]]:
+def _spans(n: int, copy_of: int | None, found: list[dict] | None, window: int) -> tuple[list[Factor], list[tuple[int, int]]]:
+    """Factors of a text of n words, and all windows that it shares with earlier ones."""
     if copy_of is not None:
-        return [(0, n, copy_of, 0)] if n >= window else []
-    return factors(sorted({(f["at"], f["source"], f["source_at"]) for f in found}), window) if found else []
+        return ([(0, n, copy_of, 0)], [(0, n)]) if n >= window else ([], [])
+    places = sorted({(f["at"], f["source"], f["source_at"]) for f in found}) if found else []
+    return factors(places, window), [(at, window) for at, _, _ in places]
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -322,8 +338,8 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts = []
             for text, copy_of, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 text = text.as_py()
-                own = _spans(len(split(text)), copy_of, found.as_py(), window) if copy_of is not None or found.is_valid else []
-                texts.append(cut_out(text, own) if own else text)
+                windows = _spans(len(split(text)), copy_of, found.as_py(), window)[1] if copy_of is not None or found.is_valid else []
+                texts.append(cut_out(text, windows) if windows else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[4:]], names)
 
     kinds = dict(df.dtypes)
@@ -333,7 +349,7 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return flat.mapInArrow(run, schema).select(*(F.col(new[c]).alias(c) for c in df.columns))
 
 
-def cut_out(text: str, spans: list[tuple[int, int, int, int]]) -> str:
+def cut_out(text: str, spans: Iterable[tuple[int, int]]) -> str:
     """The text without the words of the spans and the white space after them."""
     data = text.encode("utf-8", "surrogatepass")
     places, at = [], 0
