@@ -128,3 +128,22 @@ def pair_reason(left: Column, right: Column, same_line: Column, wrapped: Column)
 def joined_text(left: Column, right: Column, reason: Column, gap: Column) -> Column:
     """Both texts with a blank between them where the gap is over 1.5; punctuation and decimals join without one."""
     return F.when((reason == "potential_pair") & (gap > 1.5), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))
+
+
+# Texts of two fragments, as expressions (patterns that Java and RE2 read alike).
+PAGE_NUMBER = r"^([Pp][Aa][Gg][Ee]\s*)?[0-9]{1,4}(\s*/\s*[0-9]{1,4})?$"
+SCRIPT_LETTER = r"[A-Za-z\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
+SMALL_MARK = r"^[.,:;/%+\-\x{2013}\x{b1}()]{1,2}$"
+
+
+def is_prose(c: Column) -> Column:
+    """Three letters or more, with an a to z in lower case or white space among the text."""
+    return (F.length(F.regexp_replace(c, r"\PL", "")) >= 3) & c.rlike(r"[a-z\s]")
+
+
+def may_share_text(left: Column, right: Column) -> Column:
+    """Whether two texts may be parts of one line: long enough, with letters, no page number, cut inside a word or prose."""
+    both = F.concat(left, right)
+    letters = (F.length(both) >= 8) & both.rlike(r"\pL") & (left.rlike(SCRIPT_LETTER) | right.rlike(SCRIPT_LETTER))
+    cut = left.rlike(r"\pL$") & right.rlike(r"^\pL") & (left.rlike(r"\p{Ll}$") | right.rlike(r"^\p{Ll}"))
+    return letters & ~left.rlike(PAGE_NUMBER) & ~right.rlike(PAGE_NUMBER) & (cut | is_prose(left) | is_prose(right))

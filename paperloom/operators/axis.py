@@ -66,7 +66,7 @@ def is_measure(text: str) -> bool:
     return bool(words) and words[0].translate(_SIGNS) in LABEL_UNITS and words[1:] in ([], ["of", "FSR"]) and not unit[:-1][:1].isspace()
 
 
-_SIGNS = str.maketrans("µΩ", "μΩ")
+_SIGNS = str.maketrans("\u00b5\u2126", "\u03bc\u03a9")
 
 
 def _spaced(text: str) -> str:

@@ -29,7 +29,7 @@ def with_units(glyphs: DataFrame, symbol: Column) -> DataFrame:
     near = lambda gap: (F.col(gap) < -0.7) | (F.col(gap) <= F.greatest(F.lit(1.8), 0.32 * F.col("size")))
     micro = F.col("is_symbol") & (F.col("ch") == "m") & F.col("next_ch").isin(*"FAVsS") & near("next_gap")
     ohm = F.col("is_symbol") & (F.col("ch") == "W") & F.col("prev_ch").rlike("[0-9kKM]") & near("prev_gap")
-    fixed = F.when(F.coalesce(micro, F.lit(False)), "µ").when(F.coalesce(ohm, F.lit(False)), "Ω").otherwise(F.col("ch"))
+    fixed = F.when(F.coalesce(micro, F.lit(False)), "µ").when(F.coalesce(ohm, F.lit(False)), "Ω").otherwise(F.col("ch"))
     return out.withColumn("ch", fixed).drop("next_ch", "next_gap", "prev_ch", "prev_gap", "is_symbol")
 
 

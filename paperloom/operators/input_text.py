@@ -12,16 +12,16 @@ import unicodedata
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators.label_lines import Box, Glyph, around, implied_space, run_text
+from paperloom.operators.label_lines import Glyph, around, implied_space, run_text
 
 #: Words that a parser runs together, by which such a text is known (fixed values).
 RUN_TOGETHER = (r"(?<![A-Za-z])COMP(?:QUE|MODE)(?=\s+bit)", "theConfigregister", "bitscanalso", r"\btheCOMP\b", r"\bandCOMP\b")
-UNITS = frozenset("%°ΩΩµμ")
+UNITS = frozenset("%\u00b0\u03a9\u2126\u00b5\u03bc")
 FORMULA = "formula"
 
 
@@ -180,19 +180,18 @@ def choose(source: str | None, current: str | None, placeholders: Sequence[Place
 CHOSEN = T.StructType([T.StructField("text", T.StringType()), T.StructField("branch", T.StringType())])
 
 
-@F.pandas_udf(CHOSEN)
-def _chosen(rows: pd.DataFrame) -> pd.DataFrame:
+@F.arrow_udf(CHOSEN)
+def _chosen(rows: pa.Array) -> pa.Array:
     out = []
-    for source, current, marks, items in zip(rows.source, rows.current, rows.placeholders, rows["items"], strict=True):
-        runs = [[Glyph(g["ch"], g["x1"], g["y1"], g["x2"], g["y2"], g["size"], False) for g in item] for item in (items if items is not None else ())]
-        held = [Placeholder(p["token"] or "", p["kind"] or "", p["formula"] or "", p["composition"] or "") for p in (marks if marks is not None else ())]
-        out.append(choose(source, current, held, runs))
-    return pd.DataFrame(out, columns=["text", "branch"])
+    for r in rows.to_pylist():
+        runs = [[Glyph(g["ch"], g["x1"], g["y1"], g["x2"], g["y2"], g["size"], False) for g in item] for item in r["items"] or ()]
+        marks = [Placeholder(p["token"] or "", p["kind"] or "", p["formula"] or "", p["composition"] or "") for p in r["placeholders"] or ()]
+        text, branch = choose(r["source"], r["current"], marks, runs)
+        out.append({"text": text, "branch": branch})
+    return pa.array(out, pa.struct([("text", pa.string()), ("branch", pa.string())]))
 
 
 def chosen(source: str, current: str, placeholders: str, items: str) -> Column:
     """Struct (text, branch) from a paragraph's text, the parser's, its placeholders and its items of glyphs."""
     return _chosen(F.struct(F.col(source).alias("source"), F.col(current).alias("current"), F.col(placeholders).alias("placeholders"), F.col(items).alias("items")))
 
-
-__all__ = ["Box", "Glyph", "Placeholder", "aligned", "choose", "chosen", "connects", "is_literal", "is_mismatch", "number_cut", "rebuilt", "without_loose_lines"]

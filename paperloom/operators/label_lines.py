@@ -313,7 +313,7 @@ def is_bus_name(token: str) -> bool:
 def joins(left: str, right: str) -> bool:
     """Whether two tokens of a label are one."""
     a, b, both = left[-1], right[0], left + right
-    if a in "kKM" and b in "ΩΩ" or a in "(/_-" or b in "/_-)":
+    if a in "kKM" and b in "\u03a9\u2126" or a in "(/_-" or b in "/_-)":
         return True
     # A word behind words, numbers and hyphens stays one of its own.
     wordy = _letters(right) and _alnum(left.replace("-", "") or "0")

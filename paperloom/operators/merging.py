@@ -41,7 +41,7 @@ GOES_ON = frozenset("and or of to for with in on by from unless that which as so
 #: Marks that end a sentence, and what may close behind them; marks of a small piece (fixed values).
 STOPS, CLOSING = frozenset(".!?。！？:：;；"), frozenset("])}）】\"'”’")
 SMALL_MARKS, LINE_MARKS = frozenset(".。,:;!?-"), frozenset(".,:;/%+-–±()")
-UNIT_SIGNS = frozenset("%°ΩΩµμ")
+UNIT_SIGNS = frozenset("%\u00b0\u03a9\u2126\u00b5\u03bc")
 WORD = re.compile(r"\w+")
 
 

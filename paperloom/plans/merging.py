@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as geo
+from paperloom.functions import labels
 from paperloom.operators import merging
-from paperloom.plans.layout import EDGE, regions_of, regions_sql
+from paperloom.plans.layout import EDGE, NODES, REASON, banded_pairs, nodes, regions_of, regions_sql
 from paperloom.plans.registry import query
 from paperloom.sources.fragments import FRAGMENTS_SQL, fragments
 from paperloom.sources.tables import Tables
@@ -85,3 +86,57 @@ def _(t: Tables):
         rows, _ = merging.apply(now, merging.allowed_pairs(merging.plan(now, rule)), rule)
         now = rows.select("page", *merging.COLUMNS)
     return now.select("page", "idx", "x1", "y1", "x2", "y2", "text", "role", "region")
+
+
+APART = "('toc_entry', 'vertical_label', 'running_edge_text')"
+_PROSE = lambda s: f"(length(regexp_replace({s}, '\\PL', '', 'g')) >= 3 AND regexp_matches({s}, '[a-z\\s]'))"
+_SHARES = f"""(length(l || r) >= 8 AND regexp_matches(l || r, '\\pL') AND (regexp_matches(l, '{labels.SCRIPT_LETTER}') OR regexp_matches(r, '{labels.SCRIPT_LETTER}')) AND NOT regexp_matches(l, '{labels.PAGE_NUMBER}') AND NOT regexp_matches(r, '{labels.PAGE_NUMBER}')
+    AND ((regexp_matches(l, '\\pL$') AND regexp_matches(r, '^\\pL') AND (regexp_matches(l, '\\p{{Ll}}$') OR regexp_matches(r, '^\\p{{Ll}}'))) OR {_PROSE('l')} OR {_PROSE('r')}))"""
+
+
+@query(
+    "grd5_pair_reasons",
+    f"""WITH f AS (SELECT *, y2 - 10.0 AS y1, floor((y2 - 5.0) / 16) AS band FROM ({RECORDS_SQL})),
+    p AS (SELECT a.page, a.idx AS a_idx, b.idx AS b_idx, a.text AS l, b.text AS r, a.role AS a_role, b.role AS b_role, a.edge OR b.edge AS edge, b.x1 - a.x2 AS gap, {REASON} AS level
+          FROM (SELECT *, unnest([band - 1, band, band + 1]) AS j FROM f) a JOIN f b ON a.page = b.page AND a.j = b.band AND a.idx <> b.idx WHERE abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 8.0 AND b.x1 - a.x2 <= 20.0),
+    w AS (SELECT *, CASE WHEN a_role NOT IN {APART} AND b_role NOT IN {APART} AND NOT edge AND level = 'ok' AND regexp_matches(r, '{labels.SMALL_MARK}') THEN 'inline_punctuation'
+        WHEN a_role IN {APART} THEN 'left_role:' || a_role WHEN b_role IN {APART} THEN 'right_role:' || b_role WHEN edge THEN 'edge_band' WHEN NOT {_SHARES} THEN 'text_not_mergeable' ELSE level END AS reason FROM p)
+    SELECT page, a_idx, b_idx, reason, l || CASE WHEN reason = 'ok' AND gap > 1.5 THEN ' ' ELSE '' END || r AS joined FROM w""",
+)
+def _(t: Tables):
+    """Neighbours on a line, why they are or aren't one text, and the text they would give."""
+    n = records(t)
+    a, b = geo.corners("a_"), geo.corners("b_")
+    near = banded_pairs(n, 8.0, ("text", "role", "edge")).where(geo.may_share_line(a, b))
+    left, right = F.col("a_text"), F.col("b_text")
+    apart = lambda side: F.col(f"{side}_role").isin(*merging.APART)
+    edge, level = F.col("a_edge") | F.col("b_edge"), geo.baseline_reason(a, b)
+    reason = (
+        F.when(~apart("a") & ~apart("b") & ~edge & (level == "ok") & right.rlike(labels.SMALL_MARK), "inline_punctuation")
+        .when(apart("a"), F.concat(F.lit("left_role:"), F.col("a_role")))
+        .when(apart("b"), F.concat(F.lit("right_role:"), F.col("b_role")))
+        .when(edge, "edge_band")
+        .when(~labels.may_share_text(left, right), "text_not_mergeable")
+        .otherwise(level)
+    )
+    joiner = F.when((F.col("reason") == "ok") & (b[0] - a[2] > 1.5), " ").otherwise("")
+    return near.withColumn("reason", reason).select("page", "a_idx", "b_idx", "reason", F.concat(left, joiner, right).alias("joined"))
+
+
+@query(
+    "grd5_record_columns",
+    f"""WITH n AS (SELECT * FROM {NODES}), c AS (SELECT page, floor((x1 + x2) / 80) AS col, min(x1) AS cx1, min(y1) AS cy1, max(x2) AS cx2, max(y2) AS cy2 FROM n GROUP BY ALL HAVING count(*) >= 2)
+        SELECT c.page, c.col, count(*) AS crossing, count(*) >= 4 AS aligned FROM c JOIN n ON n.page = c.page
+        WHERE (n.x1 + n.x2) / 2 BETWEEN cx1 - 3.5 AND cx2 + 3.5 AND (least(cy2, n.y2) - greatest(cy1, n.y1)) / greatest(n.y2 - n.y1, 1.0) >= 0.45 AND least(cy2, n.y2) > greatest(cy1, n.y1) GROUP BY ALL""",
+)
+def _(t: Tables):
+    """Columns of boxes, and how many of the page's records cross each: with four a column is a table's."""
+    n = nodes(t)
+    column = n.groupBy("page", F.floor((F.col("x1") + F.col("x2")) / 80).alias("col")).agg(F.count(F.lit(1)).alias("own"), F.min("x1").alias("cx1"), F.min("y1").alias("cy1"), F.max("x2").alias("cx2"), F.max("y2").alias("cy2")).where("own >= 2")
+    # A record's middle is in its own column of 40 points or one of the two beside; wider columns are met in each they reach.
+    reach = column.withColumn("slot", F.explode(F.sequence(F.floor((F.col("cx1") - 3.5) / 40), F.floor((F.col("cx2") + 3.5) / 40))))
+    record = n.withColumn("slot", F.floor((F.col("x1") + F.col("x2")) / 80))
+    inside = ((F.col("x1") + F.col("x2")) / 2).between(F.col("cx1") - 3.5, F.col("cx2") + 3.5)
+    overlap = F.least("cy2", "y2") - F.greatest("cy1", "y1")
+    crossing = reach.join(record, ["page", "slot"]).where(inside & (overlap > 0) & (overlap / F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)) >= 0.45))
+    return crossing.groupBy("page", F.col("col").cast("double").alias("col")).agg(F.count(F.lit(1)).alias("crossing"), (F.count(F.lit(1)) >= 4).alias("aligned"))

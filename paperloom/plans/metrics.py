@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import sidecar
 from paperloom.plans.registry import query
 from paperloom.sources.tables import Tables
 
@@ -232,7 +233,35 @@ def _(t: Tables):
     return pair.where("next IS NOT NULL").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(same).alias("equal_format"))
 
 
-@query("fmt8_schema_dispatch", "SELECT event_id, CASE WHEN event_id % 13 >= 10 THEN 'current' WHEN event_id % 13 >= 2 THEN 'migrate' ELSE 'rebuild' END AS action FROM events")
+#: A stored preview of each file: none, broken, of an older version, or a current one with two blocks that need some steps.
+_BLOCK = lambda k, font, size, now: f"'{{{{\"font_name\":\"', {font}, '\",\"original\":', CAST({size} AS VARCHAR(9)), '.5,\"current\":', CAST({now} AS VARCHAR(9)), '.5,\"ref\":', CASE WHEN file_id % 4 = {k} THEN 'null' ELSE '7' END, '}}}}'"
+FILE_KIND = "CASE WHEN lower(file_name) LIKE '%.pdf' THEN 'pdf' WHEN lower(file_name) LIKE '%.docx' THEN 'docx' WHEN lower(file_name) LIKE '%.xlsx' THEN 'xlsx' WHEN lower(file_name) LIKE '%.pptx' THEN 'pptx' ELSE 'other' END"
+PREVIEW = f"""CASE file_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '{{{{broken' ELSE CONCAT('{{{{\"schema_version\":', CASE WHEN file_id % 9 = 2 THEN '9' ELSE '10' END, ',\"document_kind\":\"', CASE WHEN file_id % 9 = 3 THEN 'pdf' ELSE kind_ END,
+    '\",\"granularity\":\"', CASE WHEN file_id % 2 = 0 THEN 'line' ELSE 'block' END, '\",\"created_at\":\"day ', CAST(file_id % 28 AS VARCHAR(9)), '\",\"blocks\":[', {_BLOCK(0, "CASE WHEN file_id % 5 = 0 THEN '' ELSE 'F1' END", "9 + file_id % 3", "10 + file_id % 2")}, ',', {_BLOCK(1, "'F1'", "9 + file_id % 4", "12")}, ']}}}}') END""".replace("{{", "{").replace("}}", "}")
+_STRUCT = "{'font_name': x.font_name, 'original': x.original, 'current': x.current, 'ref': x.ref}"
+FMT8_SQL = (
+    f"WITH k AS (SELECT *, {FILE_KIND} AS kind_ FROM {{files}}), p AS (SELECT file_id, kind_, size_bytes, {PREVIEW} AS payload FROM k),\n"
+    + """    v AS (SELECT *, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.created_at') END AS made, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.granularity') END AS g,
+          CASE WHEN json_valid(payload) THEN from_json(json_extract(payload, '$.blocks'), '[{"font_name":"VARCHAR","original":"DOUBLE","current":"DOUBLE","ref":"INTEGER"}]') END AS b,
+          CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.schema_version') AS INTEGER) = 10 AND json_extract_string(payload, '$.document_kind') = kind_ ELSE FALSE END AS current FROM p),
+    m AS (SELECT *, coalesce(current, FALSE) AND kind_ = 'pdf' AND g <> 'block' AS migrate FROM v),
+    m2 AS (SELECT *, CASE WHEN NOT coalesce(current, FALSE) THEN [{'font_name': 'F0', 'original': 10.0, 'current': 10.0, 'ref': 0}] WHEN migrate AND b[1].font_name = b[2].font_name AND b[1].original = b[2].original
+          THEN [{'font_name': b[1].font_name, 'original': b[1].original, 'current': greatest(b[1].current, b[2].current), 'ref': b[1].ref}] ELSE b END AS b2 FROM m),
+    c AS (SELECT *, coalesce(current, FALSE) AND kind_ = 'pdf' AND len(list_filter(b2, lambda x: x.original > x.current)) > 0 AS clean, coalesce(current, FALSE) AND kind_ = 'pdf' AND len(list_filter(b2, lambda x: x.font_name = '')) > 0 AS do_fonts,
+          coalesce(current, FALSE) AND kind_ IN ('docx', 'xlsx', 'pptx') AND len(list_filter(b2, lambda x: x.ref IS NULL)) > 0 AS refs FROM m2)
+    SELECT file_id, concat_ws(',', CASE WHEN NOT coalesce(current, FALSE) THEN 'rebuild' END, CASE WHEN migrate THEN 'migrate' END, CASE WHEN clean THEN 'clean' END, CASE WHEN do_fonts THEN 'fonts' END, CASE WHEN refs THEN 'refs' END) AS steps,
+           coalesce(made, 'today') AS created_at, len(b2) AS blocks, list_sum(list_transform(b2, lambda x: CASE WHEN clean THEN greatest(x.original, x.current) ELSE x.current END)) AS current_size,
+           array_to_string(list_transform(b2, lambda x: CASE WHEN NOT do_fonts OR x.font_name <> '' THEN x.font_name WHEN len(list_filter(b2, lambda y: y.font_name <> '')) > 0 THEN 'F1' ELSE 'default' END), ',') AS fonts,
+           coalesce(array_to_string(list_transform(range(1, len(b2) + 1), lambda i: CAST(CASE WHEN refs THEN coalesce(b2[i].ref, i - 1) ELSE b2[i].ref END AS VARCHAR)), ','), '') AS refs FROM c"""
+)
+
+
+@query("fmt8_schema_dispatch", FMT8_SQL)
 def _(t: Tables):
-    version = F.col("event_id") % 13
-    return t.events.select("event_id", F.when(version >= 10, "current").when(version >= 2, "migrate").otherwise("rebuild").alias("action"))
+    """Each file's preview after loading: what was done to it, and its blocks in today's schema."""
+    files = t.files.withColumn("kind_", F.expr(FILE_KIND)).select("file_id", "kind_", F.expr(PREVIEW).alias("payload"))
+    built = F.array(F.struct(F.lit("F0").alias("font_name"), F.lit(10.0).alias("original"), F.lit(10.0).alias("current"), F.lit(0).alias("ref")))
+    out = sidecar.loaded(files, "payload", F.col("kind_"), built, F.lit("today"))
+    text = lambda name: F.array_join(F.transform("blocks", lambda b: b[name].cast("string")), ",")
+    total = F.aggregate("blocks", F.lit(0.0), lambda a, b: a + b["current"])
+    return out.select("file_id", F.array_join("steps", ",").alias("steps"), "created_at", F.size("blocks").cast("long").alias("blocks"), total.alias("current_size"), text("font_name").alias("fonts"), text("ref").alias("refs"))

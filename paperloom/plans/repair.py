@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import axis, folds, glyphs, input_text, label_lines, model
+from paperloom.operators import axis, blocks, folds, glyphs, input_text, label_lines, model
 from paperloom.plans.layout import NODES, nodes
 from paperloom.plans.registry import query
-from paperloom.sources.fragments import LABEL_TEXT, axis_glyphs, axis_scales, label_items, translator_inputs
+from paperloom.sources.fragments import LABEL_ITEM, LABEL_TEXT, axis_glyphs, axis_scales, fragments, label_items, translator_inputs
 from paperloom.sources.tables import Tables
 
 
@@ -18,7 +18,7 @@ def label_glyphs(t: Tables):
 
 
 GLYPHS = f"""(SELECT page, line, k AS idx, substr(t, k + 1, 1) AS ch, x0 + 4 * k AS x1, x0 + 4 * k + 4 AS x2, 7.0 AS size, substr(t, k + 1, 1) IN ('W', 'm') AS symbol
-    FROM (SELECT l_orderkey AS page, l_linenumber * 1000000 + l_partkey AS line, {LABEL_TEXT} AS t, CAST(40 + (l_linenumber - 1) % 3 * 62 + l_partkey % 5 AS DOUBLE) AS x0, unnest(range(length({LABEL_TEXT}))) AS k FROM lineitem) WHERE substr(t, k + 1, 1) <> ' ')"""
+    FROM (SELECT l_orderkey AS page, {LABEL_ITEM} AS line, {LABEL_TEXT} AS t, CAST(40 + (l_linenumber - 1) % 3 * 62 + l_partkey % 5 AS DOUBLE) AS x0, unnest(range(length({LABEL_TEXT}))) AS k FROM lineitem) WHERE substr(t, k + 1, 1) <> ' ')"""
 GAP_SQL = """WITH g AS (SELECT *, lag(x2) OVER w AS px, lag(ch) OVER w AS pc, lag(ch, 2) OVER w AS ppc, lead(ch) OVER w AS nc FROM {v} WINDOW w AS (PARTITION BY page, line ORDER BY x1, idx)),
      s AS (SELECT *, x1 - px > 0 AND x1 - px >= greatest(1.8, 0.22 * size) AND ch NOT IN ('.', ',', ';', ':', '!', '?', '%', ')', ']', '}}')
         AND NOT coalesce((regexp_matches(pc, '^[0-9]$') AND ch IN ('.', ',') AND regexp_matches(nc, '^[0-9]$')) OR (pc IN ('.', ',') AND regexp_matches(ch, '^[0-9]$') AND regexp_matches(ppc, '^[0-9]$')), FALSE) AS gap FROM g)
@@ -106,8 +106,21 @@ def _(t: Tables):
     return parts.select("page", "line", "items", F.when(F.col("items") > 1, F.concat(F.col("page").cast("string"), F.lit(":vline:"), F.col("line").cast("string"))).otherwise(F.col("page").cast("string")).alias("part_id"))
 
 
+def parsed_paragraphs(t: Tables):
+    """Fragments of the documents' pages as a parser may group them: the end of every other row goes with the row below."""
+    row, piece = F.floor(F.col("idx") / 3), F.col("idx") % 3
+    own = F.floor(row / 2) * 2 + F.when((row % 2 == 0) & (piece < 2), 0).otherwise(1)
+    return fragments(t.documents).select("page", own.cast("long").alias("paragraph"), "idx", "x1", "y1", "x2", "y2", "text")
+
+
+@query("rw6_wrapped_tails")
+def _(t: Tables):
+    """Paragraphs whose first line is the end of their left neighbour's, split line by line; parts name the paragraph they come from."""
+    return blocks.split_tails(parsed_paragraphs(t))
+
+
 @query(
-    "rw6_wrapped_tails",
+    "rw6_same_line_counts",
     "SELECT a.page, a.line_y, count(*) AS tails FROM (SELECT page, y1 AS line_y, min(x1) AS x1, max(x2) AS x2 FROM {boxes} GROUP BY 1, 2) a JOIN (SELECT page, y1 AS line_y, x1 FROM {boxes}) b ON a.page = b.page AND b.line_y < a.line_y AND a.line_y - b.line_y <= 18 AND b.x1 <= a.x1 + 6 GROUP BY 1, 2",
 )
 def _(t: Tables):
@@ -145,14 +158,22 @@ def _(t: Tables):
     return folds.page_components(n).join(n, ["page", "idx"]).groupBy("page", "component").agg(F.count(F.lit(1)).alias("members"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-@query("win12_block_split", "SELECT page, count(*) AS blocks FROM (SELECT page, CASE WHEN lag(y1) OVER w IS NULL OR y1 - lag(y2) OVER w > 14.4 THEN 1 ELSE 0 END AS opens FROM (SELECT page, y1, max(y2) AS y2 FROM {boxes} GROUP BY 1, 2) WINDOW w AS (PARTITION BY page ORDER BY y1)) WHERE opens = 1 GROUP BY page")
+def page_lines(t: Tables):
+    """The boxes' lines, from the lower edge they share; a line's text begins with its lowest number, as an item of a list or not."""
+    item = F.concat(F.min("line_no").cast("string"), F.when(F.min("part_key") % 10 == 0, ". item").otherwise(" item"))
+    lines = t.boxes.groupBy("page", "y1").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), item.alias("text"))
+    return lines.select("page", F.col("y1").cast("long").alias("idx"), "x1", "y1", "x2", "y2", "text")
+
+
+@query("win12_block_split")
 def _(t: Tables):
-    """Blocks of lines: a gap over 0.8 of the line step of 18 opens a new one."""
-    from pyspark.sql import Window as W
+    """Blocks of each page's lines, and what opened each: a list item, a gap against the measured step, too many lines, too much height, an indent taken back."""
+    return blocks.line_blocks(page_lines(t))
 
-    lines = t.boxes.groupBy("page", "y1").agg(F.max("y2").alias("y2"))
-    before = F.lag("y2").over(W.partitionBy("page").orderBy("y1"))
-    return lines.withColumn("before", before).where(F.col("before").isNull() | (F.col("y1") - F.col("before") > 14.4)).groupBy("page").agg(F.count(F.lit(1)).alias("blocks"))
+
+@query("win12_block_reasons")
+def _(t: Tables):
+    return blocks.line_blocks(page_lines(t)).groupBy("opened").agg(F.count(F.lit(1)).alias("blocks"), F.sum("lines").alias("lines"))
 
 
 CLAIMS = "(SELECT event_id % 1500 AS job_id, user_id AS worker, event_id FROM events)"

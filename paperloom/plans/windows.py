@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import windows as win
 from paperloom.plans.registry import query, values_sql
 from paperloom.sources.tables import Tables
+from paperloom.streaming import ordered
 
 END = "2024-12-31 00:00:00"
 
@@ -128,6 +129,35 @@ def _(t: Tables):
     return win.changed_progress(rows, ["user_id"], ["ts", "event_id"], "event_type", "progress").select("event_id", "top")
 
 
+LATE = "1 day"
+
+
+@query(
+    "stm7_progress_stream",
+    """WITH p AS (SELECT event_id, user_id, ts, event_type, max(event_id % 101) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS top FROM events)
+       SELECT event_id, top FROM (SELECT *, lag(top) OVER w AS t0, lag(event_type) OVER w AS s0 FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+       WHERE (t0 IS NULL OR t0 <> top OR s0 <> event_type) AND ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+)
+def _(t: Tables):
+    """The events as a stream: what the state machine gave out by the time its watermark stands a day before the last event."""
+    rows = ordered.stored_events(t.spark, t.folder).select("event_id", "user_id", "ts", F.col("event_type").alias("status"), (F.col("event_id") % 101).alias("progress"))
+    return ordered.drained(ordered.progress(rows, LATE), ordered.fresh_folder(t.spark, "progress")).select("event_id", "top")
+
+
+@query(
+    "stm5_session_stream",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS opens FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+            s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, opens DESC ROWS UNBOUNDED PRECEDING) AS session FROM e)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, count(*) >= 3 AS limited FROM s GROUP BY user_id, session
+       HAVING max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_type = 'error')""",
+)
+def _(t: Tables):
+    """Sessions of errors that the watermark has closed, from the events as a stream."""
+    errors = ordered.stored_events(t.spark, t.folder).where("event_type = 'error'").select("event_id", "user_id", "ts")
+    closed = ordered.drained(ordered.sessions(errors, 12 * 3_600_000, 3, LATE), ordered.fresh_folder(t.spark, "sessions"))
+    return closed.select("user_id", F.date_format(F.timestamp_micros("start"), "yyyy-MM-dd HH:mm:ss").alias("started"), "n", "limited")
+
+
 @query(
     "stm8_illegal_transitions",
     """SELECT job_id, was, status FROM (SELECT job_id, status, lag(status) OVER (PARTITION BY created_by ORDER BY created_at, job_id) AS was FROM {jobs})

@@ -54,11 +54,15 @@ LABEL_TEXT = """CASE l_linenumber % 4 WHEN 1 THEN CONCAT('VDD ', CAST(CAST(l_qua
     WHEN 3 THEN CONCAT('R', CAST(l_suppkey AS VARCHAR(19)), ' ', CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), 'W') ELSE CONCAT('C', CAST(l_suppkey AS VARCHAR(19)), ' ', CAST(CAST(l_quantity AS INT) AS VARCHAR(9)), CASE WHEN l_orderkey % 3 = 0 THEN ' mF' ELSE ' PF' END) END"""
 
 
+#: An item's number among those of its label: rows may repeat a line's number.
+LABEL_ITEM = "((CAST(l_linenumber AS BIGINT) * 1000 + CAST(l_quantity AS BIGINT)) * 10000000 + l_partkey) * 100000 + l_suppkey % 100000"
+
+
 def label_items(lineitem: DataFrame) -> DataFrame:
     """(paragraph, item, label, glyphs): characters 4 wide without the blanks; W and m behind a number are of a symbol font."""
     base = lineitem.selectExpr(
         "l_orderkey AS paragraph",
-        "CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS item",
+        f"{LABEL_ITEM} AS item",
         "CASE WHEN l_orderkey % 5 = 0 THEN 'plain text' ELSE 'fallback_line' END AS label",
         f"{LABEL_TEXT} AS t",
         "CAST(40 + (l_linenumber - 1) % 3 * 62 + l_partkey % 5 AS DOUBLE) AS x0",
@@ -100,11 +104,11 @@ def translator_inputs(documents: DataFrame) -> DataFrame:
     """
     words = documents.where("text IS NOT NULL AND n_chars IS NOT NULL").selectExpr("doc_id", "n_chars % 100 AS a", "doc_id % 10 AS b", "filter(split(text, '[ \\\\n]+'), w -> w rlike '^[A-Za-z]+$') AS w").where("size(w) >= 4")
     parts = words.selectExpr(
-        "doc_id",
-        "concat(w[0], ' ', w[1]) AS p0", "concat('= ', a) AS p1", "concat('.', b, 'V and') AS p2", "upper(substr(w[2], 1, 4)) AS p3", "upper(substr(w[3], 1, 4)) AS p4", "concat('x*', a, '*y') AS p5",
+        "doc_id", "b",
+        "concat(w[0], ' ', w[1]) AS p0", "concat('= ', a) AS p1", "concat('.', b, 'V and') AS p2", "upper(substr(w[2], 1, 4)) AS p3", "upper(substr(w[3], 1, 4)) AS p4", "concat('(x*', a, '*y)') AS p5",
     )
-    parts = parts.selectExpr("*", "concat(p0, ' ', p1, p2, ' ', p3, '_', p4, ' ', p5) AS source")
-    fragment = "CASE doc_id % 6 WHEN 0 THEN p1 WHEN 1 THEN '_' WHEN 2 THEN concat('+', b) WHEN 3 THEN p5 END"
+    parts = parts.selectExpr("*", "concat(p0, ' ', p1, p2, ' ', p3, '_', p4, ' ', p5) AS source", "substr(p5, 2, length(p5) - 2) AS product")
+    fragment = "CASE doc_id % 6 WHEN 0 THEN p1 WHEN 1 THEN '_' WHEN 2 THEN concat('+', b) WHEN 3 THEN product END"
     glyphs = lambda k: f"transform(split(p{k}, ''), (c, j) -> named_struct('ch', c, 'x1', x{k} + 5D * j, 'y1', 0D, 'x2', x{k} + 5D * j + 5, 'y2', 8D, 'size', 8D))"
     placed = parts.selectExpr("*", "0D AS x0", "5D * (length(p0) + 1) AS x1").selectExpr("*", "x1 + 5D * length(p1) AS x2").selectExpr("*", "x2 + 5D * (length(p2) + 1) AS x3").selectExpr("*", "x3 + 5D * (length(p3) + 1) AS x4").selectExpr("*", "x4 + 5D * (length(p4) + 1) AS x5")
     return placed.selectExpr(

@@ -50,3 +50,62 @@ def test_progress(spark, folder):
     rows = spark.read.parquet(path).select("event_id", "user_id", "ts", "event_type", (F.col("event_id") % 101).alias("progress"))
     want = windows.changed_progress(rows, ["user_id"], ["ts", "event_id"], "event_type", "progress")
     assert sorted((r.user_id, r.event_id, r.top) for r in got) == sorted((r.user_id, r.event_id, r.top) for r in want.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ordered_streams_equal_batches_with_late_rows(spark, small, tmp_path, seed):
+    """Files hold rows up to half a day late and arrive one by one; what the watermark has passed is what the batch forms give."""
+    import datetime
+    import random
+
+    from paperloom.streaming import ordered
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    rows = sorted(events.collect(), key=lambda r: r.ts)
+    rng = random.Random(seed)
+    arrival = sorted(rows, key=lambda r: r.ts + datetime.timedelta(hours=rng.uniform(0, 11)))
+    assert arrival != rows
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        part = arrival[k * len(rows) // 4 : (k + 1) * len(rows) // 4]
+        spark.createDataFrame(part, events.schema).coalesce(1).write.parquet(f"{tmp_path}/parts/{k}")
+        (file,) = (tmp_path / "parts" / str(k)).glob("*.parquet")
+        file.rename(tmp_path / "in" / f"{k}.parquet")
+        time.sleep(0.02)  # files are taken in the order of their times
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    passed = max(r.ts for r in rows) - datetime.timedelta(days=1)
+    status = stream.select("event_id", "user_id", "ts", F.col("event_type").alias("status"), (F.col("event_id") % 101).alias("progress"))
+    got = ordered.drained(ordered.progress(status, "1 day"), f"{tmp_path}/a").collect()
+    plain = events.select("event_id", "user_id", "ts", "event_type", (F.col("event_id") % 101).alias("progress"))
+    want = windows.changed_progress(plain, ["user_id"], ["ts", "event_id"], "event_type", "progress").collect()
+    assert sorted((r.user_id, r.event_id, r.top) for r in got) == sorted((r.user_id, r.event_id, r.top) for r in want if r.ts < passed)
+
+    # A key that was idle for long begins anew: so does its progress.
+    hours = 40
+    got = ordered.drained(ordered.progress(status, "1 day", keep_ms=hours * 3_600_000), f"{tmp_path}/c").collect()
+    want, state = [], {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+        before, top, at = state.get(r.user_id, (None, None, None))
+        if at is not None and r.ts - at > datetime.timedelta(hours=hours):
+            before = top = None
+        high = r.event_id % 101 if top is None else max(top, r.event_id % 101)
+        if (top is None or (r.event_type, high) != (before, top)) and r.ts < passed:
+            want.append((r.user_id, r.event_id, high))
+        state[r.user_id] = (r.event_type, high, r.ts)
+    assert sorted((r.user_id, r.event_id, r.top) for r in got) == sorted(want)
+
+    errors = stream.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    got = ordered.drained(ordered.sessions(errors, 12 * 3_600_000, 3, "1 day"), f"{tmp_path}/b").collect()
+    times = {}
+    for r in rows:
+        if r.event_type == "error":
+            times.setdefault(r.user_id, []).append(r.ts)
+    gap, last, want = datetime.timedelta(hours=12), max(t for ts in times.values() for t in ts) - datetime.timedelta(days=1), []
+    for user, ts in times.items():
+        runs = [[ts[0]]]
+        for t in ts[1:]:
+            if t - runs[-1][-1] >= gap:
+                runs.append([])
+            runs[-1].append(t)
+        want += [(user, len(run), len(run) >= 3) for run in runs if run[-1] + gap < last]
+    assert want and sorted((r.user_id, r.n, r.limited) for r in got) == sorted(want)
