@@ -47,8 +47,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of text that each id stands for: in byte-level vocabularies each character of a token is one.
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        #: Ids whose text holds a line feed, which byte-level vocabularies write as this letter.
+        self.breaks = np.zeros(len(self.lengths), bool)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
+            self.breaks[i] = "\u010a" in token
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([f"[{WIDE_SPACE}]", *added]))
         self.cache_units, self.cache_ids = cache_units, cache_ids

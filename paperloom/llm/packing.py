@@ -29,12 +29,12 @@ from paperloom.llm.common import ids_and_texts
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence; the queries take these. Each binds: loss in sequences of one to
-    three pieces, tokens in those of four or more, segments in those of short texts."""
+    """Of one sequence; the queries take these. Loss may be as much as all tokens: a lower
+    limit would leave every sequence inside a long document padded, as its loss is its length."""
 
     tokens: int = 1024
     segments: int = 16
-    loss: int = 1020
+    loss: int = 1024
 
 
 #: Tokens of the shortest head that is cut off to top a sequence up.
@@ -134,8 +134,10 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, id_col: str = "
     """Encode every text, append the end id and pack all ids; documents may be cut.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. A piece's first token bears no loss, as nothing in its
-    sequence predicts it. Null and empty texts have only the end id. Rows with the
+    sequence_id, offset. A document's first line is taken for its prompt, which bears no
+    loss, and the lines after it for the answer; one line alone is all answer. A piece's
+    first token bears none either, as nothing in its sequence predicts it. Null and empty
+    texts have only the end id. Rows with the
     same id, and null ids, are documents of their own; of pieces that fit alike the
     one that came first is taken. An empty table gives no pieces. Sequence ids are
     unique; their high bits are the partition.
@@ -145,21 +147,22 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        encode, rows = bpe.encoder(path).encode, []
+        encoder, rows = bpe.encoder(path), []
+        encode = encoder.encode
 
         def place(doc, start, length, sequence, offset):
-            doc_id, tokens, held, base = doc
+            doc_id, tokens, held, base, _ = doc
             crc = zlib.crc32(memoryview(held)[4 * (start - base) : 4 * (start - base + length)])
             rows.append((doc_id, start, length, crc, tokens, first + sequence, offset))
 
-        packer = Packer(limits, place, lambda doc, start, length: length - 1, cut=True, pool=pool)
+        packer = Packer(limits, place, lambda doc, start, length: max(start + length - max(start + 1, doc[4]), 0), cut=True, pool=pool)
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), end), strict=True):
-                n = len(ids) // 4
+                n, prompt = len(ids) // 4, prompt_tokens(ids, encoder.breaks)
                 # Pieces that fill a sequence leave at once; only the remainder's bytes wait in the pool.
-                at = packer.fill((doc_id, n, ids, 0), 0, n)
+                at = packer.fill((doc_id, n, ids, 0, prompt), 0, n)
                 if n > at:
-                    packer.add((doc_id, n, ids[4 * at :], at), at, n - at)
+                    packer.add((doc_id, n, ids[4 * at :], at, prompt), at, n - at)
             if len(rows) >= 10_000:
                 yield _pieces(rows)
                 rows.clear()
@@ -169,6 +172,13 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, id_col: str = "
     return ids_and_texts(df, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in PIECES))
 
 
+def prompt_tokens(ids: bytes, breaks: np.ndarray) -> int:
+    """How many ids a text's first line has, its line feed included; 0 if it is the only line."""
+    values = np.frombuffer(ids, "<u4")[:-1]
+    found = np.flatnonzero(breaks[values])
+    return int(found[0]) + 1 if len(found) and found[0] + 1 < len(values) else 0
+
+
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
