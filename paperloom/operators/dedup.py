@@ -36,7 +36,23 @@ def repeated_edge_text(lines: DataFrame, page: str, canon: Column, edge: Column,
 def leader_values(df: DataFrame, group: str, order: str, value: str, changed: Column) -> DataFrame:
     """Every member of a group with the value of its first changed member, or its own if none changed."""
     leaders = df.where(changed).groupBy(group).agg(F.min_by(value, order).alias("leader_value"))
-    return df.join(leaders, group, "left").withColumn("value_now", F.coalesce("leader_value", value))
+    return apart(df, leaders, [group], "left").withColumn("value_now", F.coalesce("leader_value", value))
+
+
+def apart(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with an aggregate over ``by``, in a plan whose hot keys can be split.
+
+    Joined by the same keys alone, the aggregate's partitions would be the join's, and
+    Spark couldn't divide a large one. With a hash as one more key both sides are dealt
+    out for the join itself; of the aggregate that is a row for each group. Null keys meet.
+    """
+    mark = F.xxhash64(*by).alias("_mark")
+    left, right = df.select("*", mark).alias("l"), groups.select("*", mark).alias("r")
+    same = F.col("l._mark") == F.col("r._mark")
+    for key in by:
+        same &= F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    kept = [F.col(f"l.{c}") for c in df.columns] + [F.col(f"r.{c}") for c in groups.columns if c not in by]
+    return left.join(right, same, how).select(*kept)
 
 
 def first_seen(df: DataFrame, by: list[str], order: list, keep: str = "seen") -> DataFrame:

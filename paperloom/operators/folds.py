@@ -325,18 +325,31 @@ class _Twin:
     """A kept long line, ready to be compared with many others."""
 
     def __init__(self, bare: str):
-        self.bare, self.counts, self.matcher = bare, Counter(bare), None
+        self.bare, self.counts, self.matcher, self.places = bare, Counter(bare), None, None
 
     def alike(self, bare: str, counts: Counter) -> bool:
-        """Whether the ratio of matching characters is ``LINE_ALIKE`` or more; two upper bounds of it come first."""
+        """Whether the ratio of matching characters is ``LINE_ALIKE`` or more; three upper bounds of it come first, the cheapest one first."""
         least = LINE_ALIKE * (len(bare) + len(self.bare))
-        if 2 * min(len(bare), len(self.bare)) < least or 2 * (counts & self.counts).total() < least:
+        if 2 * min(len(bare), len(self.bare)) < least or 2 * (counts & self.counts).total() < least or 2 * self.subsequence(bare) < least:
             return False
         if self.matcher is None:
             self.matcher = SequenceMatcher(None, "", self.bare)
         self.matcher.set_seq1(bare)
         return self.matcher.ratio() >= LINE_ALIKE
 
+    def subsequence(self, other: str) -> int:
+        """Length of the longest common subsequence, which matching blocks are one of: a row of the usual table as the bits of one number."""
+        if self.places is None:
+            self.places = {}
+            for k, c in enumerate(self.bare):
+                self.places[c] = self.places.get(c, 0) | 1 << k
+        full = (1 << len(self.bare)) - 1
+        row = full
+        for c in other:
+            hit = row & self.places.get(c, 0)
+            row = (row + hit | row - hit) & full
+        return len(self.bare) - row.bit_count()
+
 
 @F.pandas_udf(T.StringType())
 def without_repeated_lines(texts: pd.Series) -> pd.Series:

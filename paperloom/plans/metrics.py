@@ -127,11 +127,6 @@ def body_hits(t: Tables):
     return body.groupBy("decision").agg(F.sum(hits).alias("hits"))
 
 
-@query("snk4_batch_failed", "SELECT event_type AS sample, bool_or(value > 990) AS failed, count(*) AS checks FROM events GROUP BY 1")
-def _(t: Tables):
-    return t.events.groupBy(F.col("event_type").alias("sample")).agg(F.bool_or(F.col("value") > 990).alias("failed"), F.count(F.lit(1)).alias("checks"))
-
-
 @query("agg28_nested_overflow", f"SELECT event_id, n_samples AS blocks, count_if(guard_decision = 'rejected') AS overflowing FROM {SAMPLES_SQL} JOIN (SELECT event_id AS e, n_samples FROM {EVENTS_SQL}) ON event_id = e GROUP BY 1, 2")
 def _(t: Tables):
     rows = samples(t).groupBy("event_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("guard_decision") == "rejected").alias("overflowing"))
@@ -154,11 +149,6 @@ def _(t: Tables):
     return log(t).groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.sum(F.greatest("n_samples", F.lit(1))).alias("n"))
 
 
-@query("agg25_prefers_ocr", "SELECT p_partkey, p_size > 25 AND p_retailprice / 2000 >= 0.6 AND p_partkey % 3 > 0 AND p_size % 2 = 0 AS prefers_ocr FROM part")
-def _(t: Tables):
-    return t.part.select("p_partkey", ((F.col("p_size") > 25) & (F.col("p_retailprice") / 2000 >= 0.6) & (F.col("p_partkey") % 3 > 0) & (F.col("p_size") % 2 == 0)).alias("prefers_ocr"))
-
-
 # ---- policy --------------------------------------------------------------------------------
 
 
@@ -209,13 +199,6 @@ def _(t: Tables):
     return t.boxes.groupBy("order_key").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.array_join(F.transform(words, lambda w: w["part_key"].cast("string")), " ").alias("text"))
 
 
-@query("fmt5_ocr_decision", "SELECT page, CASE WHEN bool_and(size > 6) THEN 'no_ocr' WHEN bool_or(font = 'AF') THEN 'no_ocr' WHEN bool_or(size > 7) THEN 'no_ocr' WHEN page % 4 = 0 THEN 'error' ELSE 'rebuild' END AS decision FROM {boxes} GROUP BY page")
-def _(t: Tables):
-    """All text, a font or any text: no OCR; else an error where OCR is off (here each fourth page), and a rebuild where it is on."""
-    text, font, some, off = F.bool_and(F.col("size") > 6), F.bool_or(F.col("font") == "AF"), F.bool_or(F.col("size") > 7), F.col("page") % 4 == 0
-    return t.boxes.groupBy("page").agg(F.when(text | font | some, "no_ocr").when(off, "error").otherwise("rebuild").alias("decision"))
-
-
 @query("fmt9_segment_map", "SELECT doc_id, count(*) AS segments, string_agg('[T]' || line, chr(10) ORDER BY pos) AS translated FROM (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) GROUP BY doc_id")
 def _(t: Tables):
     """Split, map each segment, join in order: arrays of one text, so nothing is shuffled."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import labels
+from paperloom.operators import dedup
 from paperloom.operators import relational as rel
 from paperloom.plans.registry import query, values_sql
 from paperloom.sources.tables import EXTENSIONS, Tables
@@ -199,9 +200,8 @@ def _(t: Tables):
     """Files that have another one like them, how many, and one of those: a group never gives its pairs."""
     key = ["created_by", "size_bytes", "language"]
     groups = t.files.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("lowest"), F.max("file_id").alias("highest")).where("n > 1")
-    same = [t_.eqNullSafe(g) for t_, g in ((F.col(f"f.{k}"), F.col(f"g.{k}")) for k in key)]
     other = F.when(F.col("file_id") == F.col("lowest"), F.col("highest")).otherwise(F.col("lowest"))
-    return t.files.alias("f").join(groups.alias("g"), same).select("file_id", (F.col("n") - 1).alias("others"), other.alias("other_id"))
+    return dedup.apart(t.files, groups, key).select("file_id", (F.col("n") - 1).alias("others"), other.alias("other_id"))
 
 
 @query("flt8_boolean", "SELECT user_id FROM {users} WHERE is_active AND role = 'admin'")

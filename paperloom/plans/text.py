@@ -67,7 +67,7 @@ def _(t: Tables):
 @query("rw10_reconcile_edges", f"WITH g AS ({REPEATED_SQL}) SELECT l.doc_id, l.pos, g.group_id FROM (SELECT doc_id, pos, {CANON} AS canon FROM {LINES} WHERE {BAND}) l JOIN g ON l.canon = g.canon")
 def _(t: Tables):
     groups = repeated_edge(t).select("group_id", "canon")
-    return edge_lines(t).where("edge").join(groups, "canon").select("doc_id", F.col("pos").cast("long").alias("pos"), "group_id")
+    return dedup.apart(edge_lines(t).where("edge"), groups, ["canon"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "group_id")
 
 
 @query("dup8_block_noise")

@@ -375,3 +375,30 @@ def test_glyph_texts(spark):
     fixed = glyphs.with_units(df, F.contains(F.lower("font"), F.lit("symbol")))
     # The blank of 4 is wider than 0.32 of the size, so W stays; m touches F and is micro.
     assert {(r.page, r.line): r.text for r in glyphs.line_texts(fixed).collect()}[1, 1] == "10 µF"
+
+
+@given(st.text("abcd", max_size=30), st.text("abcde", min_size=1, max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_subsequence_bound(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            row[k], before = (before + 1 if x == y else max(row[k], row[k - 1])), row[k]
+    assert folds._Twin(b).subsequence(a) == row[-1] >= sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_joins_of_aggregates_can_be_split(spark):
+    """Null and repeated keys meet, and both sides are dealt out for the join itself."""
+    from paperloom.operators import dedup
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "c")], "id long, k string")
+    groups = rows.where("id < 5").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = dedup.apart(rows, groups, ["k"], "left")
+        assert sorted((r.id, r.n) for r in joined.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, None)]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ENSURE_REQUIREMENTS") >= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
