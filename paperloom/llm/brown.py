@@ -7,8 +7,10 @@
    each to the class that raises the likelihood of the class bigrams most, sweep
    after sweep.
 2. Every other word goes to the class under which its own neighbours, in all its
-   occurrences, are likeliest. Its neighbours are gathered per task and summed word
-   by word in one sorted stream, so no word's occurrences are ever held.
+   occurrences, are likeliest. Its neighbours are gathered per task; before they are
+   shuffled, those of a word that came often become counts by their classes, which
+   are some hundred numbers however often it came. They are summed word by word in
+   one sorted stream, so no word's occurrences are ever held.
 3. With all words in classes, the texts become class lines; class bigrams are
    counted on those of the training texts, and all are scored.
 
@@ -33,7 +35,8 @@ from paperloom.llm.common import cut, cut_at, id_bucket, ids_and_texts, remove
 from paperloom.llm.words import Lookup, word_hashes, words_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Share of the training tokens whose words are clustered by exchange; a few thousand words in any language.
+#: Share of the training tokens whose words are clustered by exchange, as far as words with ``SHARE`` make it up; the
+#: result says what share it was. Pairs of these words are kept where they occur, not as a square table.
 COVERAGE = 0.5
 #: Classes of words, 250 at most; the end of a text is a class of its own.
 CLASSES = 64
@@ -45,6 +48,8 @@ SWEEPS = 4
 SMOOTHING = 0.1
 #: Distinct words, and occurrences, that a counting task holds before it sends what it has.
 HELD_WORDS, HELD_TOKENS = 250_000, 3_000_000
+#: Distinct pairs of symbols that it holds.
+HELD_PAIRS = 2_000_000
 #: Bytes of texts whose words are looked up at once.
 GROUP_BYTES = 1 << 20
 
@@ -148,6 +153,28 @@ def clustered_words(held: dict[bytes, int], total: int, coverage: float) -> list
     return ranked[: int(np.searchsorted(upto, coverage * total)) + 1]
 
 
+class _Pairs:
+    """Counts by number, summed in sorted arrays; what comes in waits until there is enough to merge."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size >= max(1 << 18, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+        self.waiting, self.size = [], 0
+        if len(keys):
+            self.keys, back = np.unique(keys, return_inverse=True)
+            # Exact, as counts are far below 2 ** 53.
+            self.counts = np.bincount(back, counts, len(self.keys)).astype(np.int64)
+
+
 def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
     """(cell, n, word, codes): counts of symbol pairs, and the neighbours of each word outside ``ranked``.
 
@@ -162,7 +189,7 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lookup(hashes_of(shared.value))
-        total, end = np.zeros(size * size, np.int64), size - 1
+        total, end = _Pairs(), size - 1
         others = _Gathered()
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -176,7 +203,10 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
             row = np.full(len(symbol) + len(texts) + 1, end)
             row[place] = symbol
             cell, n = np.unique(row[:-1] * size + row[1:], return_counts=True)
-            total[cell] += n
+            total.add(cell, n)
+            if len(total.keys) >= HELD_PAIRS:
+                yield pairs(total)
+                total = _Pairs()
             own = others.numbers(b" ".join(texts), starts[rest], ends[rest], hashes[rest])
             found.append((own.astype(np.int32), row[place[rest] - 1].astype(kind), (row[place[rest] + 1] + size).astype(kind)))
             held += len(rest)
@@ -184,9 +214,12 @@ def neighbours(docs: DataFrame, ranked: list[bytes]) -> DataFrame:
                 yield contexts(others.words, found)
                 others, found, held = _Gathered(), [], 0
         yield contexts(others.words, found)
-        at = np.flatnonzero(total)
-        none = pa.nulls(len(at), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), none, none], names)
+        yield pairs(total)
+
+    def pairs(total: _Pairs) -> pa.RecordBatch:
+        total.merge()
+        none = pa.nulls(len(total.keys), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(total.keys), pa.array(total.counts), none, none], names)
 
     def contexts(others: list[bytes], found: list[tuple]) -> pa.RecordBatch:
         if not others:
@@ -212,6 +245,31 @@ def code_type(size: int) -> str:
     return "<u2" if 2 * size <= 1 << 16 else "<u4"
 
 
+def kind_type(width: int) -> str:
+    return "<u1" if width <= 256 else "<u2"
+
+
+def counted_kinds(found: DataFrame, kinds_of: np.ndarray, width: int) -> DataFrame:
+    """(word, codes) -> (word, kinds, counts): the kind of each neighbour, without counts, or where
+    that is shorter each kind once with its count."""
+    code, kind = code_type(len(kinds_of) // 2), kind_type(width)
+    shared = found.sparkSession.sparkContext.broadcast(kinds_of.astype(kind))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds_of = shared.value
+        for batch in batches:
+            kinds, counts = [], []
+            for data in batch.column(1):
+                own = kinds_of[np.frombuffer(data.as_buffer(), code)]
+                times = np.bincount(own, minlength=width) if len(own) > 5 * width else None
+                at = None if times is None else np.flatnonzero(times)
+                kinds.append(own.tobytes() if at is None else at.astype(kind).tobytes())
+                counts.append(None if at is None else times[at].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array(counts, pa.binary())], ["word", "kinds", "counts"])
+
+    return found.select("word", "codes").mapInArrow(run, "word binary, kinds binary, counts binary")
+
+
 def assigned_words(found: DataFrame, kinds_of: np.ndarray, gains: np.ndarray) -> DataFrame:
     """(word, codes) -> (word, n, class): each word once, in the class whose gains over all its codes add up to the most.
 
@@ -219,21 +277,25 @@ def assigned_words(found: DataFrame, kinds_of: np.ndarray, gains: np.ndarray) ->
     kind and a column per class. Each word's pieces follow each other in a
     partition; their kinds are counted as they pass.
     """
-    kind = code_type(len(kinds_of) // 2)
-    shared = found.sparkSession.sparkContext.broadcast((kinds_of, gains))
+    kind = kind_type(len(gains))
+    shared = found.sparkSession.sparkContext.broadcast(gains)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds_of, gains = shared.value
-        width = len(gains)
+        width = len(shared.value)
         last, held = None, np.zeros(width, np.int64)
         for batch in batches:
             for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                words, data = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+                words, data, times = (piece.column(k).to_pylist() for k in range(3))
                 sizes = np.array([len(d) for d in data]) // np.dtype(kind).itemsize
                 place = np.cumsum(np.array([w != v for w, v in zip(words, [last, *words[:-1]], strict=True)]))
                 # Row 0 is the word that the piece before ended with.
-                cells = np.repeat(place * width, sizes) + kinds_of[np.frombuffer(b"".join(data), kind)]
-                table = np.bincount(cells, minlength=(int(place[-1]) + 1) * width).reshape(-1, width)
+                cells = np.repeat(place * width, sizes) + np.frombuffer(b"".join(data), kind)
+                weights = np.ones(len(cells))
+                ends = np.cumsum(sizes)
+                for k in (k for k, t in enumerate(times) if t is not None):
+                    weights[ends[k] - sizes[k] : ends[k]] = np.frombuffer(times[k], "<u4")
+                # Exact, as counts are far below 2 ** 53.
+                table = np.bincount(cells, weights, (int(place[-1]) + 1) * width).astype(np.int64).reshape(-1, width)
                 table[0] += held
                 first = np.flatnonzero(np.diff(place, prepend=0))
                 names = [last, *(words[k] for k in first.tolist())]
@@ -245,35 +307,61 @@ def assigned_words(found: DataFrame, kinds_of: np.ndarray, gains: np.ndarray) ->
             yield out([last], held[None])
 
     def out(words: list[bytes], table: np.ndarray) -> pa.RecordBatch:
-        sums = table @ shared.value[1]
+        sums = table @ shared.value
         # Each occurrence has two neighbours. Rounded, so that equal classes stay equal.
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table.sum(axis=1) // 2), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["word", "n", "class"])
 
-    return found.select("word", "codes").repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
+    return counted_kinds(found, kinds_of, len(gains)).repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, class int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+@dataclass
+class Bigrams:
+    """Counts of symbol pairs that occur, sorted by the first and the second symbol."""
+
+    symbols: int
+    first: np.ndarray
+    second: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of_cells(cls, symbols: int, cells: np.ndarray, counts: np.ndarray) -> Bigrams:
+        order = np.argsort(cells)
+        return cls(symbols, cells[order] // symbols, cells[order] % symbols, counts[order])
+
+    def turned(self) -> Bigrams:
+        return Bigrams.of_cells(self.symbols, self.second * self.symbols + self.first, self.counts)
+
+    def edges(self) -> np.ndarray:
+        """Where the pairs of each first symbol begin."""
+        return np.searchsorted(self.first, np.arange(self.symbols + 1))
+
+    def by_class(self, assigned: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(assigned[self.first] * n + assigned[self.second], self.counts, n * n).reshape(n, n)
+
+
+def exchange(bigrams: Bigrams, words: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each symbol. The first ``words`` symbols move among ``classes``; each other one is its own."""
     classes = max(1, min(classes, words))
-    rest = len(bigrams) - words
+    rest = bigrams.symbols - words
     n = classes + rest
     assigned = np.concatenate([np.arange(words) % classes, classes + np.arange(rest)])
-    grouped = np.zeros((len(bigrams), n))
-    np.add.at(grouped.T, assigned, bigrams.T.astype(float))  # symbol x class of the one after
-    table = np.zeros((n, n))
-    np.add.at(table, assigned, grouped)
-    by = bigrams.astype(float)
+    table = bigrams.by_class(assigned, n)
+    turned = bigrams.turned()
+    after, before = bigrams.edges(), turned.edges()
+    same = bigrams.first == bigrams.second
+    twice = dict(zip(bigrams.first[same].tolist(), bigrams.counts[same].tolist(), strict=True))
     for _ in range(sweeps):
         moved = 0
         for w in range(words):
             a = assigned[w]
-            right = np.bincount(assigned, by[w], n)
-            left = np.bincount(assigned, by[:, w], n)
-            own = by[w, w]
+            a1, b1, a2, b2 = after[w], after[w + 1], before[w], before[w + 1]
+            right = np.bincount(assigned[bigrams.second[a1:b1]], bigrams.counts[a1:b1], n)
+            left = np.bincount(assigned[turned.second[a2:b2]], turned.counts[a2:b2], n)
+            own = float(twice.get(w, 0))
             right[a] -= own
             left[a] -= own
             table[a, :] -= right
@@ -302,7 +390,7 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, sweeps: in
     return assigned
 
 
-def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def class_gains(bigrams: Bigrams, assigned: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The kind of each code, and log-likelihood that a neighbour of each kind adds to a word in each class.
 
     What a word's occurrence adds is log P(class | class before) + log P(class after
@@ -310,8 +398,7 @@ def class_gains(cells: np.ndarray, assigned: np.ndarray, classes: int) -> tuple[
     class, and half of it is put on each of the occurrence's two neighbours.
     """
     n = int(assigned.max()) + 1
-    table = np.zeros((n, n))
-    np.add.at(table, (assigned[:, None], assigned[None, :]), cells)
+    table = bigrams.by_class(assigned, n)
     smooth = table + SMOOTHING
     chance = np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))
     share = 0.5 * np.log(table.sum(axis=0)[:classes] + 1)
@@ -328,6 +415,7 @@ class Vocabulary:
     mass: np.ndarray  # tokens of each class
     kinds: np.ndarray  # distinct words of each class
     ends: int
+    clustered: int  # training tokens whose words were clustered by exchange
 
     @property
     def train_tokens(self) -> int:
@@ -352,19 +440,19 @@ def learn(docs: DataFrame, ends: int, coverage: float = COVERAGE, classes: int =
     ranked = clustered_words(head_words(counts.where("word IS NOT NULL"), HEAD), total, coverage)
     size = len(ranked) + 2
     found, found_path = cut_at(neighbours(docs, ranked), "word-neighbours")
-    # At most size * size cells, and the clustered words are a few thousand.
+    # Pairs of clustered words that occur: at most the square of their number.
     pairs = found.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cells = np.zeros(size * size, np.int64)
-    cells[pairs.column("cell").to_numpy()] = pairs.column("n").to_numpy()
-    cells = cells.reshape(size, size)
+    bigrams = Bigrams.of_cells(size, pairs.column("cell").to_numpy(), pairs.column("n").to_numpy())
     classes = max(1, min(classes, len(ranked)))
-    assigned = exchange(cells, len(ranked), classes) if ranked else np.array([1, 2])
-    others = cut(assigned_words(found.where("word IS NOT NULL"), *class_gains(cells, assigned, classes)), "word-classes")
+    assigned = exchange(bigrams, len(ranked), classes) if ranked else np.array([1, 2])
+    others = cut(assigned_words(found.where("word IS NOT NULL"), *class_gains(bigrams, assigned, classes)), "word-classes")
     remove(spark, found_path)
     mass, kinds, once = np.zeros(classes), np.zeros(classes), np.zeros(classes)
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect():
         mass[r["class"]], kinds[r["class"]], once[r["class"]] = r.n, r.kinds, r.once
-    table = {w: (int(n), int(c)) for w, n, c in zip(ranked, cells.sum(axis=1), assigned, strict=False)}
+    own = np.bincount(bigrams.first, bigrams.counts, size).astype(np.int64)
+    table = {w: (int(n), int(c)) for w, n, c in zip(ranked, own, assigned, strict=False)}
+    clustered = sum(n for n, _ in table.values())
     for n, c in table.values():
         mass[c] += n
         kinds[c] += 1
@@ -373,7 +461,7 @@ def learn(docs: DataFrame, ends: int, coverage: float = COVERAGE, classes: int =
     if least is not None:
         for part in others.where(F.col("n") >= least).toArrow().to_batches():
             table.update(zip(part.column(0).to_pylist(), zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), strict=True))
-    return Vocabulary(table, classes, int(once.argmax()), mass, kinds, ends), others
+    return Vocabulary(table, classes, int(once.argmax()), mass, kinds, ends, clustered), others
 
 
 def class_lines(docs: DataFrame, words: Vocabulary, others: DataFrame) -> DataFrame:
@@ -481,7 +569,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cov
     """Score every whole text, learning from the texts outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    perplexity for every row. Null texts count as empty: one end token. A null id
+    perplexity and clustered_share (of the training tokens, those whose words the
+    exchange clustered) for every row. Null texts count as empty: one end token. A null id
     is not held out and is not learned from. Repeated rows are counted as often
     as they stand and scored alike. If nothing can be learned, all counts are 0.
     An empty table gives no rows.
@@ -513,4 +602,5 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cov
         (F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(words.train_tokens + words.distinct + 1)))).alias("base_score"),
         "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        F.lit(words.clustered / max(words.train_tokens, 1)).alias("clustered_share"),
     )

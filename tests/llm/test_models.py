@@ -105,6 +105,34 @@ def test_lm_other_words_join_the_likeliest_class(spark):
     assert found[b"zzn"] == found[b"qqn"] == found[b"v0"] and found[b"zzv"] == found[b"qqv"] == found[b"n0"]
 
 
+def test_hot_words_are_counted_before_the_shuffle(spark):
+    """Contexts of a word that came often travel as counts; the class and the number are those of all its codes."""
+    rng = np.random.default_rng(4)
+    kinds_of, gains = np.arange(12) % 4, rng.normal(size=(4, 3))
+    codes = {f"w{k}".encode(): [rng.integers(0, 12, 2 * n).astype("<u2") for n in sizes] for k, sizes in enumerate(((1,), (3, 2), (4000, 5000, 1), (900,)))}
+    rows = [(w, c.tobytes()) for w, parts in codes.items() for c in parts]
+    found = spark.createDataFrame(rows, "word binary, codes binary").repartition(3)
+    sent = brown.counted_kinds(found, kinds_of, 4).collect()
+    assert sum(len(r.kinds) + len(r.counts or b"") for r in sent) < 100 and sum(r.counts is not None for r in sent) == 3
+    got = {bytes(r.word): (r.n, r["class"]) for r in brown.assigned_words(found, kinds_of, gains).collect()}
+    for w, parts in codes.items():
+        every = np.concatenate(parts)
+        sums = np.bincount(kinds_of[every], minlength=4) @ gains
+        assert got[w] == (len(every) // 2, int(np.round(sums, 6).argmax()))
+
+
+def test_pairs_are_summed_in_order():
+    rng = np.random.default_rng(5)
+    pairs, want = brown._Pairs(), Counter()
+    for _ in range(40):
+        keys, counts = rng.integers(0, 5000, 20_000), rng.integers(1, 9, 20_000)
+        pairs.add(keys, counts)
+        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            want[k] += n
+    pairs.merge()
+    assert dict(zip(pairs.keys.tolist(), pairs.counts.tolist(), strict=True)) == dict(want)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     bigrams = np.zeros((13, 13), np.int64)
@@ -121,7 +149,10 @@ def test_exchange_raises_the_likelihood():
         return x(table) - x(table.sum(0)) - x(table.sum(1))
 
     start = np.concatenate([np.random.default_rng(0).permutation(np.arange(12) % 3), [3]])
-    found = brown.exchange(bigrams, 12, 3)
+    cells = np.flatnonzero(bigrams)
+    sparse = brown.Bigrams.of_cells(13, cells, bigrams.ravel()[cells])
+    assert (sparse.by_class(np.arange(13), 13) == bigrams).all() and (sparse.turned().by_class(np.arange(13), 13) == bigrams.T).all()
+    found = brown.exchange(sparse, 12, 3)
     assert likelihood(found) >= likelihood(start)
     groups = [{int(found[k]) for k in range(12) if k % 3 == r} for r in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
