@@ -202,7 +202,11 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, id_col: str =
 
 
 def read_token_files(spark, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, blocks of each document in the listed files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document in the listed files, in the manifest's order.
+
+    Null ids and ids that repeat are documents of their own. An empty manifest, and
+    files without documents, give no rows.
+    """
     base, tasks = 0, []
     for entry in manifest:
         tasks.append((entry["file"], base))

@@ -403,7 +403,11 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): each text's payload as the bytes of a Matroska file."""
+    """(doc_id, media): each text's payload as the bytes of a Matroska file.
+
+    Null and empty texts give the file of 64 zero bytes; null ids stay null, repeated
+    rows have a file each, equal texts equal files. An empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
