@@ -111,8 +111,8 @@ RUNS = Rows(
 
 @query(
     "rw14_definition_styles",
-    f"""WITH c AS (SELECT *, strpos(trim(told), ':') AS at FROM {RUNS.sql}), s AS (SELECT *, trim(substr(trim(told), 1, at)) AS prefix, trim(substr(trim(told), at + 1)) AS rest FROM c)
-        SELECT doc_id, pos, CASE WHEN regexp_matches(head, '[:：]\\s*$') AND f1 <> f2 AND f2 = f3 AND at > 0 AND prefix <> '' AND rest <> '' THEN f1 || '=' || prefix || '|' || f2 || '=' || rest ELSE f1 || '=' || told END AS runs FROM s""",
+    f"""WITH c AS (SELECT *, strpos(trim(told), ':') AS cut_at FROM {RUNS.sql}), s AS (SELECT *, trim(substr(trim(told), 1, cut_at)) AS prefix, trim(substr(trim(told), cut_at + 1)) AS rest FROM c)
+        SELECT doc_id, pos, CASE WHEN regexp_matches(head, '[:：]\\s*$') AND f1 <> f2 AND f2 = f3 AND cut_at > 0 AND prefix <> '' AND rest <> '' THEN f1 || '=' || prefix || '|' || f2 || '=' || rest ELSE f1 || '=' || told END AS runs FROM s""",
 )
 def _(t: Tables):
     """A translated definition gets the styles of the source's two kinds of runs: the term up to its colon, and the rest, all alike."""
@@ -169,9 +169,9 @@ def _(t: Tables):
 
 @query(
     "fmt5_ocr_decision",
-    f"""WITH f AS (SELECT page, bool_and(size > 6) AS every, bool_or(font = 'AF') AS fonts, bool_or(size > 7) AS some, min(order_key) AS first FROM {{boxes}} GROUP BY page),
+    f"""WITH f AS (SELECT page, bool_and(size > 6) AS all_text, bool_or(font = 'AF') AS fonts, bool_or(size > 7) AS any_text, min(order_key) AS first_key FROM {{boxes}} GROUP BY page),
         s AS (SELECT user_id, lower(value) IN ('1', 'true', 'yes', 'on') AS ocr FROM {_pairs_sql(STORED)} WHERE key = 'ocr')
-        SELECT page, CASE WHEN every OR fonts OR some THEN 'no_ocr' WHEN NOT coalesce(ocr, FALSE) THEN 'error' ELSE 'rebuild' END AS decision FROM f LEFT JOIN orders ON o_orderkey = first LEFT JOIN s ON s.user_id = o_custkey""",
+        SELECT page, CASE WHEN all_text OR fonts OR any_text THEN 'no_ocr' WHEN NOT coalesce(ocr, FALSE) THEN 'error' ELSE 'rebuild' END AS decision FROM f LEFT JOIN orders ON o_orderkey = first_key LEFT JOIN s ON s.user_id = o_custkey""",
 )
 def _(t: Tables):
     """All text, a font or any text: no OCR; else what the owner's setting says: a rebuild, or an error where OCR is off or not set."""

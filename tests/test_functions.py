@@ -368,9 +368,14 @@ def test_model_calls_retry_what_may_pass():
 
 def test_glyph_texts(spark):
     from paperloom.operators import glyphs
-    from paperloom.plans.repair import GLYPH_SCHEMA, GLYPHS
+    rows = []
+    for page, line, text, font, x in [(1, 1, "10 mF", "Symbol", 0.0), (1, 2, "4k W max", "Symbol", 0.0), (1, 3, "3 .5 V , ok", "Arial", 0.0), (2, 1, "plain text", "Arial", 3.0)]:
+        for k, ch in enumerate(text):  # 5 wide, a blank moves on by 4
+            if ch != " ":
+                rows.append((page, line, k, ch, x, 0.0, x + 5.0, 8.0, 8.0, font))
+            x += 4.0 if ch == " " else 5.0
 
-    df = spark.createDataFrame(GLYPHS, GLYPH_SCHEMA)
+    df = spark.createDataFrame(rows, "page long, line long, idx long, ch string, x1 double, y1 double, x2 double, y2 double, size double, font string")
     assert {(r.page, r.line): r.text for r in glyphs.line_texts(df).collect()} == {(1, 1): "10 mF", (1, 2): "4k W max", (1, 3): "3.5 V, ok", (2, 1): "plain text"}
     fixed = glyphs.with_units(df, F.contains(F.lower("font"), F.lit("symbol")))
     # The blank of 4 is wider than 0.32 of the size, so W stays; m touches F and is micro.
