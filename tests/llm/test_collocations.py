@@ -61,7 +61,7 @@ def test_equals_brute_force_on_documents(docs):
     assert want and got(docs) == want
 
 
-@pytest.mark.parametrize("options", [{"shard_words": 50, "bucket_bytes": 300}, {"shard_words": 3000}, {}])
+@pytest.mark.parametrize("options", [{"shard_words": 500, "bucket_bytes": 20_000}, {"shard_words": 3000}, {}])
 def test_edges(edge, options):
     """Clashing columns, nulls, repeated rows; tiny shards and buckets; one word a third of all."""
     langs = edge.withColumn("lang", F.when(F.col("doc_id") > 9, "x\ty\n").when(F.col("doc_id") > 6, F.lit(None)).otherwise("en"))
