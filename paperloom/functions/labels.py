@@ -130,7 +130,7 @@ def joined_text(left: Column, right: Column, reason: Column, gap: Column) -> Col
     return F.when((reason == "potential_pair") & (gap > 1.5), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))
 
 
-# Texts of two fragments, as expressions (patterns that Java and RE2 read alike).
+# Texts of two fragments, as expressions (fixed patterns, in a form that Java and RE2 read alike).
 PAGE_NUMBER = r"^([Pp][Aa][Gg][Ee]\s*)?[0-9]{1,4}(\s*/\s*[0-9]{1,4})?$"
 SCRIPT_LETTER = r"[A-Za-z\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 SMALL_MARK = r"^[.,:;/%+\-\x{2013}\x{b1}()]{1,2}$"

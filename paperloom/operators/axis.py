@@ -71,7 +71,9 @@ _SIGNS = str.maketrans("\u00b5\u2126", "\u03bc\u03a9")
 
 def _spaced(text: str) -> str:
     """Words of a label that ran together: marks between letters, connecting words before a capital, changes of case."""
-    s = re.sub(r"(?<=[A-Za-z])[^\w\s'-]+(?=[A-Za-z])", " ", text)
+    letter = lambda c: c.isascii() and c.isalpha()
+    inner = lambda m: letter(text[m.start() - 1 : m.start()]) and letter(text[m.end() : m.end() + 1]) and m.start() > 0
+    s = re.sub(r"[^\w\s'-]+", lambda m: " " if inner(m) else m.group(), text)
     for word in CUT_OFF:
         at = 0
         while (at := s.find(word, at)) >= 0:

@@ -145,9 +145,9 @@ def is_mismatch(source: str, current: str) -> bool:
     alnum = lambda s: s[:1].isascii() and s[:1].isalnum()
     if not any(alnum(current[:a].rstrip()[-1:]) or alnum(current[b:].lstrip()) for a, b in _marks(current)):
         return False
-    signed = re.search(r"[A-Za-z0-9]\s*[+\-±]\s*\d", source)
+    signed = any(alnum(source[:k].rstrip()[-1:]) and source[k + 1 :].lstrip()[:1].isdecimal() for k, c in enumerate(source) if c in "+-±")
     measured = any(m.end() < len(source) and (source[m.end()] in UNITS or source[m.end()].isascii() and source[m.end()].isalpha()) for m in re.finditer(r"\d+[.,]\d+", source))
-    return "_" in source or signed is not None or measured
+    return "_" in source or signed or measured
 
 
 def prefers_rebuilt(source: str, current: str, made: str | None) -> bool:
