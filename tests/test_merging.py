@@ -175,3 +175,60 @@ def test_pages_without_rows(spark):
     assert m.plan(none, m.BRIDGE).collect() == []
     rows, events = m.apply(none, m.allowed_pairs(m.plan(none, m.BRIDGE)), m.BRIDGE)
     assert rows.collect() == events.collect() == []
+
+
+def test_queries_list_the_neighbours_that_were_skipped(spark, small, pages):
+    """Workers get a copy of the rule, so it is known by its name."""
+    some = [p for p in sorted(pages) if p // 1_000_000 % 4 == 1]
+    want = [(page, *p[:2], p[4]) for page in some for p in m.Walk(pages[page], m.SAME_LINE).plan() if p[5] == "skipped"]
+    got = QUERIES["rw8_plan"](spark, small).where((F.floor(F.col("page") / 1_000_000) % 4 == 1) & (F.col("decision") == "skipped")).select("page", "left", "right", "reason")
+    assert want and Counter(map(tuple, got.collect())) == Counter(want)
+
+
+@pytest.mark.parametrize("name", ["rw_fragment_records", "grd5_pair_reasons", "rw4_plan", "rw4_apply", "rw5_events", "rw8_apply", "rw458_chain"])
+def test_pages_are_not_shuffled(spark, small, name):
+    """A page comes whole from its document: only the texts are dealt out, and no rows of fragments."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange") == 1
+
+
+def test_one_pass_is_plan_and_apply(spark, small):
+    records = plans.records(Tables(spark, small)).where("page % 1000000 < 2").cache()
+    for rule in m.RULES.values():
+        rows, events = m.apply(records, m.allowed_pairs(m.plan(records, rule)), rule)
+        for got, want in ((m.planned_and_applied(records, rule), rows), (m.merge_events(records, rule, together=True), events)):
+            cells = lambda df: Counter(tuple(map(str, r)) for r in df.select(*want.columns).collect())  # noqa: E731, B023
+            assert cells(got) == cells(want)
+    records.unpersist()
+
+
+def test_regions_of_pages_are_those_of_boxes(spark):
+    import random
+
+    from paperloom.plans.layout import regions_of, regions_of_pages
+
+    random.seed(3)
+    boxes = [(page, k, x := random.choice([20.0, 60.0, 61.5, 330.0, 400.0]), y := random.uniform(60, 720), x + random.choice([10.0, 90.0, 200.0]), y + 10) for page in range(60) for k in range(page % 12 + 1)]
+    flat = spark.createDataFrame(boxes, "page long, idx long, x1 double, y1 double, x2 double, y2 double")
+    nested = flat.groupBy("page").agg(F.collect_list(F.struct("idx", "x1", "y1", "x2", "y2")).alias("items"))
+    columns = ["page", "idx", "x1", "region", "column_id", "confidence"]
+    got, want = (Counter(map(tuple, df.select(columns).collect())) for df in (regions_of_pages(nested), regions_of(flat)))
+    assert got == want and {r[4] for r in want} == {None, "left", "right", "single"}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_close_pairs_where_batches_cut_pages(spark, size):
+    import random
+
+    from paperloom.operators import folds
+
+    random.seed(size)
+    rows = [(page, k, y := float(random.randrange(60)), y + random.choice([0.0, 4.0, 10.0]), f"t{page}-{k}") for page in range(9) for k in range(page % 5 * 3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = folds.close_pairs(spark.createDataFrame(rows, "page long, idx long, y1 double, y2 double, text string").coalesce(1), ["idx", "y1", "y2", "text"], 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = lambda a, b: abs((a[2] + a[3]) / 2 - (b[2] + b[3]) / 2) <= 0.8 * max(a[3] - a[2], b[3] - b[2], 1.0)
+    want = [(a[0], *a[1:], *b[1:]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and near(a, b)]
+    assert want and Counter(map(tuple, got)) == Counter(want)
