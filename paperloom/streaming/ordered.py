@@ -1,8 +1,8 @@
 """Stateful streams in event-time order: rows wait in state until the watermark has passed them.
 
-A row is put into a list of its key and a timer is set for its time. When the watermark
-passes a timer, the rows that it has passed are taken in order and run through the key's state
-machine, so rows that come late, but not beyond the watermark, give what the batch form
+A row is put into a list of its key and a timer is set for the first of the rows that came
+together. When the watermark passes a timer, the rows that it has passed are taken in order and
+run through the key's state machine, and a timer is set for the first of those that still wait, so rows that come late, but not beyond the watermark, give what the batch form
 gives. A key's waiting rows are those of the allowed lateness; its state is one row and
 expires by itself some time after it was last written.
 """
@@ -43,9 +43,8 @@ class Ordered(StatefulProcessor):
             if len(frame):
                 waiting = list(frame[["at", *self.columns]].itertuples(index=False, name=None))
                 self.pending.appendList([tuple(x.item() if hasattr(x, "item") else x for x in row) for row in waiting])
-                # One timer for each millisecond that rows wait for.
-                for ms in {row[0] // 1000 + 1 for row in waiting}:
-                    self.handle.registerTimer(int(ms))
+                # The first row's timer is enough: when it fires, the rest is given one.
+                self._wake(min(row[0] for row in waiting))
         yield self._frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -57,15 +56,22 @@ class Ordered(StatefulProcessor):
         if due:
             if rest:
                 self.pending.put(rest)
+                self._wake(rest[0][0])
             else:
                 self.pending.clear()
             state = tuple(self.state.get()) if self.state.exists() else None
             for row in due:
                 state = self.step(key[0], state, row, out)
             self.state.update(state)
+            if (until := self.until(state)) is not None:
+                self._wake(until)
         self.idle(key[0], now, out)
         yield self._frame(out)
 
+    def _wake(self, at: int) -> None:
+        """A timer that fires once the watermark has passed ``at``, in microseconds."""
+        self.handle.registerTimer(int(at // 1000 + 1))
+
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=list(self.output))
 
@@ -73,6 +79,10 @@ class Ordered(StatefulProcessor):
         """The state after ``row``; results go to ``out``."""
         raise NotImplementedError
 
+    def until(self, state: tuple) -> int | None:
+        """When to look at the state again if no row comes, in microseconds."""
+        return None
+
     def idle(self, key, now: int, out: list[tuple]) -> None:
         """Called at each timer, after the rows that were due."""
 
@@ -97,10 +107,11 @@ class Progress(Ordered):
         high = progress if top is None else max(top, progress)
         if top is None or high != top or status != before:
             out.append((key, event_id, status, high))
-        if self.keep is not None:
-            self.handle.registerTimer(int(at // 1000 + self.keep + 1))
         return status, high, at
 
+    def until(self, state):
+        return None if self.keep is None else state[2] + 1000 * self.keep
+
     def idle(self, key, now, out):
         if self.keep is not None and self.state.exists() and self.state.get()[2] < 1000 * (now - self.keep):
             self.state.clear()
@@ -121,9 +132,11 @@ class Sessions(Ordered):
             if state is not None and state[2]:
                 out.append((key, state[0], state[2], state[2] >= self.limit))
             state = (at, at, 0)
-        self.handle.registerTimer(int((at + self.gap) // 1000 + 1))
         return state[0], at, state[2] + 1
 
+    def until(self, state):
+        return state[1] + self.gap
+
     def idle(self, key, now, out):
         if self.state.exists():
             start, last, n = self.state.get()
@@ -149,8 +162,8 @@ def sessions(events: DataFrame, gap_ms: int, limit: int, late: str) -> DataFrame
     return rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap_ms, limit), "user_id long, start long, n long, limited boolean", "Append", "EventTime")
 
 
-def drained(stream: DataFrame, folder: str, seconds: int = 600) -> DataFrame:
-    """Run a stream over what is there now, into ``folder``, and read the rows that were given out.
+def drained(stream: DataFrame, folder: str, seconds: int | None = None) -> DataFrame:
+    """Run a stream over what is there now, into ``folder``, and read the rows that were given out; it may be stopped with an error after ``seconds``.
 
     The folder has to be shared by all executors: the checkpoint and its state are there, too.
     """
@@ -159,7 +172,9 @@ def drained(stream: DataFrame, folder: str, seconds: int = 600) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        if not query.awaitTermination(seconds):
+        if seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(seconds):
             query.stop()
             raise TimeoutError("the stream did not end")
     finally:

@@ -109,3 +109,59 @@ def test_ordered_streams_equal_batches_with_late_rows(spark, small, tmp_path, se
             runs[-1].append(t)
         want += [(user, len(run), len(run) >= 3) for run in runs if run[-1] + gap < last]
     assert want and sorted((r.user_id, r.n, r.limited) for r in got) == sorted(want)
+
+
+def test_a_timer_for_a_key_and_not_for_each_row():
+    """Rows that come together are given one timer, and those that still wait when it fires one more."""
+    import pandas as pd
+
+    from paperloom.streaming import ordered
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *_):  # noqa: N802
+            return Cell()
+
+        getValueState = getListState  # noqa: N815
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    class Cell:
+        rows = None
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows = [*(self.rows or []), *rows]
+
+        def put(self, rows):
+            self.rows = rows
+
+        update = put
+
+        def clear(self):
+            self.rows = None
+
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    machine, handle = ordered.Progress(), Handle()
+    machine.init(handle)
+    frame = pd.DataFrame({"at": [k * 5000 for k in range(100)], "event_id": range(100), "status": "error", "progress": range(100)})
+    list(machine.handleInputRows((7,), iter([frame]), None))
+    assert handle.timers == [1]
+    given = pd.concat(machine.handleExpiredTimer((7,), Times(250), None))
+    assert list(given.event_id) == list(range(50)) and handle.timers == [1, 251]
+    given = pd.concat(machine.handleExpiredTimer((7,), Times(1000), None))
+    assert list(given.event_id) == list(range(50, 100)) and handle.timers == [1, 251]
