@@ -16,8 +16,10 @@ belong together already:
 
 Pairs of 2 and 3 are dropped by bounds that hold for every linked pair: sizes, and
 the parities of shingles in ``BITS`` cells, whose differences are at most the sets'
-own. No linked pair is lost, and a large group of near copies never gives all its
-pairs. A shingle that very many texts share is a key of joins only, which adaptive
+own. So few cells say nothing about a set of more than some thousand shingles, so
+pairs that are left are held against parities in as many cells as the sets have
+shingles, before any set leaves its place. No linked pair is lost, and a large group
+of near copies never gives all its pairs. A shingle that very many texts share is a key of joins only, which adaptive
 execution splits; no task gathers its texts.
 """
 
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, cut_at, ids_and_texts, pieces, remove, without_rows
+from paperloom.llm.common import TEXT_ROWS, cut, cut_at, ids_and_texts, pieces, release, remove, without_rows
 from paperloom.llm.graph import components
 from paperloom.llm.simhash import links, majority, shingle_hashes
 
@@ -62,9 +64,15 @@ def prefix(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles in each cell is odd, as the bits of longs."""
-    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def parities(shingles: np.ndarray, cells: int = BITS) -> np.ndarray:
+    """Whether the number of shingles in each cell is odd, as the bits of longs. Of twice the cells, both halves' XOR gives the same."""
+    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % cells, minlength=cells).astype(np.uint8) & 1).view(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities in one to two cells for each shingle, up to 2**24; nothing for a set that ``BITS`` cells are enough for."""
+    cells = min(1 << (len(shingles) - 1).bit_length(), 1 << 24)
+    return parities(shingles, cells) if cells > BITS else np.empty(0, np.int64)
 
 
 def _cells(shingles: np.ndarray) -> np.ndarray:
@@ -93,14 +101,14 @@ MARKS = [f"p{k}" for k in range(BITS // 64)]
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, text) -> (doc_id, row int: a hash of the text, node, n, fp, the parities, prefix array<long>)."""
+    """(doc_id, text) -> (doc_id, row int: a hash of the text, node, n, fp, the parities, sketch array<long>, prefix array<long>)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    names = ["doc_id", "row", "node", "n", "fp", *MARKS, "prefix"]
+    names = ["doc_id", "row", "node", "n", "fp", *MARKS, "sketch", "prefix"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in pieces(batches):
-            nodes, sizes, prints, firsts = [], [], [], []
+            nodes, sizes, prints, sketches, firsts = [], [], [], [], []
             marks = np.empty((batch.num_rows, len(MARKS)), np.int64)
             for k, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
@@ -110,12 +118,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 sizes.append(len(own))
                 prints.append(majority(own))
                 marks[k] = parities(own)
+                sketches.append(sketch(own))
                 firsts.append(own[order[: prefix(len(own))]].view(np.int64))
             prints = np.array(prints, np.uint64).view(np.int64)
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints), *(pa.array(np.ascontiguousarray(c)) for c in marks.T), pa.array(firsts, pa.list_(pa.int64()))]
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints), *(pa.array(np.ascontiguousarray(c)) for c in marks.T), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, firsts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    schema = ", ".join(["doc_id long, row int, node long, n long, fp long", *(f"{m} long" for m in MARKS), "prefix array<long>"])
+    schema = ", ".join(["doc_id long, row int, node long, n long, fp long", *(f"{m} long" for m in MARKS), "sketch array<long>", "prefix array<long>"])
     return docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(run, schema)
 
 
@@ -170,9 +179,26 @@ def all_apart(buckets: DataFrame) -> DataFrame:
     return out
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) nodes -> those whose sketches may be of linked sets: all links, and hardly another pair.
+
+    ``nodes`` are (node, n, the parities, sketch). Sizes of linked sets differ by a
+    quarter at most, so one sketch has the other's cells or twice as many.
+    """
+    end = lambda name, k: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.when(F.size("sketch") == 0, F.array(*MARKS)).otherwise(F.col("sketch")).alias(f"s{k}"))
+    folded = lambda c, cells: F.when(F.size(c) == cells, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, cells), F.slice(c, cells + 1, cells), lambda x, y: x.bitwiseXOR(y)))
+    both = pairs.join(end("u", 0), "u").join(end("v", 1), "v")
+    cells = F.least(F.size("s0"), F.size("s1"))
+    differ = F.aggregate(F.zip_with(folded("s0", cells), folded("s1", cells), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    sizes = OVER * F.greatest("n0", "n1") <= UNDER * F.least("n0", "n1")
+    return both.where(sizes).where((UNDER + OVER) * differ <= (UNDER - OVER) * (F.col("n0") + F.col("n1"))).select("u", "v")
+
+
+def compared(docs: DataFrame, nodes: DataFrame, offered: DataFrame) -> DataFrame:
     """(u, v) nodes -> those whose texts are linked. Only texts that may be needed leave their place."""
     spark = docs.sparkSession
+    pairs, pairs_path = cut_at(alike(offered, nodes), "similar-alike")
+    release(spark)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     cell = F.col("node").bitwiseAND(F.lit(FILTER - 1))
     # At most FILTER / 64 rows.
@@ -195,35 +221,41 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
 
     # Repeated texts would repeat their pairs.
-    texts, path = cut_at(docs.select("text").mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    texts, path = cut_at(docs.select("text").mapInArrow(sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets", TEXT_ROWS)
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     out = cut(both.withColumn("shared", shared).where(UNDER * F.col("shared") >= OVER * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v"), "similar-links")
-    remove(spark, path)
+    for at in (path, pairs_path):
+        remove(spark, at)
+    release(spark)
     return out
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, node) of each row, and (node, root) of each node that has a link."""
     spark = docs.sparkSession
-    rows, rows_path = cut_at(prefixes(docs, shingle_counts(docs)), "similar-rows")
+    rows, rows_path = cut_at(prefixes(docs, shingle_counts(docs)), "similar-rows", TEXT_ROWS)
     names = cut(rows.select("doc_id", "row", "node"), "similar-names")
-    nodes, nodes_path = cut_at(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", *MARKS, "prefix"))), "similar-nodes")
+    nodes, nodes_path = cut_at(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", *MARKS, "sketch", "prefix"))), "similar-nodes")
     remove(spark, rows_path)
-    features = nodes.drop("prefix")
+    release(spark)
+    features = nodes.drop("sketch", "prefix")
     entries = nodes.select("node", F.explode("prefix").alias("bucket"))
     often, often_path = cut_at(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "similar-often")
+    release(spark)
     shared, shared_path = cut_at(entries.join(often.hint("merge"), "bucket", "left_semi"), "similar-shared")
     buckets, buckets_path = cut_at(shared.join(features.drop("fp").hint("merge"), "node"), "similar-buckets")
     for path in (often_path, shared_path):
         remove(spark, path)
 
-    found = compared(docs, by_fingerprint(features))
+    release(spark)
+    found = compared(docs, nodes, by_fingerprint(features))
     for offered in (with_one, all_apart):
         groups = cut(components(found), "similar-roots")
         rooted = buckets.join(groups.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         held, path = cut_at(rooted, "similar-rooted")
-        found = found.unionByName(compared(docs, offered(held)))
+        release(spark)
+        found = found.unionByName(compared(docs, nodes, offered(held)))
         remove(spark, path)
     for path in (nodes_path, buckets_path):
         remove(spark, path)

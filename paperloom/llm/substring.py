@@ -32,7 +32,6 @@ texts of copies by SHA-256.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut, cut_at, remove
+from paperloom.llm.common import TEXT_ROWS, cut, cut_at, release, remove
 from paperloom.llm.words import mixed, words_of
 
 WINDOW = 13
@@ -156,14 +155,14 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, anchors): of each text the anchors that another text has as well, where there are any."""
     spark = docs.sparkSession
     many = _anchors(docs, window).groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
-    many, path = cut_at(many, "anchors")
-    _release(spark)
-    hits, hits_path = cut_at(_anchors(docs, window).join(many.hint("merge"), "anchor", "left_semi"), "anchor-hits")
-    _release(spark)
+    many, path = cut_at(many, "anchors", TEXT_ROWS)
+    release(spark)
+    hits, hits_path = cut_at(_anchors(docs, window).join(many.hint("merge"), "anchor", "left_semi"), "anchor-hits", TEXT_ROWS)
+    release(spark)
     out = cut(hits.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "text-anchors")
     for at in (path, hits_path):
         remove(spark, at)
-    _release(spark)
+    release(spark)
     return out
 
 
@@ -199,25 +198,19 @@ def duplicate_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     phrase's first position there.
     """
     spark = docs.sparkSession
-    rows, rows_at = cut_at(_phrase_rows(docs, window), "phrases")
-    _release(spark)
+    rows, rows_at = cut_at(_phrase_rows(docs, window), "phrases", TEXT_ROWS)
+    release(spark)
     first = rows.where("at >= 0").groupBy("phrase", "mark").agg(F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("source_at"), F.max("doc_id").alias("last"))
     index, index_at = cut_at(first.where("source < last").drop("last"), "phrase-index")
-    _release(spark)
+    release(spark)
     place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at")
     found = cut(rows.join(index.hint("merge"), ["phrase", "mark"]).where("doc_id > source").select("doc_id", "row", place, "source", "source_at"), "found-phrases")
     for path in (rows_at, index_at):
         remove(spark, path)
-    _release(spark)
+    release(spark)
     return found
 
 
-def _release(spark) -> None:
-    """Let Spark drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 Factor = tuple[int, int, int, int]
 
 
@@ -269,7 +262,7 @@ def parsed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(carry)))
     # Rows repeated with one id are told apart by a hash of their text.
     docs = cut(with_copies(own.withColumn("row", F.hash("text")), window), "marked")
-    _release(df.sparkSession)
+    release(df.sparkSession)
     found = duplicate_phrases(docs.where("copy_of IS NULL AND anchors IS NOT NULL"), window)
     spans = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "source", "source_at")).alias("found"))
     return docs.drop("anchors").join(spans, ["doc_id", "row"], "left")

@@ -139,3 +139,41 @@ def test_near_stage_keeps_all_links_of_groups(spark, small, docs):
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, small).collect())
     assert got == similar_brute(rows)
     assert 20 < len(got) < len(rows)
+
+
+def test_sketches_lose_no_link_of_long_texts_and_drop_the_others(spark, small, docs):
+    """Long texts that share a passage: those at and around 0.8 are decided as by brute force, and unrelated pairs go before their sets do."""
+    from paperloom.llm import similar
+    from paperloom.llm.common import TEXT_ROWS, BATCH_ROWS, cut_at
+
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(20000)]
+    passage, texts = list(rng.choice(words, 400)), []
+    for size in (60, 520, 900, 1500, 1640, 2500):
+        base = list(rng.choice(words, size)) + passage[: size // 2]
+        for share in (0.0, 0.01, 0.02, 0.022, 0.024, 0.03):
+            edited = [str(rng.choice(words)) if rng.random() < share else w for w in base]
+            texts.append(" ".join(edited[: len(edited) - int(size * share * 2)]))
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema).repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, small).collect())
+    assert got == similar_brute(rows) and 6 <= len(got) < len(rows)
+
+    held, _ = cut_at(similar.prefixes(table, np.zeros(similar.CELLS, np.int64)), "held", TEXT_ROWS)
+    assert spark.conf.get(BATCH_ROWS) == "10000"
+    a, b = held.alias("a"), held.alias("b")
+    pairs = a.join(b, similar.F.col("a.node") < similar.F.col("b.node")).select(similar.F.col("a.node").alias("u"), similar.F.col("b.node").alias("v")).distinct()
+    left = {(r.u, r.v) for r in similar.alike(pairs, held).collect()}
+    sets = {similar.node_of(similar.words_of(t)): set(similar.shingle_set(similar.words_of(t)).tolist()) for t in texts}
+    likeness = {(u, v): len(sets[u] & sets[v]) / len(sets[u] | sets[v]) for u in sets for v in sets if u < v}
+    assert {p for p, x in likeness.items() if x >= 0.8} <= left
+    assert not {p for p in left if likeness[p] < 0.6}
+
+
+def test_sketches_fold():
+    from paperloom.llm import similar
+
+    own = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    wide = similar.parities(own, 4096)
+    assert (similar.parities(own, 2048) == wide[:32] ^ wide[32:]).all() and len(similar.sketch(own)) == 64
+    assert len(similar.sketch(own[:512])) == 0 and len(similar.sketch(own[:513])) == 16
