@@ -92,3 +92,17 @@ def test_translate(spark, docx, pptx, xlsx):
     assert got["d.docx"].content is None and got["d.docx"].error
     short = {r.path: r for r in office.translate(files, lambda texts: texts[1:]).collect()}
     assert all(r.content is None and r.error for r in short.values())
+
+
+def test_results_come_in_batches_and_texts_are_dealt_out(spark):
+    """Many small files are no frame each, a file that fails keeps its row, and one partition of texts becomes many."""
+    docs = spark.createDataFrame([(k, f"a {k}\nb") for k in range(200)], "doc_id long, text string").coalesce(1)
+    for kind in ("docx", "pptx", "xlsx"):
+        files = office.make_files(docs, "doc_id", "text", kind)
+        assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        bad = spark.createDataFrame([(f"x.{kind}", b"no zip"), (f"y.{kind}", None)], "path string, content binary")
+        both = office.translate(files.unionByName(bad), lambda texts: [t.upper() for t in texts])
+        assert {r.path: r.replaced for r in both.collect()} == {f"{k}.{kind}": 2 for k in range(200)} | {f"x.{kind}": 0, f"y.{kind}": 0}
+        got = office.units(both).collect()
+        assert sorted(r.text for r in got if r.error is None) == sorted([f"A {k}" for k in range(200)] + ["B"] * 200)
+        assert sum(r.error is not None for r in got) == 2
