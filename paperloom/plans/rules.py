@@ -20,7 +20,7 @@ from paperloom.plans.registry import query, values_sql
 from paperloom.plans.relational import ALIAS_ROWS, ALIASES
 from paperloom.plans.text import FONT_NAMES, LINES
 from paperloom.sources.fragments import AXIS_TEXT
-from paperloom.sources.tables import NAMES, Tables
+from paperloom.sources.tables import NAMES, Tables, dealt
 
 
 class Rows:
@@ -296,12 +296,12 @@ ODD = "replace(replace(replace(text, 'th', 'T​H'), ', ', ' Ａ■ 3x4 '), 'es
 
 @query("str1_canonical")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.sha2(folds.canonical(F.expr(ODD)), 256).alias("canonical_sha256"))
+    return dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.sha2(folds.canonical(F.expr(ODD)), 256).alias("canonical_sha256"))
 
 
 @query("str2_sanitize")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.sha2(folds.sanitized(F.expr(ODD)), 256).alias("clean_sha256"))
+    return dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.sha2(folds.sanitized(F.expr(ODD)), 256).alias("clean_sha256"))
 
 
 PADDED = Rows("lines", {"doc_id": "doc_id", "pos": "CAST(pos AS BIGINT)", "s": "CONCAT(CASE pos % 4 WHEN 0 THEN '  ' WHEN 1 THEN chr(9) ELSE '' END, CASE WHEN pos % 7 = 6 THEN '' ELSE substr(line, 1, 9) END, CASE pos % 3 WHEN 0 THEN chr(10) ELSE ' ' END)"})

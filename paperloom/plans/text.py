@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import labels
 from paperloom.operators import dedup, folds
 from paperloom.plans.registry import query
-from paperloom.sources.tables import Tables
+from paperloom.sources.tables import Tables, dealt
 
 LINES = "(SELECT doc_id, n, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS line FROM (SELECT doc_id, p, len(p) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS p FROM documents)))"
 CANON = r"lower(regexp_replace(line, '[ \t\r\n\f\v]+', '', 'g'))"
@@ -105,7 +105,7 @@ def _(t: Tables):
     """All documents: tokens, a digest of the protected text, and whether restoring gives the text back."""
     from paperloom.operators.tokens import protect, restored
 
-    v = t.documents.select("doc_id", "text", protect("text").alias("p"))
+    v = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "text", protect("text").alias("p"))
     return v.select("doc_id", F.size("p.tokens").cast("long").alias("tokens"), F.sha2("p.text", 256).alias("protected_sha256"), restored("p").eqNullSafe(F.col("text")).alias("restored"))
 
 
@@ -115,7 +115,7 @@ def _(t: Tables):
     from paperloom.operators.tokens import tokens_of
 
     # explode would ask for the array twice, once to leave out empty ones.
-    tokens = t.documents.select(F.explode_outer(tokens_of("text")).alias("token")).where("token IS NOT NULL")
+    tokens = dealt(t.documents.select("doc_id", "text"), "doc_id").select(F.explode_outer(tokens_of("text")).alias("token")).where("token IS NOT NULL")
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
