@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.operators.relational import once
 from paperloom.operators.windows import islands
 
 #: No space is implied before these (fixed values).
@@ -48,6 +49,38 @@ def line_texts(glyphs: DataFrame) -> DataFrame:
     return glyphs.withColumns(beside).groupBy("page", "line").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
 
 
+def _in_line(rule) -> Column:
+    """``rule(glyph, one before, two before, one behind)`` of each glyph of a line's array; null where there is none."""
+    each = lambda g: F.transform(g, lambda x, k: rule(x, F.when(k > 0, F.get(g, k - 1)), F.when(k > 1, F.get(g, k - 2)), F.get(g, k + 1)))
+    return once(F.col("glyphs"), each)
+
+
+def with_units_of_lines(lines: DataFrame) -> DataFrame:
+    """As ``with_units``, on (page, line, glyphs) with a line's glyphs in order, an array of (x1, idx, x2, size, ch, symbol)."""
+
+    def fixed(g: Column, before: Column, _: Column, after: Column) -> Column:
+        near = lambda gap: (gap < -0.7) | (gap <= F.greatest(F.lit(1.8), 0.32 * g["size"]))
+        micro = g["symbol"] & (g["ch"] == "m") & after["ch"].isin(*"FAVsS") & near(after["x1"] - g["x2"])
+        ohm = g["symbol"] & (g["ch"] == "W") & before["ch"].rlike("[0-9kKM]") & near(g["x1"] - before["x2"])
+        ch = F.when(F.coalesce(micro, F.lit(False)), "µ").when(F.coalesce(ohm, F.lit(False)), "Ω").otherwise(g["ch"])
+        return F.struct(*(g[c].alias(c) for c in ("x1", "idx", "x2", "size")), ch.alias("ch"), g["symbol"].alias("symbol"))
+
+    return lines.withColumn("glyphs", _in_line(fixed))
+
+
+def texts_of_lines(lines: DataFrame) -> DataFrame:
+    """As ``line_texts``, on lines with their glyphs in order: nothing is shuffled or sorted. A line without glyphs has no text."""
+
+    def piece(g: Column, before: Column, second: Column, after: Column) -> Column:
+        gap = g["x1"] - before["x2"]
+        digit = lambda x: x["ch"].rlike("^[0-9]$")
+        decimal = (digit(before) & g["ch"].isin(".", ",") & digit(after)) | (before["ch"].isin(".", ",") & digit(g) & digit(second))
+        space = (gap > 0) & (gap >= F.greatest(F.lit(1.8), 0.22 * F.least(g["size"], F.coalesce(before["size"], g["size"])))) & ~g["ch"].isin(*CLOSING) & ~F.coalesce(decimal, F.lit(False))
+        return F.concat(F.when(F.coalesce(space, F.lit(False)), " ").otherwise(""), g["ch"])
+
+    return lines.where(F.size("glyphs") > 0).select("page", "line", F.array_join(_in_line(piece), "").alias("text"))
+
+
 def superscript_hosts(small: DataFrame, hosts: DataFrame) -> DataFrame:
     """(page, idx, host): for each small raised box the nearest host box whose upper half it touches."""
     s = small.select("page", F.col("idx"), *(F.col(c).alias(f"s_{c}") for c in ("x1", "y1", "x2", "y2")))

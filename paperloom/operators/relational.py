@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,3 +83,8 @@ def inside(path: Column) -> Column:
     # Depth below the folder; once outside it stays outside.
     step = lambda depth, p: F.when(depth < 0, depth).when(p == "..", depth - 1).otherwise(depth + 1)
     return ~path.startswith("/") & (F.aggregate(parts, F.lit(0), step) > 0)
+
+
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule(value)`` with the value computed once: an expression that a lambda refers to would be computed anew in each call."""
+    return F.transform(F.array(value), rule)[0]

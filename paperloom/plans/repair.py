@@ -8,13 +8,8 @@ from paperloom.operators import axis, blocks, folds, glyphs, input_text, label_l
 from paperloom.plans.layout import NODES, nodes
 from paperloom.plans.registry import query
 from paperloom.sources.fragments import LABEL_ITEM, LABEL_TEXT, axis_glyphs, axis_scales, fragments, label_items, translator_inputs
-from paperloom.sources.tables import Tables
-
-
-def label_glyphs(t: Tables):
-    """The glyphs of all labels, a row each: an item is a line of its own."""
-    each = label_items(t.lineitem).select(F.col("paragraph").alias("page"), F.col("item").alias("line"), F.posexplode("glyphs").alias("idx", "g"))
-    return each.select("page", "line", F.col("idx").cast("long").alias("idx"), "g.*")
+from paperloom.sources.fragments import label_lines as line_glyphs
+from paperloom.sources.tables import Tables, dealt
 
 
 GLYPHS = f"""(SELECT page, line, k AS idx, substr(t, k + 1, 1) AS ch, x0 + 4 * k AS x1, x0 + 4 * k + 4 AS x2, 7.0 AS size, substr(t, k + 1, 1) IN ('W', 'm') AS symbol
@@ -29,12 +24,12 @@ UNITS_SQL = """(SELECT page, line, idx, x1, x2, size, CASE WHEN symbol AND ch =
 
 @query("spl1_implied_spaces", GAP_SQL.format(v=GLYPHS))
 def _(t: Tables):
-    return glyphs.line_texts(label_glyphs(t))
+    return glyphs.texts_of_lines(line_glyphs(t.lineitem))
 
 
 @query("str19_symbol_units", GAP_SQL.format(v=UNITS_SQL.format(v=GLYPHS)))
 def _(t: Tables):
-    return glyphs.line_texts(glyphs.with_units(label_glyphs(t), F.col("symbol")))
+    return glyphs.texts_of_lines(glyphs.with_units_of_lines(line_glyphs(t.lineitem)))
 
 
 @query("spl1_split_labels")
@@ -53,7 +48,7 @@ def _(t: Tables):
 @query("str19_token_merge")
 def _(t: Tables):
     """Each document's lines with their tokens joined as those of labels are: how many joins, and a digest."""
-    d = t.documents.select("doc_id", "text", label_lines.joined_lines("text").alias("joined"))
+    d = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "text", label_lines.joined_lines("text").alias("joined"))
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
     return d.select("doc_id", (words("text") - words("joined")).alias("joins"), F.sha2("joined", 256).alias("joined_sha256"))
 

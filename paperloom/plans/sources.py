@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.relational import once
 from paperloom.plans.registry import query
 from paperloom.sources import page_text
-from paperloom.sources.fragments import FRAGMENTS_SQL, fragments
+from paperloom.sources.fragments import FRAGMENTS_SQL, pages
 from paperloom.sources.tables import Tables
 from paperloom.streaming import ordered
 
 # Rows of a page are lines, ten of them a block; a block that begins with a table's row is an image; a fragment that ends
 # with a full stop is set very small.
+SMALL, NORMAL = 2.0, 10.0
 SIZE = "CASE WHEN right(text, 1) = '.' THEN 2.0 ELSE 10.0 END"
 
 
 def page_json(t: Tables) -> DataFrame:
-    """(page, json): the documents' pages as a reader gives them."""
-    f = fragments(t.documents).withColumns({"row": F.floor(F.col("idx") / 3), "size": F.expr(SIZE)})
-    span = F.struct("text", "size", "x1", "y1", "x2", "y2")
-    rows = f.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("idx", span.alias("span")))).alias("spans"), F.min("label").alias("label"))
-    line = F.struct(F.transform("spans", lambda s: s["span"]).alias("spans"))
-    blocks = rows.groupBy("page", F.floor(F.col("row") / 10).alias("block")).agg(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"), F.min_by("label", "row").alias("first"))
-    block = F.struct(F.when(F.col("first") == "plain text", 0).otherwise(1).alias("type"), F.transform("lines", lambda x: x["line"]).alias("lines"))
-    pages = blocks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("block", block.alias("b")))).alias("blocks"))
-    return pages.select("page", F.to_json(F.struct(F.transform("blocks", lambda x: x["b"]).alias("blocks"))).alias("json"))
+    """(page, json): the documents' pages as a reader gives them; a page is nested where it is made, from its fragments in order."""
+    at = lambda x, n: F.floor(x["idx"] / n)
+    parts = lambda items, n, rule: F.transform(F.array_distinct(F.transform(items, lambda x: at(x, n))), lambda k: once(F.filter(items, lambda x: at(x, n) == k), rule))
+    split = lambda items, n, rule: once(items, lambda x: parts(x, n, rule))
+    size = lambda text: F.when(F.right(text, F.lit(1)) == ".", SMALL).otherwise(NORMAL)
+    span = lambda x: F.struct(x["text"].alias("text"), size(x["text"]).alias("size"), *(x[c].alias(c) for c in ("x1", "y1", "x2", "y2")))
+    line = lambda items: F.struct(F.transform(items, span).alias("spans"))
+    block = lambda items: F.struct(F.when(items[0]["label"] == "plain text", 0).otherwise(1).alias("type"), split(items, 3, line).alias("lines"))
+    whole = pages(t.documents).select("page", F.explode(F.array("items")).alias("items")).where(F.size("items") > 0)
+    return whole.select("page", F.to_json(F.struct(split(F.col("items"), 30, block).alias("blocks"))).alias("json"))
 
 
 _ROWS = f"(SELECT *, idx // 3 AS row, idx // 30 AS tenth, {SIZE} AS size FROM {FRAGMENTS_SQL})"

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -407,3 +408,53 @@ def test_joins_of_aggregates_can_be_split(spark):
         assert plan.count("ENSURE_REQUIREMENTS") >= 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_taken_part_by_part():
+    """No more than a part's Python values are held at once; nulls and empty batches pass."""
+    import pyarrow as pa
+
+    held, most = set(), []
+
+    class Value(str):
+        def __init__(self, _):
+            held.add(id(self))
+            most.append(len(held))
+
+        def __del__(self):
+            held.discard(id(self))
+
+    texts = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(1000)]).slice(3)
+    got = tokens.by_part(texts, lambda s: None if s is None else Value(s + "!"), pa.string())
+    assert got.to_pylist() == [None if s is None else s + "!" for s in texts.to_pylist()]
+    assert max(most) <= 2 * tokens.PART
+    assert len(tokens.by_part(pa.array([], pa.string()), str, pa.string())) == 0
+
+
+def test_lines_of_glyphs_without_windows(spark):
+    """A line's texts from its array are those from glyph rows, for decimals, units, closing marks and glyphs out of order."""
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import glyphs
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for line in range(300):
+        x = 0.0
+        for idx in range(int(rng.integers(1, 9))):
+            ch = str(rng.choice(list("m W F A 3 . , ) k x".split())))
+            x += float(rng.choice([-1.0, 0.0, 1.0, 1.8, 2.0, 5.0]))
+            rows.append((1, line, idx, ch, x, x + 4, 7.0, ch in "mW"))
+            x += 4
+    each = spark.createDataFrame(rows, "page long, line long, idx long, ch string, x1 double, x2 double, size double, symbol boolean")
+    held = each.groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("x1", "idx", "x2", "size", "ch", "symbol"))).alias("glyphs"))
+    for new, old in ((held, each), (glyphs.with_units_of_lines(held), glyphs.with_units(each, F.col("symbol")))):
+        assert sorted(glyphs.texts_of_lines(new).collect()) == sorted(glyphs.line_texts(old).collect())
+
+
+@pytest.mark.parametrize("name, shuffles", [("src2_text_spans", 1), ("src3_page_words", 1), ("spl1_implied_spaces", 1), ("str19_symbol_units", 1)])
+def test_pages_and_lines_are_shuffled_once(spark, small, name, shuffles):
+    from paperloom.plans import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == shuffles and "Window" not in plan
