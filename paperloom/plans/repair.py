@@ -35,13 +35,13 @@ def _(t: Tables):
 @query("spl1_split_labels")
 def _(t: Tables):
     """Labels of drawings as the lines that they fall into, with ids that name the paragraph."""
-    return label_lines.split_lines(label_items(t.lineitem))
+    return label_lines.split_lines(label_items(t.lineitem), together=True)
 
 
 @query("spl1_split_counts")
 def _(t: Tables):
     """Paragraphs by the number of parts, and how many of the parts' texts were written anew."""
-    parts = label_lines.split_lines(label_items(t.lineitem)).groupBy("paragraph").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("text").rlike("[µΩ]")).alias("repaired"))
+    parts = label_lines.split_lines(label_items(t.lineitem), together=True).groupBy("paragraph").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("text").rlike("[µΩ]")).alias("repaired"))
     return parts.groupBy("parts").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("repaired").alias("repaired"))
 
 
