@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.operators import dedup, restore
-from paperloom.operators.tokens import protect
+from paperloom.operators import restore
+from paperloom.operators.tokens import protect_each
 from paperloom.plans.layout import NODES, nodes
 from paperloom.plans.metrics import FILE_KIND
 from paperloom.plans.registry import query
 from paperloom.plans.rules import GATES, STORED, Rows, _pairs, _pairs_sql
-from paperloom.sources.tables import Tables
+from paperloom.sources.tables import Tables, dealt
 
 # ---- previews ------------------------------------------------------------------------------
 
@@ -75,29 +75,39 @@ def _(t: Tables):
 # ---- given back after translation ----------------------------------------------------------
 
 
+def moved_pages(t: Tables) -> DataFrame:
+    """(page, lines): each document's lines with tokens protected, in which a translator moved some placeholders, and who owns what.
+
+    Lines stay in their document's row, so that neighbours are at hand; only the texts are dealt out.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    said = lambda line, pos: F.concat(F.substring(line, 1, 16), F.lit(" VDD_IO "), pos % 7, F.lit(" mV at "), pos % 4 + 1, F.lit(" kHz"))
+    texts = dealt(t.documents.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
+    rows = texts.select(F.col("doc_id").alias("page"), F.transform(lines, said).alias("said")).select("page", protect_each("said").alias("p"))
+
+    def line(p: Column, k: Column) -> Column:
+        own, following = F.try_element_at(p["tokens"]["name"], F.lit(-1)), F.get(F.get("p", k + 1)["tokens"]["name"], F.lit(0))
+        moved = F.when((k % 3 == 0) & following.isNotNull(), F.replace(p["text"], own, F.lower(following))).when(k % 3 == 1, F.concat(p["text"], F.lit(" DTX0123456789Q"))).otherwise(p["text"])
+        return F.struct(k.cast("long").alias("idx"), moved.alias("text"), F.transform(p["tokens"], lambda o: F.struct(o["name"].alias("placeholder"), o["token"].alias("token"))).alias("own"))
+
+    return rows.select("page", F.transform("p", line).alias("lines"))
+
+
 def moved_placeholders(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Lines of documents with tokens protected, in which a translator moved some placeholders: texts and who owns what."""
-    lines = dedup.numbered_lines(t.documents, "doc_id", "text")
-    said = F.expr("concat(substr(line, 1, 16), ' VDD_IO ', pos % 7, ' mV at ', pos % 4 + 1, ' kHz')")
-    rows = lines.select(F.col("doc_id").alias("page"), F.col("pos").cast("long").alias("idx"), protect(said).alias("p"))
-    after = W.partitionBy("page").orderBy("idx")
-    own, following = F.try_element_at("p.tokens.name", F.lit(-1)), F.get(F.lead("p.tokens.name").over(after), 0)
-    moved = F.when((F.col("idx") % 3 == 0) & following.isNotNull(), F.replace(F.col("p.text"), own, F.lower(following))).when(F.col("idx") % 3 == 1, F.concat("p.text", F.lit(" DTX0123456789Q"))).otherwise(F.col("p.text"))
-    owned = rows.select("page", "idx", F.posexplode("p.tokens").alias("place", "o")).select("page", "idx", "place", F.col("o.name").alias("placeholder"), F.col("o.token").alias("token"))
-    return rows.select("page", "idx", moved.alias("text")), owned
+    """The same as two tables: texts, and placeholders with their owners."""
+    lines = moved_pages(t).select("page", F.inline("lines"))
+    return lines.select("page", "idx", "text"), lines.select("page", "idx", F.posexplode("own").alias("place", "o")).select("page", "idx", "place", "o.placeholder", "o.token")
 
 
 @query("rw14_neighbor_placeholders")
 def _(t: Tables):
     """Texts after their neighbours' placeholders were put back, as a digest and how many there were."""
-    texts, owned = moved_placeholders(t)
-    return restore.restored(texts, restore.nearest(texts, owned)).select("page", "idx", F.col("restored").cast("long").alias("restored"), F.sha2("text", 256).alias("text_sha256"))
+    return restore.restored_of_pages(moved_pages(t)).select("page", "idx", F.col("restored").cast("long").alias("restored"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("rw14_placeholders_once")
 def _(t: Tables):
-    texts, owned = moved_placeholders(t)
-    return restore.taken_once(texts, owned)
+    return restore.taken_once_of_pages(moved_pages(t))
 
 
 RUNS = Rows(

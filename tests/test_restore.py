@@ -59,3 +59,28 @@ def test_each_is_taken_once(spark):
     assert sorted(map(tuple, restore.taken_once(texts, owned).collect())) == [(1, 0, a.lower(), 1, "5 mV"), (1, 2, a, 3, "7 V")]
     near = {(r.page, r.idx): r.text for r in restore.restored(texts, restore.nearest(texts, owned)).collect()}
     assert near == {(1, 0): "x 5 mV 5 mV", (1, 1): b, (1, 2): "5 mV", (1, 5): "7 V", (2, 1): a}
+
+
+def test_pages_stay_whole(spark, small):
+    """Owners are looked for in the page's own row: nothing is shuffled but the texts, once, and each text is scanned once."""
+    for name in ("rw14_neighbor_placeholders", "rw14_placeholders_once"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.count("ArrowEvalPython ") == 1 and "Join" not in plan
+
+
+def test_pages_equal_tables(spark):
+    """Repeated marks, owners in any case, gaps between places, rows that own nothing, null texts."""
+    a, b = "DTX" + "A" * 10 + "Q", "DTX" + "B" * 10 + "Q"
+    lines = [
+        (1, [(0, f"x {a.lower()} {a}", []), (1, b, [(a, "5 mV"), (b, "$1\\")]), (2, a, []), (3, None, [(a, "7 V")]), (5, f"{a} {b}", [])]),
+        (2, [(1, a, [])]), (3, []), (4, [(7, a, [(a.lower(), "1 V")]), (9, f"{b}{a} {a}", [(a.lower(), "2 V"), (a, "3 V")]), (10, a, [])]),
+    ]
+    pages = spark.createDataFrame(lines, "page long, lines array<struct<idx:long,text:string,own:array<struct<placeholder:string,token:string>>>>")
+    flat = [(p, *x) for p, found in lines for x in found]
+    texts = spark.createDataFrame([(p, i, t) for p, i, t, _ in flat], "page long, idx long, text string")
+    owned = spark.createDataFrame([(p, i, k, *o) for p, i, _, own in flat for k, o in enumerate(own)], "page long, idx long, place int, placeholder string, token string")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    want = rows(restore.restored(texts, restore.nearest(texts, owned)))
+    assert rows(restore.restored_of_pages(pages)) == want and sum(r[3] for r in want) > 3
+    once = rows(restore.taken_once(texts, owned))
+    assert rows(restore.taken_once_of_pages(pages)) == once and len(once) > 2
