@@ -239,7 +239,9 @@ def phrase_counts(df: DataFrame, max_words: int, min_count: int, lang_col: str =
     shards = texts.mapInArrow(shard_counts(max_words, buckets, shard_words), "lang string, bucket long, blob binary, words long")
     # The number is given, so that the session doesn't put buckets together.
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 1 << 14))
-    counts = cut(shards.repartition(width, "lang", "bucket").groupBy("lang", "bucket").applyInArrow(_summed(min_count), "lang string, phrase string, f long"), "frequent")
+    kept = shards.repartition(width, "lang", "bucket").groupBy("lang", "bucket").applyInArrow(_summed(min_count), "lang string, phrase string, f long")
+    # Few of a bucket's phrases are left, so they are put together for the table: a file for each bucket's task costs more than its rows.
+    counts = cut(kept.hint("rebalance"), "frequent")
     return counts.where("phrase IS NOT NULL"), counts.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
 
 

@@ -123,3 +123,12 @@ def test_states_are_classes_of_end_positions(words, depth):
         assert (a.longest[s], a.shortest[s], a.count[s]) == (len(longest), len(shortest), len(ends[longest]))
         assert {longest[k:] for k in range(len(longest) - len(shortest) + 1)} == members
         assert a.link[s] == (state_of[shortest[1:]] if len(shortest) > 1 else -1)
+
+
+def test_frequent_phrases_share_files(spark):
+    """What few phrases are left of many buckets isn't a file for each."""
+    docs = spark.createDataFrame([(i, "en", f"one two three w{i % 7} v{i}") for i in range(300)], "doc_id long, lang string, text string")
+    counts, words = collocations.phrase_counts(docs, 3, 10, bucket_bytes=200)
+    assert len(counts.inputFiles()) <= 2
+    got = {r.phrase: r.f for r in counts.collect()}
+    assert got["one two three"] == 300 and got["three w0"] == 43 and "v1" not in got and words.first().n == 1500
