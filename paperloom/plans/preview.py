@@ -76,12 +76,12 @@ def _(t: Tables):
 
 
 def moved_pages(t: Tables) -> DataFrame:
-    """(page, lines): each document's lines with tokens protected, in which a translator moved some placeholders, and who owns what.
+    """(page, lines): each document's lines, whole, with tokens protected, in which a translator moved some placeholders, and who owns what.
 
     Lines stay in their document's row, so that neighbours are at hand; only the texts are dealt out.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    said = lambda line, pos: F.concat(F.substring(line, 1, 16), F.lit(" VDD_IO "), pos % 7, F.lit(" mV at "), pos % 4 + 1, F.lit(" kHz"))
+    said = lambda line, pos: F.concat(line, F.lit(" VDD_IO "), pos % 7, F.lit(" mV at "), pos % 4 + 1, F.lit(" kHz"))
     texts = dealt(t.documents.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
     rows = texts.select(F.col("doc_id").alias("page"), F.transform(lines, said).alias("said")).select("page", protect_each("said").alias("p"))
 

@@ -84,3 +84,21 @@ def test_pages_equal_tables(spark):
     assert rows(restore.restored_of_pages(pages)) == want and sum(r[3] for r in want) > 3
     once = rows(restore.taken_once(texts, owned))
     assert rows(restore.taken_once_of_pages(pages)) == once and len(once) > 2
+
+
+def test_lines_are_whole(spark, small):
+    """What isn't moved reads, tokens put back, as the document's whole line and what was set behind it."""
+    moved, holds = preview.moved_placeholders(Tables(spark, small))
+    texts, owned = {(r.page, r.idx): r.text for r in moved.collect()}, defaultdict(dict)
+    for r in holds.collect():
+        owned[r.page, r.idx][r.placeholder] = r.token
+    documents = spark.read.parquet(f"{small}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    lines = {(d.doc_id, k): line for d in documents for k, line in enumerate(x for x in d.text.split("\n") if x.strip(" "))}
+    assert set(texts) == set(lines)
+    plain = [key for key in lines if key[1] % 3 == 2]
+    for page, k in plain:
+        text = texts[page, k]
+        for name, token in owned[page, k].items():
+            text = text.replace(name, token)
+        assert text == f"{lines[page, k]} VDD_IO {k % 7} mV at {k % 4 + 1} kHz"
+    assert any(len(lines[key]) > 16 for key in plain)
