@@ -232,3 +232,48 @@ def test_close_pairs_where_batches_cut_pages(spark, size):
     near = lambda a, b: abs((a[2] + a[3]) / 2 - (b[2] + b[3]) / 2) <= 0.8 * max(a[3] - a[2], b[3] - b[2], 1.0)
     want = [(a[0], *a[1:], *b[1:]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and near(a, b)]
     assert want and Counter(map(tuple, got)) == Counter(want)
+
+
+def test_walks_start_from_the_records(spark, small):
+    """Pages made where they are walked through have the rows that ``records`` states on columns."""
+    from paperloom.sources import page_rows
+
+    columns = ["page", *m.COLUMNS]
+    odd = "x....... 12\n\n  two  blanks   %*$&#% %*$&#%\n" + "Grüße ②③ 𝔸𝔹 " * 40 + "\n · · · · 7 \n...... 3\t\n\x85\u2028 .... 9\u2028\n½½\n" + "words go on and " * 900
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(900_001, odd), (900_002, ""), (900_003, " \n "), (900_004, None)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    tables = Tables(spark, small)
+    tables.documents = documents
+    want = Counter(map(tuple, plans.records(tables).select(columns).collect()))
+    got = Counter((page, *row) for doc_id, text in texts if text is not None for page, rows in page_rows.pages_of(doc_id, text) for row in rows)
+    assert got == want and {"toc_entry", "preserved_token", "body"} == {r[7] for r in want} and {"table", "edge", "body_column"} <= {r[8] for r in want}
+
+
+@pytest.mark.parametrize("rule", list(m.RULES.values()), ids=lambda r: r.name)
+def test_what_is_in_reach_is_all_that_is_found(rule):
+    """Boxes of many heights and places: looking up those in reach finds what trying all of them does."""
+    import random
+
+    words = ["transl", "ation", "at 12.", "5V", ".", "and so on it goes", "Some words here end.", "page 3", "x", "THE END", "größe", "the first line of a text"]
+    found = 0
+    for seed in range(150):
+        random.seed(seed)
+        items = []
+        for k in range(random.randrange(1, 25)):
+            x1 = random.choice([60.0, 64.0, 90.0, 110.5, 140.0, 330.0]) + random.choice([0.0, 0.1, 4.9])
+            items.append(frag(k, x1, random.choice(words), y2=700.0 - random.choice([0.0, 0.3, 3.0, 8.0, 11.0, 12.0, 24.0, 36.0]), x2=x1 + random.choice([0.5, 20.0, 50.0, 80.0]), height=random.choice([0.5, 8.0, 10.0, 10.0, 30.0, 60.0]), column=random.choice(["single", "single", "left"]), region=random.choice(["body_column", "body_column", "table", "unknown"])))
+        pairs, _ = naive(items, rule)
+        assert [p for p in plan(items, rule) if p[3] != "skipped"] == pairs
+        allowed = {p[:2] for p in pairs if p[3] == "allowed"}
+        merged, rows = naive(items, rule, allowed)
+        kept, events = m._merged(items, rule)
+        assert events == [p[:3] for p in merged] and [(f.record.idx, f.text, f.box, f.members) for f in kept] == [(f.record.idx, f.text, f.box, f.members) for f in sorted(rows, key=lambda f: min(f.members))]
+        found += len(pairs)
+    assert found > 5
+
+
+@pytest.mark.parametrize("name", ["rw4_plan", "rw4_apply", "rw4_events", "rw5_plan", "rw5_apply", "rw5_events", "rw8_plan", "rw8_apply", "rw8_events", "rw458_decision_counts", "rw458_chain"])
+def test_pages_are_made_where_they_are_walked_through(spark, small, name):
+    """Python gets texts: rows of fragments cost more on their way there than being made."""
+    executed = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("MapInArrow") == 1 and "Generate" not in executed
